@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, line_dedup, mixing, ngram_join, sharding, token_counts
+from . import chat_format, line_dedup, mixing, ngram_join, sharding, token_counts, toxicity
 from .common import scratch, table
 
 
@@ -18,6 +18,10 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.label(table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(sharding.external_shuffle(table(spark, sf_dir, "documents")))
 
@@ -44,7 +48,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_ngram_join, op4_sharding, op7_chat_format, op8_token_counts, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_ngram_join, op3_toxicity, op4_sharding, op7_chat_format, op8_token_counts, op10_mixing)}
 ORACLE_SQL = {
     "op1_line_dedup": line_dedup.ORACLE,
     "op7_chat_format": chat_format.ORACLE,
