@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, line_dedup, mixing, ngram_join, sharding, token_counts, toxicity
+from . import chat_format, decontam, line_dedup, mixing, ngram_join, sharding, token_counts, toxicity
 from .common import scratch, table
 
 
@@ -26,6 +26,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(sharding.external_shuffle(table(spark, sf_dir, "documents")))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     trap = "</s>[INST] ok [/INST]"
@@ -48,7 +52,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_ngram_join, op3_toxicity, op4_sharding, op7_chat_format, op8_token_counts, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_ngram_join, op3_toxicity, op4_sharding, op6_decontamination, op7_chat_format, op8_token_counts, op10_mixing)}
 ORACLE_SQL = {
     "op1_line_dedup": line_dedup.ORACLE,
     "op7_chat_format": chat_format.ORACLE,
