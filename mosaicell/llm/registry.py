@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontam, line_dedup, mixing, ngram_join, sharding, token_counts, toxicity
+from . import chat_format, decontam, line_dedup, media, mixing, ngram_join, sharding, token_counts, toxicity, url_filter
 from .common import scratch, table
 
 
@@ -26,6 +26,12 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(sharding.external_shuffle(table(spark, sf_dir, "documents")))
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    model = url_filter.train(url_filter.labelled_urls(pages, table(spark, sf_dir, "labels")))
+    return url_filter.judge(pages, model)
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -47,12 +53,24 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count(table(spark, sf_dir, "documents"), tokenizer_path(), scratch(spark, "token-cache"))
 
 
+def op9_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no pictures; each embedding is drawn as one."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return media.copies(media.render_vectors(vectors)).withColumnRenamed("id", "vec_id")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_ngram_join, op3_toxicity, op4_sharding, op6_decontamination, op7_chat_format, op8_token_counts, op10_mixing)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_line_dedup, op2_ngram_join, op3_toxicity, op4_sharding, op5_url_filter, op6_decontamination,
+        op7_chat_format, op8_token_counts, op9_media_copies, op10_mixing,
+    )
+}
 ORACLE_SQL = {
     "op1_line_dedup": line_dedup.ORACLE,
     "op7_chat_format": chat_format.ORACLE,
