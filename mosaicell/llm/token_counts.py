@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 #: Pieces that a worker remembers before it starts anew, and their greatest length.
 MEMO_PIECES, MEMO_CHARS = 400_000, 64
 _memos: dict[str, tuple] = {}
@@ -103,6 +105,7 @@ def count(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: int = 10
     fresh.withColumn("version", F.lit(version)).write.mode("append").parquet(cache_path)
     # a job that is run again may append a digest twice, with the same count
     counts = spark.read.schema(schema).parquet(cache_path).filter(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    counts = materialize(counts, "token-counts")  # a join below an aggregation of its key could not split a hot digest
     return rows.select(key, "n_bytes", "digest").join(counts.hint("merge"), "digest").select(key, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
