@@ -147,30 +147,34 @@ def jaccard_classes(docs: DataFrame, n: int = N) -> tuple[DataFrame, DataFrame,
 
     docs(doc_id, text). Nodes are classes, named by their smallest doc_id."""
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
-    full = materialize(source.mapInArrow(_profiles(n), "doc_id long, n long, f1 long, f2 long, prefix array<long>"), "profiles")
-    profiles = full.select("doc_id", "n", "f1", "f2")
+    spark = docs.sparkSession
+    full = materialize(source.mapInArrow(_profiles(n), "doc_id long, n long, f1 long, f2 long, prefix array<long>"), "profiles-full")
+    profiles = materialize(full.select("doc_id", "n", "f1", "f2"), "profiles")
     nodes = profiles.filter("n > 0 AND doc_id IS NOT NULL").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("doc"))
 
     # survivors: one row of prefix grams for each class
     named = nodes.select("doc", F.col("f1").alias("g1"), F.col("f2").alias("g2"))
-    firsts = full.filter("n > 0").join(named.hint("merge"), F.col("doc_id") == F.col("doc"))
-    prefixes = materialize(firsts.filter("f1 = g1 AND f2 = g2").groupBy("doc").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix")), "prefixes")
-    rows = prefixes.select("doc", "n", F.explode("prefix").alias("gram"))
-    common = rows.groupBy("gram").agg(F.count("*").alias("df")).filter("df > 1").select("gram")
-    hits = rows.join(common.hint("merge"), "gram", "left_semi").groupBy("doc", "n").agg(F.count("*").alias("hits"))
-    survivors = materialize(hits.filter(F.col("hits") >= 1 + F.floor(F.ceil(F.col("n") * 4 / 5) / 25)).select("doc", "n"), "survivors")
-    spark = docs.sparkSession
-    remove(spark, prefixes)
+    firsts = full.filter("n > 0").join(named.hint("merge"), F.col("doc_id") == F.col("doc")).filter("f1 = g1 AND f2 = g2")
+    prefixes = materialize(firsts.groupBy("doc").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix")), "prefixes")
+    remove(spark, full)
+    rows = prefixes.select("doc", F.explode("prefix").alias("gram"))
+    common = materialize(rows.groupBy("gram").agg(F.count("*").alias("df")).filter("df > 1").select("gram"), "common")
+    hits = materialize(rows.join(common.hint("merge"), "gram", "left_semi").groupBy("doc").agg(F.count("*").alias("hits")), "hits")
+    needed = 1 + F.floor(F.ceil(F.col("n") * 4 / 5) / 25)
+    survivors = materialize(hits.join(prefixes.select("doc", "n").hint("merge"), "doc").filter(F.col("hits") >= needed).select("doc", "n"), "survivors")
+    for used in (prefixes, common, hits):
+        remove(spark, used)
 
     # global order over the survivors' grams
     texts = source.join(survivors.hint("merge"), F.col("doc_id") == F.col("doc"), "left_semi")
     sets = texts.mapInArrow(_sets(n), "doc_id long, grams array<long>").groupBy("doc_id").agg(F.first("grams").alias("grams"))
     sets = materialize(sets.select(F.col("doc_id").alias("doc"), "grams"), "sets")
     grams = sets.select("doc", F.explode("grams").alias("gram"))
-    df = grams.groupBy("gram").agg(F.count("*").cast("int").alias("df")).filter("df > 1")
+    df = materialize(grams.groupBy("gram").agg(F.count("*").cast("int").alias("df")).filter("df > 1"), "frequencies")
     ranked = grams.join(df.hint("merge"), "gram").groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("ranked"))
     ordered = materialize(ranked.join(survivors.hint("merge"), "doc").filter(F.size("ranked") >= F.ceil(F.col("n") * 4 / 5)), "ordered")
-    remove(spark, sets)
+    for used in (sets, df):
+        remove(spark, used)
     mass = ordered.select(F.explode("ranked.df").alias("df")).agg(F.percentile_approx("df", [k / FRAGMENTS for k in range(1, FRAGMENTS)], 1000)).first()[0] or []
     cuts = sorted(set(mass))
     # fragments by frequency; a frequency that holds several fragments' mass is cut by hash
