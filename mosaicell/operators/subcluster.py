@@ -69,8 +69,10 @@ def density_peaks(points: DataFrame, n_clusters: int | None = 2, cutoff: float |
         best = [r[0] for r in tree.select(score.alias("s")).orderBy(F.desc("s")).limit(n // 10 + 2).collect()]
         ratios = [a / b if b else float("inf") for a, b in zip(best[1:-1], best[2:], strict=False)][: max(1, n // 10)]
         n_clusters = ratios.index(max(ratios)) + 2 if ratios else 1
-    ranked = tree.withColumn("s", score).withColumn("place", F.rank().over(Window.orderBy(F.desc("s"))))
-    centers = ranked.filter(F.col("place") <= n_clusters).select("cell_id").withColumn("label", (F.row_number().over(Window.orderBy("cell_id")) - 1).cast("int"))
+    # the n-th greatest score; equal ones are centres too
+    least = tree.select(score.alias("s")).orderBy(F.desc("s")).limit(n_clusters).agg(F.min("s")).first()[0]
+    centers = tree.filter(score >= F.lit(least)).select("cell_id") if least is not None else tree.select("cell_id").limit(0)
+    centers = centers.withColumn("label", (F.row_number().over(Window.orderBy("cell_id")) - 1).cast("int"))
     centers = save(centers, "centers")
     at = save(tree.join(centers, "cell_id", "left").select("cell_id", F.when(F.col("label").isNotNull(), F.col("cell_id")).otherwise(F.col("parent")).alias("root")), "roots")
     while True:
