@@ -210,10 +210,13 @@ def jaccard_classes(docs: DataFrame, n: int = N) -> tuple[DataFrame, DataFrame,
     # e - |partner| / 9 too, with a partner of at most 1.25 times the size
     least = F.ceil((F.col("e9") + F.col("free9") + 1) / 18)
     least = F.greatest(F.lit(1), F.when(F.col("linked"), least).otherwise(F.ceil((F.col("e9") - F.col("n") * 5 / 4) / 9)))
-    chosen = ranked.withColumn("top", F.size("ranked") - least.cast("int") + 1).filter("top > 0").select("hub", "doc", "linked", F.explode(F.slice("ranked", F.lit(1), F.col("top"))).alias("d")).select("hub", "doc", "linked", "d.side", "d.gram")
-    chosen = materialize(chosen, "chosen")
-    far = chosen.filter("NOT linked").select(*key, F.col("doc").alias("b"))
-    met = chosen.select(*key, F.col("doc").alias("a"), "linked").join(far.hint("merge"), key).filter("a <> b AND (linked OR a < b)").select("a", "b")
+    chosen = ranked.withColumn("top", F.size("ranked") - least.cast("int") + 1).filter("top > 0")
+    chosen = chosen.select("hub", "doc", "linked", "e9", F.size("ranked").alias("size"), F.posexplode(F.slice("ranked", F.lit(1), F.col("top"))).alias("at", "d"))
+    chosen = materialize(chosen.select("hub", "doc", "linked", "e9", (F.col("size") - F.col("at")).alias("rest"), "d.side", "d.gram"), "chosen")
+    far = chosen.filter("NOT linked").select(*key, F.col("doc").alias("b"), F.col("e9").alias("eb"), F.col("rest").alias("rb"))
+    # at its first common gram a pair that links has as many grams left as it must share
+    met = chosen.select(*key, F.col("doc").alias("a"), "linked", F.col("e9").alias("ea"), F.col("rest").alias("ra")).join(far.hint("merge"), key)
+    met = met.filter("a <> b AND (linked OR a < b) AND 18 * ra >= ea + eb AND 18 * rb >= ea + eb").select("a", "b")
     # pairs that may link without sharing any difference
     loose = deltas.filter(F.col("e9") + F.col("free9") < 0).select("hub", F.col("doc").alias("a"), F.col("e9").alias("ea"))
     met = met.unionByName(loose.join(deltas.filter("NOT linked").select("hub", F.col("doc").alias("b"), F.col("e9").alias("eb")).hint("merge"), "hub").filter("a <> b AND ea + eb <= 0").select("a", "b"))
