@@ -17,6 +17,10 @@ from pyspark.sql import functions as F
 from ..plans.storage import save
 
 
+#: Counted points up to which k-NN compares all with all.
+FEW_POINTS = 4000
+
+
 def _ring(c: str, r: int) -> F.Column:
     return F.explode(F.sequence(F.col(c) - r, F.col(c) + r))
 
@@ -39,9 +43,9 @@ def density(points: DataFrame, radius: float) -> DataFrame:
     return points.select("cell_id", "x", "y").join(places.select("x", "y", F.col("cell_id").alias("src")), ["x", "y"]).join(near, "src").select("cell_id", "density")
 
 
-def knn(points: DataFrame, k: int) -> DataFrame:
+def knn(points: DataFrame, k: int, few: int = FEW_POINTS) -> DataFrame:
     """src, dst, rank (1..k), dist: the k nearest other points, ties by id. Self is excluded by id,
-    so points at one place are neighbours of each other."""
+    so points at one place are neighbours of each other. Up to `few` points are compared with all."""
     box = points.agg(F.count("*").alias("n"), F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
     n, x0, x1, y0, y1 = box
     schema = points.select(F.col("cell_id").alias("src"), F.col("cell_id").alias("dst")).withColumns({"rank": F.lit(1), "dist": F.lit(0.0)})
@@ -58,10 +62,13 @@ def knn(points: DataFrame, k: int) -> DataFrame:
     targets = ids.withColumn("_r", F.row_number().over(place)).filter(F.col("_r") <= k + 1).select(F.col("cell_id").alias("dst"), F.col("x").alias("bx"), F.col("y").alias("by"), "gx", "gy")
     open_ids = ids.select(F.col("cell_id").alias("src"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("gx").alias("hx"), F.col("gy").alias("hy"))
     best = Window.partitionBy("src").orderBy("dist", "dst")
+    dx, dy = F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")
+    if n <= few:  # one small pass beats rounds of growing rings
+        near = open_ids.join(F.broadcast(targets.select("dst", "bx", "by")), F.col("src") != F.col("dst")).withColumn("dist", F.sqrt(dx * dx + dy * dy))
+        return near.select("src", "dst", F.row_number().over(best).alias("rank"), "dist").filter(F.col("rank") <= k)
     last, r, done = max(1, math.ceil(extent / cell) + 1), 1, None
     while True:
         asked = open_ids.withColumn("gx", _ring("hx", r)).withColumn("gy", _ring("hy", r))
-        dx, dy = F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")
         near = asked.join(targets, ["gx", "gy"]).filter("src <> dst").withColumn("dist", F.sqrt(dx * dx + dy * dy))
         near = near.select("src", "dst", F.row_number().over(best).alias("rank"), "dist").filter(F.col("rank") <= k)
         near = save(near, "knn")

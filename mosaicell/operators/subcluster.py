@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import erfc, t_two_sided
-from ..plans.storage import save
+from ..plans.storage import maybe_broadcast, save
 
 #: Name parts of cell types left out of the ranking by default.
 EPITHELIAL_TERMS = ("Tumor Cells", "Epithelial", "Epithelium", "AT2", "Unassigned", "Ciliated", "Malignant")
@@ -39,7 +41,10 @@ def _pairs(points: DataFrame) -> DataFrame:
     """All ordered pairs of a bounded set (one cluster's cells), with Euclidean distance of vec."""
     a = points.select(F.col("cell_id").alias("i"), F.col("vec").alias("va"))
     b = points.select(F.col("cell_id").alias("j"), F.col("vec").alias("vb"))
-    d = F.sqrt(F.aggregate(F.zip_with("va", "vb", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v))
+    size = points.select(F.max(F.size("vec"))).first()[0] or 0
+    # spelled out, the sum is compiled; a higher-order function would be interpreted for each pair
+    terms = [(F.col("va")[k] - F.col("vb")[k]) * (F.col("va")[k] - F.col("vb")[k]) for k in range(size)]
+    d = F.sqrt(reduce(lambda s, v: s + v, terms, F.lit(0.0)))
     return a.crossJoin(b).select("i", "j", d.alias("d"))
 
 
@@ -59,7 +64,7 @@ def density_peaks(points: DataFrame, n_clusters: int | None = 2, cutoff: float |
         cutoff = pairs.withColumn("r", rank).filter(F.col("r") == max(n // 100, 1) + 1).agg(F.avg("d")).first()[0] or 0.0
     noise = F.pmod(F.col("i").cast("long") * 2654435761, F.lit(1 << 32)) / float(1 << 32) * 1e-5 if points.schema["cell_id"].dataType.simpleString() in ("int", "bigint") else F.pmod(F.xxhash64("i"), F.lit(1 << 32)) / float(1 << 32) * 1e-5
     rho = save(pairs.groupBy("i").agg(F.count_if(F.col("d") < cutoff).alias("k")).select("i", (F.col("k") - 1 + noise).alias("rho")), "rho")
-    both = pairs.join(rho.select("i", F.col("rho").alias("ri")), "i").join(rho.select(F.col("i").alias("j"), F.col("rho").alias("rj")), "j")
+    both = pairs.join(maybe_broadcast(rho.select("i", F.col("rho").alias("ri")), n), "i").join(maybe_broadcast(rho.select(F.col("i").alias("j"), F.col("rho").alias("rj")), n), "j")
     higher = both.groupBy("i", F.col("ri").alias("rho")).agg(
         F.min(F.when(F.col("rj") > F.col("ri"), F.struct("d", "j"))).alias("up"), F.max("d").alias("far")
     )

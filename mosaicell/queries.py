@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .functions.numeric import knee
 from .operators import cluster, composition, factorize, graph, mapping, neighbors, preprocess, scales, spectral, subcluster
 from .plans.multiscale import MultiscaleAnalysis, filter_scales, scales_of_titles
-from .plans.storage import save
+from .plans.storage import save, scratch
 from .plans.subcluster import SubclusterAnalysis
 from .sources import tables as T
 
@@ -749,3 +749,100 @@ def label_counts(spark, d):
 @query()
 def subsample(spark, d):
     return T.subsample(points(spark, d).select("cell_id"), 100, "cell_id")
+
+
+# ------------------------------------------------------------------ lookups, sets and small aggregates
+
+
+@query("SELECT vec_id AS cell_id, 'M' || (label % 4) AS metacell FROM embeddings")
+def metacell_lookup(spark, d):
+    """Cells take what their metacell has: a many-to-one join."""
+    names = points(spark, d).select("label").distinct().select("label", F.concat(F.lit("M"), F.col("label").cast("int") % 4).alias("metacell"))
+    return points(spark, d).join(F.broadcast(names), "label").select("cell_id", "metacell")
+
+
+@query(f"SELECT c_custkey AS cell_id, {r('c_acctbal')} AS balance FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders) AND c_mktsegment = 'BUILDING'")
+def morphology_of_selection(spark, d):
+    chosen = T.batches(spark, d).filter("batch = 'BUILDING'").select("cell_id")
+    return T.morphology(spark, d).join(chosen, "cell_id", "left_semi").select("cell_id", "balance")
+
+
+@query("SELECT vec_id AS cell_id FROM embeddings WHERE vec_id IN (3, 5, 8, -1, 99999999)")
+def known_preferred_ids(spark, d):
+    """Preferred ids that no cell has are ignored."""
+    ids = spark.createDataFrame([(3,), (5,), (8,), (-1,), (99999999,)], "cell_id long")
+    return ids.join(points(spark, d).select("cell_id"), "cell_id")
+
+
+@query(f"""WITH {PTS}, den AS (SELECT a.cell_id, CAST(count(*) AS DOUBLE) AS density FROM pts a JOIN pts b ON {DIST} <= 0.05 GROUP BY 1), q AS (SELECT quantile_cont(density, 0.1) AS lo, quantile_cont(density, 0.9) AS hi FROM den)
+SELECT cell_id FROM den, q WHERE density >= hi OR density <= lo""")
+def preferred_seeds(spark, d):
+    g = mapping.density_groups(neighbors.density(points(spark, d), 0.05))
+    return g.filter("density_group = 'High'").select("cell_id").unionAll(g.filter("density_group = 'Low'").select("cell_id"))
+
+
+@query("SELECT vec_id AS cell_id FROM embeddings WHERE vec_id % 25 <> 0")
+def remaining_points(spark, d):
+    p = points(spark, d).select("cell_id")
+    return p.join(p.filter("cell_id % 25 = 0"), "cell_id", "left_anti")
+
+
+@query("SELECT DISTINCT round(s, 4) AS scale FROM (SELECT CAST(label AS DOUBLE) / 2 AS s FROM embeddings UNION ALL SELECT 0.0 UNION ALL SELECT 0.00001)", 4)
+def important_scales(spark, d):
+    s = points(spark, d).select((F.col("label").cast("double") / 2).alias("scale")).unionAll(spark.createDataFrame([(0.0,), (0.00001,)], "scale double"))
+    return s.select(F.round("scale", 4).alias("scale")).distinct()
+
+
+@query("SELECT vec_id AS cell_id, i AS dim, CASE WHEN vec_id % 25 = 0 AND (vec_id // 25) % 3 = i THEN 1.0 ELSE 0.0 END AS value FROM embeddings, (SELECT CAST(unnest(range(3)) AS BIGINT) AS i)")
+def impulse_matrix(spark, d):
+    p = points(spark, d)
+    rounds = p.filter("cell_id % 25 = 0").select("cell_id", ((F.col("cell_id") / 25).cast("long") % 3 + 1).alias("round"))
+    return mapping.impulse_signals(p, rounds, 3).select("cell_id", F.posexplode("vec").alias("dim", "value"))
+
+
+@query(f"WITH {PTS}, {knn_sql(5)} SELECT {r('avg(dist)')} AS mean_dist FROM knn WHERE rank = 5")
+def mean_kth_distance(spark, d):
+    return knn(spark, d, 5).filter("rank = 5").agg(F.avg("dist").alias("mean_dist"))
+
+
+@query(f"WITH {PTS} SELECT {r('min(x)')} AS lo, {r('max(x)')} AS hi, {r('quantile_cont(x, 0.5)')} AS mid, {r('avg(x)')} AS mean, {r('var_pop(x)')} AS variance, count(DISTINCT label) AS labels FROM pts")
+def global_statistics(spark, d):
+    x = F.col("x")
+    return points(spark, d).agg(F.min(x).alias("lo"), F.max(x).alias("hi"), F.percentile(x, 0.5).alias("mid"), F.avg(x).alias("mean"), F.var_pop(x).alias("variance"), F.countDistinct("label").alias("labels"))
+
+
+@query(f"""WITH {PROFILES}, own AS (SELECT seed_id, scale, greatest(intensity, 1e-12) AS own FROM prof WHERE nbr_id = seed_id)
+SELECT seed_id, nbr_id, scale, {r('distance')} AS distance, {r('intensity / own', 3)} AS intensity FROM prof JOIN own USING (seed_id, scale) WHERE distance <= {X_MAX} AND own > 1e-6""", 6)
+def profiles_by_self(spark, d):
+    rows = profiles(spark, d)
+    good = rows.filter("nbr_id = seed_id AND intensity > 1e-6").select("seed_id", "scale")
+    out = mapping.clean_profiles(rows, X_MAX, by_self=True).join(good, ["seed_id", "scale"], "left_semi")
+    return out.select("seed_id", "nbr_id", "scale", "distance", F.round("intensity", 3).alias("intensity"))
+
+
+@query(f"WITH {PTS} SELECT cell_id, CAST(s AS BIGINT) AS scale_idx, {r('vec[s + 1]')} AS value FROM pts, (SELECT unnest([1, 3]) AS s)")
+def signals_by_partition(spark, d):
+    """Signals are written by scale and read back; a filter on scale_idx reads its folders only."""
+    where = scratch(spark, "signals-query")
+    long = points(spark, d).select("cell_id", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("scale_idx"), "vec")
+    T.write_signals(long.select("cell_id", "scale_idx", F.element_at("vec", F.col("scale_idx") + 1).alias("value")), where)
+    return spark.read.parquet(where).filter(F.col("scale_idx").isin(1, 3)).select("cell_id", "scale_idx", "value")
+
+
+@query(f"WITH {PTS} SELECT cell_id, {r('x')} AS x, label FROM pts")
+def manifest_csv(spark, d):
+    where = scratch(spark, "manifest-query")
+    T.write_csv(points(spark, d).select("cell_id", "x", "label"), where)
+    return T.read_csv(spark, where, "cell_id long, x double, label string")
+
+
+@query(f"WITH {EDGES}, lone AS (SELECT count(*) AS n FROM edges a LEFT JOIN edges b ON a.src = b.dst AND a.dst = b.src WHERE b.src IS NULL OR a.weight <> b.weight) SELECT n = 0 AS symmetric, {r('(SELECT min(weight) FROM edges)')} AS min_weight FROM lone")
+def graph_check(spark, d):
+    found = graph.check(save(edges(spark, d), "edges"), points(spark, d))
+    return spark.createDataFrame([(found["symmetric"], found["min_weight"])], "symmetric boolean, min_weight double")
+
+
+@query(f"WITH {PTS} SELECT cell_id, label, {r('x')} AS x, {r('y')} AS y FROM pts")
+def cluster_plot_points(spark, d):
+    """What a plot of labels in space draws."""
+    return points(spark, d).select("cell_id", "label", "x", "y")

@@ -20,16 +20,22 @@ def points_of(spark, xy, ids=None):
     return spark.createDataFrame([(int(i), float(x), float(y)) for i, (x, y) in zip(ids or range(len(xy)), xy, strict=True)], "cell_id long, x double, y double")
 
 
-def test_knn_ties_duplicates_and_far_points(spark):
+@pytest.mark.parametrize("few", [0, 4000])
+def test_knn_ties_duplicates_and_far_points(spark, few):
     xy = [(0, 0), (0, 0), (0, 0), (1, 0), (1000, 1000), (2, 0), (0, 1)]
     got = {}
-    for r in neighbors.knn(points_of(spark, xy), 2).collect():
+    for r in neighbors.knn(points_of(spark, xy), 2, few).collect():
         got.setdefault(r.src, []).append((r["rank"], r.dst))
     for i, (x, y) in enumerate(xy):
         want = sorted((math.hypot(x - a, y - b), j) for j, (a, b) in enumerate(xy) if j != i)[:2]
         assert [d for _, d in sorted(got[i])] == [j for _, j in want]
 
 
+def test_rings_equal_brute_force(spark):
+    p = points_of(spark, np.random.default_rng(8).normal(size=(300, 2)) ** 3)
+    assert sorted(map(tuple, neighbors.knn(p, 7, 0).collect())) == sorted(map(tuple, neighbors.knn(p, 7).collect()))
+
+
 def test_knn_of_one_or_no_point(spark):
     assert neighbors.knn(points_of(spark, [(1, 1)]), 3).count() == 0
     assert neighbors.knn(points_of(spark, []), 3).count() == 0
