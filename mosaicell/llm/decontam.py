@@ -190,7 +190,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, broadcast_windows: int = B
     totals = bench.groupBy("item_id").agg(F.countDistinct("ipos").alias("item_windows"))
     sizes = tuple(sorted(r["size"] for r in bench.select("size").distinct().collect())) or (W,)
     few = bench.count() <= broadcast_windows
-    index = np.unique(np.array([r.h for r in bench.select("h").distinct().collect()], np.int64).astype(np.uint64)) if few else None
+    index = np.unique(bench.select("h").distinct().toPandas()["h"].to_numpy(np.int64).astype(np.uint64)) if few else None
     found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_doc_windows(sizes, index), "doc_id long, h long, pos long, dslots array<string>")
     totals = totals.withColumnRenamed("item_id", "_item")
     items = bench.join(F.broadcast(totals) if few else totals, F.col("item_id").eqNullSafe(F.col("_item"))).select("item_id", "h", "ipos", "islots", "item_windows")
