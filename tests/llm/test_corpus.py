@@ -480,3 +480,17 @@ def test_helpers_leave_no_shuffle_setting_behind(spark):
     before = spark.conf.get(common.CLEANUP, None)
     common.materialize(spark.range(3).groupBy("id").agg(F.count("*")), "x")
     assert spark.conf.get(common.CLEANUP, None) == before
+
+
+def test_labelled_urls(spark):
+    pages = spark.createDataFrame([(1, "http://casino.example.com/en/5"), (2, "http://x.example.com/en/7.html?p=8"), (3, "http://y.example.com/en/8"), (4, None), (5, "http://z.example.com/en/")], "page_id long, url string")
+    labels = spark.createDataFrame([(7, 1, 0), (7, 1, 0), (8, 0, 1), (5, 1, 0)], "doc_id long, quality int, toxic int")
+    got = sorted(map(tuple, url_filter.labelled_urls(pages, labels).collect()))
+    assert got == [("http://casino.example.com/en/5", 1), ("http://x.example.com/en/7.html?p=8", 0)]
+    assert url_filter.train(url_filter.labelled_urls(pages.filter("page_id > 2"), labels)).trees == []
+
+
+def test_chat_queries_are_native(spark):
+    turns = spark.createDataFrame([(1, 0, "user", "a")], "conv_id long, turn long, role string, text string")
+    plan = chat_format.digest(chat_format.read_back(chat_format.format_chats(turns)))._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
