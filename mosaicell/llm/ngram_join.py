@@ -188,6 +188,7 @@ def jaccard_classes(docs: DataFrame, n: int = N) -> tuple[DataFrame, DataFrame,
     heads = ordered.withColumn("m", F.size("ranked")).select("doc", "n", "m", F.explode(F.slice("ranked", F.lit(1), top)).alias("r")).select("doc", "n", "m", "r.gram")
     heads = materialize(heads, "heads")
     hubs = heads.groupBy("gram").agg(F.min(F.struct(F.col("n") - F.col("m"), F.col("doc"))).alias("hub"), F.count("*").alias("df")).filter("df > 1").select("gram", F.col("hub.doc").alias("a"))
+    hubs = materialize(hubs, "hubs")  # a join right below its own aggregation could not split a hot gram
     stars = heads.select("gram", F.col("doc").alias("b")).join(hubs.hint("merge"), "gram").filter("a <> b").select("a", "b").distinct()
     stars = _overlaps(stars, segments, deltas=True)
     by_a, by_b = (sizes.select(F.col("doc").alias(c), F.col("n").alias(f"n{c}"), F.col("m").alias(f"m{c}")) for c in "ab")
@@ -205,6 +206,7 @@ def jaccard_classes(docs: DataFrame, n: int = N) -> tuple[DataFrame, DataFrame,
     tokens = deltas.select("hub", "doc", "linked", "n", "e9", "free9", F.explode("delta").alias("d")).select("hub", "doc", "linked", "n", "e9", "free9", "d.side", "d.gram")
     key = ["hub", "side", "gram"]
     local = tokens.groupBy(*key).agg(F.count("*").alias("df"), F.sum((~F.col("linked")).cast("int")).alias("open")).filter("df > 1 AND open > 0")
+    local = materialize(local, "local")
     ranked = tokens.join(local.select(*key, "df").hint("merge"), key).groupBy("hub", "doc", "linked", "n", "e9", "free9").agg(F.sort_array(F.collect_list(F.struct("df", "side", "gram"))).alias("ranked"))
     # what any partner that isn't linked to the hub asks for, at least; an unlinked one asks for
     # e - |partner| / 9 too, with a partner of at most 1.25 times the size
