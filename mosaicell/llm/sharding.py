@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from .common import free_name, utf8_size
 
 SHARDS = 24
-MIN_BUCKETS = 256
+MIN_BUCKETS, BUCKETS_A_TASK = 256, 2
 
 
 def fisher_yates(n: int, seed: tuple[int, ...]) -> np.ndarray:
@@ -59,7 +59,8 @@ def external_shuffle(df: DataFrame, shards: int = SHARDS, seed: int = 7, bucket_
         out = records.select([*names, bucket]).take(order)
         return out.append_column(rank, pa.array(np.arange(len(order)), pa.int64()))
 
-    placed = keyed.groupBy(bucket).applyInArrow(permute, schema).join(F.broadcast(offsets), bucket)
+    # tasks in proportion to the buckets, whatever the session's number of shuffle partitions
+    placed = keyed.repartition(buckets // BUCKETS_A_TASK, bucket).groupBy(bucket).applyInArrow(permute, schema).join(F.broadcast(offsets), bucket)
     place = F.col("slot") + F.col(rank)
     return placed.select(*[f"`{n}`" for n in names], (place % shards).cast("int").alias("shard"), F.floor(place / shards).cast("long").alias("slot"))
 
