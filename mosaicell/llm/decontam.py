@@ -13,8 +13,9 @@ A document is contaminated by an item if half of the item's windows, or RUN toke
 in one alignment with consistent slots. Items of MIN_ITEM to W - 1 tokens are one window of their own
 length; shorter ones are left out, as they occur by chance.
 
-If the benchmark has at most BROADCAST_WINDOWS windows, their sorted hashes travel to the tasks
-and only matching windows leave the scan; beyond that all windows of the documents are shuffled
+If the benchmark has at most BROADCAST_WINDOWS windows, their sorted hashes and its vocabulary
+travel to the tasks: only windows all of whose words the benchmark has are hashed, and only
+matching ones leave the scan. Beyond that all windows of the documents are shuffled
 to a join with the benchmark's.
 
 Defined results: null and empty texts match nothing; null ids of documents or items stay null and
@@ -26,6 +27,7 @@ from __future__ import annotations
 
 import re
 import string
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +39,7 @@ from .common import materialize
 
 W, MIN_ITEM, RUN = 8, 4, 13
 BROADCAST_WINDOWS = 1_000_000
-MEMO_TOKENS = 300_000
+MEMO_TOKENS = 500_000
 PUNCTUATION = string.punctuation + "«»“”‘’„…–—¿¡"
 NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*%?")
 GLUED = re.compile(r"(?<=\d)(?=[^\W\d_])")
@@ -47,50 +49,90 @@ UNITS = frozenset(
     "s sec second seconds min minute minutes h hour hours day days week weeks month months year years "
     "dollar dollars euro euros cent cents usd eur degree degrees c f mph kmh kwh w kw v a hz mb gb".split()
 )
-_NUM, _UNIT, _CAPITAL, _END, _EMPTY = 1, 2, 4, 8, 16
+_NUM, _UNIT, _CAPITAL, _END, _EMPTY, _GLUED, _STRANGE = 1, 2, 4, 8, 16, 32, 64
 _PLACES = {k: np.uint64(xxhash.xxh3_64_intdigest(k)) for k in ("<number>", "<unit>", "<name>")}
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _classify(token: str) -> tuple[int, int]:
+    if token.isalpha():  # most tokens: a word without punctuation
+        low = token.lower()
+        return xxhash.xxh3_64_intdigest(low), _UNIT * (low in UNITS) | _CAPITAL * token[0].isupper()
     core = token.strip(PUNCTUATION)
     kind = _END * (token.rstrip("\"')]»”’")[-1:] in ".!?:")
     if not core:
         return 0, kind | _EMPTY
     low = core.lower()
+    kind |= _GLUED * bool(GLUED.search(token))
     kind |= _NUM * bool(NUMBER.fullmatch(core)) | _UNIT * (low in UNITS) | _CAPITAL * core[0].isupper()
     return xxhash.xxh3_64_intdigest(low), kind
 
 
 class Templates:
-    """Turns texts into hashed windows; remembers tokens, up to a bound."""
+    """Turns texts into hashed windows; remembers tokens, up to a bound.
 
-    def __init__(self):
+    vocabulary: the lower-cased words that a window may hold, or None for any. A lower-case word
+    outside it needs no look at its letters: it is strange, and no window spans it."""
+
+    def __init__(self, vocabulary: frozenset[str] | None = None):
+        self.vocabulary = vocabulary
+        known = [w for w in sorted(vocabulary or ()) if w.isalpha() and w.islower()]
+        self.known = dict(zip(known, range(1, 1 + len(known)), strict=True))
+        self.first = 1 + len(known)
         self.memo: dict[str, int] = {}
-        self.hashes = np.zeros(MEMO_TOKENS, np.uint64)
-        self.kinds = np.zeros(MEMO_TOKENS, np.uint8)
+        self._room(MEMO_TOKENS)
 
-    def _ids(self, rows: list[list[str]]) -> np.ndarray:
-        words = set().union(*rows)
-        fresh = [w for w in words if w not in self.memo]
-        if len(self.memo) + len(fresh) > len(self.hashes):
-            self.memo.clear()
-            fresh = list(words)
-            if len(fresh) > len(self.hashes):
-                self.hashes, self.kinds = np.zeros(2 * len(fresh), np.uint64), np.zeros(2 * len(fresh), np.uint8)
-        for w in fresh:
-            at = self.memo[w] = len(self.memo)
+    def _room(self, tokens: int) -> None:
+        self.memo.clear()
+        self.hashes, self.kinds = np.zeros(self.first + tokens, np.uint64), np.zeros(self.first + tokens, np.uint8)
+        self.kinds[0] = _STRANGE
+        for w, at in self.known.items():
             self.hashes[at], self.kinds[at] = _classify(w)
-        get = self.memo.__getitem__
-        return np.fromiter((get(w) for row in rows for w in row), np.int64, sum(map(len, rows)))
+
+    def _ids(self, rows: list[list[str]]) -> np.ndarray:
+        words = list(chain.from_iterable(rows))
+        if self.vocabulary is None:
+            return self._remembered(words)
+        low = np.fromiter(map(str.islower, words), bool, len(words)) & np.fromiter(map(str.isalpha, words), bool, len(words))
+        ids = np.zeros(len(words), np.int64)
+        ids[low] = np.fromiter(map(self.known.get, compress(words, low.tolist()), repeat(0)), np.int64, int(low.sum()))
+        ids[~low] = self._remembered(list(compress(words, (~low).tolist())))
+        return ids
+
+    def _remembered(self, words: list[str]) -> np.ndarray:
+        ids = np.fromiter(map(self.memo.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(ids < 0)
+        if len(missing):
+            fresh = list(dict.fromkeys(words[k] for k in missing.tolist()))
+            if self.first + len(self.memo) + len(fresh) > len(self.hashes):
+                fresh, missing = list(dict.fromkeys(words)), np.arange(len(words))
+                self._room(max(MEMO_TOKENS, len(fresh)))
+            start = self.first + len(self.memo)
+            self.memo.update(zip(fresh, range(start, start + len(fresh)), strict=True))
+            hashes, kinds = zip(*map(self._classify, fresh), strict=True)
+            self.hashes[start : start + len(fresh)], self.kinds[start : start + len(fresh)] = hashes, kinds
+            ids[missing] = [self.memo[words[k]] for k in missing.tolist()]
+        return ids
+
+    def _classify(self, token: str) -> tuple[int, int]:
+        h, kind = _classify(token)
+        return h, kind | _STRANGE * (self.vocabulary is not None and token.strip(PUNCTUATION).lower() not in self.vocabulary)
 
     def windows(self, texts: list[str | None], sizes: tuple[int, ...] = (W,), whole_short: bool = False):
-        """Yields (owner, position, hash, size, slots of a window k by function) of all windows.
+        """Yields owners, positions, hashes, the size and a function to the slots of the k-th window,
+        for windows of plain names and then of named slots.
 
         whole_short: texts of fewer than W tokens are one window of their own size."""
-        rows = [GLUED.sub(" ", t).split() if t else [] for t in texts]
+        rows = [t.split() if t else [] for t in texts]
         owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
         ids = self._ids(rows)
+        glued = np.unique(owner[(self.kinds[ids] & _GLUED) > 0])
+        if len(glued):  # "7kg" is a number and a unit
+            for k in glued.tolist():
+                rows[k] = GLUED.sub(" ", texts[k]).split()
+            owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+            ids = self._ids(rows)
+        base = np.cumsum([0, *(len(r) for r in rows)])
         kind = self.kinds[ids]
         full = (kind & _EMPTY) == 0
         end = (kind & _END) > 0
@@ -102,78 +144,93 @@ class Templates:
         unit = np.zeros(n, bool)
         unit[1:] = ((kind[1:] & _UNIT) > 0) & number[:-1] & (owner[1:] == owner[:-1])
         name = ((kind & _CAPITAL) > 0) & ~first & ~number & ~unit
-        plain = np.where(number, _PLACES["<number>"], np.where(unit, _PLACES["<unit>"], self.hashes[ids]))
         counts = np.bincount(owner, minlength=len(rows))
         starts = np.cumsum(counts) - counts
         position = np.arange(n) - starts[owner]
         left = counts[owner] - position
+        sums = lambda mask: np.concatenate([[0], np.cumsum(mask, dtype=np.int32)])
+        names = sums(name)
         for named in (False, True):
             slot = number | unit | name if named else number | unit
-            tokens = np.where(name, _PLACES["<name>"], plain) if named else plain
-            words = np.concatenate([[0], np.cumsum(~slot)])
-            names = np.concatenate([[0], np.cumsum(name)])
+            slots_before, strange = sums(slot), sums(((kind & _STRANGE) > 0) & ~slot)
             for size in sizes:
                 if n < size:
                     continue
                 m = n - size + 1
-                h = tokens[:m].copy()
-                for k in range(1, size):
+                ok = (left[:m] >= size) & (slots_before[size:] - slots_before[:m] <= size - size // 2)
+                if self.vocabulary is not None:
+                    ok &= strange[size:] == strange[:m]
+                if named:
+                    ok &= names[size:] > names[:m]
+                if whole_short and size < W:
+                    ok &= counts[owner[:m]] == size
+                at = np.flatnonzero(ok)
+                h = np.zeros(len(at), np.uint64)
+                for k in range(size):
+                    here = at + k
+                    token = np.where(number[here], _PLACES["<number>"], np.where(unit[here], _PLACES["<unit>"], self.hashes[ids[here]]))
+                    if named:
+                        token = np.where(name[here], _PLACES["<name>"], token)
                     h ^= h >> np.uint64(29)
                     h *= _MULTIPLIER
-                    h += tokens[k : m + k]
+                    h += token
                 h ^= h >> np.uint64(32)
                 h *= _MULTIPLIER
                 h ^= np.uint64(2 * size + named)
-                ok = (left[:m] >= size) & (words[size:] - words[:m] >= size // 2)
-                if whole_short and size < W:
-                    ok &= counts[owner[:m]] == size
-                if named:
-                    ok &= names[size:] > names[:m]
-                at = np.flatnonzero(ok)
 
-                def slots(k, size=size, slot=slot, rows=rows):
-                    found = []
-                    for j in range(k, k + size):
-                        if slot[j]:
-                            o = owner[j]
-                            found.append(rows[o][flat[j] - base[o]].strip(PUNCTUATION).lower())
-                    return found
+                def slots(k: int, at=at, size=size, slot=slot) -> list[str]:
+                    own = range(int(at[k]), int(at[k]) + size)
+                    return [rows[owner[j]][flat[j] - base[owner[j]]].strip(PUNCTUATION).lower() for j in own if slot[j]]
 
-                base = np.cumsum([0, *(len(r) for r in rows)])
-                yield at, owner, position, h, size, slots
+                yield owner[at], position[at], h, size, slots
 
 
 def _bench_windows(batches):
     made = Templates()
     for batch in batches:
         items, out = batch.column("item_id"), []
-        for at, owner, position, h, size, slots in made.windows(batch.column("text").to_pylist(), tuple(range(MIN_ITEM, W + 1)), whole_short=True):
-            out += [(int(owner[k]), int(h[k].astype(np.int64)), int(position[k]), size, slots(k)) for k in at.tolist()]
+        for owner, position, h, size, slots in made.windows(batch.column("text").to_pylist(), tuple(range(MIN_ITEM, W + 1)), whole_short=True):
+            out += [(o, int(x), p, size, slots(k)) for k, (o, p, x) in enumerate(zip(owner.tolist(), position.tolist(), h.astype(np.int64), strict=True))]
         yield pa.RecordBatch.from_arrays(
             [items.take(pa.array([x[0] for x in out], pa.int64())), *(pa.array([x[c] for x in out], t) for c, t in ((1, pa.int64()), (2, pa.int64()), (3, pa.int32()), (4, pa.list_(pa.string()))))],
             ["item_id", "h", "ipos", "size", "islots"],
         )
 
 
-def _doc_windows(sizes: tuple[int, ...], index: np.ndarray | None):
-    """index: sorted hashes that a window must be among, or None for all."""
+def _bench_tokens(batches):
+    """All words of the benchmark, whatever they may be classified as."""
+    for batch in batches:
+        words = {w.strip(PUNCTUATION).lower() for t in batch.column("text").to_pylist() if t for w in GLUED.sub(" ", t).split()}
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(words), pa.string())], ["word"])
+
+
+_made: dict[str, Templates] = {}
+
+
+def _templates(index: np.ndarray | None, vocabulary: frozenset[str] | None) -> Templates:
+    """The worker's templates for this benchmark: what they remember serves its later tasks too."""
+    key = "" if index is None else xxhash.xxh3_128_hexdigest(index.tobytes())
+    if key not in _made:
+        _made.clear()
+        _made[key] = Templates(vocabulary)
+    return _made[key]
+
+
+def _doc_windows(sizes: tuple[int, ...], index: np.ndarray | None, vocabulary: frozenset[str] | None = None):
+    """index: sorted hashes that a window must be among, of tokens in vocabulary; or None for all."""
 
     def run(batches):
-        made = Templates()
-        bits = 1 << 22
-        sieve = np.zeros(bits, bool)
-        if index is not None:
-            sieve[(index >> np.uint64(40)) & np.uint64(bits - 1)] = True
+        made = _templates(index, vocabulary)
         for batch in batches:
             ids, texts = batch.column("doc_id"), batch.column("text")
             for start in range(0, len(texts), 512):
                 out = []
-                for at, owner, position, h, _, slots in made.windows(texts.slice(start, 512).to_pylist(), sizes):
+                for owner, position, h, _, slots in made.windows(texts.slice(start, 512).to_pylist(), sizes):
+                    found = np.arange(len(h))
                     if index is not None:
-                        at = at[sieve[(h[at] >> np.uint64(40)) & np.uint64(bits - 1)]]
-                        place = np.minimum(np.searchsorted(index, h[at]), len(index) - 1)
-                        at = at[index[place] == h[at]] if len(index) else at[:0]
-                    out += [(start + int(owner[k]), int(h[k].astype(np.int64)), int(position[k]), slots(k)) for k in at.tolist()]
+                        place = np.minimum(np.searchsorted(index, h), max(0, len(index) - 1))
+                        found = np.flatnonzero(index[place] == h) if len(index) else found[:0]
+                    out += [(start + int(owner[k]), int(h[k].astype(np.int64)), int(position[k]), slots(k)) for k in found.tolist()]
                 if out:
                     yield pa.RecordBatch.from_arrays(
                         [ids.take(pa.array([x[0] for x in out], pa.int64())), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int64()), pa.array([x[3] for x in out], pa.list_(pa.string()))],
@@ -190,8 +247,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, broadcast_windows: int = B
     totals = bench.groupBy("item_id").agg(F.countDistinct("ipos").alias("item_windows"))
     sizes = tuple(sorted(r["size"] for r in bench.select("size").distinct().collect())) or (W,)
     few = bench.count() <= broadcast_windows
-    index = np.unique(bench.select("h").distinct().toPandas()["h"].to_numpy(np.int64).astype(np.uint64)) if few else None
-    found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_doc_windows(sizes, index), "doc_id long, h long, pos long, dslots array<string>")
+    index = vocabulary = None
+    if few:
+        index = np.unique(bench.select("h").distinct().toPandas()["h"].to_numpy(np.int64).astype(np.uint64))
+        words = benchmark.select("text").mapInArrow(_bench_tokens, "word string").distinct()
+        vocabulary = frozenset(words.toPandas()["word"].tolist())
+    found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_doc_windows(sizes, index, vocabulary), "doc_id long, h long, pos long, dslots array<string>")
     totals = totals.withColumnRenamed("item_id", "_item")
     items = bench.join(F.broadcast(totals) if few else totals, F.col("item_id").eqNullSafe(F.col("_item"))).select("item_id", "h", "ipos", "islots", "item_windows")
     met = found.join(F.broadcast(items) if few else items.hint("merge"), "h")
