@@ -76,7 +76,8 @@ class Templates:
 
     def __init__(self, vocabulary: frozenset[str] | None = None):
         self.vocabulary = vocabulary
-        known = [w for w in sorted(vocabulary or ()) if w.isalpha() and w.islower()]
+        # a unit is a slot after a number, whether the benchmark has it or not
+        known = [w for w in sorted(vocabulary | UNITS if vocabulary is not None else ()) if w.isalpha() and w.islower()]
         self.known = dict(zip(known, range(1, 1 + len(known)), strict=True))
         self.first = 1 + len(known)
         self.memo: dict[str, int] = {}
@@ -87,7 +88,7 @@ class Templates:
         self.hashes, self.kinds = np.zeros(self.first + tokens, np.uint64), np.zeros(self.first + tokens, np.uint8)
         self.kinds[0] = _STRANGE
         for w, at in self.known.items():
-            self.hashes[at], self.kinds[at] = _classify(w)
+            self.hashes[at], self.kinds[at] = self._classify(w)
 
     def _ids(self, rows: list[list[str]]) -> np.ndarray:
         words = list(chain.from_iterable(rows))

@@ -328,6 +328,15 @@ def test_slots_must_be_consistent(spark):
     assert {r.doc_id for r in decontam.find_leaks(docs, bench).collect()} == {2}
 
 
+@pytest.mark.parametrize("limit", [10**6, 0])
+def test_units_that_the_benchmark_lacks_are_slots(spark, limit):
+    bench = spark.createDataFrame([(1, "on monday the old red bus drove 12 miles along the river before it stopped")], "item_id long, text string")
+    texts = {1: "on monday the old red bus drove 20 km along the river before it stopped", 2: "on monday the old red bus drove 20km along the river before it stopped", 3: "on monday the old red bus drove some km along a river"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows = decontam.find_leaks(docs, bench, limit).collect()
+    assert {(r.doc_id, r.n_windows, r.item_windows, r.changed_slots) for r in rows} == {(1, 8, 8, 2), (2, 8, 8, 2)}
+
+
 def test_decontamination_of_nothing(spark):
     docs, bench = documents(spark, AWKWARD), spark.createDataFrame([(1, ITEM)], "item_id long, text string")
     assert decontam.find_leaks(docs, bench).count() == 0
