@@ -10,9 +10,9 @@ grids, and MIN_INLIERS votes for one transformation, and MIN_SHARE of the smalle
 corners, link the images. So crops, scaled by two or
 rotated copies and edits of a part are found as long as enough corners survive.
 
-All corners take part. In each table entry the images are compared with its first and its last
-image, not with each other: a group of G copies costs about 2 G comparisons. Each image gets the
-least id of its component; n_links counts the links found this way.
+All corners take part, and in each table entry all images are compared with each other: a group
+of G copies costs about G * G / 2 comparisons. Each image gets the least id of its component;
+n_links counts all its links.
 
 Defined results: null or unreadable media have no corners and link with equal bytes only; flat
 images likewise; a null id is kept and gets a null class; repeated rows share the class; empty
@@ -138,24 +138,36 @@ def _unpacked(column: str) -> list[F.Column]:
 
 
 def copies(media: DataFrame) -> DataFrame:
-    """media(id, media BINARY) -> id, class_id, n_links (found to images with other bytes), n_corners."""
+    """media(id, media BINARY) -> id, class_id, n_links (to images with other bytes), n_corners."""
     rows = media.select(F.col("id").cast("long"), F.sha2("media", 256).alias("digest"), "media")
     firsts = rows.filter("id IS NOT NULL AND digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("node"))
     unique = rows.join(firsts.select("node", F.col("digest").alias("own")).hint("merge"), (F.col("id") == F.col("node")) & (F.col("digest") == F.col("own")))
     unique = unique.groupBy("node").agg(F.first("media").alias("media"))
     corners = materialize(unique.mapInArrow(_corners, "node long, " + ", ".join(f"{c} long" for c in COLUMNS)), "media-corners")
-    low = lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF))
+    low = lambda c: (F.col(c) if isinstance(c, str) else c).bitwiseAND(F.lit(0xFFFFFFFF))
     bands = F.array(F.shiftrightunsigned("d1", 32), low("d1"), F.shiftrightunsigned("d2", 32), low("d2"))
     words = corners.select("node", "d1", "d2", _packed().alias("place"), F.posexplode(bands).alias("band", "word"))
     words = words.select("node", "d1", "d2", "place", (F.shiftleft(F.col("band").cast("long"), 32) + F.col("word")).alias("key"))
-    # most words occur in one image only; the others meet in their first and last image
-    ends = words.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first < last")
-    shared = words.join(ends.hint("merge"), "key").select("key", "node", "d1", "d2", "place", ((F.col("node") == F.col("first")) | (F.col("node") == F.col("last"))).alias("end"))
-    shared = materialize(shared, "media-words")
-    hub = shared.filter("end").select("key", *[F.col(c).alias(f"{c}a") for c in ("node", "d1", "d2", "place")])
-    other = shared.select("key", *[F.col(c).alias(f"{c}b") for c in ("node", "d1", "d2", "place")])
-    bits = F.bit_count(F.col("d1a").bitwiseXOR(F.col("d1b"))) + F.bit_count(F.col("d2a").bitwiseXOR(F.col("d2b")))
-    met = hub.join(other.hint("merge"), "key").filter((F.col("nodea") != F.col("nodeb")) & (bits <= MAX_BITS)).select("nodea", "nodeb", "placea", "placeb")
+    # a word of one image only meets nothing; all images of the others meet each other
+    several = words.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first < last").select("key")
+    shared = materialize(words.join(several.hint("merge"), "key", "left_semi"), "media-words")
+    left, right = (shared.select("key", *[F.col(c).alias(f"{c}{s}") for c in ("node", "d1", "d2", "place")]) for s in "ab")
+    apart1, apart2 = F.col("d1a").bitwiseXOR(F.col("d1b")), F.col("d2a").bitwiseXOR(F.col("d2b"))
+    close = F.bit_count(apart1) + F.bit_count(apart2) <= MAX_BITS
+    # two corners that agree in several words meet in the first of these only
+    band = F.shiftright("key", 32)
+    differ = (F.shiftrightunsigned(apart1, 32) != 0, low(apart1) != 0, F.shiftrightunsigned(apart2, 32) != 0)
+    once = F.lit(True)
+    for k, other in enumerate(differ):
+        once &= (band <= k) | other
+    met = left.join(right.hint("merge"), "key").filter((F.col("nodea") < F.col("nodeb")) & close & once).select("nodea", "nodeb", "placea", "placeb")
+    # one shuffle brings all that two images share together; pairs that cannot have the votes end here
+    pairs = met.repartition("nodea", "nodeb").groupBy("nodea", "nodeb").agg(F.collect_list(F.struct("placea", "placeb")).alias("met"))
+    corners_of = lambda c: F.size(F.array_distinct(F.col(f"met.{c}")))
+    pairs = pairs.filter(F.greatest(corners_of("placea"), corners_of("placeb")) >= MIN_INLIERS).select("nodea", "nodeb", F.explode("met").alias("m"))
+    # votes for the way from a to b and for the way back
+    ways = F.explode(F.array(F.struct("m.placea", "m.placeb", F.lit(0).alias("way")), F.struct(F.col("m.placeb").alias("placea"), F.col("m.placea").alias("placeb"), F.lit(1).alias("way")))).alias("m")
+    met = pairs.select("nodea", "nodeb", ways).select("nodea", "nodeb", "m.*")
     (xa, ya, la, aa), (xb, yb, lb, ab) = _unpacked("placea"), _unpacked("placeb")
     da = F.pmod(ab - aa, F.lit(ANGLES))
     # copies are mostly upright or turned by a right angle; one step aside is noise of the angle
@@ -166,17 +178,16 @@ def copies(media: DataFrame) -> DataFrame:
     dx = xb - scale * (F.cos(turn) * xa - F.sin(turn) * ya)
     dy = yb - scale * (F.sin(turn) * xa + F.cos(turn) * ya)
     grid = F.explode(F.array(F.lit(0.0), F.lit(0.5))).alias("grid")
-    votes = met.select("nodea", "nodeb", "placea", (lb - la).alias("ds"), da.alias("da"), dx.alias("dx"), dy.alias("dy"), grid)
+    votes = met.select("nodea", "nodeb", "way", "placea", (lb - la).alias("ds"), da.alias("da"), dx.alias("dx"), dy.alias("dy"), grid)
     place = [F.floor(F.col("da") / 4 + F.col("grid")).alias("da"), F.floor(F.col("dx") / GRID + F.col("grid")).alias("dx"), F.floor(F.col("dy") / GRID + F.col("grid")).alias("dy")]
-    # a corner has one vote, however many tables it met in: each corner of the first image counts once
-    once = votes.groupBy("nodea", "nodeb", "grid", "ds", *place).agg(F.collect_set("placea").alias("corners"))
-    inliers = once.select("nodea", "nodeb", "grid", "ds", F.size("corners").alias("n"))
+    # a corner has one vote: each corner of the image that the way starts from counts once
+    cells = votes.groupBy("nodea", "nodeb", "way", "grid", "ds", *place).agg(F.size(F.collect_set("placea")).alias("n"))
+    inliers = cells.groupBy("nodea", "nodeb").agg(F.max("n").alias("n")).filter(F.col("n") >= MIN_INLIERS)
     counts = materialize(corners.groupBy("node").agg(F.count("*").alias("n_corners")), "media-counts")
     for c in "ab":
         inliers = inliers.join(counts.select(F.col("node").alias(f"node{c}"), F.col("n_corners").alias(f"n{c}")).hint("merge"), f"node{c}")
-    enough = (F.col("n") >= MIN_INLIERS) & (F.col("n") >= MIN_SHARE * F.least("na", "nb"))
-    links = inliers.filter(enough).select(F.least("nodea", "nodeb").alias("a"), F.greatest("nodea", "nodeb").alias("b")).distinct()
-    links = materialize(links, "media-links")
+    enough = F.col("n") >= MIN_SHARE * F.least("na", "nb")
+    links = materialize(inliers.filter(enough).select(F.col("nodea").alias("a"), F.col("nodeb").alias("b")), "media-links")
     groups = components(links)
     ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
     classes = firsts.join(groups.hint("merge"), "node", "left").join(ends.hint("merge"), "node", "left").join(counts.hint("merge"), "node", "left")
