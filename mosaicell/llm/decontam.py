@@ -4,14 +4,16 @@ Texts become templates: numbers, units after numbers and names (capitalised word
 sentence) turn into typed placeholders, other words are lower-cased and lose outer punctuation.
 Windows of W template tokens are hashed, once with names as words (so a text in another case still
 matches) and once as placeholders, and joined by hash with the windows of the benchmark. A window
-needs at least W / 2 plain words. For each document, item and alignment the matched windows are
+of placeholders needs at least W / 2 plain words; one with more numbers and units is hashed with
+their values, so it meets verbatim copies. For each document, item and alignment the matched windows are
 counted and the placeholders' values compared: an item's value must stand for one value of the
 document throughout, so "Ann has 3 cats" matches "Bob has 7 cats" but not a text that fills the
 same slot in two ways.
 
 A document is contaminated by an item if half of the item's windows, or RUN tokens' worth, match
-in one alignment with consistent slots. Items of MIN_ITEM to W - 1 tokens are one window of their own
-length; shorter ones are left out, as they occur by chance.
+in one alignment with consistent slots; windows of placeholders may reach half of their own number
+alone. Items of fewer than W tokens are one window of their own length, those of fewer than MIN_ITEM
+with all values as they are. Tokens of punctuation alone are no tokens.
 
 If the benchmark has at most BROADCAST_WINDOWS windows, their sorted hashes and its vocabulary
 travel to the tasks: only windows all of whose words the benchmark has are hashed, and only
@@ -52,6 +54,9 @@ UNITS = frozenset(
 _NUM, _UNIT, _CAPITAL, _END, _EMPTY, _GLUED, _STRANGE = 1, 2, 4, 8, 16, 32, 64
 _PLACES = {k: np.uint64(xxhash.xxh3_64_intdigest(k)) for k in ("<number>", "<unit>", "<name>")}
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+#: Forms of a window: names are words, names are slots, or all tokens are as they stand.
+_WORDS, _NAMED, _EXACT = range(3)
+_SHAPES = tuple((size, form) for form in (_WORDS, _NAMED, _EXACT) for size in range(1, W + 1) if form == _EXACT or size >= MIN_ITEM)
 
 
 def _classify(token: str) -> tuple[int, int]:
@@ -119,9 +124,9 @@ class Templates:
         h, kind = _classify(token)
         return h, kind | _STRANGE * (self.vocabulary is not None and token.strip(PUNCTUATION).lower() not in self.vocabulary)
 
-    def windows(self, texts: list[str | None], sizes: tuple[int, ...] = (W,), whole_short: bool = False):
-        """Yields owners, positions, hashes, the size and a function to the slots of the k-th window,
-        for windows of plain names and then of named slots.
+    def windows(self, texts: list[str | None], shapes: tuple[tuple[int, int], ...] = _SHAPES, whole_short: bool = False):
+        """Yields owners, positions, hashes, the size, the form and a function to the slots of the
+        k-th window, for each of the shapes (size, form).
 
         whole_short: texts of fewer than W tokens are one window of their own size."""
         rows = [t.split() if t else [] for t in texts]
@@ -151,17 +156,22 @@ class Templates:
         left = counts[owner] - position
         sums = lambda mask: np.concatenate([[0], np.cumsum(mask, dtype=np.int32)])
         names = sums(name)
-        for named in (False, True):
-            slot = number | unit | name if named else number | unit
+        values, none = sums(number | unit), np.zeros(n, bool)
+        for form in sorted({f for _, f in shapes}):
+            slot = {_WORDS: number | unit, _NAMED: number | unit | name, _EXACT: none}[form]
             slots_before, strange = sums(slot), sums(((kind & _STRANGE) > 0) & ~slot)
-            for size in sizes:
+            for size in sorted(z for z, f in shapes if f == form):
                 if n < size:
                     continue
                 m = n - size + 1
-                ok = (left[:m] >= size) & (slots_before[size:] - slots_before[:m] <= size - size // 2)
+                ok = left[:m] >= size
+                if form != _EXACT:
+                    ok &= slots_before[size:] - slots_before[:m] <= size - size // 2
+                elif size >= MIN_ITEM:  # others have no form with placeholders
+                    ok &= values[size:] - values[:m] > size - size // 2
                 if self.vocabulary is not None:
                     ok &= strange[size:] == strange[:m]
-                if named:
+                if form == _NAMED:
                     ok &= names[size:] > names[:m]
                 if whole_short and size < W:
                     ok &= counts[owner[:m]] == size
@@ -169,32 +179,34 @@ class Templates:
                 h = np.zeros(len(at), np.uint64)
                 for k in range(size):
                     here = at + k
-                    token = np.where(number[here], _PLACES["<number>"], np.where(unit[here], _PLACES["<unit>"], self.hashes[ids[here]]))
-                    if named:
+                    token = self.hashes[ids[here]]
+                    if form != _EXACT:
+                        token = np.where(number[here], _PLACES["<number>"], np.where(unit[here], _PLACES["<unit>"], token))
+                    if form == _NAMED:
                         token = np.where(name[here], _PLACES["<name>"], token)
                     h ^= h >> np.uint64(29)
                     h *= _MULTIPLIER
                     h += token
                 h ^= h >> np.uint64(32)
                 h *= _MULTIPLIER
-                h ^= np.uint64(2 * size + named)
+                h ^= np.uint64(4 * size + form)
 
                 def slots(k: int, at=at, size=size, slot=slot) -> list[str]:
                     own = range(int(at[k]), int(at[k]) + size)
                     return [rows[owner[j]][flat[j] - base[owner[j]]].strip(PUNCTUATION).lower() for j in own if slot[j]]
 
-                yield owner[at], position[at], h, size, slots
+                yield owner[at], position[at], h, size, form, slots
 
 
 def _bench_windows(batches):
     made = Templates()
     for batch in batches:
         items, out = batch.column("item_id"), []
-        for owner, position, h, size, slots in made.windows(batch.column("text").to_pylist(), tuple(range(MIN_ITEM, W + 1)), whole_short=True):
-            out += [(o, int(x), p, size, slots(k)) for k, (o, p, x) in enumerate(zip(owner.tolist(), position.tolist(), h.astype(np.int64), strict=True))]
+        for owner, position, h, size, form, slots in made.windows(batch.column("text").to_pylist(), whole_short=True):
+            out += [(o, int(x), p, size, form, slots(k)) for k, (o, p, x) in enumerate(zip(owner.tolist(), position.tolist(), h.astype(np.int64), strict=True))]
         yield pa.RecordBatch.from_arrays(
-            [items.take(pa.array([x[0] for x in out], pa.int64())), *(pa.array([x[c] for x in out], t) for c, t in ((1, pa.int64()), (2, pa.int64()), (3, pa.int32()), (4, pa.list_(pa.string()))))],
-            ["item_id", "h", "ipos", "size", "islots"],
+            [items.take(pa.array([x[0] for x in out], pa.int64())), *(pa.array([x[c] for x in out], t) for c, t in ((1, pa.int64()), (2, pa.int64()), (3, pa.int32()), (4, pa.int32()), (5, pa.list_(pa.string()))))],
+            ["item_id", "h", "ipos", "size", "form", "islots"],
         )
 
 
@@ -217,7 +229,7 @@ def _templates(index: np.ndarray | None, vocabulary: frozenset[str] | None) -> T
     return _made[key]
 
 
-def _doc_windows(sizes: tuple[int, ...], index: np.ndarray | None, vocabulary: frozenset[str] | None = None):
+def _doc_windows(shapes: tuple[tuple[int, int], ...], index: np.ndarray | None, vocabulary: frozenset[str] | None = None):
     """index: sorted hashes that a window must be among, of tokens in vocabulary; or None for all."""
 
     def run(batches):
@@ -226,7 +238,7 @@ def _doc_windows(sizes: tuple[int, ...], index: np.ndarray | None, vocabulary: f
             ids, texts = batch.column("doc_id"), batch.column("text")
             for start in range(0, len(texts), 512):
                 out = []
-                for owner, position, h, _, slots in made.windows(texts.slice(start, 512).to_pylist(), sizes):
+                for owner, position, h, _, _, slots in made.windows(texts.slice(start, 512).to_pylist(), shapes):
                     found = np.arange(len(h))
                     if index is not None:
                         place = np.minimum(np.searchsorted(index, h), max(0, len(index) - 1))
@@ -243,29 +255,32 @@ def _doc_windows(sizes: tuple[int, ...], index: np.ndarray | None, vocabulary: f
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """doc_id, item_id, n_windows (matched, in the best alignment), item_windows, changed_slots."""
-    made = benchmark.select(F.col("item_id").cast("long"), "text").mapInArrow(_bench_windows, "item_id long, h long, ipos long, size int, islots array<string>")
+    made = benchmark.select(F.col("item_id").cast("long"), "text").mapInArrow(_bench_windows, "item_id long, h long, ipos long, size int, form int, islots array<string>")
     bench = materialize(made.distinct(), "bench-windows")
-    totals = bench.groupBy("item_id").agg(F.countDistinct("ipos").alias("item_windows"))
-    sizes = tuple(sorted(r["size"] for r in bench.select("size").distinct().collect())) or (W,)
+    placed = F.col("form") != _EXACT
+    totals = bench.groupBy("item_id").agg(F.countDistinct("ipos").alias("item_windows"), F.countDistinct(F.when(placed, F.col("ipos"))).alias("placed_windows"))
+    # a shape that the benchmark lacks meets nothing
+    shapes = tuple(sorted((r["size"], r["form"]) for r in bench.select("size", "form").distinct().collect()))
     few = bench.count() <= broadcast_windows
     index = vocabulary = None
     if few:
         index = np.unique(bench.select("h").distinct().toPandas()["h"].to_numpy(np.int64).astype(np.uint64))
         words = benchmark.select("text").mapInArrow(_bench_tokens, "word string").distinct()
         vocabulary = frozenset(words.toPandas()["word"].tolist())
-    found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_doc_windows(sizes, index, vocabulary), "doc_id long, h long, pos long, dslots array<string>")
+    found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_doc_windows(shapes, index, vocabulary), "doc_id long, h long, pos long, dslots array<string>")
     totals = totals.withColumnRenamed("item_id", "_item")
-    items = bench.join(F.broadcast(totals) if few else totals, F.col("item_id").eqNullSafe(F.col("_item"))).select("item_id", "h", "ipos", "islots", "item_windows")
+    items = bench.join(F.broadcast(totals) if few else totals, F.col("item_id").eqNullSafe(F.col("_item"))).select("item_id", "h", "ipos", "form", "islots", "item_windows", "placed_windows")
     met = found.join(F.broadcast(items) if few else items.hint("merge"), "h")
     pairs = F.arrays_zip(F.col("islots").alias("i"), F.col("dslots").alias("d"))
-    aligned = met.groupBy("doc_id", "item_id", (F.col("pos") - F.col("ipos")).alias("shift"), "item_windows").agg(
-        F.countDistinct("ipos").alias("n_windows"), F.array_distinct(F.flatten(F.collect_list(pairs))).alias("slots")
+    aligned = met.groupBy("doc_id", "item_id", (F.col("pos") - F.col("ipos")).alias("shift"), "item_windows", "placed_windows").agg(
+        F.countDistinct("ipos").alias("n_windows"), F.countDistinct(F.when(placed, F.col("ipos"))).alias("n_placed"), F.array_distinct(F.flatten(F.collect_list(pairs))).alias("slots")
     )
     # every value of the item stands for one value here
     steady = F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda s: s["i"])))
-    least = F.greatest(F.lit(1), F.least(F.ceil(F.col("item_windows") / 2), F.lit(RUN - W + 1)))
+    least = lambda total: F.greatest(F.lit(1), F.least(F.ceil(F.col(total) / 2), F.lit(RUN - W + 1)))
+    enough = (F.col("n_windows") >= least("item_windows")) | (F.col("n_placed") >= least("placed_windows"))
     changed = F.size(F.filter("slots", lambda s: s["i"] != s["d"])).cast("long")
-    leaks = aligned.filter(steady & (F.col("n_windows") >= least)).withColumn("changed_slots", changed)
+    leaks = aligned.filter(steady & enough).withColumn("changed_slots", changed)
     best = leaks.groupBy("doc_id", "item_id", "item_windows").agg(F.max(F.struct("n_windows", (-F.col("changed_slots")).alias("same"))).alias("best"))
     return best.select("doc_id", "item_id", F.col("best.n_windows").alias("n_windows"), "item_windows", (-F.col("best.same")).alias("changed_slots"))
 

@@ -337,6 +337,21 @@ def test_units_that_the_benchmark_lacks_are_slots(spark, limit):
     assert {(r.doc_id, r.n_windows, r.item_windows, r.changed_slots) for r in rows} == {(1, 8, 8, 2), (2, 8, 8, 2)}
 
 
+@pytest.mark.parametrize("limit", [10**6, 0])
+def test_items_of_values_and_short_items_are_found_verbatim(spark, limit):
+    items = {1: "Compute 12 + 30 + 18 + 25 + 43 + 76 + 91 + 8", 2: "7 kg", 3: "Solve 3 4 5", 4: "+ -", 5: "1 2 3 4 5 6 7 8 9 10 11 the sum of all the numbers here is asked"}
+    texts = {
+        1: "Some words. " + items[1] + " and more words.", 2: "Compute 12 + 30 + 18 + 25 + 44 + 77 + 92 + 9", 3: "it weighs 7kg or so", 4: "it weighs 8 kg", 5: "please solve 3 4 5 now",
+        6: "9 9 9 9 9 9 9 9 9 9 9 the sum of all the numbers here is asked", 7: "1 2 3 4 5 6 7 8 9 10 11", 8: "+ -",
+    }
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows = decontam.find_leaks(docs, bench, limit).collect()
+    # text 6 has the item's windows of placeholders; text 7 none of them and less than RUN tokens
+    assert {(r.doc_id, r.item_id) for r in rows} == {(1, 1), (3, 2), (5, 3), (6, 5)}
+    assert {r.item_id: (r.n_windows, r.item_windows) for r in rows if r.item_id < 5} == {1: (2, 2), 2: (1, 1), 3: (1, 1)}
+
+
 def test_decontamination_of_nothing(spark):
     docs, bench = documents(spark, AWKWARD), spark.createDataFrame([(1, ITEM)], "item_id long, text string")
     assert decontam.find_leaks(docs, bench).count() == 0
