@@ -8,7 +8,8 @@ of placeholders needs at least W / 2 plain words; one with more numbers and unit
 their values, so it meets verbatim copies. For each document, item and alignment the matched windows are
 counted and the placeholders' values compared: an item's value must stand for one value of the
 document throughout, so "Ann has 3 cats" matches "Bob has 7 cats" but not a text that fills the
-same slot in two ways.
+same slot in two ways. A capitalised word that opens a text or sentence may be a name or not, so its
+windows have a form with it as a name too, and an alignment is judged with and without those.
 
 A document is contaminated by an item if half of the item's windows, or RUN tokens' worth, match
 in one alignment with consistent slots; windows of placeholders may reach half of their own number
@@ -54,9 +55,10 @@ UNITS = frozenset(
 _NUM, _UNIT, _CAPITAL, _END, _EMPTY, _GLUED, _STRANGE = 1, 2, 4, 8, 16, 32, 64
 _PLACES = {k: np.uint64(xxhash.xxh3_64_intdigest(k)) for k in ("<number>", "<unit>", "<name>")}
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-#: Forms of a window: names are words, names are slots, or all tokens are as they stand.
-_WORDS, _NAMED, _EXACT = range(3)
-_SHAPES = tuple((size, form) for form in (_WORDS, _NAMED, _EXACT) for size in range(1, W + 1) if form == _EXACT or size >= MIN_ITEM)
+#: Forms of a window: names are words, names are slots, all tokens are as they stand, or names and
+#: capitalised openers of sentences are slots; the last is hashed as the second.
+_WORDS, _NAMED, _EXACT, _OPENED = range(4)
+_SHAPES = tuple((size, form) for form in (_WORDS, _NAMED, _EXACT, _OPENED) for size in range(1, W + 1) if form == _EXACT or size >= MIN_ITEM)
 
 
 def _classify(token: str) -> tuple[int, int]:
@@ -149,16 +151,19 @@ class Templates:
         number = (kind & _NUM) > 0
         unit = np.zeros(n, bool)
         unit[1:] = ((kind[1:] & _UNIT) > 0) & number[:-1] & (owner[1:] == owner[:-1])
-        name = ((kind & _CAPITAL) > 0) & ~first & ~number & ~unit
+        capital = ((kind & _CAPITAL) > 0) & ~number & ~unit
+        name, opener = capital & ~first, capital & first
         counts = np.bincount(owner, minlength=len(rows))
         starts = np.cumsum(counts) - counts
         position = np.arange(n) - starts[owner]
         left = counts[owner] - position
         sums = lambda mask: np.concatenate([[0], np.cumsum(mask, dtype=np.int32)])
-        names = sums(name)
-        values, none = sums(number | unit), np.zeros(n, bool)
+        slots_of = {_WORDS: number | unit, _NAMED: number | unit | name, _EXACT: np.zeros(n, bool), _OPENED: number | unit | capital}
+        needed = {_NAMED: sums(name), _OPENED: sums(opener)}
+        values = sums(slots_of[_WORDS])
         for form in sorted({f for _, f in shapes}):
-            slot = {_WORDS: number | unit, _NAMED: number | unit | name, _EXACT: none}[form]
+            slot = slots_of[form]
+            named = {_NAMED: name, _OPENED: capital}.get(form)
             slots_before, strange = sums(slot), sums(((kind & _STRANGE) > 0) & ~slot)
             for size in sorted(z for z, f in shapes if f == form):
                 if n < size:
@@ -171,8 +176,8 @@ class Templates:
                     ok &= values[size:] - values[:m] > size - size // 2
                 if self.vocabulary is not None:
                     ok &= strange[size:] == strange[:m]
-                if form == _NAMED:
-                    ok &= names[size:] > names[:m]
+                if form in needed:
+                    ok &= needed[form][size:] > needed[form][:m]
                 if whole_short and size < W:
                     ok &= counts[owner[:m]] == size
                 at = np.flatnonzero(ok)
@@ -182,14 +187,14 @@ class Templates:
                     token = self.hashes[ids[here]]
                     if form != _EXACT:
                         token = np.where(number[here], _PLACES["<number>"], np.where(unit[here], _PLACES["<unit>"], token))
-                    if form == _NAMED:
-                        token = np.where(name[here], _PLACES["<name>"], token)
+                    if named is not None:
+                        token = np.where(named[here], _PLACES["<name>"], token)
                     h ^= h >> np.uint64(29)
                     h *= _MULTIPLIER
                     h += token
                 h ^= h >> np.uint64(32)
                 h *= _MULTIPLIER
-                h ^= np.uint64(4 * size + form)
+                h ^= np.uint64(4 * size + (_NAMED if form == _OPENED else form))
 
                 def slots(k: int, at=at, size=size, slot=slot) -> list[str]:
                     own = range(int(at[k]), int(at[k]) + size)
@@ -238,16 +243,16 @@ def _doc_windows(shapes: tuple[tuple[int, int], ...], index: np.ndarray | None,
             ids, texts = batch.column("doc_id"), batch.column("text")
             for start in range(0, len(texts), 512):
                 out = []
-                for owner, position, h, _, _, slots in made.windows(texts.slice(start, 512).to_pylist(), shapes):
+                for owner, position, h, _, form, slots in made.windows(texts.slice(start, 512).to_pylist(), shapes):
                     found = np.arange(len(h))
                     if index is not None:
                         place = np.minimum(np.searchsorted(index, h), max(0, len(index) - 1))
                         found = np.flatnonzero(index[place] == h) if len(index) else found[:0]
-                    out += [(start + int(owner[k]), int(h[k].astype(np.int64)), int(position[k]), slots(k)) for k in found.tolist()]
+                    out += [(start + int(owner[k]), int(h[k].astype(np.int64)), int(position[k]), form == _OPENED, slots(k)) for k in found.tolist()]
                 if out:
                     yield pa.RecordBatch.from_arrays(
-                        [ids.take(pa.array([x[0] for x in out], pa.int64())), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int64()), pa.array([x[3] for x in out], pa.list_(pa.string()))],
-                        ["doc_id", "h", "pos", "dslots"],
+                        [ids.take(pa.array([x[0] for x in out], pa.int64())), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int64()), pa.array([x[3] for x in out], pa.bool_()), pa.array([x[4] for x in out], pa.list_(pa.string()))],
+                        ["doc_id", "h", "pos", "opened", "dslots"],
                     )
 
     return run
@@ -260,19 +265,24 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, broadcast_windows: int = B
     placed = F.col("form") != _EXACT
     totals = bench.groupBy("item_id").agg(F.countDistinct("ipos").alias("item_windows"), F.countDistinct(F.when(placed, F.col("ipos"))).alias("placed_windows"))
     # a shape that the benchmark lacks meets nothing
-    shapes = tuple(sorted((r["size"], r["form"]) for r in bench.select("size", "form").distinct().collect()))
+    shapes = {(r["size"], r["form"]) for r in bench.select("size", "form").distinct().collect()}
+    shapes |= {(size, other) for size, form in shapes for other in (_NAMED, _OPENED) if form in (_NAMED, _OPENED)}  # they meet each other
+    shapes = tuple(sorted(shapes))
     few = bench.count() <= broadcast_windows
     index = vocabulary = None
     if few:
         index = np.unique(bench.select("h").distinct().toPandas()["h"].to_numpy(np.int64).astype(np.uint64))
         words = benchmark.select("text").mapInArrow(_bench_tokens, "word string").distinct()
         vocabulary = frozenset(words.toPandas()["word"].tolist())
-    found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_doc_windows(shapes, index, vocabulary), "doc_id long, h long, pos long, dslots array<string>")
+    found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_doc_windows(shapes, index, vocabulary), "doc_id long, h long, pos long, opened boolean, dslots array<string>")
     totals = totals.withColumnRenamed("item_id", "_item")
     items = bench.join(F.broadcast(totals) if few else totals, F.col("item_id").eqNullSafe(F.col("_item"))).select("item_id", "h", "ipos", "form", "islots", "item_windows", "placed_windows")
     met = found.join(F.broadcast(items) if few else items.hint("merge"), "h")
+    # an alignment counts without windows of openers and with them
+    opened = F.col("opened") | (F.col("form") == _OPENED)
+    met = met.withColumn("level", F.explode(F.when(opened, F.array(F.lit(1))).otherwise(F.array(F.lit(0), F.lit(1)))))
     pairs = F.arrays_zip(F.col("islots").alias("i"), F.col("dslots").alias("d"))
-    aligned = met.groupBy("doc_id", "item_id", (F.col("pos") - F.col("ipos")).alias("shift"), "item_windows", "placed_windows").agg(
+    aligned = met.groupBy("doc_id", "item_id", (F.col("pos") - F.col("ipos")).alias("shift"), "level", "item_windows", "placed_windows").agg(
         F.countDistinct("ipos").alias("n_windows"), F.countDistinct(F.when(placed, F.col("ipos"))).alias("n_placed"), F.array_distinct(F.flatten(F.collect_list(pairs))).alias("slots")
     )
     # every value of the item stands for one value here

@@ -352,6 +352,16 @@ def test_items_of_values_and_short_items_are_found_verbatim(spark, limit):
     assert {r.item_id: (r.n_windows, r.item_windows) for r in rows if r.item_id < 5} == {1: (2, 2), 2: (1, 1), 3: (1, 1)}
 
 
+@pytest.mark.parametrize("limit", [10**6, 0])
+def test_names_that_open_sentences_are_slots(spark, limit):
+    bench = spark.createDataFrame([(1, "Ann has 3 cats"), (2, "He walked the long way home and then he slept. He woke up")], "item_id long, text string")
+    texts = {1: "Bob has 7 cats", 2: "Look. Bob has 7 cats.", 3: "we know that Bob has 7 cats", 4: "Bob had 7 cats", 5: "She walked the long way home and then he slept. He woke up"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows = decontam.find_leaks(docs, bench, limit).collect()
+    # text 5 fills the slot of "He" in two ways, but windows without it are enough
+    assert {(r.doc_id, r.item_id, r.changed_slots) for r in rows} == {(1, 1, 2), (2, 1, 2), (3, 1, 2), (5, 2, 0)}
+
+
 def test_decontamination_of_nothing(spark):
     docs, bench = documents(spark, AWKWARD), spark.createDataFrame([(1, ITEM)], "item_id long, text string")
     assert decontam.find_leaks(docs, bench).count() == 0
