@@ -379,9 +379,9 @@ def density_group(spark, d):
 
 
 @query(f"WITH {PTS} SELECT a.cell_id AS src, b.cell_id AS dst, {r(DIST)} AS dist FROM pts a JOIN pts b ON {DIST} <= 0.1 WHERE a.cell_id % 50 = 0")
-def radius_join(spark, d):
+def radius_join(spark, d, every=50):
     p = points(spark, d)
-    return neighbors.radius_join(p.filter("cell_id % 50 = 0"), p, 0.1)
+    return neighbors.radius_join(p.filter(F.col("cell_id") % every == 0), p, 0.1)
 
 
 @query("""WITH p AS (SELECT o_orderkey AS cell_id, CAST(o_totalprice AS DOUBLE) / 1000 AS x, CAST(date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS DOUBLE) AS y FROM orders),
@@ -397,9 +397,9 @@ prof AS MATERIALIZED (SELECT a.cell_id AS seed_id, b.cell_id AS nbr_id, {DIST} A
 X_MAX, WIDTH = 0.25, 0.05
 
 
-def profiles(spark, d):
+def profiles(spark, d, every=25):
     p = points(spark, d)
-    seeds = p.filter("cell_id % 25 = 0")
+    seeds = p.filter(F.col("cell_id") % every == 0)
     near = neighbors.radius_join(seeds, p, 0.3).join(p.select(F.col("cell_id").alias("dst"), "vec"), "dst")
     near = near.select(F.col("src").alias("seed_id"), F.col("dst").alias("nbr_id"), F.col("dist").alias("distance"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("s"), "vec")
     return save(near.select("seed_id", "nbr_id", "distance", F.col("s").cast("double").alias("scale"), F.element_at("vec", 3 + F.col("s")).alias("intensity")), "profiles")
@@ -414,20 +414,20 @@ cnt AS MATERIALIZED (SELECT seed_id, CAST(least(floor(distance / {WIDTH}), {mapp
 
 
 @query(f"WITH {PROFILES}, {INTERP} SELECT seed_id, bin, n FROM cnt")
-def distance_bins(spark, d):
-    return mapping.distance_bins(profiles(spark, d), X_MAX, WIDTH)
+def distance_bins(spark, d, every=25):
+    return mapping.distance_bins(profiles(spark, d, every), X_MAX, WIDTH)
 
 
 @query(f"WITH {PROFILES}, {INTERP} SELECT seed_id, scale, bin, {r('value')} AS value FROM grid")
-def interp_grid(spark, d):
-    return mapping.interpolate(mapping.clean_profiles(profiles(spark, d), X_MAX), X_MAX, WIDTH)
+def interp_grid(spark, d, every=25):
+    return mapping.interpolate(mapping.clean_profiles(profiles(spark, d, every), X_MAX), X_MAX, WIDTH)
 
 
 @query(f"""WITH {PROFILES}, c AS (SELECT p.*, greatest(own.intensity, 1e-12) AS base FROM (SELECT * REPLACE (CASE WHEN intensity >= -0.05 THEN intensity END AS intensity) FROM prof WHERE distance <= {X_MAX}) p
   LEFT JOIN (SELECT seed_id, scale, CASE WHEN intensity >= -0.05 THEN intensity END AS intensity FROM prof WHERE nbr_id = seed_id) own USING (seed_id, scale))
 SELECT seed_id, nbr_id, scale, {r('distance')} AS distance, {r('CASE WHEN intensity >= -0.05 THEN intensity END')} AS intensity FROM prof WHERE distance <= {X_MAX}""")
-def intensity_cut(spark, d):
-    p = profiles(spark, d).filter(F.col("distance") <= X_MAX)
+def intensity_cut(spark, d, every=25):
+    p = profiles(spark, d, every).filter(F.col("distance") <= X_MAX)
     cut = F.when(F.col("intensity") >= -0.05, F.col("intensity"))
     return p.select("seed_id", "nbr_id", "scale", "distance", cut.alias("intensity"))
 
@@ -451,29 +451,29 @@ s AS (SELECT *, sum(v) OVER (PARTITION BY grp, scale) AS row, sum(num) OVER (PAR
     return base + f"SELECT grp, scale, bin, {r(f'(bin + 0.5) * {WIDTH}')} AS center, {r('CASE WHEN scale = 0 THEN (CASE WHEN bin = 0 THEN 1 ELSE 0 END) WHEN row > 1e-12 THEN v / row ELSE v END')} AS value FROM s"
 
 
-def _heatmap(spark, d, **how):
-    return mapping.heatmap(profiles(spark, d), X_MAX, WIDTH, **how)
+def _heatmap(spark, d, every, **how):
+    return mapping.heatmap(profiles(spark, d, every), X_MAX, WIDTH, **how)
 
 
 @query(heatmap_sql(False, False))
-def heatmap_equal(spark, d):
-    return _heatmap(spark, d, counts_weight=False)[0]
+def heatmap_equal(spark, d, every=25):
+    return _heatmap(spark, d, every, counts_weight=False)[0]
 
 
 @query(heatmap_sql(True, False))
-def heatmap_counts(spark, d):
-    return _heatmap(spark, d, counts_weight=True)[0]
+def heatmap_counts(spark, d, every=25):
+    return _heatmap(spark, d, every, counts_weight=True)[0]
 
 
 @query(heatmap_sql(False, True))
-def heatmap_grouped(spark, d):
+def heatmap_grouped(spark, d, every=25):
     groups = points(spark, d).select(F.col("cell_id").alias("seed_id"), F.col("label").alias("grp"))
-    return _heatmap(spark, d, counts_weight=False, groups=groups)[0]
+    return _heatmap(spark, d, every, counts_weight=False, groups=groups)[0]
 
 
 @query(heatmap_sql(True, False, True))
-def energy_distance(spark, d):
-    return _heatmap(spark, d, counts_weight=True)[1]
+def energy_distance(spark, d, every=25):
+    return _heatmap(spark, d, every, counts_weight=True)[1]
 
 
 def smooth_sql(sigma: float) -> str:
@@ -488,8 +488,8 @@ SELECT seed_id, scale, CAST(t AS BIGINT) AS bin, {r('sum(g * value) / sum(g)')}
 
 
 @query(smooth_sql(1.0))
-def gaussian_smooth_bins(spark, d):
-    grid = mapping.interpolate(mapping.clean_profiles(profiles(spark, d), X_MAX), X_MAX, WIDTH)
+def gaussian_smooth_bins(spark, d, every=25):
+    grid = mapping.interpolate(mapping.clean_profiles(profiles(spark, d, every), X_MAX), X_MAX, WIDTH)
     return mapping.smooth(grid, mapping.bin_count(X_MAX, WIDTH), 1.0)
 
 
@@ -510,8 +510,8 @@ def sampling_rounds(spark, d):
 
 @query(f"""WITH {PROFILES}, m AS (SELECT seed_id, count(DISTINCT nbr_id) AS n_neighbors FROM prof GROUP BY 1)
 SELECT seed_id, n_neighbors, CAST(0.3 AS DOUBLE) AS radius, label FROM m JOIN pts ON seed_id = cell_id""")
-def manifest_join(spark, d):
-    p = profiles(spark, d).withColumn("round", F.lit(1))
+def manifest_join(spark, d, every=25):
+    p = profiles(spark, d, every).withColumn("round", F.lit(1))
     return mapping.manifest(p, points(spark, d).select("cell_id", "label"), None, 0.3).drop("round")
 
 
@@ -813,8 +813,8 @@ def global_statistics(spark, d):
 
 @query(f"""WITH {PROFILES}, own AS (SELECT seed_id, scale, greatest(intensity, 1e-12) AS own FROM prof WHERE nbr_id = seed_id)
 SELECT seed_id, nbr_id, scale, {r('distance')} AS distance, {r('intensity / own', 3)} AS intensity FROM prof JOIN own USING (seed_id, scale) WHERE distance <= {X_MAX} AND own > 1e-6""", 6)
-def profiles_by_self(spark, d):
-    rows = profiles(spark, d)
+def profiles_by_self(spark, d, every=25):
+    rows = profiles(spark, d, every)
     good = rows.filter("nbr_id = seed_id AND intensity > 1e-6").select("seed_id", "scale")
     out = mapping.clean_profiles(rows, X_MAX, by_self=True).join(good, ["seed_id", "scale"], "left_semi")
     return out.select("seed_id", "nbr_id", "scale", "distance", F.round("intensity", 3).alias("intensity"))
@@ -846,3 +846,23 @@ def graph_check(spark, d):
 def cluster_plot_points(spark, d):
     """What a plot of labels in space draws."""
     return points(spark, d).select("cell_id", "label", "x", "y")
+
+
+# ------------------------------------------------------------------ all points as seeds
+
+
+def _whole(f):
+    """name_whole: the query f over all points, where f itself takes every 25th or 50th as a seed."""
+
+    def whole(spark, d):
+        return f(spark, d, every=1)
+
+    whole.__name__ = f"{f.__name__}_whole"
+    sql = ORACLE_SQL[f.__name__]
+    for some in (" WHERE a.cell_id % 50 = 0", " WHERE cell_id % 25 = 0"):
+        sql = sql.replace(some, "")
+    query(sql)(whole)
+
+
+for _f in (radius_join, distance_bins, interp_grid, intensity_cut, heatmap_equal, heatmap_counts, heatmap_grouped, energy_distance, gaussian_smooth_bins, manifest_join, profiles_by_self):
+    _whole(_f)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import math
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -259,3 +260,15 @@ def test_streaming_counts_equal_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(map(tuple, spark.table("grid").collect())) == sorted(map(tuple, density.grid_counts(p, 1.0).collect()))
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="no test tables")
+def test_whole_queries_take_all_points(spark):
+    from mosaicell import queries
+
+    d = "/root/testdata/sf0.001"
+    p = queries.points(spark, d).select("cell_id", "x", "y").toPandas()
+    near = np.hypot(p.x.to_numpy()[:, None] - p.x.to_numpy(), p.y.to_numpy()[:, None] - p.y.to_numpy()) <= 0.1
+    assert queries.QUERIES["radius_join_whole"](spark, d).count() == near.sum()
+    assert queries.QUERIES["manifest_join_whole"](spark, d).select("seed_id").distinct().count() == len(p)
+    assert not any("% 25" in sql or "% 50" in sql for name, sql in queries.ORACLE_SQL.items() if name.endswith("_whole"))
