@@ -8,7 +8,8 @@ the pages with no shuffle.
 
 Features: lengths of url, host and path, depth, digit ratio, host entropy, hyphens and labels of
 the host, query parameters, and of the host's suffix (its last two labels) the count and smoothed
-label mean among the training rows.
+label mean among all labelled urls. Up to SUFFIX_ROWS suffixes are part of the model's expression;
+more are a table that the pages are joined with.
 
 Defined results: a null url or one without ``://`` has an empty host and path and is judged by the
 model; rows are independent, so repeated rows agree; an empty table gives an empty result; without
@@ -24,7 +25,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import join_small, materialize
 
 #: (verdict, host, path)
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -81,6 +82,9 @@ class Boosted:
     base: float = -20.0
     trees: list = field(default_factory=list)
     suffixes: dict[str, tuple[float, float]] = field(default_factory=dict)
+    suffix_table: DataFrame | None = None  # in place of a dict that would be too long
+    suffix_rows: int = 0
+    overall: float = 0.0
 
     def margin(self, cols: dict[str, F.Column]) -> F.Column:
         def walk(node) -> F.Column:
@@ -100,7 +104,15 @@ class Boosted:
         return {"suffix_count": F.coalesce(found["n"], F.lit(0.0)), "suffix_mean": F.coalesce(found["m"], F.lit(overall))}
 
 
-#: Suffixes with statistics of their own; rarer ones share the mean of all.
+    def with_suffixes(self, rows: DataFrame) -> DataFrame:
+        """rows(host) with suffix_count and suffix_mean; a suffix without labels has the mean of all."""
+        if self.suffix_table is None:
+            return rows.withColumns(self.suffix_features(F.col("host")))
+        joined = join_small(rows.withColumn("_suffix", suffix_of(F.col("host"))), self.suffix_table, ["_suffix"], "left", self.suffix_rows).drop("_suffix")
+        return joined.withColumns({"suffix_count": F.coalesce("suffix_count", F.lit(0.0)), "suffix_mean": F.coalesce("suffix_mean", F.lit(self.overall))})
+
+
+#: Suffixes that a model holds as an expression; more are joined as a table.
 SUFFIX_ROWS = 1000
 
 
@@ -122,13 +134,21 @@ def train(labelled: DataFrame, trees: int = TREES, depth: int = DEPTH) -> Booste
     own = features(F.col("url"), host, path)
     rows = materialize(pick(0).unionByName(pick(1)).select("label", host.alias("host"), *[c.alias(n) for n, c in own.items()]), "url-sample")
     model = Boosted()
-    stats = rows.groupBy(suffix_of(F.col("host")).alias("s")).agg(F.count("*").alias("n"), F.sum("label").alias("y")).orderBy(F.desc("n"), "s").limit(SUFFIX_ROWS).collect()
-    total, hits = sum(r.n for r in stats), sum(r.y for r in stats)
-    if not 0 < hits < total:
+    every = labelled.filter(F.col("label").isin(0, 1)).groupBy(suffix_of(host).alias("s")).agg(F.count("*").alias("n"), F.sum("label").alias("y"))
+    every = materialize(every, "url-suffixes")
+    n_suffixes, total, hits = every.agg(F.count("*"), F.sum("n"), F.sum("y")).first()
+    if not 0 < (hits or 0) < (total or 0):
         return model
-    model.suffixes = {r.s: (float(r.n), (r.y + 10 * hits / total) / (r.n + 10)) for r in stats}
+    if n_suffixes <= SUFFIX_ROWS:
+        model.suffixes = {r.s: (float(r.n), (r.y + 10 * hits / total) / (r.n + 10)) for r in every.orderBy(F.desc("n"), "s").collect()}
+    else:
+        mean = (F.col("y") + 10 * hits / total) / (F.col("n") + 10)
+        model.suffix_table = every.select(F.col("s").alias("_suffix"), F.col("n").cast("double").alias("suffix_count"), mean.alias("suffix_mean"))
+        model.suffix_rows = n_suffixes
+        model.overall = model.suffix_table.agg(F.sum(F.col("suffix_count") * F.col("suffix_mean")) / total).first()[0]
+    total, hits = rows.agg(F.count("*"), F.sum("label")).first()
     names = [*own, "suffix_count", "suffix_mean"]
-    rows = rows.withColumns(model.suffix_features(F.col("host")))
+    rows = model.with_suffixes(rows)
     cuts = rows.agg(*[F.percentile_approx(n, [k / BINS for k in range(1, BINS)], 1000).alias(n) for n in names]).first()
     edges = {n: sorted(set(cuts[n])) for n in names}
     # rows of equal bins are one row with counts
@@ -193,9 +213,9 @@ def judge(pages: DataFrame, model: Boosted, rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict and the model's score."""
     host, path = url_parts(F.col("url"))
     rows = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
-    cols = features(F.col("url"), F.col("host"), F.col("path")) | model.suffix_features(F.col("host"))
+    cols = features(F.col("url"), F.col("host"), F.col("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    rows = rows.withColumns(cols)
-    score = 1 / (1 + F.exp(-model.margin({n: F.col(n) for n in cols})))
+    rows = model.with_suffixes(rows.withColumns(cols))
+    score = 1 / (1 + F.exp(-model.margin({n: F.col(n) for n in (*cols, "suffix_count", "suffix_mean")})))
     own = F.when(score >= 0.5, "block").otherwise("allow")
     return rows.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), score.alias("score"))

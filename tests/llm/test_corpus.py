@@ -297,6 +297,15 @@ def test_url_trees_learn_lexical_signs(spark):
     assert "Python" not in plan and "Exchange" not in plan
 
 
+def test_rare_suffixes_keep_their_statistics(spark):
+    kind = np.random.default_rng(5).integers(0, 2, 1300).tolist()
+    rows = [(f"http://h.s{i:04d}.info/a", kind[i]) for i in range(1300) for _ in range(3 if i < 1000 else 2)]
+    model = url_filter.train(spark.createDataFrame(rows, "url string, label int"), trees=3)
+    pages = spark.createDataFrame([(i, f"http://h.s{i:04d}.info/a") for i in range(1000, 1300)], "page_id long, url string")
+    got = {r.page_id: r.verdict == "block" for r in url_filter.judge(pages, model).collect()}
+    assert got == {i: bool(kind[i]) for i in range(1000, 1300)}
+
+
 # ------------------------------------------------------------------ decontamination
 
 
