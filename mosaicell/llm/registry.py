@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat_format, decontam, line_dedup, media, mixing, ngram_join, sharding, token_counts, toxicity, url_filter
-from .common import scratch, table
+from .common import shared_dir, table
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,8 +49,14 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+def token_cache(spark: SparkSession, path: str) -> str:
+    """The tokenizer version's folder, the same for all runs that share a folder."""
+    return f"{shared_dir(spark).rstrip('/')}/token-cache/{token_counts.version_of(path)}"
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.count(table(spark, sf_dir, "documents"), tokenizer_path(), scratch(spark, "token-cache"))
+    path = tokenizer_path()
+    return token_counts.count(table(spark, sf_dir, "documents"), path, token_cache(spark, path))
 
 
 def op9_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,8 @@ A text is known by the sha256 of its normalised content (null becomes empty; the
 normaliser is part of its version, so no other change is made that could alter a count), and a
 tokenizer by the sha256 of its file. Stored counts are joined by both; only distinct texts that
 the cache lacks are encoded, and their counts are appended to it. Copies therefore cost one
-encoding however many there are.
+encoding however many there are. Each run appends a folder of its own, so runs at one time do not
+touch each other's files; what both encode is stored twice with the same count.
 
 Inside a task the encoder works on the pieces of a text between single spaces: a byte-level
 pre-tokenizer always starts a new piece at a space between two characters that are not white
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from pathlib import Path
 
 import pyarrow as pa
@@ -102,8 +104,8 @@ def count(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: int = 10
     if stored is not None:
         wanted = wanted.join(stored.filter(F.col("version") == version).select("digest").distinct().hint("merge"), "digest", "left_anti")
     fresh = wanted.mapInArrow(_encode(tokenizer_path, version), "digest string, n_tokens long")
-    fresh.withColumn("version", F.lit(version)).write.mode("append").parquet(cache_path)
-    # a job that is run again may append a digest twice, with the same count
+    fresh.withColumn("version", F.lit(version)).write.parquet(f"{cache_path.rstrip('/')}/run=r{uuid.uuid4().hex}")
+    # runs at one time may append a digest twice, with the same count
     counts = spark.read.schema(schema).parquet(cache_path).filter(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     counts = materialize(counts, "token-counts")  # a join below an aggregation of its key could not split a hot digest
     return rows.select(key, "n_bytes", "digest").join(counts.hint("merge"), "digest").select(key, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

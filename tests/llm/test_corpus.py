@@ -420,6 +420,28 @@ def test_token_counts_equal_the_library(spark, tmp_path):
     assert token_counts.count(docs.limit(0), path, str(tmp_path / "none")).count() == 0
 
 
+@pytest.mark.skipif(not DATA.exists(), reason="no test tables")
+def test_token_query_reuses_its_cache(spark):
+    rows = [sorted(map(tuple, registry.op8_token_counts(spark, str(DATA)).collect()))]
+    cache = registry.token_cache(spark, registry.tokenizer_path())
+    stored = spark.read.parquet(cache).count()
+    assert stored == common.table(spark, str(DATA), "documents").select(F.coalesce("text", F.lit(""))).distinct().count()
+    rows.append(sorted(map(tuple, registry.op8_token_counts(spark, str(DATA)).collect())))
+    assert rows[0] == rows[1] and spark.read.parquet(cache).count() == stored
+
+
+def test_token_counts_of_runs_at_one_time(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    path, cache = registry.tokenizer_path(), str(tmp_path / "cache")
+    tables = [documents(spark, [f"run {k} text {i}" for i in range(50)] + ["both"]) for k in range(4)]
+    with ThreadPoolExecutor(4) as pool:
+        sizes = list(pool.map(lambda t: token_counts.count(t, path, cache).count(), tables))
+    stored = spark.read.parquet(cache)
+    assert sizes == [51] * 4 and stored.select("digest").distinct().count() == 201
+    assert token_counts.count(tables[0], path, cache).count() == 51
+
+
 # ------------------------------------------------------------------ media
 
 
