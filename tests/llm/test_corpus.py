@@ -248,6 +248,39 @@ def test_external_shuffle(spark):
     assert abs(np.corrcoef(order, range(len(order)))[0, 1]) < 0.15
 
 
+def test_external_shuffle_equals_a_serial_one(spark):
+    """Scatter by the chained 64-bit hash, sort and permute each bucket, and number the records."""
+    import struct
+
+    import xxhash
+
+    texts = [f"text {i}" for i in range(500)] + AWKWARD + ["same"] * 30
+    docs = documents(spark, texts)
+    buckets = collections.defaultdict(list)
+    for i, t in enumerate(texts):
+        h = xxhash.xxh64_intdigest(struct.pack("<q", i), xxhash.xxh64_intdigest(struct.pack("<i", 7), 42))
+        h = xxhash.xxh64_intdigest(t.encode(), h) if t is not None else h
+        buckets[(h - (h >> 63 << 64)) % 256].append(i)
+    want, before = {}, 0
+    for b in sorted(buckets):
+        places = list(range(len(buckets[b])))
+        rng = np.random.default_rng((7, b))
+        tops = np.arange(len(places) - 1, 0, -1)
+        for i, j in zip(tops, rng.integers(0, tops + 1) if len(tops) else [], strict=True):
+            places[i], places[j] = places[j], places[i]
+        for i, place in zip(sorted(buckets[b]), places, strict=True):
+            want[i] = ((before + place) % 24, (before + place) // 24)
+        before += len(places)
+    assert {r.doc_id: (r.shard, r.slot) for r in sharding.external_shuffle(docs).collect()} == want
+
+
+def test_offsets_over_many_blocks(spark):
+    rows = [(i, (i * 7) % 5) for i in range(0, 3 * sharding.BLOCK, 3)]
+    got = {r.bucket: r.before for r in sharding.offsets(spark.createDataFrame(rows, "bucket int, n long")).collect()}
+    sums = np.cumsum([0, *[n for _, n in rows]])
+    assert got == {b: int(s) for (b, _), s in zip(rows, sums[:-1], strict=True)}
+
+
 def test_external_shuffle_of_repeated_rows_and_nothing(spark):
     docs = documents(spark, ["a"] * 5)
     many = docs.unionByName(docs).unionByName(docs)
