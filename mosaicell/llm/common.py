@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from contextlib import contextmanager
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +41,30 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 #: Shuffle files of an execution go when it ends; without it they stay until the driver collects garbage.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_writes = threading.Lock()
+_open: dict[object, list] = {}
+
+
+@contextmanager
+def _cleanup(spark: SparkSession):
+    """CLEANUP is on while any write of the session runs; the last one puts the setting back."""
+    session = spark._jsparkSession.sessionUUID()
+    with _writes:
+        if session not in _open:
+            _open[session] = [0, spark.conf.get(CLEANUP, None)]
+            spark.conf.set(CLEANUP, "true")
+        _open[session][0] += 1
+    try:
+        yield
+    finally:
+        with _writes:
+            _open[session][0] -= 1
+            if not _open[session][0]:
+                _, before = _open.pop(session)
+                if before is None:
+                    spark.conf.unset(CLEANUP)
+                else:
+                    spark.conf.set(CLEANUP, before)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -43,18 +72,25 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     is then of no more use and is deleted."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with _cleanup(spark):
         df.write.parquet(path)
-    finally:
-        if before is None:
-            spark.conf.unset(CLEANUP)
-        else:
-            spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: UTF-8 bytes of text that a worker holds as Python objects at a time, if no single text is longer.
+SLICE_BYTES = 4 << 20
+
+
+def slices(texts: pa.Array, most: int = SLICE_BYTES):
+    """Yields (start, length) of runs of at most `most` bytes or of one text."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64)
+    start = 0
+    while start < len(ends):
+        end = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, "right")))
+        yield start, end - start
+        start = end
+
+
 def remove(spark: SparkSession, df: DataFrame) -> None:
     """Delete the files of a materialized table that no later step reads."""
     jvm = spark.sparkContext._jvm

@@ -15,7 +15,8 @@ then lose the lines found, joined by doc_id.
 
 Defined results: a null or empty text is one empty line, which is shorter than any key; rows
 repeated with one doc_id count as one document and lose the same lines; a null doc_id is one
-document, below all others; an empty table gives an empty result; further columns are kept.
+document, below all others, to insert and delete too; an empty table gives an empty result; further
+columns are kept, but for n_lines and n_dropped, which are replaced.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import free_name, materialize, slices
 
 MIN_CHARS, MIN_DOCS = 40, 5
 SHARD_KEYS, MIN_SHARDS, SALTS = 100_000, 16, 32
@@ -122,13 +123,14 @@ def line_key(line: bytes, min_chars: int = MIN_CHARS) -> bytes | None:
 def _postings(min_chars: int):
     def run(batches):
         for batch in batches:
-            owners, keys = [], []
-            for at, text in enumerate(batch.column("text").to_pylist()):
-                found = {k for k in (line_key(x, min_chars) for x in (text or b"").split(b"\n") if len(x) >= min_chars) if k}
-                keys.extend(found)
-                owners.extend([at] * len(found))
-            k = np.frombuffer(b"".join(keys), ">i8").astype(np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(k[:, 0]), pa.array(k[:, 1]), batch.column("doc_id").take(pa.array(owners, pa.int64()))], ["k1", "k2", "doc_id"])
+            for start, length in slices(batch.column("text")):
+                owners, keys = [], []
+                for at, text in enumerate(batch.column("text").slice(start, length).to_pylist(), start):
+                    found = {k for k in (line_key(x, min_chars) for x in (text or b"").split(b"\n") if len(x) >= min_chars) if k}
+                    keys.extend(found)
+                    owners.extend([at] * len(found))
+                k = np.frombuffer(b"".join(keys), ">i8").astype(np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(k[:, 0]), pa.array(k[:, 1]), batch.column("doc_id").take(pa.array(owners, pa.int64()))], ["k1", "k2", "doc_id"])
 
     return run
 
@@ -137,21 +139,24 @@ def postings(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(_postings(min_chars), "k1 long, k2 long, doc_id long").distinct()
 
 
-def _rewrite(min_chars: int, names: list[str]):
+def _rewrite(min_chars: int, names: list[str], drops: str):
+    """drops: the column with the keys that a document loses."""
+
     def run(batches):
         for batch in batches:
-            texts, n_lines, n_dropped = [], [], []
-            for text, gone in zip(batch.column("text").to_pylist(), batch.column("_gone").to_pylist(), strict=True):
-                n, dropped = (text or b"").count(b"\n") + 1, 0
-                if gone:
-                    gone = {int(a).to_bytes(8, "big", signed=True) + int(b).to_bytes(8, "big", signed=True) for a, b in ((x["k1"], x["k2"]) for x in gone)}
-                    kept = [x for x in text.split(b"\n") if len(x) < min_chars or line_key(x, min_chars) not in gone]
-                    dropped, text = n - len(kept), b"\n".join(kept)
-                texts.append(text)
-                n_lines.append(n)
-                n_dropped.append(dropped)
-            new = {"text": pa.array(texts, pa.binary()), "n_lines": pa.array(n_lines, pa.int64()), "n_dropped": pa.array(n_dropped, pa.int64())}
-            yield pa.RecordBatch.from_arrays([new.get(n, batch.column(n) if n in batch.schema.names else None) for n in names], names)
+            for start, length in slices(batch.column("text")):
+                part, texts, n_lines, n_dropped = batch.slice(start, length), [], [], []
+                for text, gone in zip(part.column("text").to_pylist(), part.column(drops).to_pylist(), strict=True):
+                    n, dropped = (text or b"").count(b"\n") + 1, 0
+                    if gone:
+                        gone = {int(a).to_bytes(8, "big", signed=True) + int(b).to_bytes(8, "big", signed=True) for a, b in ((x["k1"], x["k2"]) for x in gone)}
+                        kept = [x for x in text.split(b"\n") if len(x) < min_chars or line_key(x, min_chars) not in gone]
+                        dropped, text = n - len(kept), b"\n".join(kept)
+                    texts.append(text)
+                    n_lines.append(n)
+                    n_dropped.append(dropped)
+                new = {"text": pa.array(texts, pa.binary()), "n_lines": pa.array(n_lines, pa.int64()), "n_dropped": pa.array(n_dropped, pa.int64())}
+                yield pa.RecordBatch.from_arrays([new.get(n, part.column(n) if n in part.schema.names else None) for n in names], names)
 
     return run
 
@@ -180,12 +185,15 @@ class LineIndex:
         return cls(posts, refs, filters, shards, min_docs, min_chars)
 
     def insert(self, docs: DataFrame) -> LineIndex:
-        fresh = postings(docs, self.min_chars).join(self.posts, ["k1", "k2", "doc_id"], "left_anti")
+        held = self.posts.select(F.col("k1").alias("h1"), F.col("k2").alias("h2"), F.col("doc_id").alias("holder"))
+        same = (F.col("k1") == F.col("h1")) & (F.col("k2") == F.col("h2")) & F.col("doc_id").eqNullSafe(F.col("holder"))
+        fresh = postings(docs, self.min_chars).join(held, same, "left_anti")
         return self._changed(self.posts.unionByName(fresh), fresh)
 
     def delete(self, doc_ids: DataFrame) -> LineIndex:
-        ids = doc_ids.select(F.col("doc_id").cast("long")).distinct()
-        return self._changed(self.posts.join(ids, "doc_id", "left_anti").select("k1", "k2", "doc_id"), self.posts.join(ids, "doc_id", "left_semi"))
+        ids = doc_ids.select(F.col("doc_id").cast("long").alias("deleted")).distinct()
+        same = F.col("doc_id").eqNullSafe(F.col("deleted"))
+        return self._changed(self.posts.join(ids, same, "left_anti"), self.posts.join(ids, same, "left_semi"))
 
     def _changed(self, posts: DataFrame, moved: DataFrame) -> LineIndex:
         """Count the touched keys anew, from their postings, and tell each filter what became of them."""
@@ -218,13 +226,13 @@ class LineIndex:
 
     def clean(self, docs: DataFrame) -> DataFrame:
         """docs with the kept text, n_lines and n_dropped. docs must be among those indexed."""
-        docs = docs.drop("n_lines", "n_dropped", "_gone")
-        gone = self.drops().groupBy("doc_id").agg(F.collect_list(F.struct("k1", "k2")).alias("_gone"))
-        gone = gone.withColumnRenamed("doc_id", "_id")
-        joined = docs.withColumn("text", F.col("text").cast("binary")).join(gone.hint("merge"), docs["doc_id"].cast("long").eqNullSafe(F.col("_id")), "left").drop("_id")
+        docs = docs.drop("n_lines", "n_dropped")
+        drops, owner = free_name(docs, "line_drops"), free_name(docs, "line_owner")
+        gone = self.drops().groupBy(F.col("doc_id").alias(owner)).agg(F.collect_list(F.struct("k1", "k2")).alias(drops))
+        joined = docs.withColumn("text", F.col("text").cast("binary")).join(gone.hint("merge"), docs["doc_id"].cast("long").eqNullSafe(F.col(owner)), "left").drop(owner)
         names = [*docs.columns, "n_lines", "n_dropped"]
         kinds = ", ".join(f"`{f.name}` {'binary' if f.name == 'text' else f.dataType.simpleString()}" for f in docs.schema.fields)
-        out = joined.mapInArrow(_rewrite(self.min_chars, names), f"{kinds}, n_lines long, n_dropped long")
+        out = joined.mapInArrow(_rewrite(self.min_chars, names, drops), f"{kinds}, n_lines long, n_dropped long")
         return out.withColumn("text", F.col("text").cast("string"))
 
 
