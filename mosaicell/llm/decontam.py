@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import free_name, materialize, slices
 
 W, MIN_ITEM, RUN = 8, 4, 13
 BROADCAST_WINDOWS = 1_000_000
@@ -241,9 +241,9 @@ def _doc_windows(shapes: tuple[tuple[int, int], ...], index: np.ndarray | None,
         made = _templates(index, vocabulary)
         for batch in batches:
             ids, texts = batch.column("doc_id"), batch.column("text")
-            for start in range(0, len(texts), 512):
+            for start, length in slices(texts, 1 << 20):
                 out = []
-                for owner, position, h, _, form, slots in made.windows(texts.slice(start, 512).to_pylist(), shapes):
+                for owner, position, h, _, form, slots in made.windows(texts.slice(start, length).to_pylist(), shapes):
                     found = np.arange(len(h))
                     if index is not None:
                         place = np.minimum(np.searchsorted(index, h), max(0, len(index) - 1))
@@ -296,5 +296,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, broadcast_windows: int = B
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    leaks = find_leaks(docs, benchmark).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(leaks.hint("merge"), F.col("doc_id").cast("long") == F.col("_leak"), "left_anti")
+    """docs without the rows of a doc_id that is contaminated; rows of a null doc_id are one document."""
+    leak = free_name(docs, "leaking_doc")
+    leaks = find_leaks(docs, benchmark).select(F.col("doc_id").alias(leak)).distinct()
+    return docs.join(leaks.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col(leak)), "left_anti")
