@@ -7,10 +7,12 @@ the cache lacks are encoded, and their counts are appended to it. Copies therefo
 encoding however many there are. Each run appends a folder of its own, so runs at one time do not
 touch each other's files; what both encode is stored twice with the same count.
 
-Inside a task the encoder works on the pieces of a text between single spaces: a byte-level
-pre-tokenizer always starts a new piece at a space between two characters that are not white
-space, so counts add up, and the count of each distinct piece is remembered. Texts in which white
-space meets a space are cut at the other spaces only. The memo is bounded.
+Tokenizers are files of the tokenizers library (.json) or of sentencepiece (.model). A byte-level
+pre-tokenizer with its own pattern always starts a new piece at a space between two characters that
+are not white space, so inside a task the encoder then works on the pieces of a text between single
+spaces: counts add up, and the count of each distinct piece is remembered. Texts in which white
+space meets a space are cut at the other spaces only. The memo is bounded. With any other tokenizer
+(`splits_at_spaces`) whole texts are encoded.
 
 Defined results: null and empty texts have 0 bytes and 0 tokens; repeated rows give a row each;
 a null doc_id stays null; an empty table gives an empty result; further columns are ignored.
@@ -19,6 +21,7 @@ a null doc_id stays null; an empty table gives an empty result; further columns
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import uuid
 from pathlib import Path
@@ -27,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, slices
 
 #: Pieces that a worker remembers before it starts anew, and their greatest length.
 MEMO_PIECES, MEMO_CHARS = 400_000, 64
@@ -40,54 +43,70 @@ def version_of(path: str) -> str:
     return hashlib.sha256(Path(path).read_bytes()).hexdigest()
 
 
+def splits_at_spaces(spec: dict) -> bool:
+    """Whether counts of the pieces between lone spaces add up to the text's, by a tokenizer's json:
+    nothing but a byte-level pre-tokenizer with its own pattern may look at the text before the model,
+    and no added token may reach over a space."""
+    pre = spec.get("pre_tokenizer") or {}
+    plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", True)
+    added = any(re.search(r"\s", t["content"]) or t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in spec.get("added_tokens") or ())
+    return plain and not spec.get("normalizer") and not added
+
+
 def _encoder(path: str, version: str):
+    """The worker's encoder, a function from texts to counts, and its memo or None."""
     if version not in _memos:
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
-        _memos[version] = (tokenizer, {})
+        if path.endswith(".model"):
+            from sentencepiece import SentencePieceProcessor
+
+            pieces = SentencePieceProcessor(model_file=path)
+            _memos[version] = (lambda texts: [len(x) for x in pieces.encode(texts)], None)
+        else:
+            from tokenizers import Tokenizer
+
+            tokenizer = Tokenizer.from_file(path)
+            tokenizer.no_truncation()
+            tokenizer.no_padding()
+            lengths = lambda texts: [len(e) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            _memos[version] = (lengths, {} if splits_at_spaces(json.loads(tokenizer.to_str())) else None)
     return _memos[version]
 
 
 def count_tokens(texts: list[str], path: str, version: str) -> list[int]:
-    tokenizer, memo = _encoder(path, version)
+    lengths, memo = _encoder(path, version)
+    if memo is None:
+        return lengths(texts)
     if len(memo) > MEMO_PIECES:
         memo.clear()
     rows = [text.split(" ") for text in texts]
     heads = [row.pop(0) for row in rows]
     missing = [x for x in set().union(*rows) if x not in memo]
-    counts = _lengths(tokenizer, [" " + x for x in missing])
+    counts = lengths([" " + x for x in missing])
     # None: white space meets the space here, so that its texts can't be cut at every space
     fresh = {x: n if x and not x[0].isspace() and not x[-1].isspace() else None for x, n in zip(missing, counts, strict=True)}
     memo.update(fresh)
     out = []
-    for text, head, row, n in zip(texts, heads, rows, _lengths(tokenizer, heads), strict=True):
+    for text, head, row, n in zip(texts, heads, rows, lengths(heads), strict=True):
         try:
             if row and (not head or head[-1].isspace()):
                 raise TypeError
             out.append(n + sum(map(memo.__getitem__, row)))
         except TypeError:
             first, *rest = CUT.split(text)
-            out.append(sum(_lengths(tokenizer, [first, *[" " + x for x in rest]])))
+            out.append(sum(lengths([first, *[" " + x for x in rest]])))
     for x in fresh:
         if len(x) > MEMO_CHARS:
             del memo[x]
     return out
 
 
-def _lengths(tokenizer, pieces: list[str]) -> list[int]:
-    return [len(e) for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-
-
 def _encode(path: str, version: str):
     def run(batches):
         for batch in batches:
             texts, digests = batch.column("text"), batch.column("digest")
-            for at in range(0, len(texts), 256):
-                part = texts.slice(at, 256).to_pylist()
-                yield pa.RecordBatch.from_arrays([digests.slice(at, 256), pa.array(count_tokens(part, path, version), pa.int64())], ["digest", "n_tokens"])
+            for at, length in slices(texts, 1 << 20):
+                part = texts.slice(at, length).to_pylist()
+                yield pa.RecordBatch.from_arrays([digests.slice(at, length), pa.array(count_tokens(part, path, version), pa.int64())], ["digest", "n_tokens"])
 
     return run
 
