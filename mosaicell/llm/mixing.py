@@ -10,8 +10,8 @@ superset of the documents that a smaller one takes, as the hash does not depend
 Defined results: a null source is a source of its own, last in order; null or empty texts have
 size 0; rows repeated with one doc_id share a hash and are taken alike; an empty table gives an
 empty result; a source without words has target 0. Equal inputs give equal outputs in any order
-of rows or partitions. Columns of the input stay, and those of the result are added; a clashing
-one is replaced.
+of rows or partitions. `mix` adds its columns to the input's and replaces clashing ones; `resample`
+keeps the input's columns alone, whatever their names.
 """
 
 from __future__ import annotations
@@ -88,27 +88,54 @@ def thresholds(sized: DataFrame, goals: DataFrame, n_sources: int) -> DataFrame:
     return state.join(edge, "src", "left").select("src", "source_size", "target", "passes", F.coalesce("last", every).alias("last"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), epochs: float = 1.5, cap: float = 2.0, seed: str = "", key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """docs with size, source_size, target, copies and taken (= copies * size)."""
-    added = ["size", "source_size", "target", "copies", "taken"]
-    docs = docs.drop(*[c for c in added if c not in (key, text, source)])
-    src, h, passes, last = (free_name(docs, x) for x in ("mix_src", "mix_hash", "mix_passes", "mix_last"))
-    marked = F.when(F.col(source).isNull(), F.lit("null")).otherwise(F.concat(F.lit("="), F.col(source).cast("string")))
-    rows = docs.withColumns({src: marked, "size": word_count(F.col(text)), h: id_hash(F.col(key), seed)})
-    sized = materialize(rows.select(F.col(src).alias("src"), F.col(source).alias("source"), "size", F.col(h).alias("h")), "mix-sizes")
+def _source_name(source) -> F.Column:
+    return F.when(source.isNull(), F.lit("null")).otherwise(F.concat(F.lit("="), source.cast("string")))
+
+
+def cuts(docs: DataFrame, size, weights: tuple[int, ...], epochs: float, cap: float, seed: str, key: str, source: str) -> tuple[DataFrame, int]:
+    """src, source_size, target, passes, last of each source, and their number. The text is read
+    once, for `size`."""
+    sized = docs.select(_source_name(F.col(source)).alias("src"), F.col(source).alias("source"), size.alias("size"), id_hash(F.col(key), seed).alias("h"))
+    sized = materialize(sized, "mix-sizes")
     sizes = materialize(sized.groupBy("src", "source").agg(F.sum("size").alias("source_size")), "mix-sources")
     n = sizes.count()
     goals = materialize(targets(sizes, weights, epochs, cap), "mix-goals")
-    cut = materialize(thresholds(sized.drop("source"), goals, n), "mix-cut")
-    out = join_small(rows, cut.withColumnsRenamed({"src": src, "passes": passes, "last": last}), [src], "inner", n)
+    return materialize(thresholds(sized.drop("source"), goals, n), "mix-cut"), n
+
+
+def _copies(docs: DataFrame, cut: DataFrame, n: int, columns: dict[str, str], cap: float, seed: str, key: str, source: str) -> DataFrame:
+    """docs with the number of copies of each row and the named columns of its source's cut."""
+    src, h, passes, last = (free_name(docs, x) for x in ("mix_src", "mix_hash", "mix_passes", "mix_last"))
+    rows = docs.withColumns({src: _source_name(F.col(source)), h: id_hash(F.col(key), seed)})
+    names = {"src": src, "passes": passes, "last": last} | columns
+    out = join_small(rows, cut.select(*[F.col(a).alias(b) for a, b in names.items() if a != "copies"]), [src], "inner", n)
     copies = F.least(F.col(passes) + (F.col(h) <= F.col(last)).cast("long"), F.lit(int(cap)).cast("long"))
-    return out.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size")).drop(src, h, passes, last)
+    return out.withColumn(columns["copies"], copies).drop(src, h, passes, last)
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), epochs: float = 1.5, cap: float = 2.0, seed: str = "", key: str = "doc_id", text: str = "text", source: str = "source", words: str | None = None) -> DataFrame:
+    """docs with size, source_size, target, copies and taken (= copies * size).
+
+    words: a column that has the sizes already; the text is then not read."""
+    added = ["size", "source_size", "target", "copies", "taken"]
+    size = F.col(words) if words else word_count(F.col(text))
+    docs = docs.drop(*[c for c in added if c not in (key, text, source, words)]).withColumn("size", size)
+    cut, n = cuts(docs, F.col("size"), weights, epochs, cap, seed, key, source)
+    out = _copies(docs, cut, n, {x: x for x in ("source_size", "target", "copies")}, cap, seed, key, source)
+    return out.withColumn("taken", F.col("copies") * F.col("size"))
+
+
+def resample(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), epochs: float = 1.5, cap: float = 2.0, seed: str = "", key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The rows of docs, each as often as the mix takes it, with the columns of docs alone."""
+    cut, n = cuts(docs, word_count(F.col(text)), weights, epochs, cap, seed, key, source)
+    copies = free_name(docs, "mix_copies")
+    return expand(_copies(docs, cut, n, {"copies": copies}, cap, seed, key, source), copies).drop(copies)
 
 
-def expand(mixed: DataFrame) -> DataFrame:
+def expand(mixed: DataFrame, copies: str = "copies") -> DataFrame:
     """Each document as often as it is taken."""
     one = free_name(mixed, "mix_copy")
-    return mixed.withColumn(one, F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).drop(one)
+    return mixed.withColumn(one, F.explode(F.array_repeat(F.lit(1), F.col(copies).cast("int")))).drop(one)
 
 
 ORACLE = r"""

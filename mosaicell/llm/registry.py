@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat_format, decontam, line_dedup, media, mixing, ngram_join, sharding, token_counts, toxicity, url_filter
-from .common import shared_dir, table
+from .common import materialize, shared_dir, table
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +66,9 @@ def op9_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    # only the sizes go on, so each text is read and counted once
+    sized = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("words"))
+    mixed = mixing.mix(materialize(sized, "mixing-words"), words="words")
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
