@@ -1,9 +1,9 @@
 """URL verdicts by host and path rules, and gradient-boosted trees elsewhere. DataFrame operations only.
 
-Training is by histograms: the labelled URLs (a bounded sample, TRAIN_ROWS of each label by hash)
-become bins of lexical features, equal rows are merged with their counts, and each level of each
-tree is one aggregation of gradients by node, feature and bin; the driver sees those sums alone
-and picks the splits. A fitted model is a sum of CASE expressions, so scoring is a projection of
+Training is by histograms: the labelled URLs (a bounded sample, TRAIN_ROWS of each label by hash,
+each label weighted to its number among all labelled URLs) become bins of lexical features, equal
+rows are merged with their weights, and each level of each tree is one aggregation of gradients by
+node, feature and bin; the driver sees those sums alone and picks the splits. A fitted model is a sum of CASE expressions, so scoring is a projection of
 the pages with no shuffle.
 
 Features: lengths of url, host and path, depth, digit ratio, host entropy, hyphens and labels of
@@ -29,8 +29,6 @@ from .common import join_small, materialize
 
 #: (verdict, host, path)
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-#: Words in a host by which a blocklist's owner marks junk sites.
-JUNK_TERMS = ("adult", "ads-", "bets", "casino", "cheap", "pills", "porn", "spam", "viagra", "xxx")
 TRAIN_ROWS = 20_000
 TREES, DEPTH, BINS, RATE, RIDGE, LEAST_HESSIAN = 10, 2, 12, 0.4, 1.0, 1.0
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -116,16 +114,19 @@ class Boosted:
 SUFFIX_ROWS = 1000
 
 
-def labelled_urls(pages: DataFrame, labels: DataFrame, terms=JUNK_TERMS) -> DataFrame:
-    """url, label: 1 for hosts with a junk term, 0 for other pages of a document of good quality.
+def document_of(url) -> F.Column:
+    """The number of the document that a page serves: the last of its path, or null."""
+    return F.regexp_extract(url_parts(url)[1], "([0-9]{1,18})(?:[.][a-z]+)?/?$", 1).try_cast("long")
 
-    A page serves the document whose number ends its path."""
-    host, path = url_parts(F.col("url"))
-    junk = reduce(lambda a, t: a | F.contains(host, F.lit(t)), terms, F.lit(False))
-    rows = pages.select("url", junk.alias("junk"), F.regexp_extract(path, "([0-9]{1,18})(?:[.][a-z]+)?/?$", 1).try_cast("long").alias("doc"))
-    good = labels.filter("quality = 1").select(F.col("doc_id").alias("doc")).distinct()
-    bad = rows.filter("junk").select("url", F.lit(1).alias("label"))
-    return bad.unionByName(rows.filter("NOT junk").join(good.hint("merge"), "doc", "left_semi").select("url", F.lit(0).alias("label")))
+
+def labelled_urls(pages: DataFrame, labels: DataFrame) -> DataFrame:
+    """url, label of the pages whose document is labelled: 1 if it is toxic or of bad quality, else 0.
+
+    labels(doc_id, quality, toxic); a document of several rows is bad if one says so, and rows
+    without either label say nothing."""
+    bad = (F.coalesce(F.col("toxic") == 1, F.lit(False)) | F.coalesce(F.col("quality") == 0, F.lit(False))).cast("int")
+    known = labels.filter("doc_id IS NOT NULL AND (toxic IS NOT NULL OR quality IS NOT NULL)").groupBy(F.col("doc_id").alias("doc")).agg(F.max(bad).alias("label"))
+    return pages.select("url", document_of(F.col("url")).alias("doc")).join(known.hint("merge"), "doc").select("url", "label")
 
 
 def train(labelled: DataFrame, trees: int = TREES, depth: int = DEPTH) -> Boosted:
@@ -146,14 +147,16 @@ def train(labelled: DataFrame, trees: int = TREES, depth: int = DEPTH) -> Booste
         model.suffix_table = every.select(F.col("s").alias("_suffix"), F.col("n").cast("double").alias("suffix_count"), mean.alias("suffix_mean"))
         model.suffix_rows = n_suffixes
         model.overall = model.suffix_table.agg(F.sum(F.col("suffix_count") * F.col("suffix_mean")) / total).first()[0]
-    total, hits = rows.agg(F.count("*"), F.sum("label")).first()
+    # a label of which the sample has a part only counts as often as among all labelled urls
+    sampled, sampled_hits = rows.agg(F.count("*"), F.sum("label")).first()
+    weight = F.when(F.col("label") == 1, hits / max(1, sampled_hits)).otherwise((total - hits) / max(1, sampled - sampled_hits))
     names = [*own, "suffix_count", "suffix_mean"]
     rows = model.with_suffixes(rows)
     cuts = rows.agg(*[F.percentile_approx(n, [k / BINS for k in range(1, BINS)], 1000).alias(n) for n in names]).first()
     edges = {n: sorted(set(cuts[n])) for n in names}
     # rows of equal bins are one row with counts
     binned = {n: reduce(lambda a, e, n=n: a + (F.col(n) > e).cast("int"), edges[n], F.lit(0)) for n in names}
-    rows = materialize(rows.groupBy(*[binned[n].alias(n) for n in names]).agg(F.count("*").alias("n"), F.sum("label").alias("y")), "url-bins")
+    rows = materialize(rows.groupBy(*[binned[n].alias(n) for n in names]).agg(F.sum(weight).alias("n"), F.sum(weight * F.col("label")).alias("y")), "url-bins")
     bins = {n: F.col(n) for n in names}
     model.base = math.log(hits / (total - hits))
     inner = Boosted(model.base)  # the same trees, over bins
