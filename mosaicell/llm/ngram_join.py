@@ -16,12 +16,16 @@ which is similarity 0.8.
 4. Delta pairs. Two members x, r of one hub h that aren't both linked to h may link all the same.
    With D(x) the symmetric difference of x and h, |x ^ r| = |D(x)| + |D(r)| - 2 |D(x) & D(r)|, so
    they have to share enough of their differences; a prefix join on the rare grams of these small
-   sets finds every such pair, and its overlap is counted by fragments again.
+   sets finds every such pair, and its overlap is counted by fragments again. Only pairs of two
+   components of the star links matter: grams whose documents are all of one component are dropped,
+   and of the others' documents only those outside the gram's largest component are compared with
+   the rest.
 5. Components, by the least label over links.
 
-So a group of G near copies costs about G comparisons, not G * G / 2, and no link between two
-components is lost. Links within a component may go unlisted: `links` has enough of them to
-connect each component.
+So a group of G near copies costs about G comparisons, not G * G / 2, as long as the stars join most
+of it, and no link between two components is lost. Documents that share their differences from a
+hub and are linked neither to it nor, by any hub, with each other are compared in pairs. Links
+within a component may go unlisted: `links` has enough of them to connect each component.
 
 Defined results: null texts and texts without words have an empty set and link with nothing;
 fewer words than a gram form one gram; repeated rows and copies share a class; rows with a null
@@ -37,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, remove
+from .common import free_name, materialize, remove, slices
 
 N = 5
 FRAGMENTS = 8
@@ -76,11 +80,17 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))
 
 
+def _sliced(batches):
+    for batch in batches:
+        for start, length in slices(batch.column("text")):
+            yield batch.slice(start, length)
+
+
 def _profiles(n: int):
     """Of each document: the set's size, a 128-bit fingerprint and the prefix in hash order."""
 
     def run(batches):
-        for batch in batches:
+        for batch in _sliced(batches):
             sets = [gram_set(t, n) for t in batch.column("text").to_pylist()]
             prints = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), ">i8").astype(np.int64).reshape(-1, 2)
             sizes = np.array([len(s) for s in sets], np.int64)
@@ -95,7 +105,7 @@ def _profiles(n: int):
 
 def _sets(n: int):
     def run(batches):
-        for batch in batches:
+        for batch in _sliced(batches):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _lists([gram_set(t, n) for t in batch.column("text").to_pylist()])], ["doc_id", "grams"])
 
     return run
@@ -196,38 +206,43 @@ def jaccard_classes(docs: DataFrame, n: int = N) -> tuple[DataFrame, DataFrame,
     links = stars.filter("linked").select("a", "b", "shared")
 
     # delta pairs: ninefold sizes keep the sums whole
+    known = components(links) if links.limit(1).count() else spark.createDataFrame([], "node long, component long")
     deltas = stars.select(
         F.col("a").alias("hub"), F.col("b").alias("doc"), "linked", F.col("nb").alias("n"),
         (9 * (F.col("na") + F.col("nb") - 2 * F.col("shared")) - F.col("nb") - 9 * (F.col("na") - F.col("ma"))).alias("e9"),
         (F.col("na") - 9 * (F.col("na") - F.col("ma"))).alias("free9"),
         F.concat(F.transform("only_a", lambda g: F.struct(F.lit(0).alias("side"), g.alias("gram"))), F.transform("only_b", lambda g: F.struct(F.lit(1).alias("side"), g.alias("gram")))).alias("delta"),
     )
+    # comp and home: the star components of the document and of its hub
+    for of, name in (("doc", "comp"), ("hub", "home")):
+        deltas = deltas.join(known.select(F.col("node").alias(of), F.col("component").alias(name)).hint("merge"), of, "left").withColumn(name, F.coalesce(name, of))
     deltas = materialize(deltas, "deltas")
-    tokens = deltas.select("hub", "doc", "linked", "n", "e9", "free9", F.explode("delta").alias("d")).select("hub", "doc", "linked", "n", "e9", "free9", "d.side", "d.gram")
+    own = ["hub", "doc", "comp", "linked", "n", "e9", "free9"]
+    tokens = deltas.select(*own, F.explode("delta").alias("d")).select(*own, "d.side", "d.gram")
     key = ["hub", "side", "gram"]
-    local = tokens.groupBy(*key).agg(F.count("*").alias("df"), F.sum((~F.col("linked")).cast("int")).alias("open")).filter("df > 1 AND open > 0")
-    local = materialize(local, "local")
-    ranked = tokens.join(local.select(*key, "df").hint("merge"), key).groupBy("hub", "doc", "linked", "n", "e9", "free9").agg(F.sort_array(F.collect_list(F.struct("df", "side", "gram"))).alias("ranked"))
+    counted = tokens.groupBy(*key, "comp").agg(F.count("*").alias("n"), F.sum((~F.col("linked")).cast("int")).alias("open"))
+    local = counted.groupBy(*key).agg(F.sum("n").alias("df"), F.sum("open").alias("open"), F.count("*").alias("comps"), F.max(F.struct("n", "comp")).alias("top"))
+    local = materialize(local.filter("comps > 1 AND open > 0").select(*key, "df", F.col("top.comp").alias("major")), "local")
+    ranked = tokens.join(local.hint("merge"), key).groupBy(*own).agg(F.sort_array(F.collect_list(F.struct("df", "side", "gram", "major"))).alias("ranked"))
     # what any partner that isn't linked to the hub asks for, at least; an unlinked one asks for
     # e - |partner| / 9 too, with a partner of at most 1.25 times the size
     least = F.ceil((F.col("e9") + F.col("free9") + 1) / 18)
     least = F.greatest(F.lit(1), F.when(F.col("linked"), least).otherwise(F.ceil((F.col("e9") - F.col("n") * 5 / 4) / 9)))
     chosen = ranked.withColumn("top", F.size("ranked") - least.cast("int") + 1).filter("top > 0")
-    chosen = chosen.select("hub", "doc", "linked", "e9", F.size("ranked").alias("size"), F.posexplode(F.slice("ranked", F.lit(1), F.col("top"))).alias("at", "d"))
-    chosen = materialize(chosen.select("hub", "doc", "linked", "e9", (F.col("size") - F.col("at")).alias("rest"), "d.side", "d.gram"), "chosen")
-    far = chosen.filter("NOT linked").select(*key, F.col("doc").alias("b"), F.col("e9").alias("eb"), F.col("rest").alias("rb"))
-    # at its first common gram a pair that links has as many grams left as it must share
-    met = chosen.select(*key, F.col("doc").alias("a"), "linked", F.col("e9").alias("ea"), F.col("rest").alias("ra")).join(far.hint("merge"), key)
-    met = met.filter("a <> b AND (linked OR a < b) AND 18 * ra >= ea + eb AND 18 * rb >= ea + eb").select("a", "b")
+    chosen = chosen.select("hub", "doc", "comp", "linked", "e9", F.size("ranked").alias("size"), F.posexplode(F.slice("ranked", F.lit(1), F.col("top"))).alias("at", "d"))
+    chosen = materialize(chosen.select("hub", "doc", "comp", "linked", "e9", (F.col("size") - F.col("at")).alias("rest"), "d.side", "d.gram", "d.major"), "chosen")
+    side = lambda s: [F.col(c).alias(f"{c}{s}") for c in ("comp", "linked", "e9", "rest")]
+    minor = chosen.filter("comp <> major").select(*key, F.col("doc").alias("b"), *side("b"))
+    every = chosen.select(*key, F.col("doc").alias("a"), (F.col("comp") == F.col("major")).alias("major"), *side("a"))
+    # at its first common gram a pair that links has as many grams left as it must share; two that
+    # are both outside the largest component meet once
+    met = every.join(minor.hint("merge"), key).filter("compa <> compb AND NOT (linkeda AND linkedb) AND (major OR a < b) AND 18 * resta >= e9a + e9b AND 18 * restb >= e9a + e9b").select("a", "b")
     # pairs that may link without sharing any difference
-    loose = deltas.filter(F.col("e9") + F.col("free9") < 0).select("hub", F.col("doc").alias("a"), F.col("e9").alias("ea"))
-    met = met.unionByName(loose.join(deltas.filter("NOT linked").select("hub", F.col("doc").alias("b"), F.col("e9").alias("eb")).hint("merge"), "hub").filter("a <> b AND ea + eb <= 0").select("a", "b"))
-    known = components(links) if links.limit(1).count() else None
+    loose = deltas.filter(F.col("e9") + F.col("free9") < 0).select("hub", F.col("doc").alias("a"), F.col("comp").alias("compa"), F.col("e9").alias("ea"), "linked")
+    open_ones = deltas.filter("NOT linked").select("hub", F.col("doc").alias("b"), F.col("comp").alias("compb"), F.col("e9").alias("eb"), "home")
+    for some, others in ((loose.filter("linked"), open_ones.filter("compb <> home")), (loose.filter("NOT linked"), open_ones)):
+        met = met.unionByName(some.drop("linked").join(others.drop("home").hint("merge"), "hub").filter("compa <> compb AND ea + eb <= 0").select("a", "b"))
     met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    if known is not None:
-        for c in "ab":
-            met = met.join(known.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")).hint("merge"), c, "left")
-        met = met.filter("NOT coalesce(ca = cb, false)").select("a", "b")
     met = met.join(by_a.hint("merge"), "a").join(by_b.hint("merge"), "b").filter("5 * na >= 4 * nb AND 5 * nb >= 4 * na")
     met = materialize(met, "met")
     more = _overlaps(met.select("a", "b"), segments, deltas=False).join(met.select("a", "b", "na", "nb").hint("merge"), ["a", "b"]).filter(_linked(F.col("shared"), F.col("na"), F.col("nb")))
@@ -264,6 +279,6 @@ def _labels(profiles: DataFrame, groups: DataFrame) -> DataFrame:
 
 def keep_first(docs: DataFrame, n: int = N) -> DataFrame:
     """One row of each component: a row of its smallest doc_id. Rows without doc_id or words stay."""
-    labels = label(docs, n).filter("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(labels.hint("merge"), F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
-    return kept
+    dropped = free_name(docs, "near_copy")
+    labels = label(docs, n).filter("component_id <> doc_id").select(F.col("doc_id").alias(dropped)).distinct()
+    return docs.join(labels.hint("merge"), F.col("doc_id").cast("long") == F.col(dropped), "left_anti")
