@@ -4,11 +4,12 @@ An image is an 8-bit binary PGM (P5). On each level of a halving pyramid, corner
 maxima of the Harris response; a corner's orientation is that of its patch's intensity centroid,
 and 128 intensity comparisons, rotated to it, make the descriptor. Equal bytes are collapsed to
 one representative first. Representatives meet in four Hamming tables, one for each 32 bits of
-the descriptor (any two descriptors within 3 bits meet, most within 20 do); matches within
-MAX_BITS vote for the scale, rotation and shift that map one image to the other, in two shifted
-grids, and MIN_INLIERS votes for one transformation, and MIN_SHARE of the smaller image's
-corners, link the images. So crops, scaled by two or
-rotated copies and edits of a part are found as long as enough corners survive.
+the descriptor (any two descriptors within 3 bits meet, most within 10 do); two images with a word
+in common whose descriptors are within MAX_BITS are a candidate pair. Then all corners of the two
+are compared: descriptors within MAX_BITS vote for the scale, rotation and shift that map one image
+to the other, in two shifted grids, and MIN_INLIERS votes for one transformation, and MIN_SHARE of
+the smaller image's corners, link the images. So crops, scaled by two or rotated copies and edits
+of a part are found as long as enough corners survive.
 
 All corners take part, and in each table entry all images are compared with each other: a group
 of G copies costs about G * G / 2 comparisons. Each image gets the least id of its component;
@@ -28,10 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, slices
 from .ngram_join import components
 
-LEVELS, RADIUS, BITS, ANGLES = 2, 7, 128, 32
+LEVELS, RADIUS, BITS, ANGLES = 2, 9, 128, 32
+#: Pixels by which the two points of a test may differ along the corner's direction, and must differ across it.
+ALONG, ACROSS = 3, 4
 RELATIVE_RESPONSE = 0.02
 MAX_BITS, MIN_INLIERS, MIN_SHARE, GRID = 32, 4, 0.15, 6
 _HEADER = re.compile(rb"P5\s+(\d+)\s+(\d+)\s+255\s")
@@ -51,9 +54,16 @@ def decode_pgm(media: bytes | None) -> np.ndarray | None:
 
 
 def _pattern() -> np.ndarray:
-    """ANGLES x BITS x 2 points x (dy, dx): one random pattern, turned to each angle."""
-    rng = np.random.default_rng(12)
-    points = np.clip(rng.normal(0, RADIUS / 2.2, (BITS, 2, 2)), -RADIUS * 0.68, RADIUS * 0.68)
+    """ANGLES x BITS x 2 points x (dy, dx): one random pattern, turned to each angle.
+
+    The points of a test lie beside each other, seen along the corner's direction: brightness rises
+    that way in every patch, so a test along it would come out alike for most corners."""
+    rng, tests = np.random.default_rng(12), []
+    while len(tests) < BITS:
+        one, two = rng.integers(1 - RADIUS, RADIUS, (2, 2))
+        if max(one @ one, two @ two) <= (RADIUS - 1) ** 2 and abs(one[1] - two[1]) <= ALONG and abs(one[0] - two[0]) >= ACROSS:
+            tests.append((one, two))
+    points = np.array(tests, float)
     turn = np.arange(ANGLES) * 2 * np.pi / ANGLES
     c, s = np.cos(turn)[:, None, None], np.sin(turn)[:, None, None]
     y, x = points[None, ..., 0], points[None, ..., 1]
@@ -61,7 +71,7 @@ def _pattern() -> np.ndarray:
 
 
 PATTERN = _pattern()
-_DISC = np.array([(y, x) for y in range(-6, 7) for x in range(-6, 7) if y * y + x * x <= 36])
+_DISC = np.array([(y, x) for y in range(1 - RADIUS, RADIUS) for x in range(1 - RADIUS, RADIUS) if y * y + x * x <= (RADIUS - 1) ** 2])
 
 
 def _blur(x: np.ndarray) -> np.ndarray:
@@ -108,33 +118,89 @@ def describe(stack: np.ndarray):
     return [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 7
 
 
-COLUMNS = ("x", "y", "level", "angle", "d1", "d2")
-
-
 def _corners(batches):
+    """node, and of its corners d1, d2 and their place: x, y, level and angle in one long."""
     for batch in batches:
-        ids = batch.column("node")
-        for start in range(0, len(ids), 256):
+        ids, media = batch.column("node"), batch.column("media")
+        for start, length in slices(media):
             shapes: dict[tuple, list[int]] = {}
-            images = [decode_pgm(m) for m in batch.column("media").slice(start, 256).to_pylist()]
+            images = [decode_pgm(m) for m in media.slice(start, length).to_pylist()]
             for k, image in enumerate(images):
                 if image is not None:
                     shapes.setdefault(image.shape, []).append(k)
             for own in shapes.values():
-                n, *values = describe(np.stack([images[k] for k in own]))
-                where = pa.array(start + np.array(own, np.int64)[n])
-                yield pa.RecordBatch.from_arrays([ids.take(where), *(pa.array(v.astype(np.int64)) for v in values)], ["node", *COLUMNS])
+                n, x, y, level, angle, d1, d2 = describe(np.stack([images[k] for k in own]))
+                place = (x << 36) + (y << 12) + (level << 6) + angle
+                order = np.argsort(n, kind="stable")
+                ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(n, minlength=len(own)))]).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(ends, pa.array(c[order].astype(np.int64))) for c in (d1, d2, place)]
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(start + np.array(own, np.int64))), *lists], ["node", "d1", "d2", "place"])
 
 
-def _packed() -> F.Column:
-    """x, y, level and angle in one long."""
-    at = lambda c, k: F.shiftleft(F.col(c), k)
-    return at("x", 36) + at("y", 12) + at("level", 6) + F.col("angle")
+CORNERS = "node long, d1 array<long>, d2 array<long>, place array<long>"
+_PLACE = ((36, 24), (12, 24), (6, 6), (0, 6))
 
 
-def _unpacked(column: str) -> list[F.Column]:
-    part = lambda k, bits: F.shiftright(column, k).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
-    return [part(36, 24), part(12, 24), part(6, 6), part(0, 6)]
+def _votes(p: np.ndarray, q: np.ndarray, pair: np.ndarray, own: np.ndarray, pairs: int) -> np.ndarray:
+    """Of each pair, the most corners that agree on one way from p to q (rows x, y, level, angle)."""
+    turn = (q[3] - p[3]) % ANGLES
+    # copies are mostly upright or turned by a right angle; one step aside is noise of the angle
+    quarter = (turn + 1) // (ANGLES // 4) * (ANGLES // 4)
+    turn = np.where(abs(turn - quarter) <= 1, quarter, turn) % ANGLES
+    angle, scale = turn * (2 * np.pi / ANGLES), 2.0 ** (q[2] - p[2])
+    dx = q[0] - scale * (np.cos(angle) * p[0] - np.sin(angle) * p[1])
+    dy = q[1] - scale * (np.sin(angle) * p[0] + np.cos(angle) * p[1])
+    best = np.zeros(pairs, np.int64)
+    for shift in (0.0, 0.5):
+        cell = [pair, q[2] - p[2], np.floor(turn / 4 + shift), np.floor(dx / GRID + shift), np.floor(dy / GRID + shift)]
+        # a corner has one vote in a cell, however many corners of the other image it fits
+        votes = np.unique(np.stack([*cell, own], 1).astype(np.int64), axis=0)
+        cells, counts = np.unique(votes[:, :-1], axis=0, return_counts=True)
+        np.maximum.at(best, cells[:, 0], counts)
+    return best
+
+
+def _verify(batches):
+    """a, b and their corners -> the pairs whose corners agree on a transformation."""
+    for batch in batches:
+        own = {}
+        for c in ("d1", "d2", "place"):
+            for s in "ab":
+                col = batch.column(f"{c}{s}")
+                own[c, s] = (col.flatten().to_numpy(), np.concatenate([[0], np.cumsum(col.value_lengths().to_numpy())]))
+        sizes = {s: np.diff(own["d1", s][1]) for s in "ab"}
+        found: list[list[np.ndarray]] = [[], [], []]
+        for k in range(len(batch)):
+            part = {key: values[ends[k] : ends[k + 1]] for key, (values, ends) in own.items()}
+            apart = sum(np.bitwise_count(part[d, "a"][:, None] ^ part[d, "b"][None]).astype(np.int16) for d in ("d1", "d2"))
+            i, j = np.nonzero(apart <= MAX_BITS)
+            for out, x in zip(found, (np.full(len(i), k), i + own["d1", "a"][1][k], j + own["d1", "b"][1][k]), strict=True):
+                out.append(x)
+        pair, i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in found)
+        p, q = (np.stack([(own["place", s][0][at] >> shift) & ((1 << bits) - 1) for shift, bits in _PLACE]) for s, at in (("a", i), ("b", j)))
+        best = np.maximum(_votes(p, q, pair, i, len(batch)), _votes(q, p, pair, j, len(batch)))
+        good = pa.array((best >= MIN_INLIERS) & (best >= MIN_SHARE * np.minimum(sizes["a"], sizes["b"])))
+        yield pa.RecordBatch.from_arrays([batch.column("a").filter(good), batch.column("b").filter(good)], ["a", "b"])
+
+
+def links(corners: DataFrame) -> DataFrame:
+    """corners(node, d1, d2, place) -> a, b of the linked images, a < b."""
+    low = lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF))
+    bands = F.array(F.shiftrightunsigned("c.d1", 32), low("c.d1"), F.shiftrightunsigned("c.d2", 32), low("c.d2"))
+    each = corners.select("node", F.posexplode(F.arrays_zip("d1", "d2")).alias("at", "c"))
+    words = each.select("node", "at", F.posexplode(bands).alias("band", "word"))
+    words = words.select((F.shiftleft(F.col("band").cast("long"), 32) + F.col("word")).alias("key"), "node", "at")
+    # a word of one image only meets nothing; all images of the others meet each other
+    several = words.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first < last").select("key")
+    shared = materialize(words.join(several.hint("merge"), "key", "left_semi"), "media-words")
+    shared = shared.join(corners.select("node", "d1", "d2").hint("merge"), "node").select("key", "node", F.col("d1")[F.col("at")].alias("d1"), F.col("d2")[F.col("at")].alias("d2"))
+    left, right = (shared.select("key", *[F.col(c).alias(f"{c}{s}") for c in ("node", "d1", "d2")]) for s in "ab")
+    apart = F.bit_count(F.col("d1a").bitwiseXOR(F.col("d1b"))) + F.bit_count(F.col("d2a").bitwiseXOR(F.col("d2b")))
+    met = left.join(right.hint("merge"), "key").filter((F.col("nodea") < F.col("nodeb")) & (apart <= MAX_BITS))
+    pairs = met.select(F.col("nodea").alias("a"), F.col("nodeb").alias("b")).distinct()
+    for s in "ab":
+        pairs = pairs.join(corners.select(F.col("node").alias(s), *[F.col(c).alias(f"{c}{s}") for c in ("d1", "d2", "place")]).hint("merge"), s)
+    return pairs.mapInArrow(_verify, "a long, b long")
 
 
 def copies(media: DataFrame) -> DataFrame:
@@ -143,83 +209,51 @@ def copies(media: DataFrame) -> DataFrame:
     firsts = rows.filter("id IS NOT NULL AND digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("node"))
     unique = rows.join(firsts.select("node", F.col("digest").alias("own")).hint("merge"), (F.col("id") == F.col("node")) & (F.col("digest") == F.col("own")))
     unique = unique.groupBy("node").agg(F.first("media").alias("media"))
-    corners = materialize(unique.mapInArrow(_corners, "node long, " + ", ".join(f"{c} long" for c in COLUMNS)), "media-corners")
-    low = lambda c: (F.col(c) if isinstance(c, str) else c).bitwiseAND(F.lit(0xFFFFFFFF))
-    bands = F.array(F.shiftrightunsigned("d1", 32), low("d1"), F.shiftrightunsigned("d2", 32), low("d2"))
-    words = corners.select("node", "d1", "d2", _packed().alias("place"), F.posexplode(bands).alias("band", "word"))
-    words = words.select("node", "d1", "d2", "place", (F.shiftleft(F.col("band").cast("long"), 32) + F.col("word")).alias("key"))
-    # a word of one image only meets nothing; all images of the others meet each other
-    several = words.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first < last").select("key")
-    shared = materialize(words.join(several.hint("merge"), "key", "left_semi"), "media-words")
-    left, right = (shared.select("key", *[F.col(c).alias(f"{c}{s}") for c in ("node", "d1", "d2", "place")]) for s in "ab")
-    apart1, apart2 = F.col("d1a").bitwiseXOR(F.col("d1b")), F.col("d2a").bitwiseXOR(F.col("d2b"))
-    close = F.bit_count(apart1) + F.bit_count(apart2) <= MAX_BITS
-    # two corners that agree in several words meet in the first of these only
-    band = F.shiftright("key", 32)
-    differ = (F.shiftrightunsigned(apart1, 32) != 0, low(apart1) != 0, F.shiftrightunsigned(apart2, 32) != 0)
-    once = F.lit(True)
-    for k, other in enumerate(differ):
-        once &= (band <= k) | other
-    met = left.join(right.hint("merge"), "key").filter((F.col("nodea") < F.col("nodeb")) & close & once).select("nodea", "nodeb", "placea", "placeb")
-    # one shuffle brings all that two images share together; pairs that cannot have the votes end here
-    pairs = met.repartition("nodea", "nodeb").groupBy("nodea", "nodeb").agg(F.collect_list(F.struct("placea", "placeb")).alias("met"))
-    corners_of = lambda c: F.size(F.array_distinct(F.col(f"met.{c}")))
-    pairs = pairs.filter(F.greatest(corners_of("placea"), corners_of("placeb")) >= MIN_INLIERS).select("nodea", "nodeb", F.explode("met").alias("m"))
-    # votes for the way from a to b and for the way back
-    ways = F.explode(F.array(F.struct("m.placea", "m.placeb", F.lit(0).alias("way")), F.struct(F.col("m.placeb").alias("placea"), F.col("m.placea").alias("placeb"), F.lit(1).alias("way")))).alias("m")
-    met = pairs.select("nodea", "nodeb", ways).select("nodea", "nodeb", "m.*")
-    (xa, ya, la, aa), (xb, yb, lb, ab) = _unpacked("placea"), _unpacked("placeb")
-    da = F.pmod(ab - aa, F.lit(ANGLES))
-    # copies are mostly upright or turned by a right angle; one step aside is noise of the angle
-    quarter = F.floor((da + 1) / (ANGLES // 4)) * (ANGLES // 4)
-    da = F.pmod(F.when(F.abs(da - quarter) <= 1, quarter).otherwise(da), F.lit(ANGLES))
-    turn = da * (2 * np.pi / ANGLES)
-    scale = F.pow(F.lit(2.0), lb - la)
-    dx = xb - scale * (F.cos(turn) * xa - F.sin(turn) * ya)
-    dy = yb - scale * (F.sin(turn) * xa + F.cos(turn) * ya)
-    grid = F.explode(F.array(F.lit(0.0), F.lit(0.5))).alias("grid")
-    votes = met.select("nodea", "nodeb", "way", "placea", (lb - la).alias("ds"), da.alias("da"), dx.alias("dx"), dy.alias("dy"), grid)
-    place = [F.floor(F.col("da") / 4 + F.col("grid")).alias("da"), F.floor(F.col("dx") / GRID + F.col("grid")).alias("dx"), F.floor(F.col("dy") / GRID + F.col("grid")).alias("dy")]
-    # a corner has one vote: each corner of the image that the way starts from counts once
-    cells = votes.groupBy("nodea", "nodeb", "way", "grid", "ds", *place).agg(F.size(F.collect_set("placea")).alias("n"))
-    inliers = cells.groupBy("nodea", "nodeb").agg(F.max("n").alias("n")).filter(F.col("n") >= MIN_INLIERS)
-    counts = materialize(corners.groupBy("node").agg(F.count("*").alias("n_corners")), "media-counts")
-    for c in "ab":
-        inliers = inliers.join(counts.select(F.col("node").alias(f"node{c}"), F.col("n_corners").alias(f"n{c}")).hint("merge"), f"node{c}")
-    enough = F.col("n") >= MIN_SHARE * F.least("na", "nb")
-    links = materialize(inliers.filter(enough).select(F.col("nodea").alias("a"), F.col("nodeb").alias("b")), "media-links")
-    groups = components(links)
-    ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
-    classes = firsts.join(groups.hint("merge"), "node", "left").join(ends.hint("merge"), "node", "left").join(counts.hint("merge"), "node", "left")
+    corners = materialize(unique.mapInArrow(_corners, CORNERS), "media-corners")
+    linked = materialize(links(corners), "media-links")
+    groups = components(linked)
+    ends = linked.select(F.col("a").alias("node")).unionByName(linked.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
+    classes = firsts.join(groups.hint("merge"), "node", "left").join(ends.hint("merge"), "node", "left")
+    classes = classes.join(corners.select("node", F.size("d1").alias("n_corners")).hint("merge"), "node", "left")
     classes = classes.select("digest", F.coalesce("component", "node").alias("class_id"), *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_links", "n_corners")])
     out = rows.select("id", "digest").join(classes.hint("merge"), "digest", "left")
     return out.select("id", F.coalesce("class_id", "id").alias("class_id"), *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_links", "n_corners")])
 
 
-#: Rendering of vectors: a square tile of values, smoothly enlarged ENLARGE times, grey by the largest value.
-ENLARGE = 6
+#: Rendering of vectors: the side of a picture, and the grey levels of one standard deviation.
+SIDE, CONTRAST = 56, 40
+_textures: dict[int, np.ndarray] = {}
+
+
+def _textures_of(n: int) -> np.ndarray:
+    """n fixed textures of SIDE * SIDE pixels, each from a seed of its own; kept for one n."""
+    if n not in _textures:
+        _textures.clear()
+        noise = np.stack([np.random.default_rng((9, k)).normal(0, 1, (SIDE + 2, SIDE + 2)) for k in range(n)])
+        x = (noise[:, :-2] + noise[:, 1:-1] + noise[:, 2:]) / 3
+        x = (x[:, :, :-2] + x[:, :, 1:-1] + x[:, :, 2:]) / 3
+        x -= x.mean((1, 2), keepdims=True)
+        _textures[n] = (x / x.std((1, 2), keepdims=True)).reshape(n, -1).astype(np.float32)
+    return _textures[n]
+
+
+def draw(vector) -> bytes | None:
+    """The sum of the textures, each as strong as the vector's value for it: pictures correlate as
+    their vectors do. None for a null or empty vector and for one with a value that is no number."""
+    v = np.array([np.nan if x is None else x for x in (() if vector is None else vector)], np.float64)
+    if not len(v) or not np.isfinite(v).all():
+        return None
+    size = np.abs(v).max()
+    v = v / size if size else v
+    v = v / (np.linalg.norm(v) or 1.0)
+    return encode_pgm(np.rint(np.clip(128 + CONTRAST * (v.astype(np.float32) @ _textures_of(len(v))), 0, 255)).reshape(SIDE, SIDE))
 
 
 def _render(batches):
     for batch in batches:
-        out = []
-        for v in batch.column("vector").to_pylist():
-            side = int(len(v or ()) ** 0.5)
-            if not side or any(x is None or x != x for x in v[: side * side]):
-                out.append(None)
-                continue
-            tile = np.array(v[: side * side], np.float32).reshape(side, side)
-            grid = np.clip((np.arange(side * ENLARGE) + 0.5) / ENLARGE - 0.5, 0, side - 1)
-            low = np.minimum(grid.astype(int), max(0, side - 2))
-            part = (grid - low).astype(np.float32)
-            high = np.minimum(low + 1, side - 1)
-            big = tile[low] * (1 - part)[:, None] + tile[high] * part[:, None]
-            big = big[:, low] * (1 - part) + big[:, high] * part
-            span = float(np.abs(tile).max()) or 1.0
-            out.append(encode_pgm(np.rint(127.5 + 127.5 * np.clip(big / span, -1, 1))))
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.binary())], ["id", "media"])
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([draw(v) for v in batch.column("vector").to_pylist()], pa.binary())], ["id", "media"])
 
 
 def render_vectors(vectors: DataFrame) -> DataFrame:
-    """vectors(id, vector) -> id, media: each vector as a picture of its square tile."""
+    """vectors(id, vector) -> id, media: each vector as a picture."""
     return vectors.select(F.col("id").cast("long"), F.col("vector").cast("array<float>")).mapInArrow(_render, "id long, media binary")
