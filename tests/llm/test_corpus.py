@@ -596,7 +596,7 @@ def test_labelled_urls(spark):
     pages = spark.createDataFrame([(1, "http://casino.example.com/en/5"), (2, "http://x.example.com/en/7.html?p=8"), (3, "http://y.example.com/en/8"), (4, None), (5, "http://z.example.com/en/")], "page_id long, url string")
     labels = spark.createDataFrame([(7, 1, 0), (7, 1, 0), (8, 0, 1), (5, 1, 0)], "doc_id long, quality int, toxic int")
     got = sorted(map(tuple, url_filter.labelled_urls(pages, labels).collect()))
-    assert got == [("http://casino.example.com/en/5", 1), ("http://x.example.com/en/7.html?p=8", 0)]
+    assert got == [("http://casino.example.com/en/5", 0), ("http://x.example.com/en/7.html?p=8", 0), ("http://y.example.com/en/8", 1)]
     assert url_filter.train(url_filter.labelled_urls(pages.filter("page_id > 2"), labels)).trees == []
 
 
