@@ -3,17 +3,21 @@
 An image is an 8-bit binary PGM (P5). On each level of a halving pyramid, corners are the local
 maxima of the Harris response; a corner's orientation is that of its patch's intensity centroid,
 and 128 intensity comparisons, rotated to it, make the descriptor. Equal bytes are collapsed to
-one representative first. Representatives meet in four Hamming tables, one for each 32 bits of
-the descriptor (any two descriptors within 3 bits meet, most within 10 do); two images with a word
-in common whose descriptors are within MAX_BITS are a candidate pair. Then all corners of the two
+one representative first. Representatives meet in three Hamming tables, one for each 42 bits of
+the descriptor (any two descriptors within 2 bits meet, many within 10 do, and one of an image's
+corners is enough); two images with a word in common whose descriptors are within MEET_BITS are a
+candidate pair. Then all corners of the two
 are compared: descriptors within MAX_BITS vote for the scale, rotation and shift that map one image
 to the other, in two shifted grids, and MIN_INLIERS votes for one transformation, and MIN_SHARE of
 the smaller image's corners, link the images. So crops, scaled by two or rotated copies and edits
 of a part are found as long as enough corners survive.
 
-All corners take part, and in each table entry all images are compared with each other: a group
-of G copies costs about G * G / 2 comparisons. Each image gets the least id of its component;
-n_links counts all its links.
+All corners take part. An entry's hub is the least of its images, and each image is first compared
+with the hub that it meets most often alone; then images of different components meet in pairs,
+those of an entry's largest component only with the others.
+So a group of G copies costs about G comparisons, and no link between two classes is lost; links
+within a class may go unlisted. Images that share a word and no link are compared in pairs. Each
+image gets the least id of its component.
 
 Defined results: null or unreadable media have no corners and link with equal bytes only; flat
 images likewise; a null id is kept and gets a null class; repeated rows share the class; empty
@@ -36,7 +40,11 @@ LEVELS, RADIUS, BITS, ANGLES = 2, 9, 128, 32
 #: Pixels by which the two points of a test may differ along the corner's direction, and must differ across it.
 ALONG, ACROSS = 3, 4
 RELATIVE_RESPONSE = 0.02
-MAX_BITS, MIN_INLIERS, MIN_SHARE, GRID = 32, 4, 0.15, 6
+#: Bits of a word of the Hamming tables; 3 * WORD are at most BITS.
+WORD = 42
+#: Bits in which descriptors differ that propose a pair (a word is equal, so true ones are near), and that fit.
+MEET_BITS, MAX_BITS = 16, 32
+MIN_INLIERS, MIN_SHARE, GRID = 4, 0.15, 6
 _HEADER = re.compile(rb"P5\s+(\d+)\s+(\d+)\s+255\s")
 
 
@@ -122,7 +130,7 @@ def _corners(batches):
     """node, and of its corners d1, d2 and their place: x, y, level and angle in one long."""
     for batch in batches:
         ids, media = batch.column("node"), batch.column("media")
-        for start, length in slices(media):
+        for start, length in slices(media, 1 << 19):
             shapes: dict[tuple, list[int]] = {}
             images = [decode_pgm(m) for m in media.slice(start, length).to_pylist()]
             for k, image in enumerate(images):
@@ -162,7 +170,7 @@ def _votes(p: np.ndarray, q: np.ndarray, pair: np.ndarray, own: np.ndarray, pair
 
 def _verify(batches):
     """a, b and their corners -> the pairs whose corners agree on a transformation."""
-    for batch in batches:
+    for batch in (b.slice(k, 1000) for b in batches for k in range(0, len(b), 1000)):
         own = {}
         for c in ("d1", "d2", "place"):
             for s in "ab":
@@ -184,40 +192,61 @@ def _verify(batches):
 
 
 def links(corners: DataFrame) -> DataFrame:
-    """corners(node, d1, d2, place) -> a, b of the linked images, a < b."""
-    low = lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF))
-    bands = F.array(F.shiftrightunsigned("c.d1", 32), low("c.d1"), F.shiftrightunsigned("c.d2", 32), low("c.d2"))
+    """corners(node, d1, d2, place) -> a, b of linked images, a < b; enough to connect each component."""
+    low = lambda c, bits: c.bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
+    d1, d2 = F.col("c.d1"), F.col("c.d2")
+    bands = F.array(low(d1, WORD), F.shiftrightunsigned(d1, WORD) + F.shiftleft(low(d2, 2 * WORD - 64), 64 - WORD), low(F.shiftrightunsigned(d2, 2 * WORD - 64), WORD))
     each = corners.select("node", F.posexplode(F.arrays_zip("d1", "d2")).alias("at", "c"))
     words = each.select("node", "at", F.posexplode(bands).alias("band", "word"))
-    words = words.select((F.shiftleft(F.col("band").cast("long"), 32) + F.col("word")).alias("key"), "node", "at")
+    words = words.select((F.shiftleft(F.col("band").cast("long"), WORD) + F.col("word")).alias("key"), "node", "at")
     # a word of one image only meets nothing; all images of the others meet each other
     several = words.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first < last").select("key")
     shared = materialize(words.join(several.hint("merge"), "key", "left_semi"), "media-words")
     shared = shared.join(corners.select("node", "d1", "d2").hint("merge"), "node").select("key", "node", F.col("d1")[F.col("at")].alias("d1"), F.col("d2")[F.col("at")].alias("d2"))
-    left, right = (shared.select("key", *[F.col(c).alias(f"{c}{s}") for c in ("node", "d1", "d2")]) for s in "ab")
-    apart = F.bit_count(F.col("d1a").bitwiseXOR(F.col("d1b"))) + F.bit_count(F.col("d2a").bitwiseXOR(F.col("d2b")))
-    met = left.join(right.hint("merge"), "key").filter((F.col("nodea") < F.col("nodeb")) & (apart <= MAX_BITS))
-    pairs = met.select(F.col("nodea").alias("a"), F.col("nodeb").alias("b")).distinct()
+    shared = materialize(shared, "media-described")
+    apart = lambda s, t: F.bit_count(F.col(f"d1{s}").bitwiseXOR(F.col(f"d1{t}"))) + F.bit_count(F.col(f"d2{s}").bitwiseXOR(F.col(f"d2{t}")))
+    side = lambda df, s, *more: df.select("key", *[F.col(c).alias(f"{c}{s}") for c in ("node", "d1", "d2", *more)])
+    hubs = shared.groupBy("key").agg(F.min(F.struct("node", "d1", "d2")).alias("hub")).select("key", "hub.*")
+    hubs = materialize(hubs, "media-hubs")  # a join right below its own aggregation could not split a hot word
+    met = side(shared, "b").join(side(hubs, "a").hint("merge"), "key").filter((F.col("nodea") != F.col("nodeb")) & (apart("a", "b") <= MEET_BITS))
+    votes = met.groupBy("nodeb", "nodea").agg(F.count("*").alias("n"))
+    met = votes.groupBy("nodeb").agg(F.max(F.struct("n", (-F.col("nodea")).alias("least"))).alias("top")).select((-F.col("top.least")).alias("nodea"), "nodeb")
+    stars = materialize(_linked(met, corners), "media-stars")
+    # what the stars leave apart
+    known = components(stars)
+    placed = shared.join(known.withColumnRenamed("component", "comp").hint("merge"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    placed = materialize(placed.select("key", "node", "d1", "d2", "comp"), "media-placed")
+    local = placed.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("comps"), F.max(F.struct("n", "comp")).alias("top"))
+    local = materialize(local.filter("comps > 1").select("key", F.col("top.comp").alias("major")), "media-open")
+    placed = placed.join(local.hint("merge"), "key").withColumn("inner", F.col("comp") == F.col("major"))
+    met = side(placed, "a", "comp", "inner").join(side(placed.filter("NOT inner"), "b", "comp").hint("merge"), "key")
+    met = met.filter((F.col("compa") != F.col("compb")) & (F.col("innera") | (F.col("nodea") < F.col("nodeb"))) & (apart("a", "b") <= MEET_BITS))
+    return stars.unionByName(_linked(met, corners)).distinct()
+
+
+def _linked(met: DataFrame, corners: DataFrame) -> DataFrame:
+    """met(nodea, nodeb) -> a, b of those that are linked, a < b."""
+    pairs = met.select(F.least("nodea", "nodeb").alias("a"), F.greatest("nodea", "nodeb").alias("b")).distinct()
     for s in "ab":
         pairs = pairs.join(corners.select(F.col("node").alias(s), *[F.col(c).alias(f"{c}{s}") for c in ("d1", "d2", "place")]).hint("merge"), s)
     return pairs.mapInArrow(_verify, "a long, b long")
 
 
 def copies(media: DataFrame) -> DataFrame:
-    """media(id, media BINARY) -> id, class_id, n_links (to images with other bytes), n_corners."""
+    """media(id, media BINARY) -> id, class_id, class_size (rows), n_corners."""
     rows = media.select(F.col("id").cast("long"), F.sha2("media", 256).alias("digest"), "media")
-    firsts = rows.filter("id IS NOT NULL AND digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("node"))
-    unique = rows.join(firsts.select("node", F.col("digest").alias("own")).hint("merge"), (F.col("id") == F.col("node")) & (F.col("digest") == F.col("own")))
+    firsts = rows.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("node"), F.count("*").alias("rows"))
+    unique = rows.join(firsts.filter("node IS NOT NULL").select("node", F.col("digest").alias("own")).hint("merge"), (F.col("id") == F.col("node")) & (F.col("digest") == F.col("own")))
     unique = unique.groupBy("node").agg(F.first("media").alias("media"))
     corners = materialize(unique.mapInArrow(_corners, CORNERS), "media-corners")
-    linked = materialize(links(corners), "media-links")
-    groups = components(linked)
-    ends = linked.select(F.col("a").alias("node")).unionByName(linked.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
-    classes = firsts.join(groups.hint("merge"), "node", "left").join(ends.hint("merge"), "node", "left")
-    classes = classes.join(corners.select("node", F.size("d1").alias("n_corners")).hint("merge"), "node", "left")
-    classes = classes.select("digest", F.coalesce("component", "node").alias("class_id"), *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_links", "n_corners")])
+    groups = components(materialize(links(corners), "media-links"))
+    classes = firsts.join(groups.hint("merge"), "node", "left").withColumn("class_id", F.coalesce("component", "node"))
+    classes = materialize(classes.join(corners.select("node", F.size("d1").alias("n_corners")).hint("merge"), "node", "left").select("digest", "class_id", "rows", "n_corners"), "media-classes")
+    sizes = materialize(classes.groupBy(F.col("class_id").alias("own")).agg(F.sum("rows").alias("class_size")), "media-sizes")
+    classes = classes.join(sizes.hint("merge"), F.col("class_id").eqNullSafe(F.col("own")), "left").drop("own", "rows")
     out = rows.select("id", "digest").join(classes.hint("merge"), "digest", "left")
-    return out.select("id", F.coalesce("class_id", "id").alias("class_id"), *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_links", "n_corners")])
+    one = lambda c, other: F.coalesce(c, F.lit(other)).cast("long").alias(c)
+    return out.select("id", F.coalesce("class_id", "id").alias("class_id"), one("class_size", 1), one("n_corners", 0))
 
 
 #: Rendering of vectors: the side of a picture, and the grey levels of one standard deviation.

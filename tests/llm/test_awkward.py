@@ -94,7 +94,7 @@ def test_mixing_of_null_ids(spark):
 
 def test_media_of_clashing_columns(spark):
     data = spark.createDataFrame([(1, bytearray(b"zz"), 5, "x"), (2, bytearray(b"zz"), 6, "y")], "id long, media binary, class_id int, digest string")
-    assert {(r.id, r.class_id, r.n_links) for r in media.copies(data).collect()} == {(1, 1, 0), (2, 1, 0)}
+    assert {(r.id, r.class_id, r.class_size) for r in media.copies(data).collect()} == {(1, 1, 2), (2, 1, 2)}
     assert media.draw(None) is None and media.draw([]) is None and media.draw([1.0, None]) is None and media.draw([float("nan")]) is None
     assert media.draw([0.0] * 4) == media.draw([0.0] * 4) and media.draw([1e300, 1.0]) is not None
 

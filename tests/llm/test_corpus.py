@@ -504,7 +504,7 @@ def test_media_copies_are_found_and_others_left(spark):
     assert media.copies(spark.createDataFrame([], "id long, media binary")).count() == 0
 
 
-def test_all_copies_of_a_picture_link_with_each_other(spark):
+def test_copies_of_a_picture_are_one_class(spark):
     whole = scene(np.random.default_rng(3))
     data = []
     for i in range(7):  # each has an edit of its own
@@ -512,8 +512,8 @@ def test_all_copies_of_a_picture_link_with_each_other(spark):
         x[3 + 9 * i : 9 + 9 * i, 3:9] = 128
         data.append((i, bytearray(media.encode_pgm(x))))
     data.append((7, bytearray(media.encode_pgm(scene(np.random.default_rng(4))))))
-    got = {r.id: (r.class_id, r.n_links) for r in media.copies(spark.createDataFrame(data, "id long, media binary")).collect()}
-    assert got == {i: (0, 6) for i in range(7)} | {7: (7, 0)}
+    got = {r.id: (r.class_id, r.class_size) for r in media.copies(spark.createDataFrame(data, "id long, media binary")).collect()}
+    assert got == {i: (0, 7) for i in range(7)} | {7: (7, 1)}
 
 
 # ------------------------------------------------------------------ mixing
