@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 from .common import free_name, materialize, utf8_size
 
 SHARDS = 24
-BUCKET_BYTES, MIN_BUCKETS, BUCKETS_A_TASK = 16 << 20, 256, 2
+BUCKET_BYTES, MIN_BUCKETS = 16 << 20, 256
+#: Buckets share tasks of about TASK_BYTES, so that small tables don't make hundreds of files.
+TASK_BYTES, MIN_TASKS = 32 << 20, 16
 #: Buckets whose counts are summed in one task; the sums of blocks are added up in another.
 BLOCK = 4096
 
@@ -70,7 +72,7 @@ def external_shuffle(df: DataFrame, shards: int = SHARDS, seed: int = 7, bucket_
     bucket, tie, rank, place, before, order = (free_name(df, f"shuffle_{x}") for x in ("bucket", "tie", "rank", "place", "before", "order"))
     total = df.agg(F.sum(utf8_size(F.col(text)) + 64)).first()[0] or 0
     buckets = max(MIN_BUCKETS, -(-total // bucket_bytes))
-    tasks = buckets // BUCKETS_A_TASK  # in proportion to the buckets, whatever the session's number of shuffle partitions
+    tasks = max(MIN_TASKS, -(-total // TASK_BYTES))  # in proportion to the records, whatever the session's number of shuffle partitions
     dealt = df.withColumn(bucket, F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.col(text)), F.lit(buckets)).cast("int"))
     counts = materialize(dealt.groupBy(F.col(bucket).alias("bucket")).agg(F.count("*").alias("n")), "shuffle-counts")
     orders = offsets(counts).repartition(tasks, "bucket").mapInArrow(_orders(seed), "bucket int, before long, order array<int>")
