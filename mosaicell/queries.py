@@ -109,7 +109,7 @@ def knn_edges(spark, d):
 @query(f"""WITH pts AS (SELECT p_partkey AS cell_id, CAST(p_size AS DOUBLE) AS x, CAST(p_retailprice AS DOUBLE) AS y FROM part), {knn_sql(5)}
 SELECT src, dst, rank FROM knn""")
 def knn_edges_dup(spark, d):
-    return neighbors.knn(T.points_dup(spark, d), 5).drop("dist")
+    return neighbors.knn(T.points_dup(spark, d), 5, few=0).drop("dist")
 
 
 @query(f"WITH {PTS}, {vector_knn_sql(5, 'vk')} SELECT src, dst, rank FROM vk")
@@ -119,7 +119,8 @@ def knn_high_dim(spark, d):
 
 @query(f"WITH {EDGES} SELECT src, dst, {r('weight')} AS weight FROM edges")
 def graph_reciprocal(spark, d):
-    return edges(spark, d)
+    """Over the neighbours that growing rings find."""
+    return graph.symmetrize(graph.weigh(save(neighbors.knn(points(spark, d), K, few=0), "knn"), k=K))
 
 
 @query(f"""WITH {PTS}, {knn_sql()}, m AS (SELECT src, quantile_cont(dist, 0.5) AS m FROM knn GROUP BY src),
@@ -178,24 +179,23 @@ def graph_components(spark, d):
 
 def heat_sql(scale: float, order: int) -> str:
     c = [float(x) for x in spectral.heat_coefficients(scale, order)]
-    parts = [f"""deg AS MATERIALIZED (SELECT src, sum(weight) AS d FROM edges GROUP BY src),
+    parts = ["""deg AS MATERIALIZED (SELECT src, sum(weight) AS d FROM edges GROUP BY src),
 lm AS MATERIALIZED (SELECT max(a.d + b.d) / 2 AS h FROM edges e JOIN deg a ON e.src = a.src JOIN deg b ON e.dst = b.src),
-t0 AS MATERIALIZED (SELECT cell_id, vec[3] AS v FROM pts)"""]
+t0 AS MATERIALIZED (SELECT cell_id, unnest(range(64)) AS dim, unnest(vec) AS v FROM pts)"""]
     for k in range(1, order + 1):
-        step = f"(d * x.v - sum(weight * y.v)) / (SELECT h FROM lm) - x.v"
+        step = "(d * x.v - sum(weight * y.v)) / (SELECT h FROM lm) - x.v"
         if k > 1:
             step = f"2 * ({step}) - any_value(z.v)"
-        before = f"JOIN t{k - 2} z ON z.cell_id = x.cell_id" if k > 1 else ""
-        parts.append(f"t{k} AS MATERIALIZED (SELECT x.cell_id, {step} AS v FROM t{k - 1} x JOIN deg ON deg.src = x.cell_id JOIN edges e ON e.src = x.cell_id JOIN t{k - 1} y ON y.cell_id = e.dst {before} GROUP BY x.cell_id, x.v, d)")
+        before = f"JOIN t{k - 2} z ON z.cell_id = x.cell_id AND z.dim = x.dim" if k > 1 else ""
+        parts.append(f"t{k} AS MATERIALIZED (SELECT x.cell_id, x.dim, {step} AS v FROM t{k - 1} x JOIN deg ON deg.src = x.cell_id JOIN edges e ON e.src = x.cell_id JOIN t{k - 1} y ON y.cell_id = e.dst AND y.dim = x.dim {before} GROUP BY x.cell_id, x.dim, x.v, d)")
     total = " + ".join(f"({x!r}) * t{k}.v" for k, x in enumerate(c))
-    joins = " ".join(f"JOIN t{k} USING (cell_id)" for k in range(1, order + 1))
-    return f"WITH {EDGES}, {', '.join(parts)} SELECT cell_id, {r(total)} AS value FROM t0 {joins}"
+    joins = " ".join(f"JOIN t{k} USING (cell_id, dim)" for k in range(1, order + 1))
+    return f"WITH {EDGES}, {', '.join(parts)} SELECT cell_id, CAST(dim AS BIGINT) AS dim, {r(total)} AS value FROM t0 {joins}"
 
 
 def _heat(spark, d, path):
-    signal = points(spark, d).select("cell_id", F.array(F.col("vec")[2]).alias("vec"))
-    out = spectral.heat_filter(save(edges(spark, d), "edges"), signal, [3.0], 8, "bound", path)
-    return out.select("cell_id", F.col("vec")[0].alias("value"))
+    out = spectral.heat_filter(save(edges(spark, d), "edges"), points(spark, d).select("cell_id", "vec"), [3.0], 8, "bound", path)
+    return out.select("cell_id", F.posexplode("vec").alias("dim", "value"))
 
 
 @query(heat_sql(3.0, 8))
@@ -210,9 +210,10 @@ def heat_filter_joins(spark, d):
 
 @query()
 def heat_filter_scales(spark, d):
-    p = points(spark, d).select("cell_id", F.slice("vec", 1, 4).alias("vec"))
-    out = spectral.heat_filter(save(edges(spark, d), "edges"), p, spectral.DEFAULT_SCALES)
-    return out.groupBy("scale").agg(F.avg(F.col("vec")[0]).alias("mean"), F.var_pop(F.col("vec")[0]).alias("variance"), F.count("*").alias("n"))
+    """Of all signals at all scales, their moments: diffusion keeps the mean and lowers the variance."""
+    out = spectral.heat_filter(save(edges(spark, d), "edges"), points(spark, d).select("cell_id", "vec"), spectral.DEFAULT_SCALES)
+    each = out.select("scale", F.posexplode("vec").alias("dim", "v")).groupBy("scale", "dim").agg(F.avg("v").alias("m"), F.var_pop("v").alias("s"), F.count("*").alias("n"))
+    return each.groupBy("scale").agg(F.avg("m").alias("mean"), F.avg("s").alias("variance"), F.sum("n").alias("n"))
 
 
 # ------------------------------------------------------------------ composition
@@ -308,10 +309,10 @@ def clip_expm1(spark, d):
     return preprocess.expm1(preprocess.nonnegative(points(spark, d).select("cell_id", F.col("x").alias("value")), "clip"))
 
 
-@query(f"""WITH {PTS}, l AS (SELECT cell_id, unnest(vec[1:8]) AS v, unnest(range(8)) AS dim FROM pts), s AS (SELECT dim, avg(v) AS m, stddev_pop(v) AS sd FROM l GROUP BY dim)
+@query(f"""WITH {PTS}, l AS (SELECT cell_id, unnest(vec) AS v, unnest(range(64)) AS dim FROM pts), s AS (SELECT dim, avg(v) AS m, stddev_pop(v) AS sd FROM l GROUP BY dim)
 SELECT cell_id, CAST(dim AS BIGINT) AS dim, {r('(v - m) / CASE WHEN sd > 0 THEN sd ELSE 1 END')} AS z FROM l JOIN s USING (dim)""")
 def standardise(spark, d):
-    return preprocess.standardize(points(spark, d).select("cell_id", F.slice("vec", 1, 8).alias("vec")))
+    return preprocess.standardize(points(spark, d).select("cell_id", "vec"))
 
 
 # ------------------------------------------------------------------ scales
@@ -378,10 +379,10 @@ def density_group(spark, d):
     return g.groupBy("density_group").agg(F.count("*").alias("n"), F.max("q_low").alias("q_low"), F.max("q_high").alias("q_high"))
 
 
-@query(f"WITH {PTS} SELECT a.cell_id AS src, b.cell_id AS dst, {r(DIST)} AS dist FROM pts a JOIN pts b ON {DIST} <= 0.1 WHERE a.cell_id % 50 = 0")
-def radius_join(spark, d, every=50):
+@query(f"WITH {PTS} SELECT a.cell_id AS src, b.cell_id AS dst, {r(DIST)} AS dist FROM pts a JOIN pts b ON {DIST} <= 0.1")
+def radius_join(spark, d):
     p = points(spark, d)
-    return neighbors.radius_join(p.filter(F.col("cell_id") % every == 0), p, 0.1)
+    return neighbors.radius_join(p, p, 0.1)
 
 
 @query("""WITH p AS (SELECT o_orderkey AS cell_id, CAST(o_totalprice AS DOUBLE) / 1000 AS x, CAST(date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS DOUBLE) AS y FROM orders),
@@ -391,18 +392,20 @@ def density_count_big(spark, d):
     return neighbors.density(T.points_big(spark, d), 3.0)
 
 
-PROFILES = f"""{PTS}, seeds AS (SELECT *, 1 + cell_id % 2 AS round FROM pts WHERE cell_id % 25 = 0),
+PROFILES = f"""{PTS}, seeds AS (SELECT * FROM pts),
 prof AS MATERIALIZED (SELECT a.cell_id AS seed_id, b.cell_id AS nbr_id, {DIST} AS distance, CAST(s AS DOUBLE) AS scale, b.vec[3 + s] AS intensity, a.label AS grp
   FROM seeds a JOIN pts b ON {DIST} <= 0.3, (SELECT unnest([0, 1, 2]) AS s))"""
 X_MAX, WIDTH = 0.25, 0.05
 
 
-def profiles(spark, d, every=25):
+def profiles(spark, d):
+    """Profiles around all points, of three signals in place of three scales' responses."""
     p = points(spark, d)
-    seeds = p.filter(F.col("cell_id") % every == 0)
-    near = neighbors.radius_join(seeds, p, 0.3).join(p.select(F.col("cell_id").alias("dst"), "vec"), "dst")
-    near = near.select(F.col("src").alias("seed_id"), F.col("dst").alias("nbr_id"), F.col("dist").alias("distance"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("s"), "vec")
-    return save(near.select("seed_id", "nbr_id", "distance", F.col("s").cast("double").alias("scale"), F.element_at("vec", 3 + F.col("s")).alias("intensity")), "profiles")
+    rounds = p.select("cell_id", F.lit(1).alias("round"))
+    signals = p.select("cell_id", F.posexplode(F.slice("vec", 3, 3)).alias("scale_idx", "v"))
+    signals = signals.select("cell_id", "scale_idx", F.col("scale_idx").cast("double").alias("scale"), F.array("v").alias("vec"))
+    out = mapping.seed_profiles(p.select("cell_id", "x", "y"), rounds, signals, 0.3)
+    return save(out.select("seed_id", "nbr_id", "distance", "scale", "intensity"), "profiles")
 
 
 INTERP = f"""pt AS (SELECT * FROM prof WHERE distance <= {X_MAX}),
@@ -414,22 +417,18 @@ cnt AS MATERIALIZED (SELECT seed_id, CAST(least(floor(distance / {WIDTH}), {mapp
 
 
 @query(f"WITH {PROFILES}, {INTERP} SELECT seed_id, bin, n FROM cnt")
-def distance_bins(spark, d, every=25):
-    return mapping.distance_bins(profiles(spark, d, every), X_MAX, WIDTH)
+def distance_bins(spark, d):
+    return mapping.distance_bins(profiles(spark, d), X_MAX, WIDTH)
 
 
 @query(f"WITH {PROFILES}, {INTERP} SELECT seed_id, scale, bin, {r('value')} AS value FROM grid")
-def interp_grid(spark, d, every=25):
-    return mapping.interpolate(mapping.clean_profiles(profiles(spark, d, every), X_MAX), X_MAX, WIDTH)
+def interp_grid(spark, d):
+    return mapping.interpolate(mapping.clean_profiles(profiles(spark, d), X_MAX), X_MAX, WIDTH)
 
 
-@query(f"""WITH {PROFILES}, c AS (SELECT p.*, greatest(own.intensity, 1e-12) AS base FROM (SELECT * REPLACE (CASE WHEN intensity >= -0.05 THEN intensity END AS intensity) FROM prof WHERE distance <= {X_MAX}) p
-  LEFT JOIN (SELECT seed_id, scale, CASE WHEN intensity >= -0.05 THEN intensity END AS intensity FROM prof WHERE nbr_id = seed_id) own USING (seed_id, scale))
-SELECT seed_id, nbr_id, scale, {r('distance')} AS distance, {r('CASE WHEN intensity >= -0.05 THEN intensity END')} AS intensity FROM prof WHERE distance <= {X_MAX}""")
-def intensity_cut(spark, d, every=25):
-    p = profiles(spark, d, every).filter(F.col("distance") <= X_MAX)
-    cut = F.when(F.col("intensity") >= -0.05, F.col("intensity"))
-    return p.select("seed_id", "nbr_id", "scale", "distance", cut.alias("intensity"))
+@query(f"WITH {PROFILES} SELECT seed_id, nbr_id, scale, {r('distance')} AS distance, {r('CASE WHEN intensity >= 0.05 THEN intensity END')} AS intensity FROM prof WHERE distance <= {X_MAX}")
+def intensity_cut(spark, d):
+    return mapping.clean_profiles(profiles(spark, d), X_MAX, cut=0.05).select("seed_id", "nbr_id", "scale", "distance", "intensity")
 
 
 def heatmap_sql(counts: bool, groups: bool, energy: bool = False) -> str:
@@ -451,29 +450,29 @@ s AS (SELECT *, sum(v) OVER (PARTITION BY grp, scale) AS row, sum(num) OVER (PAR
     return base + f"SELECT grp, scale, bin, {r(f'(bin + 0.5) * {WIDTH}')} AS center, {r('CASE WHEN scale = 0 THEN (CASE WHEN bin = 0 THEN 1 ELSE 0 END) WHEN row > 1e-12 THEN v / row ELSE v END')} AS value FROM s"
 
 
-def _heatmap(spark, d, every, **how):
-    return mapping.heatmap(profiles(spark, d, every), X_MAX, WIDTH, **how)
+def _heatmap(spark, d, **how):
+    return mapping.heatmap(profiles(spark, d), X_MAX, WIDTH, **how)
 
 
 @query(heatmap_sql(False, False))
-def heatmap_equal(spark, d, every=25):
-    return _heatmap(spark, d, every, counts_weight=False)[0]
+def heatmap_equal(spark, d):
+    return _heatmap(spark, d, counts_weight=False)[0]
 
 
 @query(heatmap_sql(True, False))
-def heatmap_counts(spark, d, every=25):
-    return _heatmap(spark, d, every, counts_weight=True)[0]
+def heatmap_counts(spark, d):
+    return _heatmap(spark, d, counts_weight=True)[0]
 
 
 @query(heatmap_sql(False, True))
-def heatmap_grouped(spark, d, every=25):
+def heatmap_grouped(spark, d):
     groups = points(spark, d).select(F.col("cell_id").alias("seed_id"), F.col("label").alias("grp"))
-    return _heatmap(spark, d, every, counts_weight=False, groups=groups)[0]
+    return _heatmap(spark, d, counts_weight=False, groups=groups)[0]
 
 
 @query(heatmap_sql(True, False, True))
-def energy_distance(spark, d, every=25):
-    return _heatmap(spark, d, every, counts_weight=True)[1]
+def energy_distance(spark, d):
+    return _heatmap(spark, d, counts_weight=True)[1]
 
 
 def smooth_sql(sigma: float) -> str:
@@ -488,8 +487,8 @@ SELECT seed_id, scale, CAST(t AS BIGINT) AS bin, {r('sum(g * value) / sum(g)')}
 
 
 @query(smooth_sql(1.0))
-def gaussian_smooth_bins(spark, d, every=25):
-    grid = mapping.interpolate(mapping.clean_profiles(profiles(spark, d, every), X_MAX), X_MAX, WIDTH)
+def gaussian_smooth_bins(spark, d):
+    grid = mapping.interpolate(mapping.clean_profiles(profiles(spark, d), X_MAX), X_MAX, WIDTH)
     return mapping.smooth(grid, mapping.bin_count(X_MAX, WIDTH), 1.0)
 
 
@@ -510,8 +509,8 @@ def sampling_rounds(spark, d):
 
 @query(f"""WITH {PROFILES}, m AS (SELECT seed_id, count(DISTINCT nbr_id) AS n_neighbors FROM prof GROUP BY 1)
 SELECT seed_id, n_neighbors, CAST(0.3 AS DOUBLE) AS radius, label FROM m JOIN pts ON seed_id = cell_id""")
-def manifest_join(spark, d, every=25):
-    p = profiles(spark, d, every).withColumn("round", F.lit(1))
+def manifest_join(spark, d):
+    p = profiles(spark, d).withColumn("round", F.lit(1))
     return mapping.manifest(p, points(spark, d).select("cell_id", "label"), None, 0.3).drop("round")
 
 
@@ -549,16 +548,16 @@ def non_epithelial_filter(spark, d):
     return subcluster.without_terms(T.read_table(spark, d, "part").select("p_partkey", "p_name"), "p_name", ("red", "ring"))
 
 
-@query(f"""WITH {PTS}, l AS (SELECT label, unnest(vec[1:8]) AS v, unnest(range(8)) AS dim FROM pts), m AS (SELECT label, dim, avg(v) AS m FROM l GROUP BY 1, 2), n AS (SELECT label, count(*) AS n FROM pts GROUP BY 1),
+@query(f"""WITH {PTS}, l AS (SELECT label, unnest(vec) AS v, unnest(range(64)) AS dim FROM pts), m AS (SELECT label, dim, avg(v) AS m FROM l GROUP BY 1, 2), n AS (SELECT label, count(*) AS n FROM pts GROUP BY 1),
 p AS (SELECT a.label AS la, b.label AS lb, sum((a.m - b.m) * (a.m - b.m)) AS sq FROM m a JOIN m b ON a.dim = b.dim AND a.label < b.label GROUP BY 1, 2)
 SELECT {r('min(na.n * nb.n / (na.n + nb.n) * sq)')} AS cost FROM p JOIN n na ON la = na.label JOIN n nb ON lb = nb.label""")
 def ward_min_cost(spark, d):
-    return subcluster.ward_cost(points(spark, d).select("label", F.slice("vec", 1, 8).alias("vec")))
+    return subcluster.ward_cost(points(spark, d).select("label", "vec"))
 
 
-@query(f"""WITH {PTS}, l AS (SELECT label, unnest(vec[1:4]) AS v, unnest(range(4)) AS dim FROM pts) SELECT label, CAST(dim AS BIGINT) AS dim, {r('avg(v)')} AS v FROM l GROUP BY 1, 2""")
+@query(f"""WITH {PTS}, l AS (SELECT label, unnest(vec) AS v, unnest(range(64)) AS dim FROM pts) SELECT label, CAST(dim AS BIGINT) AS dim, {r('avg(v)')} AS v FROM l GROUP BY 1, 2""")
 def group_centroids(spark, d):
-    c = subcluster.centroids(points(spark, d).select("label", F.slice("vec", 1, 4).alias("vec")))
+    c = subcluster.centroids(points(spark, d).select("label", "vec"))
     return c.select("label", F.posexplode("vec").alias("dim", "v"))
 
 
@@ -676,24 +675,24 @@ def frequent_neighbors(spark, d):
 # ------------------------------------------------------------------ clustering and factorisation
 
 
-def small_rep(spark, d, n=8):
-    return points(spark, d).select("cell_id", F.slice("vec", 1, n).alias("vec"))
+def representation(spark, d):
+    return points(spark, d).select("cell_id", "vec")
 
 
 @query()
 def kmeans_metacells(spark, d):
-    found, _ = cluster.metacells(small_rep(spark, d), 40)
+    found, _ = cluster.metacells(representation(spark, d), 40)
     return found.groupBy("metacell").agg(F.count("*").alias("n"))
 
 
 @query()
 def two_step_clusters(spark, d):
-    return cluster.two_step(small_rep(spark, d), [0.5, 1.0], 60, layout=False)["labels"]
+    return cluster.two_step(representation(spark, d), [0.5, 1.0], 60, layout=False)["labels"]
 
 
 @query()
 def umap_layout(spark, d):
-    return cluster.two_step(small_rep(spark, d), [1.0], 60)["layout"]
+    return cluster.two_step(representation(spark, d), [1.0], 60)["layout"]
 
 
 @query()
@@ -722,7 +721,7 @@ def harmony_counts(spark, d):
 @query()
 def multiscale_pipeline(spark, d):
     p = points(spark, d)
-    run = MultiscaleAnalysis(p.select("cell_id", "x", "y"), {"X": small_rep(spark, d, 4)})
+    run = MultiscaleAnalysis(p.select("cell_id", "x", "y"), {"X": representation(spark, d)})
     return run.perform_multiscale_pipeline("X", 60, K, [0.1, 0.5, 1.0, 2.0, 4.0, 8.0], [1.0], 4, 2)
 
 
@@ -811,10 +810,10 @@ def global_statistics(spark, d):
     return points(spark, d).agg(F.min(x).alias("lo"), F.max(x).alias("hi"), F.percentile(x, 0.5).alias("mid"), F.avg(x).alias("mean"), F.var_pop(x).alias("variance"), F.countDistinct("label").alias("labels"))
 
 
-@query(f"""WITH {PROFILES}, own AS (SELECT seed_id, scale, greatest(intensity, 1e-12) AS own FROM prof WHERE nbr_id = seed_id)
-SELECT seed_id, nbr_id, scale, {r('distance')} AS distance, {r('intensity / own', 3)} AS intensity FROM prof JOIN own USING (seed_id, scale) WHERE distance <= {X_MAX} AND own > 1e-6""", 6)
-def profiles_by_self(spark, d, every=25):
-    rows = profiles(spark, d, every)
+@query(f"""WITH {PROFILES}, rel AS (SELECT *, max(CASE WHEN nbr_id = seed_id THEN greatest(intensity, 1e-12) END) OVER (PARTITION BY seed_id, scale) AS own FROM prof)
+SELECT seed_id, nbr_id, scale, {r('distance')} AS distance, {r('intensity / own', 3)} AS intensity FROM rel WHERE distance <= {X_MAX} AND own > 1e-6""", 6)
+def profiles_by_self(spark, d):
+    rows = profiles(spark, d)
     good = rows.filter("nbr_id = seed_id AND intensity > 1e-6").select("seed_id", "scale")
     out = mapping.clean_profiles(rows, X_MAX, by_self=True).join(good, ["seed_id", "scale"], "left_semi")
     return out.select("seed_id", "nbr_id", "scale", "distance", F.round("intensity", 3).alias("intensity"))
@@ -846,23 +845,3 @@ def graph_check(spark, d):
 def cluster_plot_points(spark, d):
     """What a plot of labels in space draws."""
     return points(spark, d).select("cell_id", "label", "x", "y")
-
-
-# ------------------------------------------------------------------ all points as seeds
-
-
-def _whole(f):
-    """name_whole: the query f over all points, where f itself takes every 25th or 50th as a seed."""
-
-    def whole(spark, d):
-        return f(spark, d, every=1)
-
-    whole.__name__ = f"{f.__name__}_whole"
-    sql = ORACLE_SQL[f.__name__]
-    for some in (" WHERE a.cell_id % 50 = 0", " WHERE cell_id % 25 = 0"):
-        sql = sql.replace(some, "")
-    query(sql)(whole)
-
-
-for _f in (radius_join, distance_bins, interp_grid, intensity_cut, heatmap_equal, heatmap_counts, heatmap_grouped, energy_distance, gaussian_smooth_bins, manifest_join, profiles_by_self):
-    _whole(_f)
