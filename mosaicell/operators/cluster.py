@@ -26,8 +26,7 @@ def metacells(cells: DataFrame, k: int | None = None, scale: bool = True, seed:
     k = min(n, k if k is not None else max(1, n // 10))
     rows = cells.select("cell_id", "vec")
     if scale:
-        z = standardize(rows)
-        rows = z.groupBy("cell_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "z"))), lambda x: x["z"]).alias("vec"))
+        rows = standardize(rows)
     rows = save(rows.select("cell_id", "vec", array_to_vector("vec").alias("features")), "kmeans")
     if k <= 1:
         means = rows.select(F.posexplode("vec").alias("d", "v")).groupBy("d").agg(F.avg("v").alias("m")).agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "m"))), lambda x: x["m"]).alias("vec"))

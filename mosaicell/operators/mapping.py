@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,30 +38,62 @@ def sampling_priority(points: DataFrame, order: str = "random", seed: int = 0, g
     return points.withColumn("priority", key)
 
 
-def poisson_disk(points: DataFrame, r: float, order: str = "random", seed: int = 0, given: str | None = None, target_n: int | None = None) -> DataFrame:
+#: Points that one task picks from one after the other, about a second's work.
+SERIAL_POINTS = 100_000
+
+
+def _serial_picks(r: float, side: float):
+    """The greedy pick of rows that come in order; a cell holds one pick at most."""
+
+    def run(batches):
+        held: dict[tuple[int, int], tuple[float, float]] = {}
+        for batch in batches:
+            kept = []
+            for x, y in zip(batch["x"].tolist(), batch["y"].tolist(), strict=True):
+                gx, gy = math.floor(x / side), math.floor(y / side)
+                near = (held.get((gx + i, gy + j)) for i in range(-2, 3) for j in range(-2, 3))
+                free = all(p is None or math.sqrt((x - p[0]) * (x - p[0]) + (y - p[1]) * (y - p[1])) >= r for p in near)
+                if free:
+                    held[gx, gy] = (x, y)
+                kept.append(free)
+            yield batch.loc[kept, ["cell_id"]]
+
+    return run
+
+
+def poisson_disk(points: DataFrame, r: float, order: str = "random", seed: int = 0, given: str | None = None, target_n: int | None = None, serial: int = SERIAL_POINTS) -> DataFrame:
     """cell_id, priority of points picked greedily in order, none nearer than r to another.
 
-    The greedy pick is the lexicographically first independent set of the graph of pairs nearer
-    than r, which needs no serial scan: in each round the points that come before all their
-    undecided neighbours are picked and their neighbours leave."""
-    if target_n is not None and target_n <= 0:
-        return sampling_priority(points, order, seed, given).select("cell_id", "priority").limit(0)
-    todo = save(sampling_priority(points, order, seed, given).select("cell_id", "x", "y", "priority"), "disk")
-    pairs = radius_join(todo, todo, r).filter(F.col("src") != F.col("dst")).filter(F.col("dist") < r).select("src", "dst")
-    p = todo.select("cell_id", "priority")
-    pairs = pairs.join(p.select(F.col("cell_id").alias("src"), F.col("priority").alias("ps")), "src").join(p.select(F.col("cell_id").alias("dst"), F.col("priority").alias("pd")), "dst")
-    pairs = save(pairs, "disk-pairs")
+    Up to SERIAL_POINTS points are scanned in one task. The greedy pick of more needs no serial scan
+    and no pairs of points. Cells of side r / sqrt(2) hold one
+    pick at most, and what lies within r of a point lies within two cells. In each round the first
+    point of each cell is picked if it comes before the first of all 5 x 5 cells around, and what is
+    nearer than r to a pick leaves."""
+    if target_n is not None and target_n <= 0 or r <= 0:
+        every = sampling_priority(points, order, seed, given).select("cell_id", "priority")
+        return every if target_n is None else every.orderBy("priority").limit(max(0, target_n))
+    side = r / 2**0.5
+    key = [F.floor(F.col(c) / side).alias(g) for c, g in (("x", "gx"), ("y", "gy"))]
+    todo = save(sampling_priority(points, order, seed, given).select("cell_id", "x", "y", "priority", *key), "disk")
+    if todo.count() <= serial:
+        kind = points.schema["cell_id"].dataType.simpleString()
+        rows = todo.select("cell_id", "x", "y", "priority").coalesce(1).sortWithinPartitions("priority").drop("priority")
+        picks = rows.mapInPandas(_serial_picks(r, side), f"cell_id {kind}")
+        out = save(todo.select("cell_id", "priority").join(picks, "cell_id"), "disk-picked")
+        return out.orderBy("priority").limit(target_n) if target_n is not None else out
+    around = lambda df: df.withColumn("gx", F.explode(F.sequence(F.col("gx") - 2, F.col("gx") + 2))).withColumn("gy", F.explode(F.sequence(F.col("gy") - 2, F.col("gy") + 2)))
     picked = None
     while True:
-        late = pairs.filter(F.col("pd") < F.col("ps")).select(F.col("src").alias("cell_id")).distinct()
-        now = save(todo.join(late, "cell_id", "left_anti"), "disk-picked")
+        firsts = todo.groupBy("gx", "gy").agg(F.min(F.struct("priority", "cell_id", "x", "y")).alias("p")).select("gx", "gy", "p.*")
+        best = around(firsts.select("gx", "gy", "priority")).groupBy("gx", "gy").agg(F.min("priority").alias("best"))
+        now = save(firsts.join(best, ["gx", "gy"]).filter("priority = best").drop("best"), "disk-picked")
         picked = now if picked is None else picked.unionByName(now)
-        gone = now.select("cell_id").unionByName(pairs.join(now.select(F.col("cell_id").alias("src")), "src", "left_semi").select(F.col("dst").alias("cell_id"))).distinct()
-        gone = save(gone, "disk-gone")
-        todo = save(todo.join(gone, "cell_id", "left_anti"), "disk")
+        shade = around(now.select("gx", "gy", F.col("x").alias("px"), F.col("y").alias("py"))).withColumnsRenamed({"gx": "hx", "gy": "hy"})
+        dx, dy = F.col("x") - F.col("px"), F.col("y") - F.col("py")
+        near = (F.col("gx") == F.col("hx")) & (F.col("gy") == F.col("hy")) & (F.sqrt(dx * dx + dy * dy) < r)
+        todo = save(todo.join(shade, near, "left_anti"), "disk")
         if not todo.limit(1).count():
             break
-        pairs = save(pairs.join(gone.select(F.col("cell_id").alias("src")), "src", "left_anti").join(gone.select(F.col("cell_id").alias("dst")), "dst", "left_anti"), "disk-pairs")
     out = picked.select("cell_id", "priority")
     return out.orderBy("priority").limit(target_n) if target_n is not None else out
 

@@ -2,7 +2,8 @@
 
 A distance predicate alone would be a nested loop, so points are keyed by grid cell and joined by
 equality on neighbouring cells, with the exact predicate on what meets. For k-NN the ring of cells
-grows for those points only whose k-th distance is not yet within the ring.
+grows for those points only whose k-th distance is not yet within the ring; the last few, such as
+far outliers, are compared with all points batch by batch.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from ..plans.storage import save
 
 #: Counted points up to which k-NN compares all with all.
 FEW_POINTS = 4000
+#: Points without a settled result that are compared with all others rather than by wider rings.
+FEW_OPEN = 1000
 
 
 def _ring(c: str, r: int) -> F.Column:
@@ -46,14 +49,16 @@ def density(points: DataFrame, radius: float) -> DataFrame:
 def knn(points: DataFrame, k: int, few: int = FEW_POINTS) -> DataFrame:
     """src, dst, rank (1..k), dist: the k nearest other points, ties by id. Self is excluded by id,
     so points at one place are neighbours of each other. Up to `few` points are compared with all."""
-    box = points.agg(F.count("*").alias("n"), F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
-    n, x0, x1, y0, y1 = box
+    box = points.agg(F.count("*"), F.min("x"), F.max("x"), F.min("y"), F.max("y"), *[F.percentile_approx(c, [0.005, 0.995], 1000) for c in ("x", "y")]).first()
+    n, x0, x1, y0, y1, inner_x, inner_y = box
     schema = points.select(F.col("cell_id").alias("src"), F.col("cell_id").alias("dst")).withColumns({"rank": F.lit(1), "dist": F.lit(0.0)})
     if n < 2:
         return schema.limit(0)
-    width, height = x1 - x0, y1 - y0
-    extent = max(width, height) or 1.0
-    area = max(width, extent / n) * max(height, extent / n)
+    extent = max(x1 - x0, y1 - y0) or 1.0
+    # outliers don't make cells wide: their size is that of the bulk of the points
+    width, height = inner_x[1] - inner_x[0], inner_y[1] - inner_y[0]
+    bulk = max(width, height) or extent
+    area = max(width, bulk / n) * max(height, bulk / n)
     cell = max(math.sqrt(area * max(1, k) / n), extent * 1e-9)
     gx, gy = F.floor((F.col("x") - x0) / cell), F.floor((F.col("y") - y0) / cell)
     # of the points at one place, only the k + 1 least ids can be anyone's neighbours
@@ -79,14 +84,38 @@ def knn(points: DataFrame, k: int, few: int = FEW_POINTS) -> DataFrame:
         found = near.join(settled, "src", "left_semi")
         done = found if done is None else done.unionByName(found)
         open_ids = save(open_ids.join(settled, "src", "left_anti"), "knn-open")
-        if not open_ids.limit(1).count():
-            return done
+        n_open = open_ids.count()
+        if n_open <= FEW_OPEN:
+            return done.unionByName(_against_all(open_ids, targets, k)) if n_open else done
         r = min(last, 2 * r)
 
 
+def _against_all(asking: DataFrame, targets: DataFrame, k: int) -> DataFrame:
+    """The k nearest targets of at most FEW_OPEN points; each batch of targets leaves its k nearest."""
+    few = asking.select("src", "ax", "ay").toPandas()
+
+    def nearest(batches):
+        for batch in batches:
+            ids, bx, by = batch["dst"].to_numpy(), batch["bx"].to_numpy(float), batch["by"].to_numpy(float)
+            out = []
+            for src, ax, ay in zip(few["src"], few["ax"], few["ay"], strict=True):
+                dx, dy = ax - bx, ay - by
+                d = np.sqrt(dx * dx + dy * dy)
+                d[ids == src] = np.inf
+                keep = np.flatnonzero(d <= (np.partition(d, k - 1)[k - 1] if len(d) > k else np.inf))
+                keep = keep[ids[keep] != src]
+                out.append(pd.DataFrame({"src": [src] * len(keep), "dst": ids[keep], "dist": d[keep]}))
+            yield pd.concat(out, ignore_index=True)
+
+    kind = asking.schema["src"].dataType.simpleString()
+    near = targets.select("dst", "bx", "by").mapInPandas(nearest, f"src {kind}, dst {kind}, dist double")
+    best = Window.partitionBy("src").orderBy("dist", "dst")
+    return near.select("src", "dst", F.row_number().over(best).alias("rank"), "dist").filter(F.col("rank") <= k)
+
+
 def knn_vectors(points: DataFrame, k: int, block: int = 1024) -> DataFrame:
     """Exact k-NN of vectors: src, dst, rank, dist. Every pair is compared, block against block;
-    each pair of blocks leaves k rows a source, which a window merges."""
+    each pair of blocks is one matrix product and leaves k rows a source, which a window merges."""
     n = points.count()
     blocks = max(1, -(-n // block))
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
@@ -96,15 +125,23 @@ def knn_vectors(points: DataFrame, k: int, block: int = 1024) -> DataFrame:
     kind = points.schema["cell_id"].dataType.simpleString()
 
     def nearest(both: pd.DataFrame) -> pd.DataFrame:
-        out, left, right = [], both[both["asks"]], both[~both["asks"]]
-        if len(left) and len(right):
-            right = right.sort_values("cell_id")
-            ids, m = right["cell_id"].to_numpy(), np.stack(right["vec"].to_numpy()).astype(float)
-            for own, v in zip(left["cell_id"], left["vec"], strict=True):
-                d = np.sqrt(((m - np.asarray(v, float)) ** 2).sum(1))
-                order = np.argsort(d, kind="stable")[: k + 1]
-                out += [(own, ids[o], d[o]) for o in order if ids[o] != own][:k]
-        return pd.DataFrame(out, columns=["src", "dst", "dist"])
+        left, right = both[both["asks"]], both[~both["asks"]].sort_values("cell_id")
+        if not len(left) or not len(right):
+            return pd.DataFrame({"src": [], "dst": [], "dist": []})
+        ids, m, v = right["cell_id"].to_numpy(), np.stack(right["vec"].to_numpy()).astype(float), np.stack(left["vec"].to_numpy()).astype(float)
+        center = m.mean(0)
+        m, v = m - center, v - center
+        squares = (v * v).sum(1)[:, None] + (m * m).sum(1)[None]
+        # one matrix product finds who may be near; their distances are then taken exactly
+        rough = squares - 2 * (v @ m.T)
+        last = min(k, len(ids) - 1)  # one more than k, as a vector may find itself
+        i, j = np.nonzero(rough <= np.partition(rough, last, 1)[:, last, None] + 1e-9 * squares.max(1, keepdims=True))
+        d, own = np.sqrt(((v[i] - m[j]) ** 2).sum(1)), left["cell_id"].to_numpy()[i]
+        order = np.lexsort((j, d, i))
+        order = order[ids[j[order]] != own[order]]
+        starts = np.searchsorted(i[order], i[order], "left")
+        order = order[np.arange(len(order)) - starts < k]
+        return pd.DataFrame({"src": own[order], "dst": ids[j[order]], "dist": d[order]})
 
     pairs = asking.unionAll(asked).groupBy("i", "j").applyInPandas(nearest, f"src {kind}, dst {kind}, dist double")
     best = Window.partitionBy("src").orderBy("dist", "dst")

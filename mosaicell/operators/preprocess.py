@@ -88,8 +88,11 @@ def nonnegative(df: DataFrame, strategy: str = "shift", column: str = "value") -
 
 
 def standardize(df: DataFrame, id_column: str = "cell_id", vec: str = "vec") -> DataFrame:
-    """Columns of the vectors to mean 0 and population deviation 1; constant ones to 0."""
-    long = df.select(id_column, F.posexplode(vec).alias("dim", "v"))
-    stats = long.groupBy("dim").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("sd"))
-    z = (F.col("v") - F.col("m")) / F.when(F.col("sd") > 0, F.col("sd")).otherwise(1.0)
-    return long.join(F.broadcast(stats), "dim").select(id_column, "dim", z.alias("z"))
+    """id, vec: the vectors' columns brought to mean 0 and population deviation 1, constant ones to 0.
+
+    The moments are one row, so that no vector is taken apart and put together again."""
+    moments = df.select(F.posexplode(vec).alias("dim", "v")).groupBy("dim").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("sd"))
+    moments = moments.agg(F.array_sort(F.collect_list(F.struct("dim", "m", "sd"))).alias("_moments"))
+    at = lambda i: F.col("_moments")[i]
+    z = F.transform(vec, lambda v, i: (v - at(i)["m"]) / F.when(at(i)["sd"] > 0, at(i)["sd"]).otherwise(1.0))
+    return df.crossJoin(F.broadcast(moments)).select(id_column, z.alias(vec))

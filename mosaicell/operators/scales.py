@@ -2,26 +2,76 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import knee
 
 
+def _merged(parts: list[tuple[int, np.ndarray, np.ndarray]]) -> tuple[int, np.ndarray, np.ndarray]:
+    """Counts, means and sums of centred products of disjoint sets of rows, put together."""
+    n, mean, m2 = parts[0]
+    for k, other, more in parts[1:]:
+        if not k:
+            continue
+        away = other - mean
+        m2 = m2 + more + away[..., :, None] * away[..., None, :] * (n * k / max(1, n + k))
+        mean, n = mean + away * (k / (n + k)), n + k
+    return n, mean, m2
+
+
+def _moments(scales: int):
+    """Of a task's cells, for each component: the count, the scales' means and centred products."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            flat = batch.column("vecs").flatten().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            x = flat.reshape(len(batch), scales, -1).transpose(2, 0, 1)  # component, cell, scale
+            mean = x.mean(1)
+            centred = x - mean[:, None]
+            part = (len(batch), mean, centred.transpose(0, 2, 1) @ centred)
+            total = part if total is None else _merged([total, part])
+        if total is not None:
+            n, mean, m2 = total
+            lists = lambda a: pa.array(a.reshape(len(a), -1).tolist(), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(mean)), pa.int32()), pa.array([n] * len(mean), pa.int64()), lists(mean), lists(m2)], ["component", "n", "mean", "m2"])
+
+    return run
+
+
+def _correlations(part: pd.DataFrame) -> pd.DataFrame:
+    scales = len(part["mean"].iloc[0])
+    n, _, m2 = _merged([(int(k), np.array(m), np.array(v).reshape(scales, scales)) for k, m, v in zip(part["n"], part["mean"], part["m2"], strict=True)])
+    spread = np.sqrt(np.maximum(0, np.diag(m2)))
+    constant = spread <= 1e-12 * np.sqrt(max(1, n))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        r = m2 / (spread[:, None] * spread[None])
+    r[constant], r[:, constant] = np.nan, np.nan
+    i, j = np.triu_indices(scales)
+    return pd.DataFrame({"s1": i.astype(np.int32), "s2": j.astype(np.int32), "r": [None if np.isnan(x) else float(x) for x in r[i, j]]})
+
+
 def scale_correlation(signals: DataFrame) -> DataFrame:
     """signals(cell_id, scale_idx, vec) -> s1, s2, corr: Pearson over cells in each component,
-    averaged over components; null if a component is constant at either scale.
-
-    One row a cell holds its values at all scales, so the moments of all pairs come from one
-    pass, with partial sums before the shuffle."""
-    cell = signals.groupBy("cell_id").agg(F.collect_list(F.struct("scale_idx", "vec")).alias("s"))
-    pair = cell.select(F.explode("s").alias("a"), "s").select("a", F.explode("s").alias("b")).filter("a.scale_idx <= b.scale_idx")
-    values = pair.select(F.col("a.scale_idx").alias("s1"), F.col("b.scale_idx").alias("s2"), F.posexplode(F.arrays_zip(F.col("a.vec").alias("x"), F.col("b.vec").alias("y"))).alias("component", "v"))
-    x, y = F.col("v.x"), F.col("v.y")
-    moments = values.groupBy("s1", "s2", "component").agg(F.covar_pop(x, y).alias("c"), F.stddev_pop(x).alias("sx"), F.stddev_pop(y).alias("sy"))
-    r = F.try_divide(F.col("c"), F.col("sx") * F.col("sy"))
-    means = moments.withColumn("r", r).groupBy("s1", "s2").agg(F.avg("r").alias("m"), F.count("r").alias("k"), F.count("*").alias("n"))
+    averaged over components; null if a component is constant at either scale. Scales are numbered
+    from 0, and cells that lack one don't count.
+
+    One row a cell holds its values at all scales. Each task sums the products of all pairs of
+    scales by matrix products, and one small matrix for each component and task is shuffled."""
+    scales = (signals.agg(F.max("scale_idx")).first()[0] or 0) + 1
+    cell = signals.groupBy("cell_id").agg(F.array_sort(F.collect_list(F.struct("scale_idx", "vec"))).alias("s")).filter(F.size("s") == scales)
+    values = cell.select(F.transform("s", lambda x: x["vec"].cast("array<double>")).alias("vecs"))
+    sums = values.mapInArrow(_moments(scales), "component int, n long, mean array<double>, m2 array<double>")
+    each = sums.groupBy("component").applyInPandas(_correlations, "s1 int, s2 int, r double")
+    means = each.groupBy("s1", "s2").agg(F.avg("r").alias("m"), F.count("r").alias("k"), F.count("*").alias("n"))
     return means.select("s1", "s2", F.when(F.col("k") == F.col("n"), F.col("m")).alias("corr"))
 
 

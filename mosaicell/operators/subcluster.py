@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import erfc, t_two_sided
 from ..plans.storage import maybe_broadcast, save
+from .neighbors import FEW_OPEN, knn, radius_join
 
 #: Name parts of cell types left out of the ranking by default.
 EPITHELIAL_TERMS = ("Tumor Cells", "Epithelial", "Epithelium", "AT2", "Unassigned", "Ciliated", "Malignant")
@@ -48,27 +51,107 @@ def _pairs(points: DataFrame) -> DataFrame:
     return a.crossJoin(b).select("i", "j", d.alias("d"))
 
 
-def density_peaks(points: DataFrame, n_clusters: int | None = 2, cutoff: float | None = None) -> DataFrame:
-    """points(cell_id, vec) -> cell_id, rho, delta, parent, label (-1: outlier).
+def _hull(xy: np.ndarray) -> np.ndarray:
+    """Corners of the convex hull of points, in order around it."""
+    pts = np.unique(xy, axis=0).tolist()
+    half = []
+    for way in (pts, pts[::-1]):
+        chain: list = []
+        for x, y in way:
+            while len(chain) > 1 and (chain[-1][0] - chain[-2][0]) * (y - chain[-2][1]) <= (chain[-1][1] - chain[-2][1]) * (x - chain[-2][0]):
+                chain.pop()
+            chain.append((x, y))
+        half += chain[: max(1, len(chain) - 1)]
+    return np.array(half, float).reshape(-1, 2)
 
-    Distances are relative to the greatest. rho counts points within the cutoff (by default the
-    mean distance of the max(n // 100, 1)-th neighbour) and breaks ties by a hash of the id; delta
-    is the distance to the nearest point of higher rho. Centres have the greatest rho * delta;
-    labels follow parents to a centre, by pointer jumping."""
-    n = points.count()
+
+def _hulls(batches):
+    for batch in batches:
+        yield pd.DataFrame(_hull(batch[["x", "y"]].to_numpy(float)), columns=["x", "y"])
+
+
+def _farthest(corners: pd.DataFrame) -> pd.DataFrame:
+    h, top = _hull(corners[["x", "y"]].to_numpy(float)), 0.0
+    for at in range(0, len(h), 1000):
+        away = h[at : at + 1000, None] - h[None]
+        top = max(top, float(np.sqrt(away[..., 0] * away[..., 0] + away[..., 1] * away[..., 1]).max()))
+    return pd.DataFrame({"top": [top]})
+
+
+def diameter(points: DataFrame) -> float:
+    """The greatest distance of points(x, y): both ends are corners of the hull of the batches' hulls."""
+    found = points.select("x", "y").mapInPandas(_hulls, "x double, y double").groupBy(F.lit(0).alias("g")).applyInPandas(_farthest, "top double").first()
+    return found[0] if found else 0.0
+
+
+def _noise(points: DataFrame, c: str) -> F.Column:
+    whole = points.schema["cell_id"].dataType.simpleString() in ("int", "bigint")
+    return F.pmod(F.col(c).cast("long") * 2654435761 if whole else F.xxhash64(c), F.lit(1 << 32)) / float(1 << 32) * 1e-5
+
+
+def _planar_tree(points: DataFrame, n: int, cutoff: float | None) -> DataFrame:
+    """cell_id, rho, delta, parent of points in a plane, by joins on grid cells: a point meets those
+    within the cutoff, and those of rings that grow until one of a higher rho is found. The last
+    points without one, and those that have none, are compared with all points by a broadcast."""
+    p = save(points.select("cell_id", F.col("vec")[0].cast("double").alias("x"), F.col("vec")[1].cast("double").alias("y")), "peak-points")
+    top = diameter(p)
+    if cutoff is None:
+        k = max(n // 100, 1)
+        cutoff = (knn(p, k).filter(F.col("rank") == k).agg(F.avg(F.col("dist") / (top or 1.0))).first()[0] or 0.0) if n > k else 0.0
+    counts = p.select(F.col("cell_id").alias("src"), F.lit(0).alias("k"))
+    if cutoff > 0 and top > 0:
+        counts = radius_join(p, p, cutoff * top).filter(F.col("dist") / top < cutoff).groupBy("src").agg(F.count("*").alias("k"))
+    rho = p.join(counts, p["cell_id"] == counts["src"]).select("cell_id", "x", "y", (F.col("k") - 1 + _noise(points, "cell_id")).alias("rho"))
+    cell = max(2 * top / max(1.0, n**0.5), 1e-300)
+    rho = save(rho.withColumns({"gx": F.floor(F.col("x") / cell), "gy": F.floor(F.col("y") / cell)}), "rho")
+    far = rho.select(F.col("cell_id").alias("j"), F.col("x").alias("bx"), F.col("y").alias("by"), F.col("rho").alias("rj"), "gx", "gy")
+    dx, dy = F.col("x") - F.col("bx"), F.col("y") - F.col("by")
+    d = F.sqrt(dx * dx + dy * dy)
+    left, done, r = rho.withColumnsRenamed({"gx": "hx", "gy": "hy"}), None, 1
+    n_left = n
+    while n_left > FEW_OPEN:
+        ring = lambda c: F.explode(F.sequence(F.col(c) - r, F.col(c) + r))  # noqa: B023, E731
+        near = left.withColumn("gx", ring("hx")).withColumn("gy", ring("hy")).join(far, ["gx", "gy"]).filter("rj > rho")
+        found = near.groupBy("cell_id", "rho").agg(F.min(F.struct(d.alias("d"), "j")).alias("up")).filter(F.col("up.d") < r * cell)
+        found = save(found.select("cell_id", "rho", F.col("up.d").alias("d"), F.col("up.j").alias("parent")), "peak-found")
+        done = found if done is None else done.unionByName(found)
+        left = save(left.join(found.select("cell_id"), "cell_id", "left_anti"), "peak-left")
+        n_left, r = left.count(), 2 * r
+        if r * cell > 2 * top + 2 * cell:
+            break
+    # few: counted, or the rings have met everyone and only the highest are left
+    last = F.broadcast(left.select("cell_id", "x", "y", "rho")) if n_left <= FEW_OPEN else left.select("cell_id", "x", "y", "rho")
+    rest = far.join(last).groupBy("cell_id", "rho").agg(F.min(F.when(F.col("rj") > F.col("rho"), F.struct(d.alias("d"), "j"))).alias("up"), F.max(d).alias("far"))
+    rest = rest.select("cell_id", "rho", F.coalesce("up.d", "far").alias("d"), F.coalesce("up.j", "cell_id").alias("parent"))
+    tree = rest if done is None else done.unionByName(rest)
+    return save(tree.select("cell_id", "rho", (F.col("d") / (top or 1.0)).alias("delta"), "parent"), "tree")
+
+
+def _paired_tree(points: DataFrame, n: int, cutoff: float | None) -> DataFrame:
+    """The same for vectors of any size, over all pairs of one cluster's cells."""
     pairs = _pairs(points)
     top = pairs.agg(F.max("d").alias("top"))
     pairs = save(pairs.crossJoin(F.broadcast(top)).select("i", "j", F.coalesce(F.try_divide("d", "top"), F.lit(0.0)).alias("d")), "peak-pairs")
     if cutoff is None:
         rank = F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))
         cutoff = pairs.withColumn("r", rank).filter(F.col("r") == max(n // 100, 1) + 1).agg(F.avg("d")).first()[0] or 0.0
-    noise = F.pmod(F.col("i").cast("long") * 2654435761, F.lit(1 << 32)) / float(1 << 32) * 1e-5 if points.schema["cell_id"].dataType.simpleString() in ("int", "bigint") else F.pmod(F.xxhash64("i"), F.lit(1 << 32)) / float(1 << 32) * 1e-5
-    rho = save(pairs.groupBy("i").agg(F.count_if(F.col("d") < cutoff).alias("k")).select("i", (F.col("k") - 1 + noise).alias("rho")), "rho")
+    rho = save(pairs.groupBy("i").agg(F.count_if(F.col("d") < cutoff).alias("k")).select("i", (F.col("k") - 1 + _noise(points, "i")).alias("rho")), "rho")
     both = pairs.join(maybe_broadcast(rho.select("i", F.col("rho").alias("ri")), n), "i").join(maybe_broadcast(rho.select(F.col("i").alias("j"), F.col("rho").alias("rj")), n), "j")
     higher = both.groupBy("i", F.col("ri").alias("rho")).agg(
         F.min(F.when(F.col("rj") > F.col("ri"), F.struct("d", "j"))).alias("up"), F.max("d").alias("far")
     )
-    tree = save(higher.select(F.col("i").alias("cell_id"), "rho", F.coalesce("up.d", "far").alias("delta"), F.coalesce("up.j", "i").alias("parent")), "tree")
+    return save(higher.select(F.col("i").alias("cell_id"), "rho", F.coalesce("up.d", "far").alias("delta"), F.coalesce("up.j", "i").alias("parent")), "tree")
+
+
+def density_peaks(points: DataFrame, n_clusters: int | None = 2, cutoff: float | None = None) -> DataFrame:
+    """points(cell_id, vec) -> cell_id, rho, delta, parent, label (-1: outlier).
+
+    Distances are relative to the greatest. rho counts points within the cutoff (by default the
+    mean distance of the max(n // 100, 1)-th neighbour) and breaks ties by a hash of the id; delta
+    is the distance to the nearest point of higher rho. Centres have the greatest rho * delta;
+    labels follow parents to a centre, by pointer jumping."""
+    n, planar = points.agg(F.count("*"), F.coalesce(F.bool_and(F.size("vec") == 2), F.lit(True))).first()
+    tree = (_planar_tree if planar else _paired_tree)(points, n, cutoff)
     score = F.col("rho") * F.col("delta")
     if n_clusters is None:
         best = [r[0] for r in tree.select(score.alias("s")).orderBy(F.desc("s")).limit(n // 10 + 2).collect()]

@@ -312,7 +312,7 @@ def clip_expm1(spark, d):
 @query(f"""WITH {PTS}, l AS (SELECT cell_id, unnest(vec) AS v, unnest(range(64)) AS dim FROM pts), s AS (SELECT dim, avg(v) AS m, stddev_pop(v) AS sd FROM l GROUP BY dim)
 SELECT cell_id, CAST(dim AS BIGINT) AS dim, {r('(v - m) / CASE WHEN sd > 0 THEN sd ELSE 1 END')} AS z FROM l JOIN s USING (dim)""")
 def standardise(spark, d):
-    return preprocess.standardize(points(spark, d).select("cell_id", "vec"))
+    return preprocess.standardize(points(spark, d)).select("cell_id", F.posexplode("vec").alias("dim", "z"))
 
 
 # ------------------------------------------------------------------ scales
@@ -780,10 +780,11 @@ def preferred_seeds(spark, d):
     return g.filter("density_group = 'High'").select("cell_id").unionAll(g.filter("density_group = 'Low'").select("cell_id"))
 
 
-@query("SELECT vec_id AS cell_id FROM embeddings WHERE vec_id % 25 <> 0")
+@query("SELECT vec_id AS cell_id FROM embeddings WHERE label <> 3")
 def remaining_points(spark, d):
-    p = points(spark, d).select("cell_id")
-    return p.join(p.filter("cell_id % 25 = 0"), "cell_id", "left_anti")
+    """What is left when the points of one label are taken."""
+    p = points(spark, d)
+    return p.select("cell_id").join(p.filter("label = '3'").select("cell_id"), "cell_id", "left_anti")
 
 
 @query("SELECT DISTINCT round(s, 4) AS scale FROM (SELECT CAST(label AS DOUBLE) / 2 AS s FROM embeddings UNION ALL SELECT 0.0 UNION ALL SELECT 0.00001)", 4)
@@ -792,10 +793,11 @@ def important_scales(spark, d):
     return s.select(F.round("scale", 4).alias("scale")).distinct()
 
 
-@query("SELECT vec_id AS cell_id, i AS dim, CASE WHEN vec_id % 25 = 0 AND (vec_id // 25) % 3 = i THEN 1.0 ELSE 0.0 END AS value FROM embeddings, (SELECT CAST(unnest(range(3)) AS BIGINT) AS i)")
+@query("SELECT vec_id AS cell_id, i AS dim, CASE WHEN label = i THEN 1.0 ELSE 0.0 END AS value FROM embeddings, (SELECT CAST(unnest(range(3)) AS BIGINT) AS i)")
 def impulse_matrix(spark, d):
+    """Three rounds, whose seeds are the points of the first three labels."""
     p = points(spark, d)
-    rounds = p.filter("cell_id % 25 = 0").select("cell_id", ((F.col("cell_id") / 25).cast("long") % 3 + 1).alias("round"))
+    rounds = p.filter("label IN ('0', '1', '2')").select("cell_id", (F.col("label").cast("int") + 1).alias("round"))
     return mapping.impulse_signals(p, rounds, 3).select("cell_id", F.posexplode("vec").alias("dim", "value"))
 
 

@@ -122,8 +122,9 @@ def test_t_tail_and_beta():
     assert abs(numeric.incomplete_beta(0.5, 0.5, 0.5) - 0.5) < 1e-9
 
 
+@pytest.mark.parametrize("serial", [10**6, 0])
 @pytest.mark.parametrize("order", ["random", "raster"])
-def test_poisson_disk_equals_serial_greedy(spark, order):
+def test_poisson_disk_equals_serial_greedy(spark, order, serial):
     rng = np.random.default_rng(5)
     xy = rng.uniform(0, 10, (150, 2))
     p = points_of(spark, xy)
@@ -132,10 +133,11 @@ def test_poisson_disk_equals_serial_greedy(spark, order):
     for i in ranked:
         if all(np.hypot(*(xy[i] - xy[j])) >= 1.2 for j in want):
             want.append(i)
-    got = {r.cell_id for r in mapping.poisson_disk(p, 1.2, order).collect()}
+    got = {r.cell_id for r in mapping.poisson_disk(p, 1.2, order, serial=serial).collect()}
     assert got == set(want)
-    first = [r.cell_id for r in mapping.poisson_disk(p, 1.2, order, target_n=5).collect()]
-    assert set(first) == set(want[:5])
+    if serial:
+        first = [r.cell_id for r in mapping.poisson_disk(p, 1.2, order, target_n=5).collect()]
+        assert first == want[:5] and mapping.poisson_disk(p.limit(0), 1.2, order).count() == 0
     with pytest.raises(ValueError):
         mapping.sampling_priority(p, "sideways")
 
@@ -269,6 +271,50 @@ def test_whole_queries_take_all_points(spark):
     d = "/root/testdata/sf0.001"
     p = queries.points(spark, d).select("cell_id", "x", "y").toPandas()
     near = np.hypot(p.x.to_numpy()[:, None] - p.x.to_numpy(), p.y.to_numpy()[:, None] - p.y.to_numpy()) <= 0.1
-    assert queries.QUERIES["radius_join_whole"](spark, d).count() == near.sum()
-    assert queries.QUERIES["manifest_join_whole"](spark, d).select("seed_id").distinct().count() == len(p)
-    assert not any("% 25" in sql or "% 50" in sql for name, sql in queries.ORACLE_SQL.items() if name.endswith("_whole"))
+    assert queries.QUERIES["radius_join"](spark, d).count() == near.sum()
+    assert queries.QUERIES["manifest_join"](spark, d).select("seed_id").distinct().count() == len(p)
+    assert not any("% 25" in sql or "% 50" in sql for sql in queries.ORACLE_SQL.values())
+
+
+def test_density_peaks_in_a_plane_equal_all_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    xy = np.concatenate([rng.normal(0, 1, (150, 2)), rng.normal(6, 0.5, (120, 2)), [[60.0, 1.0], [0.0, 0.0], [0.0, 0.0]]])
+    p = spark.createDataFrame([(i, [float(a), float(b)]) for i, (a, b) in enumerate(xy)], "cell_id long, vec array<double>")
+    want = {r.cell_id: (round(r.rho, 9), round(r.delta, 9), r.parent) for r in subcluster._paired_tree(p, len(xy), None).collect()}
+    for few in (1000, 5):
+        monkeypatch.setattr(subcluster, "FEW_OPEN", few)
+        got = {r.cell_id: (round(r.rho, 9), round(r.delta, 9), r.parent) for r in subcluster._planar_tree(p, len(xy), None).collect()}
+        assert got == want
+    same = spark.createDataFrame([(i, [1.0, 1.0]) for i in range(5)], "cell_id long, vec array<double>")
+    assert {r.label for r in subcluster.density_peaks(same).collect()} == {-1}
+    assert subcluster.density_peaks(same.limit(0)).count() == 0
+
+
+def test_diameter_of_hulls(spark):
+    rng = np.random.default_rng(1)
+    for xy in (rng.normal(0, 1, (500, 2)), np.zeros((4, 2)), np.stack([np.arange(9.0), np.arange(9.0)], 1), np.array([[1.0, 2.0]])):
+        p = spark.createDataFrame([(float(a), float(b)) for a, b in xy], "x double, y double")
+        assert abs(subcluster.diameter(p) - np.sqrt(((xy[:, None] - xy[None]) ** 2).sum(-1)).max()) < 1e-12
+
+
+def test_knn_of_outliers_equals_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    xy = np.concatenate([rng.normal(0, 1, (400, 2)), [[1e6, 0.0], [-3e5, 2e5], [1e6, 1.0]]])
+    p = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(xy)], "cell_id long, x double, y double")
+    d = np.sqrt(((xy[:, None] - xy[None]) ** 2).sum(-1))
+    np.fill_diagonal(d, np.inf)
+    want = {(i, int(j), k + 1) for i in range(len(xy)) for k, j in enumerate(np.argsort(d[i], kind="stable")[:4])}
+    for few in (1000, 3):
+        monkeypatch.setattr(neighbors, "FEW_OPEN", few)
+        assert {(r.src, r.dst, r["rank"]) for r in neighbors.knn(p, 4, few=0).collect()} == want
+
+
+def test_scale_correlation_leaves_incomplete_cells_out(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, 1, (60, 3, 4)) + 1e4
+    rows = [(i, s, x[i, s].tolist()) for i in range(60) for s in range(3)] + [(99, 0, [0.0] * 4)]
+    got = {(r.s1, r.s2): r["corr"] for r in scales.scale_correlation(spark.createDataFrame(rows, "cell_id long, scale_idx int, vec array<double>").repartition(5)).collect()}
+    for a in range(3):
+        for b in range(a, 3):
+            want = np.mean([np.corrcoef(x[:, a, c], x[:, b, c])[0, 1] for c in range(4)])
+            assert abs(got[a, b] - want) < 1e-8
