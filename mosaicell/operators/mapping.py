@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.storage import save
+from ..sources.tables import write_mapping
 from .neighbors import density, radius_join
 from .spectral import MAPPING_SCALES, heat_filter
 
@@ -270,8 +271,8 @@ def wide_heatmap(table: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ all of it
 
 
-def map_scales_to_distance(points: DataFrame, edges: DataFrame, typical_scales: list[float] | None = None, density_radius: float = 20, density_percentile: float = 10, sample_r: float = 500, target_total: int = 2000, first_round_n: int = 400, first_round_candidates: int = 10_000, preferred_max_frac: float = 0.6, scales: list[float] | None = None, radius: float = 250, x_max: float = 125, width: float = 1, normalize_rows: bool = True, seed: int = 0, groups: tuple[str, ...] = ("Low", "Medium", "High")) -> dict[str, DataFrame]:
-    """cells (density and group), rounds, profiles, manifest, heatmap and energy tables."""
+def map_scales_to_distance(points: DataFrame, edges: DataFrame, typical_scales: list[float] | None = None, density_radius: float = 20, density_percentile: float = 10, sample_r: float = 500, target_total: int = 2000, first_round_n: int = 400, first_round_candidates: int = 10_000, preferred_max_frac: float = 0.6, scales: list[float] | None = None, radius: float = 250, x_max: float = 125, width: float = 1, normalize_rows: bool = True, seed: int = 0, groups: tuple[str, ...] = ("Low", "Medium", "High"), path: str | None = None) -> dict[str, DataFrame]:
+    """cells (density and group), rounds, profiles, manifest, heatmap and energy tables; written to path."""
     scales = sorted({round(s, 4) for s in (scales or MAPPING_SCALES)} | {round(s, 4) for s in typical_scales or ()})
     cells = save(density_groups(density(points, density_radius), percentile=density_percentile), "density")
     preferred = cells.filter(F.col("density_group").isin("High", "Low"))
@@ -281,4 +282,7 @@ def map_scales_to_distance(points: DataFrame, edges: DataFrame, typical_scales:
     profiles = save(seed_profiles(points, rounds, responses, radius), "profiles")
     grouping = cells.filter(F.col("density_group").isin(*groups)).select(F.col("cell_id").alias("seed_id"), F.col("density_group").alias("grp"))
     table, energy = heatmap(profiles, x_max, width, normalize_rows=normalize_rows, counts_weight=False, groups=grouping)
-    return {"cells": cells, "rounds": rounds, "profiles": profiles, "manifest": manifest(profiles, cells, radius=radius), "heatmap": table, "energy": energy}
+    out = {"cells": cells, "rounds": rounds, "profiles": profiles, "manifest": manifest(profiles, cells, radius=radius), "heatmap": table, "energy": energy}
+    if path:
+        write_mapping(out, path)
+    return out

@@ -11,6 +11,7 @@ from ..operators.graph import symmetrize, weigh
 from ..operators.neighbors import knn, knn_vectors
 from ..operators.scales import identify_scales
 from ..operators.spectral import DEFAULT_SCALES, heat_filter
+from ..sources.tables import write_tables
 from .storage import save
 
 RESOLUTIONS = [0.4, 0.6, 0.8, 1.0, 1.2]
@@ -97,6 +98,13 @@ class MultiscaleAnalysis:
             self.clustering(n_metacells, resolutions, min_scale, max_scale)
         return self.simpson_by_scale()
 
+    def write(self, path: str) -> list[str]:
+        """All tables that the analysis has so far, a folder each; their names."""
+        found = {"points": self.points, "spatial_knn": self.edges, "signals": self.signals, "typical_scales": self.typical_scales, "labels": self.labels, "layouts": self.layouts, "simpson": self.simpson}
+        found = {k: v for k, v in found.items() if v is not None} | {f"rep_{k}": v for k, v in self.reps.items()}
+        write_tables(found, path)
+        return sorted(found)
+
     def cluster_points(self, resolution: float, title: str = "Raw") -> DataFrame:
         """What a plot of clusters in space or layout draws."""
         if self.labels is None:

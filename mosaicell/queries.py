@@ -339,7 +339,22 @@ def typical_scales(spark, d):
     return scales.identify_scales(tensor(spark, d), [float(i) for i in range(8)], 2, 5)[2]
 
 
-@query()
+CORR = f"""{TENSOR}, half AS MATERIALIZED (SELECT s1, s2, avg(r) AS c FROM (
+  SELECT a.s AS s1, b.s AS s2, a.c, covar_pop(a.v, b.v) / (stddev_pop(a.v) * stddev_pop(b.v)) AS r
+  FROM sig a JOIN sig b ON a.cell_id = b.cell_id AND a.c = b.c AND a.s <= b.s GROUP BY 1, 2, 3) GROUP BY s1, s2),
+m AS MATERIALIZED (SELECT s1, s2, c FROM half UNION SELECT s2, s1, c FROM half)"""
+#: All ways to cut 8 scales into 3 runs, the cost of each run being the variance of its square.
+BLOCKS = f"""WITH {CORR}, runs AS (SELECT a.s1 AS a, b.s1 AS b FROM (SELECT DISTINCT s1 FROM m) a JOIN (SELECT DISTINCT s1 FROM m) b ON a.s1 <= b.s1),
+cost AS MATERIALIZED (SELECT a, b, var_pop(c) AS v FROM runs JOIN m ON s1 BETWEEN a AND b AND s2 BETWEEN a AND b GROUP BY a, b),
+best AS (SELECT x.b AS c1, y.b AS c2, x.v + y.v + z.v AS total FROM cost x JOIN cost y ON y.a = x.b + 1 JOIN cost z ON z.a = y.b + 1 WHERE x.a = 0 AND z.b = 7 ORDER BY round(total, 12), c2, c1 LIMIT 1),
+blk AS (SELECT 0 AS first, c1 AS last, total FROM best UNION ALL SELECT c1 + 1, c2, total FROM best UNION ALL SELECT c2 + 1, 7, total FROM best),
+far AS (SELECT first, i, sum(d) AS d FROM (SELECT first, p.s1 AS i, q.s1 AS j, sqrt(sum((p.c - q.c) * (p.c - q.c))) AS d FROM blk
+  JOIN m p ON p.s1 BETWEEN first AND last AND p.s2 BETWEEN first AND last JOIN m q ON q.s1 BETWEEN first AND last AND q.s2 = p.s2 GROUP BY 1, 2, 3) GROUP BY 1, 2),
+mid AS (SELECT first, arg_min(i, (round(d, 12), i)) AS center FROM far GROUP BY first)
+SELECT CAST(first AS BIGINT) AS first, CAST(last AS BIGINT) AS last, CAST(center AS BIGINT) AS center, {r('total')} AS total FROM blk JOIN mid USING (first)"""
+
+
+@query(BLOCKS)
 def dp_blocks(spark, d):
     m = scales.correlation_matrix(scales.scale_correlation(tensor(spark, d)))
     cost, blocks = scales.best_blocks(m, 3)
@@ -497,11 +512,45 @@ def poisson_disk(spark, d):
     return mapping.poisson_disk(points(spark, d), 0.1).select("cell_id")
 
 
-@query()
+DISK = f"""WITH RECURSIVE {PTS}, o AS MATERIALIZED (SELECT cell_id, x, y, row_number() OVER (ORDER BY x, y, cell_id) AS rn FROM pts),
+scan AS (SELECT 1 AS rn, [struct_pack(id := cell_id, x := x, y := y)] AS kept FROM o WHERE rn = 1
+  UNION ALL SELECT o.rn, CASE WHEN len(list_filter(kept, lambda p: sqrt((o.x - p.x) * (o.x - p.x) + (o.y - p.y) * (o.y - p.y)) < 0.1)) = 0
+    THEN list_append(kept, struct_pack(id := o.cell_id, x := o.x, y := o.y)) ELSE kept END FROM scan JOIN o ON o.rn = scan.rn + 1)
+SELECT unnest(kept).id AS cell_id FROM scan WHERE rn = (SELECT max(rn) FROM o)"""
+
+
+@query(DISK)
 def poisson_disk_raster(spark, d):
+    """The points in order, one after the other."""
     return mapping.poisson_disk(points(spark, d), 0.1, "raster").select("cell_id")
 
 
+@query(DISK)
+def poisson_disk_rounds(spark, d):
+    """The same pick in parallel rounds."""
+    return mapping.poisson_disk(points(spark, d), 0.1, "raster", serial=0).select("cell_id")
+
+
+@query(f"WITH {PROFILES} SELECT seed_id, nbr_id, {r('distance')} AS distance, {r('intensity')} AS intensity FROM prof WHERE scale = 1")
+def seed_profiles_scan(spark, d):
+    """Profiles are written by scale in place of rounds and read back; a filter reads its folders only."""
+    where = scratch(spark, "profiles-query")
+    T.write_partitioned(profiles(spark, d).withColumn("round", F.col("scale").cast("int")), f"{where}/seed_profiles", "round")
+    return T.read_profiles(spark, where, [1]).select("seed_id", "nbr_id", "distance", "intensity")
+
+
+@query(heatmap_sql(True, False))
+def heatmap_sink(spark, d):
+    """The wide matrix as CSV by group, read back: a row a scale, a column a distance."""
+    where = scratch(spark, "heatmap-query")
+    mapping.wide_heatmap(_heatmap(spark, d, counts_weight=True)[0]).write.partitionBy("grp").csv(where, header=True)
+    wide = spark.read.csv(where, header=True, inferSchema=True)
+    names = [c for c in wide.columns if c.startswith("dist_")]
+    cells = F.array(*[F.struct(F.lit(k).alias("bin"), F.col(f"`{c}`").cast("double").alias("value")) for k, c in enumerate(sorted(names))])
+    long = wide.select("grp", "scale", F.explode(cells).alias("c"))
+    return long.select("grp", F.col("scale").cast("double").alias("scale"), "c.bin", ((F.col("c.bin") + 0.5) * WIDTH).alias("center"), "c.value")
+
+
 @query()
 def sampling_rounds(spark, d):
     return mapping.sample_rounds(points(spark, d), 0.1, 120, first_round_n=50)
@@ -745,7 +794,7 @@ def label_counts(spark, d):
     return points(spark, d).groupBy("label").agg(F.count("*").alias("n"))
 
 
-@query()
+@query("SELECT vec_id AS cell_id FROM embeddings ORDER BY md5('0|' || vec_id), vec_id LIMIT 100")
 def subsample(spark, d):
     return T.subsample(points(spark, d).select("cell_id"), 100, "cell_id")
 

@@ -40,14 +40,17 @@ def read_h5ad(spark: SparkSession, path: str) -> dict[str, DataFrame]:
             rows, cols = np.nonzero(dense)
             values = dense[rows, cols]
         place = f["obsm/spatial"][:]
-    expression = spark.createDataFrame(((names[r], genes[c], float(v)) for r, c, v in zip(rows, cols, values, strict=True)), "cell_id string, gene string, value double")
-    points = spark.createDataFrame(((n, float(p[0]), float(p[1])) for n, p in zip(names, place, strict=True)), "cell_id string, x double, y double")
+    import pandas as pd
+
+    # columns go over as Arrow; no value becomes a Python object
+    expression = spark.createDataFrame(pd.DataFrame({"cell_id": np.array(names, object)[rows], "gene": np.array(genes, object)[cols], "value": np.asarray(values, float)}), "cell_id string, gene string, value double")
+    points = spark.createDataFrame(pd.DataFrame({"cell_id": names, "x": np.asarray(place[:, 0], float), "y": np.asarray(place[:, 1], float)}), "cell_id string, x double, y double")
     return {"expression": expression, "points": points}
 
 
 def subsample(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
     """n rows without replacement, the same ones each time."""
-    return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(n)
+    return df.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"))), key).limit(n)
 
 
 # ------------------------------------------------------------------ sinks
@@ -67,6 +70,34 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, header=True)
 
 
+def write_mapping(tables: dict[str, DataFrame], path: str) -> None:
+    """What mapping.map_scales_to_distance gives: rounds and manifest as CSV, profiles as Parquet by
+    round, and the heatmap (a row a scale, a column a distance) and distances as CSV by group."""
+    from ..operators.mapping import wide_heatmap
+
+    write_csv(tables["rounds"].select("round", "cell_id"), f"{path}/rounds")
+    write_csv(tables["manifest"], f"{path}/manifest")
+    write_partitioned(tables["profiles"], f"{path}/seed_profiles", "round")
+    for name, table in (("H_matrix", wide_heatmap(tables["heatmap"])), ("E95_distance", tables["energy"])):
+        table.write.mode("overwrite").partitionBy("grp").csv(f"{path}/{name}", header=True)
+
+
+def read_profiles(spark: SparkSession, path: str, rounds: list[int] | None = None) -> DataFrame:
+    """Seed profiles as written; only the folders of the given rounds are read."""
+    rows = spark.read.parquet(f"{path}/seed_profiles")
+    return rows if rounds is None else rows.filter(F.col("round").isin(*rounds))
+
+
+def write_tables(tables: dict[str, DataFrame], path: str) -> None:
+    """A set of tables, a folder each: what an annotated matrix holds at the end of an analysis."""
+    for name, table in tables.items():
+        table.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def read_tables(spark: SparkSession, path: str, names: list[str]) -> dict[str, DataFrame]:
+    return {n: spark.read.parquet(f"{path}/{n}") for n in names}
+
+
 # ------------------------------------------------------------------ adapters to the test tables
 
 

@@ -318,3 +318,116 @@ def test_scale_correlation_leaves_incomplete_cells_out(spark):
         for b in range(a, 3):
             want = np.mean([np.corrcoef(x[:, a, c], x[:, b, c])[0, 1] for c in range(4)])
             assert abs(got[a, b] - want) < 1e-8
+
+
+# ------------------------------------------------------------------ sinks and reports
+
+
+def cells_of(spark, n=240):
+    """Two labels in space; label A splits in two in its layout, more so at larger scales."""
+    rng = np.random.default_rng(9)
+    cells, layouts, counts, shapes = [], [], [], []
+    for i in range(n):
+        label, half = ("A" if i % 3 else "B"), i % 2
+        cells.append((i, float(rng.normal(3 * (label == "B") + half, 0.4)), float(rng.normal(0, 1)), label))
+        for title, gap in (("Raw", 0.5), ("scale1.0", 3.0), ("scale2.0", 8.0)):
+            layouts.append((title, i, float(rng.normal(gap * half * (label == "A"), 0.3)), float(rng.normal(0, 0.3))))
+        for g in range(6):
+            value = float(rng.poisson(1 + 4 * (g == half and label == "A") + 2 * (g == 2 and label == "A")))
+            if value:
+                counts.append((i, f"g{g}", value))
+        shapes.append((i, float(rng.normal(5 * half, 1)), float(rng.normal(0, 1))))
+    make = spark.createDataFrame
+    return make(cells, "cell_id long, x double, y double, label string"), make(layouts, "title string, cell_id long, u1 double, u2 double"), make(counts, "cell_id long, gene string, value double"), make(shapes, "cell_id long, area double, noise double")
+
+
+def test_subcluster_reports_and_their_files(spark, tmp_path):
+    from mosaicell.plans.subcluster import SubclusterAnalysis
+
+    cells, layouts, counts, shapes = cells_of(spark)
+    run = SubclusterAnalysis(cells, layouts, preprocess.preprocess(counts).drop("counts"), str(tmp_path))
+    with pytest.raises(ValueError):
+        run.detect_subclusters()
+    run.calculate_metrics()
+    assert run.suggested_cluster() == "A"
+    run.selected = "A"
+    found = {r.cell_id: r["sub"] for r in run.detect_subclusters(2, ward=True).collect()}
+    assert len(set(found.values())) == 2 and all(len({s for i, s in found.items() if i % 2 == h}) == 1 for h in (0, 1))
+    costs = {r.scale: r.cost for r in run.ward_costs.collect()}
+    assert costs[2.0] > costs[1.0] > costs[0.0]
+    every = run.deg_analysis_subclusters(all_genes=True).collect()
+    own = {g: max((r for r in every if r.gene == g), key=lambda r: r.score).grp for g in ("g0", "g1")}
+    assert own["g0"] != own["g1"] and all(r.logfc > 0 for r in every if r.gene in own and r.grp == own[r.gene])
+    written = spark.read.csv(str(tmp_path / "DEGs"), header=True)
+    assert written.count() == len(every) and {"gene", "parent_logfc", "grp"} <= set(written.columns)
+    kept = {r.gene for r in run.deg_analysis_subclusters().collect()}
+    assert {"g0", "g1", "g2"} <= kept <= {r.gene for r in every}
+    dots = run.dot_plot(2).collect()
+    assert {r.grp for r in dots} == set(found.values()) and all(0 <= r.fraction <= 1 for r in dots)
+    labels = {r.cell_id: r.label for r in run.merged_labels().collect()}
+    assert {labels[i] for i in found} == {"A_cluster0", "A_cluster1"} and {v for i, v in labels.items() if i % 3 == 0} == {"B"}
+    assert {(int(r.cell_id), r.group) for r in spark.read.csv(str(tmp_path / "Cell_clusters"), header=True).collect()} == set(labels.items())
+    assert [r.feature for r in run.morphology_analysis(shapes, 0.001).collect()] == ["area"]
+    assert run.kde_points(most=20).select("cell_id").distinct().count() == 20
+    shares = run.neighborhood_analysis(5).collect()
+    assert {r["sub"] for r in shares} == set(found.values()) and all(0 < r.mean_p <= 1 for r in shares)
+
+
+def test_multiscale_files(spark, tmp_path):
+    from mosaicell.plans.multiscale import MultiscaleAnalysis
+    from mosaicell.sources import tables
+
+    rng = np.random.default_rng(0)
+    rows = [(i, float(rng.normal(4 * (i % 2), 1)), float(rng.normal()), [float(rng.normal(2 * (i % 2), 1)) for _ in range(3)]) for i in range(90)]
+    df = spark.createDataFrame(rows, "cell_id long, x double, y double, vec array<double>")
+    run = MultiscaleAnalysis(df.select("cell_id", "x", "y"), {"X": df.select("cell_id", "vec")}, "one", str(tmp_path))
+    for early in (run.identify_typical_scales, run.clustering, run.simpson_by_scale, lambda: run.multiscale_transform("none"), lambda: run.cluster_points(1.0)):
+        with pytest.raises(ValueError):
+            early()
+    simpson = run.perform_multiscale_pipeline("X", 30, 6, [0.5, 1.0, 2.0, 4.0, 8.0], [1.0], 4, 2).collect()
+    assert {r.title for r in simpson} >= {"Raw"}
+    assert spark.read.parquet(str(tmp_path / "one_transformed_signals")).filter("scale_idx = 2").count() == 90
+    scales_csv = tables.read_csv(spark, str(tmp_path / "one_typical_scales"), "Index int, Scale double").collect()
+    assert {(r.Index, r.Scale) for r in scales_csv} == {(r.idx, r.scale) for r in run.typical_scales.collect()}
+    assert {r.title for r in spark.read.parquet(str(tmp_path / "one_object_kmeans")).select("title").distinct().collect()} == {r.title for r in simpson}
+    drawn = run.cluster_points(1.0)
+    assert drawn.count() == 90 and {"x", "y", "u1", "u2", "label"} <= set(drawn.columns)
+    names = run.write(str(tmp_path / "all"))
+    back = tables.read_tables(spark, str(tmp_path / "all"), names)
+    assert back["labels"].count() == run.labels.count() and {"points", "rep_X", "simpson", "signals"} <= set(names)
+
+
+def test_mapping_files(spark, tmp_path):
+    from mosaicell.sources import tables
+
+    rng = np.random.default_rng(7)
+    p = points_of(spark, rng.uniform(0, 6, (160, 2)))
+    edges = graph.symmetrize(graph.weigh(neighbors.knn(p, 6), k=6))
+    out = mapping.map_scales_to_distance(p, edges, [1.5], 1.0, sample_r=1.5, target_total=20, first_round_n=8, scales=[0.0, 1.0, 3.0], radius=3.0, x_max=2.0, width=0.5, path=str(tmp_path))
+    rounds = tables.read_csv(spark, str(tmp_path / "rounds"), "round int, cell_id long")
+    assert sorted(map(tuple, rounds.collect())) == sorted((r["round"], r.cell_id) for r in out["rounds"].collect()) and rounds.count() >= 20
+    first = tables.read_profiles(spark, str(tmp_path), [1])
+    assert first.count() == out["profiles"].filter("round = 1").count() and "PartitionFilters: [isnotnull(round" in first._jdf.queryExecution().toString()
+    assert spark.read.csv(str(tmp_path / "manifest"), header=True).count() == rounds.count()
+    wide = spark.read.csv(str(tmp_path / "H_matrix"), header=True, inferSchema=True)
+    assert sorted(c for c in wide.columns if c.startswith("dist_")) == ["dist_0.25", "dist_0.75", "dist_1.25", "dist_1.75"]
+    long = {(r.grp, r.scale, r.bin): r.value for r in out["heatmap"].collect()}
+    for r in wide.collect():
+        for k, c in enumerate(["dist_0.25", "dist_0.75", "dist_1.25", "dist_1.75"]):
+            assert abs((r[c] or 0) - (long[r.grp, float(r.scale), k] or 0)) < 1e-12
+    assert {r.grp for r in spark.read.csv(str(tmp_path / "E95_distance"), header=True).collect()} >= {"All"}
+
+
+def test_reduce_dimensions_by_corrected_nmf(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, f"g{g}", float(rng.poisson(3 + 2 * (i % 2) * (g < 3) + (i % 3)))) for i in range(60) for g in range(6)]
+    expr = preprocess.preprocess(spark.createDataFrame([r for r in rows if r[2]], "cell_id long, gene string, value double"))
+    batches = spark.createDataFrame([(i, f"b{i % 3}") for i in range(60)], "cell_id long, batch string")
+    scores, load = factorize.reduce_dimensions(expr, "NMF_harmony", 2, batches)
+    vecs = [r.vec for r in scores.collect()]
+    assert len(vecs) == 60 and all(len(v) == 2 and min(v) >= 0 for v in vecs) and load.count() == 6
+    for kind, b in (("PCA", batches), ("NMF", None)):
+        assert factorize.reduce_dimensions(expr, kind, 2, b)[0].count() == 60
+    for wrong in (lambda: factorize.reduce_dimensions(expr, "NMF_harmony", 2), lambda: factorize.reduce_dimensions(expr, "UMAP", 2)):
+        with pytest.raises(ValueError):
+            wrong()
