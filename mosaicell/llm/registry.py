@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontam, line_dedup, media, mixing, ngram_join, sharding, token_counts, toxicity, url_filter
+from . import chat_format, decontam, lexical, line_dedup, media, merkle, mixing, ngram_join, pieces, sharding, token_counts, toxicity, url_filter
 from .common import materialize, shared_dir, table
 
 
@@ -72,15 +72,31 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.digest(pieces.encode(docs, tokenizer_path("piece_bpe_32k.model"), decoded=True, drop_text=True))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.digest(table(spark, sf_dir, "documents"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.LexicalIndex.build(table(spark, sf_dir, "documents")).search(table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_line_dedup, op2_ngram_join, op3_toxicity, op4_sharding, op5_url_filter, op6_decontamination,
-        op7_chat_format, op8_token_counts, op9_media_copies, op10_mixing,
+        op7_chat_format, op8_token_counts, op9_media_copies, op10_mixing, op11_sentencepiece,
+        op12_merkle_manifest, op13_lexical_search,
     )
 }
 ORACLE_SQL = {
     "op1_line_dedup": line_dedup.ORACLE,
     "op7_chat_format": chat_format.ORACLE,
     "op10_mixing": mixing.ORACLE,
+    "op12_merkle_manifest": merkle.ORACLE,
+    "op13_lexical_search": lexical.ORACLE,
 }
