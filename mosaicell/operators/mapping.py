@@ -70,7 +70,9 @@ def poisson_disk(points: DataFrame, r: float, order: str = "random", seed: int =
     pick at most, and what lies within r of a point lies within two cells. In each round the first
     point of each cell is picked if it comes before the first of all 5 x 5 cells around, and what is
     nearer than r to a pick leaves."""
-    if target_n is not None and target_n <= 0 or r <= 0:
+    if target_n is not None and target_n > 0 and r > 0:
+        return _first_picks(points, r, order, seed, given, target_n, serial)
+    if target_n is not None or r <= 0:
         every = sampling_priority(points, order, seed, given).select("cell_id", "priority")
         return every if target_n is None else every.orderBy("priority").limit(max(0, target_n))
     side = r / 2**0.5
@@ -80,8 +82,7 @@ def poisson_disk(points: DataFrame, r: float, order: str = "random", seed: int =
         kind = points.schema["cell_id"].dataType.simpleString()
         rows = todo.select("cell_id", "x", "y", "priority").coalesce(1).sortWithinPartitions("priority").drop("priority")
         picks = rows.mapInPandas(_serial_picks(r, side), f"cell_id {kind}")
-        out = save(todo.select("cell_id", "priority").join(picks, "cell_id"), "disk-picked")
-        return out.orderBy("priority").limit(target_n) if target_n is not None else out
+        return save(todo.select("cell_id", "priority").join(picks, "cell_id"), "disk-picked")
     around = lambda df: df.withColumn("gx", F.explode(F.sequence(F.col("gx") - 2, F.col("gx") + 2))).withColumn("gy", F.explode(F.sequence(F.col("gy") - 2, F.col("gy") + 2)))
     picked = None
     while True:
@@ -95,8 +96,25 @@ def poisson_disk(points: DataFrame, r: float, order: str = "random", seed: int =
         todo = save(todo.join(shade, near, "left_anti"), "disk")
         if not todo.limit(1).count():
             break
-    out = picked.select("cell_id", "priority")
-    return out.orderBy("priority").limit(target_n) if target_n is not None else out
+    return picked.select("cell_id", "priority")
+
+
+#: Points looked at first for each that is to be picked; four times as many after each try that holds too few.
+LOOK_AHEAD = 4
+
+
+def _first_picks(points: DataFrame, r: float, order: str, seed: int, given: str | None, target_n: int, serial: int) -> DataFrame:
+    """The first target_n picks. What is picked of the first points in order does not depend on later
+    ones, so only as many are looked at as it takes."""
+    ranked = sampling_priority(points, order, seed, given)
+    look = LOOK_AHEAD * target_n
+    while True:
+        some = save(ranked.orderBy("priority").limit(look), "disk-first")
+        picked = poisson_disk(some.drop("priority"), r, order, seed, given, None, serial)
+        found, whole = picked.count(), some.count() < look
+        if found >= target_n or whole:
+            return picked.orderBy("priority").limit(target_n)
+        look *= 4
 
 
 def sample_rounds(points: DataFrame, r: float = 500, target_total: int = 500, seed: int = 0, first_round_n: int = 200, first_round_candidates: int = 200_000, per_round: int | None = None, preferred: DataFrame | None = None, preferred_max_frac: float = 0.5) -> DataFrame:

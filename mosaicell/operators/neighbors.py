@@ -1,148 +1,354 @@
-"""Spatial joins: k nearest neighbours and radius joins.
+"""Spatial joins: radius joins, densities, and k nearest neighbours in the plane or of vectors.
 
-A distance predicate alone would be a nested loop, so points are keyed by grid cell and joined by
-equality on neighbouring cells, with the exact predicate on what meets. For k-NN the ring of cells
-grows for those points only whose k-th distance is not yet within the ring; the last few, such as
-far outliers, are compared with all points batch by batch.
+A radius join keys asking points by grid cell and sends every target to the cells around its own,
+with the exact predicate on what meets. The asking points of a crowded cell are dealt to several
+blocks. For densities the targets of a crowded cell are counted in boxes, a second grid whose size
+follows the count: a box wholly within the radius adds its count without pairs, and only boxes that
+the circle cuts are opened.
+
+k-NN is exact and takes two passes over parts of similar size, whose outlines are known to the
+tasks: rectangles found by medians of a sample in the plane, balls around sampled pivots for vectors.
+First each point meets its own part; its k-th distance then bounds the search, and it goes on to those parts only
+whose outline lies within that distance. Parts with many targets or many asking points are dealt to
+blocks.
 """
 
 from __future__ import annotations
 
-import math
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.storage import save
-
+from ..plans.storage import maybe_broadcast, save
 
 #: Counted points up to which k-NN compares all with all.
 FEW_POINTS = 4000
-#: Points without a settled result that are compared with all others rather than by wider rings.
-FEW_OPEN = 1000
+#: Points of a part at which k-NN aims; targets and asking points of one block at most, about.
+PART, TARGETS, ASKING = 1024, 4096, 2048
+#: Parts that travel to tasks, at most: rectangles (32 bytes each) and pivots (vectors).
+MOST_TILES, MOST_PIVOTS = 32_768, 2048
+#: Sampled points a rectangle.
+SAMPLED = 32
+#: Asking points of a grid cell that share a block of a radius join, and places of a cell that are counted in boxes if there are more.
+BLOCK, CROWD = 2048, 1024
+
+
+# ---------------------------------------------------------------- radius
+
+
+def _home(radius: float, x: str, y: str) -> dict[str, F.Column]:
+    return {"hx": F.floor(F.col(x) / radius), "hy": F.floor(F.col(y) / radius)}
+
 
+def _asking(left: DataFrame, radius: float) -> tuple[DataFrame, DataFrame, int]:
+    """Asking points with their cell and block; the cells with several blocks, and how many there are."""
+    a = left.select(F.col("cell_id").alias("src"), F.col("x").alias("ax"), F.col("y").alias("ay")).withColumns(_home(radius, "ax", "ay"))
+    crowds = save(a.groupBy("hx", "hy").agg(F.count("*").alias("c")).filter(F.col("c") > BLOCK).select("hx", "hy", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")), "crowds")
+    n = crowds.count()
+    if not n:
+        return a.withColumn("block", F.lit(0)), crowds, n
+    dealt = a.join(maybe_broadcast(crowds, n), ["hx", "hy"], "left")
+    return dealt.withColumn("block", F.pmod(F.xxhash64("src"), F.coalesce("blocks", F.lit(1))).cast("int")).drop("blocks"), crowds, n
 
-def _ring(c: str, r: int) -> F.Column:
-    return F.explode(F.sequence(F.col(c) - r, F.col(c) + r))
+
+def _around(targets: DataFrame, crowds: DataFrame, n: int) -> DataFrame:
+    """targets(hx, hy, ...), a row for each of the nine cells around and each of its blocks."""
+    step = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    out = targets.withColumn("step", step).withColumns({"hx": F.col("hx") + F.col("step.i"), "hy": F.col("hy") + F.col("step.j")}).drop("step")
+    if not n:
+        return out.withColumn("block", F.lit(0))
+    out = out.join(maybe_broadcast(crowds, n), ["hx", "hy"], "left")
+    return out.withColumn("block", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))).drop("blocks")
 
 
 def radius_join(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
     """left(cell_id, x, y), right alike -> src, dst, dist of all pairs with dist <= radius."""
-    key = lambda c: F.floor(F.col(c) / radius)
-    a = left.select(F.col("cell_id").alias("src"), F.col("x").alias("ax"), F.col("y").alias("ay")).withColumns({"gx": key("ax"), "gy": key("ay")})
-    a = a.withColumn("gx", _ring("gx", 1)).withColumn("gy", _ring("gy", 1))
-    b = right.select(F.col("cell_id").alias("dst"), F.col("x").alias("bx"), F.col("y").alias("by")).withColumns({"gx": key("bx"), "gy": key("by")})
+    a, crowds, n = _asking(left, radius)
+    b = right.select(F.col("cell_id").alias("dst"), F.col("x").alias("bx"), F.col("y").alias("by")).withColumns(_home(radius, "bx", "by"))
     dx, dy = F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")
-    return a.join(b, ["gx", "gy"]).withColumn("dist", F.sqrt(dx * dx + dy * dy)).filter(F.col("dist") <= radius).select("src", "dst", "dist")
+    met = a.join(_around(b, crowds, n), ["hx", "hy", "block"]).withColumn("dist", F.sqrt(dx * dx + dy * dy))
+    return met.filter(F.col("dist") <= radius).select("src", "dst", "dist")
 
 
-def density(points: DataFrame, radius: float) -> DataFrame:
-    """cell_id, density: points within the radius, itself included. Points of one grid cell and
-    coordinate are merged with their count first, so crowded places cost little."""
+def density(points: DataFrame, radius: float, crowd: int = CROWD) -> DataFrame:
+    """cell_id, density: points within the radius, itself included. Points of one coordinate are
+    merged with their count first; cells of more than `crowd` places are counted in boxes."""
     places = points.groupBy("x", "y").agg(F.count("*").alias("n"), F.min("cell_id").alias("cell_id"))
-    near = radius_join(places, places, radius).join(places.select(F.col("cell_id").alias("dst"), "n"), "dst").groupBy("src").agg(F.sum("n").alias("density"))
+    places = save(places.filter("x IS NOT NULL AND y IS NOT NULL").withColumns(_home(radius, "x", "y")), "places")
+    crowded = save(places.groupBy("hx", "hy").agg(F.count("*").alias("c")).filter(F.col("c") > crowd), "crowded")
+    n_crowded = crowded.count()
+    near = _boxed_density(places, crowded, n_crowded, radius) if n_crowded else _plain_density(places, radius)
     return points.select("cell_id", "x", "y").join(places.select("x", "y", F.col("cell_id").alias("src")), ["x", "y"]).join(near, "src").select("cell_id", "density")
 
 
-def knn(points: DataFrame, k: int, few: int = FEW_POINTS) -> DataFrame:
-    """src, dst, rank (1..k), dist: the k nearest other points, ties by id. Self is excluded by id,
-    so points at one place are neighbours of each other. Up to `few` points are compared with all."""
-    box = points.agg(F.count("*"), F.min("x"), F.max("x"), F.min("y"), F.max("y"), *[F.percentile_approx(c, [0.005, 0.995], 1000) for c in ("x", "y")]).first()
-    n, x0, x1, y0, y1, inner_x, inner_y = box
-    schema = points.select(F.col("cell_id").alias("src"), F.col("cell_id").alias("dst")).withColumns({"rank": F.lit(1), "dist": F.lit(0.0)})
-    if n < 2:
-        return schema.limit(0)
-    extent = max(x1 - x0, y1 - y0) or 1.0
-    # outliers don't make cells wide: their size is that of the bulk of the points
-    width, height = inner_x[1] - inner_x[0], inner_y[1] - inner_y[0]
-    bulk = max(width, height) or extent
-    area = max(width, bulk / n) * max(height, bulk / n)
-    cell = max(math.sqrt(area * max(1, k) / n), extent * 1e-9)
-    gx, gy = F.floor((F.col("x") - x0) / cell), F.floor((F.col("y") - y0) / cell)
-    # of the points at one place, only the k + 1 least ids can be anyone's neighbours
-    place = Window.partitionBy("x", "y").orderBy("cell_id")
-    ids = points.select("cell_id", "x", "y").withColumns({"gx": gx, "gy": gy})
-    targets = ids.withColumn("_r", F.row_number().over(place)).filter(F.col("_r") <= k + 1).select(F.col("cell_id").alias("dst"), F.col("x").alias("bx"), F.col("y").alias("by"), "gx", "gy")
-    open_ids = ids.select(F.col("cell_id").alias("src"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("gx").alias("hx"), F.col("gy").alias("hy"))
-    best = Window.partitionBy("src").orderBy("dist", "dst")
+def _plain_density(places: DataFrame, radius: float) -> DataFrame:
+    a, crowds, n = _asking(places, radius)
+    targets = places.select(F.col("x").alias("bx"), F.col("y").alias("by"), "n", "hx", "hy")
     dx, dy = F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")
-    if n <= few:  # one small pass beats rounds of growing rings
-        near = open_ids.join(F.broadcast(targets.select("dst", "bx", "by")), F.col("src") != F.col("dst")).withColumn("dist", F.sqrt(dx * dx + dy * dy))
-        return near.select("src", "dst", F.row_number().over(best).alias("rank"), "dist").filter(F.col("rank") <= k)
-    last, r, done = max(1, math.ceil(extent / cell) + 1), 1, None
-    while True:
-        asked = open_ids.withColumn("gx", _ring("hx", r)).withColumn("gy", _ring("hy", r))
-        near = asked.join(targets, ["gx", "gy"]).filter("src <> dst").withColumn("dist", F.sqrt(dx * dx + dy * dy))
-        near = near.select("src", "dst", F.row_number().over(best).alias("rank"), "dist").filter(F.col("rank") <= k)
-        near = save(near, "knn")
-        if r >= last:
-            return near if done is None else done.unionByName(near)
-        # what lies outside the ring is farther than r cells
-        settled = near.filter((F.col("rank") == k) & (F.col("dist") < r * cell)).select("src")
-        found = near.join(settled, "src", "left_semi")
-        done = found if done is None else done.unionByName(found)
-        open_ids = save(open_ids.join(settled, "src", "left_anti"), "knn-open")
-        n_open = open_ids.count()
-        if n_open <= FEW_OPEN:
-            return done.unionByName(_against_all(open_ids, targets, k)) if n_open else done
-        r = min(last, 2 * r)
-
-
-def _against_all(asking: DataFrame, targets: DataFrame, k: int) -> DataFrame:
-    """The k nearest targets of at most FEW_OPEN points; each batch of targets leaves its k nearest."""
-    few = asking.select("src", "ax", "ay").toPandas()
-
-    def nearest(batches):
-        for batch in batches:
-            ids, bx, by = batch["dst"].to_numpy(), batch["bx"].to_numpy(float), batch["by"].to_numpy(float)
-            out = []
-            for src, ax, ay in zip(few["src"], few["ax"], few["ay"], strict=True):
-                dx, dy = ax - bx, ay - by
-                d = np.sqrt(dx * dx + dy * dy)
-                d[ids == src] = np.inf
-                keep = np.flatnonzero(d <= (np.partition(d, k - 1)[k - 1] if len(d) > k else np.inf))
-                keep = keep[ids[keep] != src]
-                out.append(pd.DataFrame({"src": [src] * len(keep), "dst": ids[keep], "dist": d[keep]}))
-            yield pd.concat(out, ignore_index=True)
-
-    kind = asking.schema["src"].dataType.simpleString()
-    near = targets.select("dst", "bx", "by").mapInPandas(nearest, f"src {kind}, dst {kind}, dist double")
+    met = a.join(_around(targets, crowds, n), ["hx", "hy", "block"]).filter(F.sqrt(dx * dx + dy * dy) <= radius)
+    return met.groupBy("src").agg(F.sum("n").alias("density"))
+
+
+def _boxed_density(places: DataFrame, crowded: DataFrame, n_crowded: int, radius: float) -> DataFrame:
+    # boxes a side, about the cube root of four times the count: evens out boxes met and pairs in those that are cut
+    side = F.pow(F.lit(2), F.floor(F.log2(4 * F.col("c")) / 3)).cast("int")
+    marked = places.join(maybe_broadcast(crowded.withColumn("side", side).drop("c"), n_crowded), ["hx", "hy"], "left")
+    fine = lambda c, h: F.floor((F.col(c) / radius - F.col(h)) * F.col("side"))
+    marked = save(marked.withColumns({"fx": fine("x", "hx"), "fy": fine("y", "hy")}).drop("side"), "marked")
+    inner = marked.filter("fx IS NOT NULL")
+    box = [F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.sum("n").alias("n")]
+    boxes = inner.groupBy("hx", "hy", "fx", "fy").agg(*box)
+    single = marked.filter("fx IS NULL").select("hx", "hy", "fx", "fy", F.col("x").alias("x0"), F.col("x").alias("x1"), F.col("y").alias("y0"), F.col("y").alias("y1"), "n")
+    asking, crowds, n = _asking(places, radius)
+    targets = boxes.unionByName(single).withColumns({"cx": F.col("hx"), "cy": F.col("hy")})
+    met = asking.join(_around(targets, crowds, n), ["hx", "hy", "block"])
+    far = lambda a, lo, hi: F.greatest(F.abs(F.col(a) - F.col(lo)), F.abs(F.col(a) - F.col(hi)))
+    gap = lambda a, lo, hi: F.greatest(F.col(lo) - F.col(a), F.col(a) - F.col(hi), F.lit(0.0))
+    reach = lambda f: F.sqrt(f("ax", "x0", "x1") * f("ax", "x0", "x1") + f("ay", "y0", "y1") * f("ay", "y0", "y1"))
+    inside = reach(far) <= radius
+    # a single place within reach is inside
+    whole = met.filter(inside).groupBy("src").agg(F.sum("n").alias("n"))
+    cut = met.filter((reach(gap) <= radius) & ~inside & F.col("fx").isNotNull()).select("src", "ax", "ay", F.col("cx").alias("hx"), F.col("cy").alias("hy"), "fx", "fy")
+    dx, dy = F.col("ax") - F.col("x"), F.col("ay") - F.col("y")
+    pairs = cut.join(inner, ["hx", "hy", "fx", "fy"]).filter(F.sqrt(dx * dx + dy * dy) <= radius).groupBy("src").agg(F.sum("n").alias("n"))
+    return whole.unionByName(pairs).groupBy("src").agg(F.sum("n").alias("density"))
+
+
+# ---------------------------------------------------------------- k nearest
+
+
+class Tiles:
+    """Rectangles that share out the plane, found by medians of a sample."""
+
+    def __init__(self, sample: np.ndarray, n: int):
+        self.nodes: list[tuple[int, float, int, int]] = []  # axis, value, below, above; leaves are ~number
+        self.boxes: list[np.ndarray] = []
+        self.root = self._grow(sample, max(1, min(n, len(sample))), np.array([[-np.inf, np.inf]] * 2))
+        self.boxes = np.array(self.boxes)
+
+    def _grow(self, points: np.ndarray, parts: int, box: np.ndarray) -> int:
+        if parts > 1:
+            for axis in np.argsort(-np.ptp(points, 0), kind="stable").tolist():
+                values = np.sort(points[:, axis])
+                if values[0] < values[-1]:
+                    cut = values[len(values) // 2]
+                    cut = cut if cut > values[0] else values[values > values[0]][0]
+                    below, low, high = points[:, axis] < cut, box.copy(), box.copy()
+                    low[axis, 1] = high[axis, 0] = cut
+                    own = len(self.nodes)
+                    self.nodes.append((axis, float(cut), 0, 0))
+                    share = min(parts - 1, max(1, round(parts * below.mean())))
+                    self.nodes[own] = (axis, float(cut), self._grow(points[below], share, low), self._grow(points[~below], parts - share, high))
+                    return own
+        self.boxes.append(box)
+        return -len(self.boxes)
+
+    def assign(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.full(len(v), self.root)
+        if self.nodes:
+            axis, cut, low, high = (np.array(c) for c in zip(*self.nodes, strict=True))
+            while len(inner := np.flatnonzero(at >= 0)):
+                k = at[inner]
+                at[inner] = np.where(v[inner, axis[k]] < cut[k], low[k], high[k])
+        return -at - 1, np.zeros(len(v))
+
+    def visits(self, v: np.ndarray, part: np.ndarray, theta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of v and the other rectangles that may hold something as near as theta."""
+        own = self.boxes[part]
+        margin = np.minimum(v - own[:, :, 0], own[:, :, 1] - v).min(1)
+        crossing, out = np.flatnonzero(theta >= margin), []
+        for a in range(0, len(crossing), 256):
+            rows = crossing[a : a + 256]
+            gap = np.maximum(np.maximum(self.boxes[None, :, :, 0] - v[rows, None], v[rows, None] - self.boxes[None, :, :, 1]), 0)
+            near = np.sqrt((gap * gap).sum(2)) <= theta[rows, None]
+            near[np.arange(len(rows)), part[rows]] = False
+            i, j = np.nonzero(near)
+            out.append((rows[i], j))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (crossing, crossing)
+
+
+class Balls:
+    """Sampled pivots; a vector belongs to the nearest. The triangle inequality bounds how near a
+    ball's vectors can be: by the distances to its pivot, and to the plane between two pivots."""
+
+    def __init__(self, pivots: np.ndarray):
+        self.pivots, self.least, self.most = pivots, np.zeros(len(pivots)), np.full(len(pivots), np.inf)
+
+    def __getstate__(self) -> dict:
+        return {c: x for c, x in self.__dict__.items() if c != "between"}
+
+    @cached_property
+    def between(self) -> np.ndarray:
+        """Distances of all pivots, found by each worker for itself."""
+        return self._distances(self.pivots)
+
+    def kept(self, which: np.ndarray) -> Balls:
+        return Balls(self.pivots[which])
+
+    def _distances(self, v: np.ndarray) -> np.ndarray:
+        center = self.pivots.mean(0)
+        a, b = v - center, self.pivots - center
+        return np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * (a @ b.T), 0))
+
+    def assign(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        d = self._distances(v)
+        part = d.argmin(1)
+        return part, d[np.arange(len(v)), part]
+
+    def visits(self, v: np.ndarray, part: np.ndarray, theta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        d = self._distances(v)
+        own = d[np.arange(len(v)), part]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            plane = np.nan_to_num((d * d - (own * own)[:, None]) / (2 * self.between[part]), nan=0.0, posinf=0.0)
+        bound = np.maximum(np.maximum(d - self.most, self.least - d), plane)
+        # distances by products are a little rough
+        slack = 1e-6 * (np.abs(v).max() + np.abs(self.pivots).max()) if len(v) else 0.0
+        near = bound <= theta[:, None] + slack
+        near[np.arange(len(v)), part] = False
+        return np.nonzero(near)
+
+
+def _nearest(k: int):
+    def run(both: pd.DataFrame) -> pd.DataFrame:
+        left, right = both[both["asks"]], both[~both["asks"]].sort_values("id")
+        out = [pd.DataFrame({"src": left["id"][:0], "dst": right["id"][:0], "dist": np.zeros(0)})]
+        if len(left) and len(right):
+            ids, m = right["id"].to_numpy(), np.stack(right["vec"].to_numpy()).astype(float)
+            center = m.mean(0)
+            own_m = m - center
+            squares_m = (own_m * own_m).sum(1)
+            last = min(k, len(ids) - 1)  # one more than k, as a point may find itself
+            for a in range(0, len(left), 512):
+                part = left.iloc[a : a + 512]
+                v = np.stack(part["vec"].to_numpy()).astype(float)
+                own_v = v - center
+                squares = (own_v * own_v).sum(1)[:, None] + squares_m[None]
+                # one matrix product finds who may be near; their distances are then taken exactly
+                rough = squares - 2 * (own_v @ own_m.T)
+                i, j = np.nonzero(rough <= np.partition(rough, last, 1)[:, last, None] + 1e-9 * squares.max(1, keepdims=True))
+                away = v[i] - m[j]
+                d, own = np.sqrt((away * away).sum(1)), part["id"].to_numpy()[i]
+                order = np.lexsort((j, d, i))
+                order = order[ids[j[order]] != own[order]]
+                starts = np.searchsorted(i[order], i[order], "left")
+                order = order[np.arange(len(order)) - starts < k]
+                out.append(pd.DataFrame({"src": own[order], "dst": ids[j[order]], "dist": d[order]}))
+        return pd.concat(out[1:] or out, ignore_index=True)
+
+    return run
+
+
+def _met(asking: DataFrame, targets: DataFrame, asked: dict[int, int], sizes: dict[int, int], k: int) -> DataFrame:
+    """asking(id, vec, part), targets alike -> src, dst, dist: k a block, of the parts asked for."""
+    spark = asking.sparkSession
+    rows = [(p, -(-n // ASKING), max(1, -(-sizes.get(p, 0) // TARGETS))) for p, n in asked.items()]
+    plan = F.broadcast(spark.createDataFrame(rows, "part int, salts int, blocks int"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    a = asking.join(plan, "part").select("id", "vec", F.lit(True).alias("asks"), "part", own("salts").alias("salt"), every("blocks").alias("block"))
+    t = targets.join(plan, "part").select("id", "vec", F.lit(False).alias("asks"), "part", every("salts").alias("salt"), own("blocks").alias("block"))
+    kind = asking.schema["id"].dataType.simpleString()
+    return a.unionAll(t).groupBy("part", "salt", "block").applyInPandas(_nearest(k), f"src {kind}, dst {kind}, dist double")
+
+
+def _ranked(near: DataFrame, k: int) -> DataFrame:
     best = Window.partitionBy("src").orderBy("dist", "dst")
     return near.select("src", "dst", F.row_number().over(best).alias("rank"), "dist").filter(F.col("rank") <= k)
 
 
-def knn_vectors(points: DataFrame, k: int, block: int = 1024) -> DataFrame:
-    """Exact k-NN of vectors: src, dst, rank, dist. Every pair is compared, block against block;
-    each pair of blocks is one matrix product and leaves k rows a source, which a window merges."""
-    n = points.count()
-    blocks = max(1, -(-n // block))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    rows = points.select("cell_id", "vec", F.pmod(F.xxhash64("cell_id"), F.lit(blocks)).cast("int").alias("block"))
-    asking = rows.select("cell_id", "vec", F.lit(True).alias("asks"), F.col("block").alias("i"), every.alias("j"))
-    asked = rows.select("cell_id", "vec", F.lit(False).alias("asks"), every.alias("i"), F.col("block").alias("j"))
-    kind = points.schema["cell_id"].dataType.simpleString()
-
-    def nearest(both: pd.DataFrame) -> pd.DataFrame:
-        left, right = both[both["asks"]], both[~both["asks"]].sort_values("cell_id")
-        if not len(left) or not len(right):
-            return pd.DataFrame({"src": [], "dst": [], "dist": []})
-        ids, m, v = right["cell_id"].to_numpy(), np.stack(right["vec"].to_numpy()).astype(float), np.stack(left["vec"].to_numpy()).astype(float)
-        center = m.mean(0)
-        m, v = m - center, v - center
-        squares = (v * v).sum(1)[:, None] + (m * m).sum(1)[None]
-        # one matrix product finds who may be near; their distances are then taken exactly
-        rough = squares - 2 * (v @ m.T)
-        last = min(k, len(ids) - 1)  # one more than k, as a vector may find itself
-        i, j = np.nonzero(rough <= np.partition(rough, last, 1)[:, last, None] + 1e-9 * squares.max(1, keepdims=True))
-        d, own = np.sqrt(((v[i] - m[j]) ** 2).sum(1)), left["cell_id"].to_numpy()[i]
-        order = np.lexsort((j, d, i))
-        order = order[ids[j[order]] != own[order]]
-        starts = np.searchsorted(i[order], i[order], "left")
-        order = order[np.arange(len(order)) - starts < k]
-        return pd.DataFrame({"src": own[order], "dst": ids[j[order]], "dist": d[order]})
-
-    pairs = asking.unionAll(asked).groupBy("i", "j").applyInPandas(nearest, f"src {kind}, dst {kind}, dist double")
-    best = Window.partitionBy("src").orderBy("dist", "dst")
-    return pairs.select("src", "dst", F.row_number().over(best).alias("rank"), "dist").filter(F.col("rank") <= k)
+def _assigned(parts, kind: str):
+    def run(batches):
+        for batch in batches:
+            if len(batch):
+                part, own = parts.assign(np.stack(batch["vec"].to_numpy()).astype(float))
+                yield batch.assign(part=part.astype(np.int32), own=own)
+
+    return run, f"id {kind}, vec array<double>, part int, own double"
+
+
+def _visits(parts, counted: bool):
+    def run(batches):
+        for batch in batches:
+            for a in range(0, len(batch), 1024):
+                rows = batch.iloc[a : a + 1024]
+                i, j = parts.visits(np.stack(rows["vec"].to_numpy()).astype(float), rows["part"].to_numpy(), rows["theta"].to_numpy(float))
+                if counted:
+                    part, n = np.unique(j, return_counts=True)
+                    yield pd.DataFrame({"part": part.astype(np.int32), "n": n})
+                else:
+                    # one column after another: a point may go to many parts
+                    for s in range(0, len(i), 4096):
+                        own = rows.iloc[i[s : s + 4096]]
+                        yield pd.DataFrame({"id": own["id"].to_numpy(), "vec": own["vec"].to_numpy(), "part": j[s : s + 4096].astype(np.int32)})
+
+    return run
+
+
+def _in_parts(rows: DataFrame, k: int, parts, report: dict | None) -> DataFrame:
+    """rows(id, vec) -> src, dst, rank, dist, by two passes over the parts."""
+    kind = rows.schema["id"].dataType.simpleString()
+    run, schema = _assigned(parts, kind)
+    held = save(rows.mapInPandas(run, schema), "knn-parts")
+    # of equal vectors only the k + 1 least ids can be anyone's neighbours
+    least = F.row_number().over(Window.partitionBy("part", "vec").orderBy("id"))
+    targets = save(held.withColumn("r", least).filter(F.col("r") <= k + 1).drop("r"), "knn-targets")
+    asked = {r[0]: r[1] for r in held.groupBy("part").count().collect()}  # one row a part
+    known = {r[0]: tuple(r)[1:] for r in targets.groupBy("part").agg(F.count("*"), F.min("own"), F.max("own")).collect()}
+    sizes = {p: x[0] for p, x in known.items()}
+    if isinstance(parts, Balls):
+        for p in range(len(parts.pivots)):
+            parts.least[p], parts.most[p] = known[p][1:] if p in known else (np.inf, -np.inf)
+    near = save(_ranked(_met(held, targets, asked, sizes, k), k), "knn-own")
+    theta = near.groupBy(F.col("src").alias("id")).agg(F.when(F.count("*") == k, F.max("dist")).alias("theta"))
+    bounded = save(held.select("id", "vec", "part").join(theta, "id", "left").withColumn("theta", F.coalesce("theta", F.lit(float("inf")))), "knn-bounds")
+    more = {r[0]: r[1] for r in bounded.mapInPandas(_visits(parts, True), "part int, n long").groupBy("part").agg(F.sum("n")).collect()}
+    if report is not None:
+        report.update(parts=len(known), own=sum(n * sizes[p] for p, n in asked.items()), visits=sum(more.values()), others=sum(n * sizes.get(p, 0) for p, n in more.items()))
+    if not more:
+        return near
+    visiting = bounded.mapInPandas(_visits(parts, False), f"id {kind}, vec array<double>, part int")
+    return _ranked(near.select("src", "dst", "dist").unionByName(_met(visiting, targets, more, sizes, k)), k)
+
+
+def _sampled(rows: DataFrame, n: int, most: int) -> np.ndarray:
+    """About `most` vectors, chosen by a hash of their ids; never more than twice as many."""
+    share = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 30)) < int(min(1.0, most / n) * (1 << 30))
+    got = rows.filter(share).select("vec").limit(2 * most).toPandas()["vec"]
+    return np.stack(got.to_numpy()).astype(float) if len(got) else np.zeros((0, 2))
+
+
+def knn(points: DataFrame, k: int, few: int = FEW_POINTS, report: dict | None = None) -> DataFrame:
+    """src, dst, rank (1..k), dist: the k nearest other points, ties by id. Self is excluded by id,
+    so points at one place are neighbours of each other. Up to `few` points are compared with all.
+    Points without both coordinates are no one's neighbours. report gets the pairs compared."""
+    placed = points.filter("x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)")
+    n = placed.count()
+    if n <= few:  # one small pass beats two over parts
+        a = placed.select(F.col("cell_id").alias("src"), F.col("x").alias("ax"), F.col("y").alias("ay"))
+        b = placed.select(F.col("cell_id").alias("dst"), F.col("x").alias("bx"), F.col("y").alias("by"))
+        dx, dy = F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")
+        near = a.join(F.broadcast(b), F.col("src") != F.col("dst")).withColumn("dist", F.sqrt(dx * dx + dy * dy))
+        return _ranked(near, k)
+    rows = placed.select(F.col("cell_id").alias("id"), F.array(F.col("x").cast("double"), F.col("y").cast("double")).alias("vec"))
+    tiles = max(1, min(MOST_TILES, n // PART))
+    return _in_parts(rows, k, Tiles(_sampled(rows, n, SAMPLED * tiles), tiles), report)
+
+
+def knn_vectors(points: DataFrame, k: int, few: int = FEW_POINTS, report: dict | None = None) -> DataFrame:
+    """Exact k-NN of vectors: src, dst, rank, dist, like knn. Pivots whose balls hold fewer than
+    2 (k + 1) vectors give them to others, so that a first pass finds k for most."""
+    rows = points.filter("vec IS NOT NULL").select(F.col("cell_id").alias("id"), F.col("vec").cast("array<double>").alias("vec"))
+    n = rows.count()
+    if n <= few:
+        return _in_parts(rows, k, Balls(np.zeros((1, rows.select(F.max(F.size("vec"))).first()[0] or 1))), report)
+    balls = Balls(np.unique(_sampled(rows, n, min(MOST_PIVOTS, int(2 * n**0.5))), axis=0))
+    if len(balls.pivots) > 1:
+        kind = rows.schema["id"].dataType.simpleString()
+        run, schema = _assigned(balls, kind)
+        sizes = {r[0]: r[1] for r in rows.mapInPandas(run, schema).groupBy("part").count().collect()}
+        large = np.array([p for p in range(len(balls.pivots)) if sizes.get(p, 0) >= 2 * (k + 1)], np.int64)
+        balls = balls.kept(large) if len(large) else balls
+    return _in_parts(rows, k, balls, report)

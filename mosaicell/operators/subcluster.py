@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import erfc, t_two_sided
 from ..plans.storage import maybe_broadcast, save
-from .neighbors import FEW_OPEN, knn, radius_join
+from .neighbors import knn, radius_join
+
+#: Points without a settled result that are compared with all others rather than by wider rings.
+FEW_OPEN = 1000
 
 #: Name parts of cell types left out of the ranking by default.
 EPITHELIAL_TERMS = ("Tumor Cells", "Epithelial", "Epithelium", "AT2", "Unassigned", "Ciliated", "Malignant")

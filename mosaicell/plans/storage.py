@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,18 +33,36 @@ def scratch(spark: SparkSession, name: str) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+_lock = threading.Lock()
+#: By session: writes that run now, and the setting before the first of them.
+_running: dict[str, list] = {}
+
+
+@contextmanager
+def _cleaning(spark: SparkSession):
+    session = spark._jsparkSession.sessionUUID()
+    with _lock:
+        held = _running.setdefault(session, [0, spark.conf.get(CLEANUP, None)])
+        held[0] += 1
+        spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        with _lock:
+            held[0] -= 1
+            if not held[0]:
+                del _running[session]
+                if held[1] is None:
+                    spark.conf.unset(CLEANUP)
+                else:
+                    spark.conf.set(CLEANUP, held[1])
+
+
 def save(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: a short plan that survives lost executors."""
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with _cleaning(spark):
         df.write.parquet(path)
-    finally:
-        if before is None:
-            spark.conf.unset(CLEANUP)
-        else:
-            spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -653,9 +653,15 @@ def wilcoxon_rank_sum(spark, d):
     return _deg(spark, d, False)
 
 
-@query()
+ERFC = """CASE WHEN z <= 2.5 THEN 1 - 2 * z * exp(-z * z) / sqrt(pi()) * list_reduce(list_prepend(1.0::DOUBLE, range(80, 0, -1)::DOUBLE[]), lambda s, k: 1 + 2 * z * z / (2 * k + 1) * s)
+  ELSE exp(-z * z) / sqrt(pi()) / z / list_reduce(list_prepend(1.0::DOUBLE, range(100, 0, -1)::DOUBLE[]), lambda s, k: 1 + k / (2 * z * z) / s) END"""
+
+
+@query(f"""WITH {DEG}, pv AS (SELECT *, {ERFC} AS pval FROM (SELECT *, abs(score) / sqrt(2) AS z FROM deg)),
+pq AS (SELECT *, pval * count(*) OVER (PARTITION BY grp) / (rank() OVER (PARTITION BY grp ORDER BY pval) + count(*) OVER (PARTITION BY grp, pval) - 1) AS q FROM pv WHERE pval IS NOT NULL)
+SELECT grp, gene, {r('pval', 9)} AS pval, {r('least(1, min(q) OVER (PARTITION BY grp ORDER BY pval DESC RANGE UNBOUNDED PRECEDING))', 9)} AS pval_adj FROM pq""")
 def wilcoxon_pvalues(spark, d):
-    return _deg(spark, d, True)
+    return _deg(spark, d, True).select("grp", "gene", F.round("pval", 9).alias("pval"), F.round("pval_adj", 9).alias("pval_adj"))
 
 
 @query(f"""WITH p AS (SELECT CAST(label AS VARCHAR) AS grp, vec_id, (vec_id % 97 + 1) / 1000.0 AS pval FROM embeddings),
@@ -699,9 +705,19 @@ def welch_t(spark, d):
     return _welch(spark, d, False).withColumn("df", F.round("df", 4))
 
 
-@query()
+#: I_x(a, b) by its continued fraction, of the side that converges; x and y add up to 1.
+BETA = """exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * ln(x) + b * ln(y)) / a / list_reduce(list_prepend(1.0::DOUBLE, range(1000, 0, -1)::DOUBLE[]), lambda s, k:
+  1 + CASE WHEN k % 2 = 0 THEN floor(k / 2) * (b - floor(k / 2)) / ((a + 2 * floor(k / 2) - 1) * (a + 2 * floor(k / 2))) ELSE -(a + floor(k / 2)) * (a + b + floor(k / 2)) / ((a + 2 * floor(k / 2)) * (a + 2 * floor(k / 2) + 1)) END * x / s)"""
+
+
+@query(f"""WITH {WELCH}, t AS (SELECT feature, (m1 - m2) / sqrt(e1 + e2) AS t, (e1 + e2) * (e1 + e2) / (e1 * e1 / (n1 - 1) + e2 * e2 / (n2 - 1)) AS df FROM s),
+u AS (SELECT *, df / (df + t * t) AS u FROM t), v AS (SELECT *, u > (df / 2 + 1) / (df / 2 + 2.5) AS flip FROM u),
+w AS (SELECT feature, flip, CASE WHEN flip THEN 0.5 ELSE df / 2 END AS a, CASE WHEN flip THEN df / 2 ELSE 0.5 END AS b,
+  CASE WHEN flip THEN t * t / (df + t * t) ELSE u END AS x, CASE WHEN flip THEN u ELSE t * t / (df + t * t) END AS y FROM v),
+i AS (SELECT feature, flip, {BETA} AS i FROM w)
+SELECT feature, {r('CASE WHEN flip THEN 1 - i ELSE i END', 9)} AS pval FROM i""")
 def welch_pvalues(spark, d):
-    return _welch(spark, d, True)
+    return _welch(spark, d, True).select("feature", F.round("pval", 9).alias("pval"))
 
 
 SUB = "sub AS (SELECT vec_id AS cell_id, CASE WHEN vec_id % 5 = 0 THEN '-1' WHEN vec_id % 2 = 0 THEN '0' ELSE '1' END AS sub FROM embeddings WHERE label = 3)"

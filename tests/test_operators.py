@@ -8,6 +8,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from mosaicell.functions import communities, numeric
 from mosaicell.operators import composition, factorize, graph, mapping, neighbors, preprocess, scales, spectral, subcluster
@@ -32,11 +33,74 @@ def test_knn_ties_duplicates_and_far_points(spark, few):
         assert [d for _, d in sorted(got[i])] == [j for _, j in want]
 
 
-def test_rings_equal_brute_force(spark):
+def test_tiles_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(neighbors, "PART", 30)
     p = points_of(spark, np.random.default_rng(8).normal(size=(300, 2)) ** 3)
     assert sorted(map(tuple, neighbors.knn(p, 7, 0).collect())) == sorted(map(tuple, neighbors.knn(p, 7).collect()))
 
 
+def nearest_of(v, k):
+    found = set()
+    for i in range(len(v)):
+        away = v - v[i]
+        d = np.sqrt((away * away).sum(1))
+        d[i] = np.inf
+        found |= {(i, int(j), n + 1) for n, j in enumerate(np.lexsort((np.arange(len(v)), d))[:k])}
+    return found
+
+
+@pytest.mark.parametrize("blocks", [(4096, 2048), (50, 40)])
+def test_knn_of_crowds_and_copies(spark, monkeypatch, blocks):
+    """Half of the points in a thousandth of the area, a sixth at one place."""
+    monkeypatch.setattr(neighbors, "TARGETS", blocks[0])
+    monkeypatch.setattr(neighbors, "ASKING", blocks[1])
+    monkeypatch.setattr(neighbors, "PART", 100)
+    rng = np.random.default_rng(6)
+    xy = np.concatenate([rng.random((400, 2)), 0.3 + 0.03 * rng.random((600, 2)), np.tile([[0.5, 0.5]], (200, 1))])
+    report = {}
+    got = {(r.src, r.dst, r["rank"]) for r in neighbors.knn(points_of(spark, xy), 5, 0, report).collect()}
+    assert got == nearest_of(xy, 5) and report["parts"] >= 8
+    assert report["own"] + report["others"] < len(xy) ** 2 / 3
+
+
+def test_tiles_follow_the_points():
+    rng = np.random.default_rng(7)
+    v = np.concatenate([rng.random((4000, 2)), 0.3 + 0.01 * rng.random((4000, 2))])
+    tiles = neighbors.Tiles(v[::4], 32)
+    sizes = np.bincount(tiles.assign(v)[0], minlength=32)
+    assert len(tiles.boxes) == 32 and sizes.max() <= 2 * np.median(sizes)
+    part, _ = tiles.assign(v)
+    assert ((v >= tiles.boxes[part, :, 0]) & (v < tiles.boxes[part, :, 1])).all()
+    assert len(neighbors.Tiles(np.ones((50, 2)), 9).boxes) == 1
+
+
+def test_knn_vectors_by_pivots(spark):
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(40, 6))[rng.integers(40, size=1500)] * 10 + rng.normal(size=(1500, 6))
+    v[300:700] = v[0]  # copies
+    p = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(9999, None)], "cell_id long, vec array<double>")
+    report = {}
+    got = {(r.src, r.dst, r["rank"]) for r in neighbors.knn_vectors(p, 4, 0, report).collect()}
+    assert got == nearest_of(v, 4)
+    assert report["parts"] > 10 and report["own"] + report["others"] < len(v) ** 2 / 5
+    few = {(r.src, r.dst, r["rank"]) for r in neighbors.knn_vectors(p.filter("cell_id % 9 = 0"), 3).collect()}
+    ids = np.arange(0, 1500, 9)
+    assert few == {(int(ids[a]), int(ids[b]), n) for a, b, n in nearest_of(v[ids], 3)}
+    assert neighbors.knn_vectors(p.limit(0), 3).count() == 0 and neighbors.knn_vectors(p.filter("cell_id = 3"), 3).count() == 0
+
+
+@pytest.mark.parametrize("crowd,block", [(1024, 2048), (5, 30), (40, 2048)])
+def test_density_and_radius_join_of_crowds(spark, monkeypatch, crowd, block):
+    monkeypatch.setattr(neighbors, "BLOCK", block)
+    rng = np.random.default_rng(10)
+    xy = np.concatenate([rng.random((200, 2)), 0.3 + 0.03 * rng.random((300, 2)), np.tile([[0.31, 0.31]], (60, 1))])
+    near = np.sqrt(((xy[:, None] - xy[None]) ** 2).sum(-1))
+    p = points_of(spark, xy)
+    for radius in (0.012, 0.1, 3.0):
+        assert {r.cell_id: r.density for r in neighbors.density(p, radius, crowd).collect()} == dict(enumerate((near <= radius).sum(1).tolist()))
+    assert {(r.src, r.dst) for r in neighbors.radius_join(p, p, 0.02).collect()} == set(zip(*map(np.ndarray.tolist, np.nonzero(near <= 0.02)), strict=True))
+
+
 def test_knn_of_one_or_no_point(spark):
     assert neighbors.knn(points_of(spark, [(1, 1)]), 3).count() == 0
     assert neighbors.knn(points_of(spark, []), 3).count() == 0
@@ -86,6 +150,21 @@ def test_largest_eigenvalue(spark):
     assert spectral.eigen_bound(e) >= 2 + math.sqrt(2)
 
 
+@pytest.mark.parametrize("local", [10**6, 0])
+def test_lanczos_of_a_neighbour_graph(spark, local):
+    p = points_of(spark, np.random.default_rng(11).random((300, 2)))
+    rows = graph.symmetrize(graph.weigh(neighbors.knn(p, 6), k=6)).collect()
+    lap = np.zeros((300, 300))
+    for r in rows:
+        lap[r.src, r.src] += r.weight
+        lap[r.src, r.dst] -= r.weight
+    e = spark.createDataFrame(rows)
+    top, report = np.linalg.eigvalsh(lap)[-1], {}
+    got = spectral.largest_eigenvalue(e, local_edges=local, report=report)
+    assert 0.995 * top <= got / 1.01 <= top * (1 + 1e-9) and report["passes"] <= spectral.PASSES
+    assert spectral.largest_eigenvalue(e.limit(0), local_edges=local) == 0
+
+
 def test_default_scales():
     assert len(spectral.DEFAULT_SCALES) == 58 and spectral.DEFAULT_SCALES[0] == 0.01 and spectral.MAPPING_SCALES[0] == 0.0
 
@@ -111,15 +190,33 @@ def test_constant_component_gives_null_correlation(spark):
     assert all(r["corr"] is None for r in scales.scale_correlation(df).collect())
 
 
+def test_first_picks_look_at_few_points(spark, monkeypatch):
+    seen, picks = [], mapping.poisson_disk
+    monkeypatch.setattr(mapping, "poisson_disk", lambda df, *a: (seen.append(df.count()), picks(df, *a))[1])
+    p = points_of(spark, np.random.default_rng(12).uniform(0, 100, (3000, 2)))
+    whole = [r.cell_id for r in picks(p, 2.0).orderBy("priority").limit(20).collect()]
+    assert [r.cell_id for r in picks(p, 2.0, target_n=20).orderBy("priority").collect()] == whole and seen == [80]
+    seen.clear()
+    # too near to each other to hold as many: the look widens, in the end to all points
+    assert picks(p, 40.0, target_n=2000).count() < 20 and seen == [3000]
+    assert picks(p, 2.0, target_n=0).count() == 0
+
+
 def test_knee():
     x = list(range(1, 11))
     assert numeric.knee(x, [1 / v for v in x]) in (2, 3)
     assert numeric.knee(x, [1.0] * 10) is None
 
 
-def test_t_tail_and_beta():
-    assert abs(numeric.incomplete_beta(5, 0.5, 10 / (10 + 2.228138852**2)) - 0.05) < 1e-6
-    assert abs(numeric.incomplete_beta(0.5, 0.5, 0.5) - 0.5) < 1e-9
+def test_erfc_gamma_and_t_tail(spark):
+    values = [0.0, 1e-3, 0.5, -0.7, 2.0, 2.5, 2.51, 5.0, 25.0]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    for r in df.select("x", numeric.erfc("x").alias("e"), numeric.lgamma(F.abs("x") + 0.25).alias("g")).collect():
+        assert abs(r.e - math.erfc(r.x)) <= 1e-12 * math.erfc(r.x) and abs(r.g - math.lgamma(abs(r.x) + 0.25)) < 1e-11
+    assert [r.e for r in spark.sql("SELECT double('nan') AS x UNION ALL SELECT null").select(numeric.erfc("x").alias("e")).collect()] == [None, None]
+    rows = [(12.706204736432095, 1.0, 0.05), (2.2281388519649385, 10.0, 0.05), (1.9599639845400545, 1e5, 0.0500027729), (0.0, 5.0, 1.0), (1.0, None, None), (1.0, 0.0, None), (1.0, 1.0, 0.5)]
+    for r in spark.createDataFrame(rows, "t double, df double, p double").withColumn("q", numeric.t_two_sided("t", "df")).collect():
+        assert r.q == r.p if r.p is None else abs(r.q - r.p) < 1e-9
 
 
 @pytest.mark.parametrize("serial", [10**6, 0])
@@ -304,8 +401,8 @@ def test_knn_of_outliers_equals_brute_force(spark, monkeypatch):
     d = np.sqrt(((xy[:, None] - xy[None]) ** 2).sum(-1))
     np.fill_diagonal(d, np.inf)
     want = {(i, int(j), k + 1) for i in range(len(xy)) for k, j in enumerate(np.argsort(d[i], kind="stable")[:4])}
-    for few in (1000, 3):
-        monkeypatch.setattr(neighbors, "FEW_OPEN", few)
+    for part in (1000, 20):
+        monkeypatch.setattr(neighbors, "PART", part)
         assert {(r.src, r.dst, r["rank"]) for r in neighbors.knn(p, 4, few=0).collect()} == want
 
 
