@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,24 +31,41 @@ def rows_of(expr: DataFrame, genes: list[str]) -> DataFrame:
 
 def _dense(rows: pd.DataFrame, g: int) -> np.ndarray:
     out = np.zeros((len(rows), g))
-    for r, (i, v) in enumerate(zip(rows["idx"], rows["val"], strict=True)):
-        out[r, np.asarray(i, int)] = v
+    if len(rows):
+        lengths = rows["idx"].map(len).to_numpy()
+        out[np.repeat(np.arange(len(rows)), lengths), np.concatenate(rows["idx"].to_numpy()).astype(int)] = np.concatenate(rows["val"].to_numpy())
     return out
 
 
+def _chunks(batches, g: int):
+    """Dense blocks of a bounded number of values."""
+    step = max(1, (1 << 20) // max(1, g))
+    for b in batches:
+        for at in range(0, len(b), step):
+            yield _dense(b.iloc[at : at + step], g)
+
+
+#: Values of one row of a partial sum.
+PIECE = 4096
+
+
 def _sum_partials(df: DataFrame, run, shapes: list[tuple[int, ...]]) -> list[np.ndarray]:
-    """run(iterator of batches) -> arrays; each task's arrays are added up by cell in the cluster."""
-    size = sum(int(np.prod(s)) for s in shapes)
+    """run(iterator of batches) -> arrays; each task's arrays are added up in the cluster, piece by piece."""
 
     def partial(batches):
-        arrays = run(batches)
-        flat = np.concatenate([np.ravel(a) for a in arrays])
-        keep = np.flatnonzero(flat)
-        yield pd.DataFrame({"i": keep, "v": flat[keep]})
-
-    sums = df.mapInPandas(partial, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).toPandas()
-    flat = np.zeros(size)
-    flat[sums["i"].to_numpy(int)] = sums["v"].to_numpy()
+        flat = np.concatenate([np.ravel(a) for a in run(batches)])
+        for k in range(0, len(flat), PIECE):
+            if flat[k : k + PIECE].any():
+                yield pd.DataFrame({"piece": [k // PIECE], "v": [flat[k : k + PIECE]]})
+
+    def total(key, rows):
+        v = sum(x.values.to_numpy() for x in rows["v"])
+        return pa.table({"piece": pa.array([key[0].as_py()], pa.int32()), "v": pa.array([v], pa.list_(pa.float64()))})
+
+    sums = df.mapInPandas(partial, "piece int, v array<double>").groupBy("piece").applyInArrow(total, "piece int, v array<double>").toPandas()
+    flat = np.zeros(sum(int(np.prod(s)) for s in shapes))
+    for piece, v in zip(sums["piece"], sums["v"], strict=True):
+        flat[piece * PIECE : piece * PIECE + len(v)] = v
     out, at = [], 0
     for s in shapes:
         n = int(np.prod(s))
@@ -57,20 +75,62 @@ def _sum_partials(df: DataFrame, run, shapes: list[tuple[int, ...]]) -> list[np.
 
 
 def moments(rows: DataFrame, g: int) -> tuple[int, np.ndarray, np.ndarray]:
-    """Number of cells, sums by gene, and the genes' Gram matrix."""
+    """Number of cells, sums and sums of squares by gene."""
 
     def run(batches):
-        n, s, gram = np.zeros(1), np.zeros(g), np.zeros((g, g))
-        for b in batches:
-            for at in range(0, len(b), 2048):
-                x = _dense(b.iloc[at : at + 2048], g)
-                n += len(x)
-                s += x.sum(0)
-                gram += x.T @ x
-        return [n, s, gram]
-
-    n, s, gram = _sum_partials(rows, run, [(1,), (g,), (g, g)])
-    return int(n[0]), s, gram
+        n, s, q = np.zeros(1), np.zeros(g), np.zeros(g)
+        for x in _chunks(batches, g):
+            n += len(x)
+            s += x.sum(0)
+            q += (x * x).sum(0)
+        return [n, s, q]
+
+    n, s, q = _sum_partials(rows, run, [(1,), (g,), (g,)])
+    return int(n[0]), s, q
+
+
+#: Random directions beyond those wanted, and passes over the cells, at most.
+EXTRA, PASSES = 10, 12
+
+
+def principal(rows: DataFrame, g: int, d: int, mean: np.ndarray, std: np.ndarray, tolerance: float = 1e-8, report: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The d greatest eigenvalues and vectors of C'C, C = (X - mean) / std, by a block Krylov range
+    finder: a pass multiplies d + EXTRA directions by C'C, so what tasks return and the driver holds
+    is genes x directions, never genes x genes. It ends when the residuals of all d are small."""
+    width = min(g, d + EXTRA)
+    block = np.eye(g) if width == g else np.linalg.qr(np.random.default_rng(0).normal(size=(g, width)))[0]
+    basis, images, done = np.zeros((g, 0)), np.zeros((g, 0)), 0
+    while True:
+        scaled = block / std[:, None]
+        shift = mean @ scaled
+
+        def run(batches, scaled=scaled, shift=shift):
+            y, total = np.zeros((g, scaled.shape[1])), np.zeros(scaled.shape[1])
+            for x in _chunks(batches, g):
+                z = x @ scaled - shift
+                y += x.T @ z
+                total += z.sum(0)
+            return [y, total]
+
+        y, total = _sum_partials(rows, run, [(g, block.shape[1]), (block.shape[1],)])
+        image = (y - np.outer(mean, total)) / std[:, None]
+        basis, images, done = np.hstack([basis, block]), np.hstack([images, image]), done + 1
+        small = basis.T @ images
+        values, vectors = np.linalg.eigh((small + small.T) / 2)
+        top = np.argsort(-values, kind="stable")[:d]
+        found, w = basis @ vectors[:, top], values[top]
+        away = np.linalg.norm(images @ vectors[:, top] - found * w, axis=0)
+        if report is not None:
+            report.update(passes=done, width=basis.shape[1])
+        if away.max(initial=0) <= tolerance * max(abs(w).max(initial=0), 1e-300) or basis.shape[1] >= g or done == PASSES:
+            return w, found
+        # what the new images add to the basis; twice, for the sake of rounding
+        fresh = image - basis @ (basis.T @ image)
+        fresh -= basis @ (basis.T @ fresh)
+        block, r = np.linalg.qr(fresh)
+        block = block[:, np.abs(np.diag(r)) > 1e-12 * max(abs(w).max(initial=0), 1e-300)][:, : g - basis.shape[1]]
+        if not block.shape[1]:
+            return w, found
 
 
 def _signed(v: np.ndarray) -> np.ndarray:
@@ -83,14 +143,11 @@ def pca(expr: DataFrame, n_components: int = 50) -> tuple[DataFrame, DataFrame,
     genes = gene_list(expr)
     g = len(genes)
     rows = save(rows_of(expr, genes), "rows")
-    n, s, gram = moments(rows, g)
+    n, s, _ = moments(rows, g)
     mean = s / max(1, n)
-    cov = (gram - n * np.outer(mean, mean)) / max(1, n - 1)
-    d = max(1, min(n_components, g, n - 1))
-    values, vectors = np.linalg.eigh(cov)
-    order = np.argsort(-values)[:d]
-    load = _signed(vectors[:, order])
-    return _project(rows, load, mean @ load, g), _loadings(expr, genes, load), values[order]
+    values, vectors = principal(rows, g, max(1, min(n_components, g, n - 1)), mean, np.ones(g))
+    load = _signed(vectors)
+    return _project(rows, load, mean @ load, g), _loadings(expr, genes, load), values / max(1, n - 1)
 
 
 def _project(rows: DataFrame, load: np.ndarray, shift: np.ndarray, g: int) -> DataFrame:
@@ -111,15 +168,13 @@ def _loadings(expr: DataFrame, genes: list[str], load: np.ndarray) -> DataFrame:
 # ------------------------------------------------------------------ NMF
 
 
-def nndsvd(gram: np.ndarray, d: int) -> np.ndarray:
+def nndsvd(values: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     """Start of H (components x genes) from the dominant signed parts of the right vectors."""
-    values, vectors = np.linalg.eigh(gram)
-    order = np.argsort(-values)[:d]
     out = []
-    for j, k in enumerate(order):
+    for k in range(len(values)):
         v = vectors[:, k] * np.sign(vectors[np.abs(vectors[:, k]).argmax(), k])
         up, down = np.maximum(v, 0), np.maximum(-v, 0)
-        best = np.abs(v) if j == 0 else up if np.linalg.norm(up) >= np.linalg.norm(down) else down
+        best = np.abs(v) if k == 0 else up if np.linalg.norm(up) >= np.linalg.norm(down) else down
         out.append(np.sqrt(max(values[k], 0) ** 0.5) * best / (np.linalg.norm(best) or 1.0))
     return np.maximum(np.array(out), 1e-6)
 
@@ -143,20 +198,19 @@ def nmf(expr: DataFrame, n_components: int = 50, max_iter: int = 30, tol: float
     genes = gene_list(expr)
     g = len(genes)
     rows = save(rows_of(expr, genes), "rows")
-    n, _, gram = moments(rows, g)
+    n, _, squares = moments(rows, g)
     d = max(1, min(n_components, g, max(1, n)))
-    h, total, losses = nndsvd(gram, d), float(np.trace(gram)), []
+    # a start needs no more than a rough range
+    h, total, losses = nndsvd(*principal(rows, g, d, np.zeros(g), np.ones(g), 1e-4)), float(squares.sum()), []
     for _ in range(max_iter):
 
         def run(batches, h=h):
             wx, ww, fit = np.zeros((d, g)), np.zeros((d, d)), np.zeros(1)
-            for b in batches:
-                for at in range(0, len(b), 2048):
-                    x = _dense(b.iloc[at : at + 2048], g)
-                    w = _solve_w(x, h)
-                    wx += w.T @ x
-                    ww += w.T @ w
-                    fit += ((x - w @ h) ** 2).sum()
+            for x in _chunks(batches, g):
+                w = _solve_w(x, h)
+                wx += w.T @ x
+                ww += w.T @ w
+                fit += ((x - w @ h) ** 2).sum()
             return [wx, ww, fit]
 
         wx, ww, fit = _sum_partials(rows, run, [(d, g), (d, d), (1,)])
@@ -272,11 +326,8 @@ def harmony_correct_counts(expr: DataFrame, batches: DataFrame, target: float =
     mean = np.array([stats[x][0] for x in genes])
     std = np.array([stats[x][1] or 1.0 for x in genes])
     rows = save(rows_of(logged, genes), "rows")
-    n, s, gram = moments(rows, g)
-    cov = (gram - n * np.outer(mean, mean)) / np.outer(std, std) / max(1, n - 1)
-    d = max(1, min(n_pcs, min(n, g) - 1))
-    values, vectors = np.linalg.eigh(cov)
-    load = _signed(vectors[:, np.argsort(-values)[:d]])
+    n = rows.count()
+    load = _signed(principal(rows, g, max(1, min(n_pcs, min(n, g) - 1)), mean, std)[1])
     scores = _project(rows, load / std[:, None], (mean / std) @ load, g)
     fixed = harmony(scores, batches, theta, max_iter, seed=seed)
     kind = rows.schema["cell_id"].dataType.simpleString()

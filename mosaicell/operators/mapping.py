@@ -296,7 +296,7 @@ def map_scales_to_distance(points: DataFrame, edges: DataFrame, typical_scales:
     preferred = cells.filter(F.col("density_group").isin("High", "Low"))
     rounds = save(sample_rounds(points, sample_r, target_total, seed, first_round_n, first_round_candidates, None, preferred, preferred_max_frac), "rounds")
     n_rounds = rounds.agg(F.max("round")).first()[0] or 0
-    responses = heat_filter(edges, impulse_signals(points, rounds, n_rounds), scales)
+    responses = heat_filter(edges, impulse_signals(points, rounds, n_rounds), scales, points=points)
     profiles = save(seed_profiles(points, rounds, responses, radius), "profiles")
     grouping = cells.filter(F.col("density_group").isin(*groups)).select(F.col("cell_id").alias("seed_id"), F.col("density_group").alias("grp"))
     table, energy = heatmap(profiles, x_max, width, normalize_rows=normalize_rows, counts_weight=False, groups=grouping)

@@ -46,7 +46,7 @@ class MultiscaleAnalysis:
         rep = self._rep(use_rep)
         self.scales = list(scales) if scales is not None else DEFAULT_SCALES
         self.edges = save(spatial_graph(self.points, n_neighbors), "spatial-knn")
-        out = heat_filter(self.edges, rep, self.scales)
+        out = heat_filter(self.edges, rep, self.scales, points=self.points)
         if self.path:
             where = f"{self.path}/{self.run_label}_transformed_signals"
             out.write.mode("overwrite").partitionBy("scale_idx").parquet(where)

@@ -194,7 +194,8 @@ t0 AS MATERIALIZED (SELECT cell_id, unnest(range(64)) AS dim, unnest(vec) AS v F
 
 
 def _heat(spark, d, path):
-    out = spectral.heat_filter(save(edges(spark, d), "edges"), points(spark, d).select("cell_id", "vec"), [3.0], 8, "bound", path)
+    p = points(spark, d)
+    out = spectral.heat_filter(save(edges(spark, d), "edges"), p.select("cell_id", "vec"), [3.0], 8, "bound", path, p)
     return out.select("cell_id", F.posexplode("vec").alias("dim", "value"))
 
 
@@ -208,6 +209,22 @@ def heat_filter_joins(spark, d):
     return _heat(spark, d, "joins")
 
 
+@query(heat_sql(3.0, 8))
+def heat_filter_tiles(spark, d):
+    return _heat(spark, d, "tiles")
+
+
+@query()
+def heat_filter_big(spark, d):
+    """Eight signals of every point of the large table at three scales, by tiles: their moments."""
+    p = T.points_big(spark, d)
+    graph_edges = save(graph.symmetrize(graph.weigh(neighbors.knn(p, 6), "uniform")), "edges")
+    signals = p.select("cell_id", F.transform(F.sequence(F.lit(2), F.lit(9)), lambda i: (F.pmod(F.col("cell_id"), i) == 0).cast("double")).alias("vec"))
+    out = spectral.heat_filter(graph_edges, signals, [0.5, 2.0, 8.0], lmax="bound", path="tiles", points=p)
+    each = out.select("scale", F.posexplode("vec").alias("dim", "v"))
+    return each.groupBy("scale", "dim").agg(F.avg("v").alias("mean"), F.var_pop("v").alias("variance"), F.count("*").alias("n"))
+
+
 @query()
 def heat_filter_scales(spark, d):
     """Of all signals at all scales, their moments: diffusion keeps the mean and lowers the variance."""
@@ -772,6 +789,15 @@ def pca_scores(spark, d):
     return scores.select("cell_id", F.posexplode("vec").alias("component", "value"))
 
 
+@query(f"""WITH {EXPR}, {NORM}, logged AS (SELECT cell_id, gene, ln(1 + value) AS value FROM norm), n AS (SELECT CAST(count(DISTINCT cell_id) AS DOUBLE) AS n FROM logged), g AS (SELECT gene, sum(value) AS s, sum(value * value) AS q FROM logged GROUP BY gene)
+SELECT {r('sum((q - s * s / n) / (n - 1))')} AS variance FROM g, n""")
+def pca_variance(spark, d):
+    """With as many components as genes, the scores hold all variance of the genes."""
+    expr = preprocess.preprocess(T.expression(spark, d)).drop("counts")
+    scores, _, _ = factorize.pca(expr, len(factorize.gene_list(expr)))
+    return scores.select(F.posexplode("vec").alias("k", "v")).groupBy("k").agg(F.var_samp("v").alias("v")).agg(F.sum("v").alias("variance"))
+
+
 @query()
 def harmony_scores(spark, d):
     scores, _, _ = factorize.pca(preprocess.preprocess(T.expression(spark, d)).drop("counts"), 5)

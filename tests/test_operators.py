@@ -137,6 +137,27 @@ def test_heat_filter_equals_dense_solution(spark, path):
         assert np.allclose(r.vec, want[r.cell_id], atol=1e-6 if path == "local" else 1e-3)
 
 
+def test_heat_filter_by_tiles_equals_local(spark, monkeypatch):
+    rng = np.random.default_rng(13)
+    p = points_of(spark, rng.random((400, 2)))
+    rows = graph.symmetrize(graph.weigh(neighbors.knn(p, 4), k=4)).collect()
+    edges = spark.createDataFrame(rows)
+    signals = spark.createDataFrame([(i, rng.normal(size=3).tolist()) for i in range(402)], "cell_id long, vec array<double>")
+    p = p.unionByName(points_of(spark, [(0.5, 0.5), (9, 9)], [400, 401]))
+    exchanges, terms = [], spectral._terms
+    monkeypatch.setattr(spectral, "TILE_CELLS", 50)
+    monkeypatch.setattr(spectral, "_terms", lambda *a: (exchanges.append(a), terms(*a))[1])
+    want = {(r.cell_id, r.scale_idx): r.vec for r in spectral.heat_filter(edges, signals, [0.0, 1.5, 20.0], path="local").collect()}
+    got = spectral.heat_filter(edges, signals, [0.0, 1.5, 20.0], path="tiles", points=p).collect()
+    assert len(got) == 3 * 402 and len(exchanges) == 6
+    assert all(np.allclose(r.vec, want[r.cell_id, r.scale_idx], atol=1e-12) and r.scale == [0.0, 1.5, 20.0][r.scale_idx] for r in got)
+    for order in (0, 1, 7, 11):
+        want = {r.cell_id: r.vec for r in spectral.heat_filter(edges, signals, [2.0], order, "bound", "local").collect()}
+        assert all(np.allclose(r.vec, want[r.cell_id], atol=1e-12) for r in spectral.heat_filter(edges, signals, [2.0], order, "bound", "tiles", p).collect())
+    same = spectral.heat_filter(edges.limit(0), signals, [2.0], path="tiles", points=p).collect()
+    assert {r.cell_id: r.vec for r in same} == {r.cell_id: r.vec for r in signals.collect()}
+
+
 def test_heat_filter_keeps_mass_and_constants(spark):
     pairs = [(0, 1, 1.0), (1, 2, 2.0), (2, 3, 1.0)]
     signals = spark.createDataFrame([(i, [1.0, float(i == 1)]) for i in range(4)], "cell_id long, vec array<double>")
@@ -190,6 +211,20 @@ def test_constant_component_gives_null_correlation(spark):
     assert all(r["corr"] is None for r in scales.scale_correlation(df).collect())
 
 
+def test_range_finder_equals_svd(spark):
+    rng = np.random.default_rng(14)
+    x = rng.poisson(0.3, (300, 120)) * rng.gamma(1, 1, 120) + np.outer(rng.random(300), rng.random(120)) * 3
+    rows = spark.createDataFrame([(i, np.flatnonzero(v).tolist(), v[v != 0].tolist()) for i, v in enumerate(x)], "cell_id long, idx array<int>, val array<double>")
+    mean, std, report = x.mean(0), x.std(0, ddof=1), {}
+    for m, s in ((np.zeros(120), np.ones(120)), (mean, np.ones(120)), (mean, std)):
+        values, vectors = factorize.principal(rows, 120, 6, m, s, report=report)
+        _, top, right = np.linalg.svd((x - m) / s)
+        assert np.allclose(values, top[:6] ** 2, rtol=1e-9) and report["width"] <= 120 and report["passes"] <= factorize.PASSES
+        assert np.allclose(np.abs((right[:6] * vectors.T).sum(1)), 1, atol=1e-6)
+    n, total, squares = factorize.moments(rows, 120)
+    assert n == 300 and np.allclose(total, x.sum(0)) and np.allclose(squares, (x * x).sum(0))
+
+
 def test_first_picks_look_at_few_points(spark, monkeypatch):
     seen, picks = [], mapping.poisson_disk
     monkeypatch.setattr(mapping, "poisson_disk", lambda df, *a: (seen.append(df.count()), picks(df, *a))[1])
