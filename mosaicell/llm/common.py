@@ -46,7 +46,7 @@ _open: dict[object, list] = {}
 
 
 @contextmanager
-def _cleanup(spark: SparkSession):
+def cleanup(spark: SparkSession):
     """CLEANUP is on while any write of the session runs; the last one puts the setting back."""
     session = spark._jsparkSession.sessionUUID()
     with _writes:
@@ -72,7 +72,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     is then of no more use and is deleted."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    with _cleanup(spark):
+    with cleanup(spark):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -2,10 +2,12 @@
 
 A text is known by the sha256 of its normalised content (null becomes empty; the tokenizer's own
 normaliser is part of its version, so no other change is made that could alter a count), and a
-tokenizer by the sha256 of its file. Stored counts are joined by both; only distinct texts that
+tokenizer by the sha256 of its file. Stored counts are joined by both: of the cache only the digests
+that are wanted go on, so a small increment costs a scan of the cache's columns and no shuffle of it. Only distinct texts that
 the cache lacks are encoded, and their counts are appended to it. Copies therefore cost one
-encoding however many there are. Each run appends a folder of its own, so runs at one time do not
-touch each other's files; what both encode is stored twice with the same count.
+encoding however many there are. Each run that encodes anything appends a folder of its own, so runs at one time do not
+touch each other's files; what both encode is stored twice with the same count, until `compact`
+joins the folders.
 
 Tokenizers are files of the tokenizers library (.json) or of sentencepiece (.model). A byte-level
 pre-tokenizer with its own pattern always starts a new piece at a space between two characters that
@@ -14,8 +16,9 @@ spaces: counts add up, and the count of each distinct piece is remembered. Texts
 space meets a space are cut at the other spaces only. The memo is bounded. With any other tokenizer
 (`splits_at_spaces`) whole texts are encoded.
 
-Defined results: null and empty texts have 0 bytes and 0 tokens; repeated rows give a row each;
-a null doc_id stays null; an empty table gives an empty result; further columns are ignored.
+Defined results: null and empty texts have 0 bytes and 0 tokens; repeated rows and ties of digests give a row
+each; a null doc_id stays null; texts of any length are encoded whole, those beyond a slice alone; an
+empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices
+from .common import cleanup, join_small, materialize, slices
 
 #: Pieces that a worker remembers before it starts anew, and their greatest length.
 MEMO_PIECES, MEMO_CHARS = 400_000, 64
@@ -117,19 +120,41 @@ def count(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: int = 10
     version = version_of(tokenizer_path)
     content = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(key), content.alias("text"), F.sha2(content, 256).alias("digest"), F.octet_length(content).cast("long").alias("n_bytes"))
-    wanted = rows.groupBy("digest").agg(F.first("text").alias("text"))
     schema = "digest string, n_tokens long, version string"
-    stored = _read_cache(spark, cache_path, schema)
+    stored, hits, wanted = _read_cache(spark, cache_path, schema), None, rows
     if stored is not None:
-        wanted = wanted.join(stored.filter(F.col("version") == version).select("digest").distinct().hint("merge"), "digest", "left_anti")
-    fresh = wanted.mapInArrow(_encode(tokenizer_path, version), "digest string, n_tokens long")
-    fresh.withColumn("version", F.lit(version)).write.parquet(f"{cache_path.rstrip('/')}/run=r{uuid.uuid4().hex}")
-    # runs at one time may append a digest twice, with the same count
-    counts = spark.read.schema(schema).parquet(cache_path).filter(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    counts = materialize(counts, "token-counts")  # a join below an aggregation of its key could not split a hot digest
+        digests = materialize(rows.select("digest").distinct(), "token-digests")
+        n = digests.count()
+        same = stored.filter(F.col("version") == version).select("digest", "n_tokens")
+        hits = materialize(join_small(same, digests, ["digest"], "left_semi", n).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "token-hits")
+        n_hits = hits.count()
+        wanted = rows.join(hits.select("digest").hint("merge"), "digest", "left_anti") if n_hits < n else rows.limit(0)
+    counts = hits
+    if hits is None or n_hits < n:
+        distinct = wanted.groupBy("digest").agg(F.first("text").alias("text"))
+        fresh = distinct.mapInArrow(_encode(tokenizer_path, version), "digest string, n_tokens long")
+        run = f"{cache_path.rstrip('/')}/run=r{uuid.uuid4().hex}"
+        with cleanup(spark):
+            fresh.withColumn("version", F.lit(version)).write.parquet(run)
+        made = spark.read.schema(schema).parquet(run).select("digest", "n_tokens")
+        counts = made if hits is None else hits.unionByName(made)
     return rows.select(key, "n_bytes", "digest").join(counts.hint("merge"), "digest").select(key, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
+def compact(spark, cache_path: str) -> None:
+    """Join a cache's folders into one without repeated digests. No run may use it meanwhile: readers
+    of the old folders would miss them."""
+    stored = _read_cache(spark, cache_path, "digest string, n_tokens long, version string")
+    if stored is None:
+        return
+    old = {f.rsplit("/", 1)[0] for f in stored.inputFiles()}
+    stored.groupBy("digest", "version").agg(F.max("n_tokens").alias("n_tokens")).select("digest", "n_tokens", "version").write.parquet(f"{cache_path.rstrip('/')}/run=r{uuid.uuid4().hex}")
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in old:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(hadoop).delete(path, True)
+
+
 def _read_cache(spark, path: str, schema: str):
     hadoop = spark.sparkContext._jsc.hadoopConfiguration()
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
