@@ -13,17 +13,20 @@ windows have a form with it as a name too, and an alignment is judged with and w
 
 A document is contaminated by an item if half of the item's windows, or RUN tokens' worth, match
 in one alignment with consistent slots; windows of placeholders may reach half of their own number
-alone. Items of fewer than W tokens are one window of their own length, those of fewer than MIN_ITEM
-with all values as they are. Tokens of punctuation alone are no tokens.
+alone. Items of fewer than W tokens are one window of their own length. Those of fewer than MIN_ITEM
+are too short to tell a leak within a text: they match texts that consist of the same tokens and nothing
+else. Tokens of punctuation alone are no tokens.
 
-If the benchmark has at most BROADCAST_WINDOWS windows, their sorted hashes and its vocabulary
-travel to the tasks: only windows all of whose words the benchmark has are hashed, and only
-matching ones leave the scan. Beyond that all windows of the documents are shuffled
+If the benchmark's windows are at most BROADCAST_WINDOWS and BROADCAST_BYTES, their sorted hashes and
+its vocabulary are broadcast to the tasks: only windows all of whose words the benchmark has are hashed,
+and only matching ones leave the scan. Beyond that all windows of the documents are shuffled
 to a join with the benchmark's.
 
 Defined results: null and empty texts match nothing; null ids of documents or items stay null and
 are grouped as one; copies and repeated rows are judged alike, and rows repeated with one doc_id
-give one row an item; empty tables give an empty result; further columns are ignored.
+give one row an item; of alignments that match as many windows, the one with the fewest changed slots
+is reported; texts of any length are windowed whole, a slice of texts or one text at a time; empty tables
+give an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,7 +44,7 @@ from pyspark.sql import functions as F
 from .common import free_name, materialize, slices
 
 W, MIN_ITEM, RUN = 8, 4, 13
-BROADCAST_WINDOWS = 1_000_000
+BROADCAST_WINDOWS, BROADCAST_BYTES = 200_000, 32 << 20
 MEMO_TOKENS = 500_000
 PUNCTUATION = string.punctuation + "«»“”‘’„…–—¿¡"
 NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*%?")
@@ -178,7 +181,7 @@ class Templates:
                     ok &= strange[size:] == strange[:m]
                 if form in needed:
                     ok &= needed[form][size:] > needed[form][:m]
-                if whole_short and size < W:
+                if size < MIN_ITEM or whole_short and size < W:
                     ok &= counts[owner[:m]] == size
                 at = np.flatnonzero(ok)
                 h = np.zeros(len(at), np.uint64)
@@ -234,10 +237,11 @@ def _templates(index: np.ndarray | None, vocabulary: frozenset[str] | None) -> T
     return _made[key]
 
 
-def _doc_windows(shapes: tuple[tuple[int, int], ...], index: np.ndarray | None, vocabulary: frozenset[str] | None = None):
-    """index: sorted hashes that a window must be among, of tokens in vocabulary; or None for all."""
+def _doc_windows(shapes: tuple[tuple[int, int], ...], held=None):
+    """held: a broadcast of the sorted hashes that a window must be among and of the words that it may have; or None for all."""
 
     def run(batches):
+        index, vocabulary = held.value if held is not None else (None, None)
         made = _templates(index, vocabulary)
         for batch in batches:
             ids, texts = batch.column("doc_id"), batch.column("text")
@@ -268,13 +272,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, broadcast_windows: int = B
     shapes = {(r["size"], r["form"]) for r in bench.select("size", "form").distinct().collect()}
     shapes |= {(size, other) for size, form in shapes for other in (_NAMED, _OPENED) if form in (_NAMED, _OPENED)}  # they meet each other
     shapes = tuple(sorted(shapes))
-    few = bench.count() <= broadcast_windows
-    index = vocabulary = None
+    slot_bytes = F.aggregate("islots", F.lit(0), lambda n, x: n + 24 + F.octet_length(x))
+    n, size = bench.agg(F.count("*"), F.sum(64 + slot_bytes)).first()
+    few, held = n <= broadcast_windows and (size or 0) <= BROADCAST_BYTES, None
     if few:
         index = np.unique(bench.select("h").distinct().toPandas()["h"].to_numpy(np.int64).astype(np.uint64))
         words = benchmark.select("text").mapInArrow(_bench_tokens, "word string").distinct()
-        vocabulary = frozenset(words.toPandas()["word"].tolist())
-    found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_doc_windows(shapes, index, vocabulary), "doc_id long, h long, pos long, opened boolean, dslots array<string>")
+        held = docs.sparkSession.sparkContext.broadcast((index, frozenset(words.toPandas()["word"].tolist())))
+    found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_doc_windows(shapes, held), "doc_id long, h long, pos long, opened boolean, dslots array<string>")
     totals = totals.withColumnRenamed("item_id", "_item")
     items = bench.join(F.broadcast(totals) if few else totals, F.col("item_id").eqNullSafe(F.col("_item"))).select("item_id", "h", "ipos", "form", "islots", "item_windows", "placed_windows")
     met = found.join(F.broadcast(items) if few else items.hint("merge"), "h")

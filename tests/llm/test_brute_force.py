@@ -128,7 +128,7 @@ def plain_windows(text, whole_short):
     slots_of = {"words": ("number", "unit"), "named": ("number", "unit", "name"), "exact": (), "opened": ("number", "unit", "name", "opener")}
     for form, slots in slots_of.items():
         for size in range(1 if form == "exact" else decontam.MIN_ITEM, decontam.W + 1):
-            if whole_short and size < decontam.W and len(tokens) != size:
+            if (size < decontam.MIN_ITEM or whole_short and size < decontam.W) and len(tokens) != size:
                 continue
             for p in range(len(tokens) - size + 1):
                 part = tokens[p : p + size]
@@ -199,7 +199,7 @@ def test_leaks_equal_a_plain_search(spark, limit):
             elif rng.random() < 0.04:
                 item[at] = str(rng.choice(words))
         docs[k] = sentence(int(rng.integers(0, 8))) + " " + " ".join(item) + " " + sentence(int(rng.integers(0, 8)))
-    docs |= {100 + k: t for k, t in enumerate(AWKWARD) if t != LONG} | {200: "12 + 30 + 18 and", 201: "Go"}
+    docs |= {100 + k: t for k, t in enumerate(AWKWARD) if t != LONG} | {200: "12 + 30 + 18 and", 201: "Go", 202: "12, 30 - 18", 203: "Go on"}
     found = decontam.find_leaks(
         spark.createDataFrame(list(docs.items()), "doc_id long, text string"), spark.createDataFrame(list(items.items()), "item_id long, text string"), limit
     ).collect()

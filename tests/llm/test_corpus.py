@@ -382,16 +382,27 @@ def test_units_that_the_benchmark_lacks_are_slots(spark, limit):
 @pytest.mark.parametrize("limit", [10**6, 0])
 def test_items_of_values_and_short_items_are_found_verbatim(spark, limit):
     items = {1: "Compute 12 + 30 + 18 + 25 + 43 + 76 + 91 + 8", 2: "7 kg", 3: "Solve 3 4 5", 4: "+ -", 5: "1 2 3 4 5 6 7 8 9 10 11 the sum of all the numbers here is asked"}
+    items |= {6: "the", 7: "Yes"}  # as windows they would be in any text
     texts = {
-        1: "Some words. " + items[1] + " and more words.", 2: "Compute 12 + 30 + 18 + 25 + 44 + 77 + 92 + 9", 3: "it weighs 7kg or so", 4: "it weighs 8 kg", 5: "please solve 3 4 5 now",
+        1: "Some words. " + items[1] + " and more words.", 2: "Compute 12 + 30 + 18 + 25 + 44 + 77 + 92 + 9", 3: "7kg.", 4: "it weighs 7 kg", 5: "please solve 3 4 5 now",
         6: "9 9 9 9 9 9 9 9 9 9 9 the sum of all the numbers here is asked", 7: "1 2 3 4 5 6 7 8 9 10 11", 8: "+ -",
+        9: "We saw the red bus.", 10: "the end", 11: "- The!", 12: "yes, yes",
     }
     bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     rows = decontam.find_leaks(docs, bench, limit).collect()
     # text 6 has the item's windows of placeholders; text 7 none of them and less than RUN tokens
-    assert {(r.doc_id, r.item_id) for r in rows} == {(1, 1), (3, 2), (5, 3), (6, 5)}
-    assert {r.item_id: (r.n_windows, r.item_windows) for r in rows if r.item_id < 5} == {1: (2, 2), 2: (1, 1), 3: (1, 1)}
+    assert {(r.doc_id, r.item_id) for r in rows} == {(1, 1), (3, 2), (5, 3), (6, 5), (11, 6)}
+    assert {r.item_id: (r.n_windows, r.item_windows) for r in rows if r.item_id != 5} == {1: (2, 2), 2: (1, 1), 3: (1, 1), 6: (1, 1)}
+
+
+def test_wide_benchmarks_are_joined(spark, monkeypatch):
+    """Few windows, but too many bytes to send to the tasks."""
+    docs, bench = documents(spark, [ITEM, "clean"]), spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    want = decontam.find_leaks(docs, bench).collect()
+    monkeypatch.setattr(decontam, "BROADCAST_BYTES", 10)
+    found = decontam.find_leaks(docs, bench)
+    assert found.collect() == want and len(want) == 1
 
 
 @pytest.mark.parametrize("limit", [10**6, 0])
@@ -433,7 +444,7 @@ def test_chat_round_trip_and_order(spark):
 # ------------------------------------------------------------------ tokens
 
 
-def test_token_counts_equal_the_library(spark, tmp_path):
+def test_token_counts_equal_the_library(spark, tmp_path, monkeypatch):
     from tokenizers import Tokenizer
 
     path = registry.tokenizer_path()
@@ -450,6 +461,16 @@ def test_token_counts_equal_the_library(spark, tmp_path):
     more = documents(spark, [*texts, "a new text"])
     assert token_counts.count(more, path, cache).count() == len(texts) + 1
     assert spark.read.parquet(cache).count() == len({t or "" for t in texts}) + 1
+    # what is stored is not encoded again, nothing is appended, and no more of the cache is kept than is wanted
+    folders = sorted(Path(cache).glob("run=*"))
+    kept = []
+    monkeypatch.setattr(token_counts, "materialize", lambda df, name: (kept.append((name, (out := common.materialize(df, name)).count())), out)[1])
+    assert token_counts.count(more.filter("doc_id = 4"), path, cache).first().n_tokens == want[4][1]
+    assert sorted(Path(cache).glob("run=*")) == folders and kept == [("token-digests", 1), ("token-hits", 1)]
+    token_counts.compact(spark, cache)
+    assert len(list(Path(cache).glob("run=*/*.parquet"))) and len([f for f in Path(cache).glob("run=*") if list(f.glob("*.parquet"))]) == 1
+    assert {r.doc_id: (r.n_bytes, r.n_tokens) for r in token_counts.count(docs, path, cache).collect()} == want
+    token_counts.compact(spark, str(tmp_path / "absent"))
     assert token_counts.count(docs.limit(0), path, str(tmp_path / "none")).count() == 0
 
 
