@@ -104,10 +104,13 @@ class Templates:
         words = list(chain.from_iterable(rows))
         if self.vocabulary is None:
             return self._remembered(words)
-        low = np.fromiter(map(str.islower, words), bool, len(words)) & np.fromiter(map(str.isalpha, words), bool, len(words))
-        ids = np.zeros(len(words), np.int64)
-        ids[low] = np.fromiter(map(self.known.get, compress(words, low.tolist()), repeat(0)), np.int64, int(low.sum()))
-        ids[~low] = self._remembered(list(compress(words, (~low).tolist())))
+        ids = np.fromiter(map(self.known.get, words, repeat(0)), np.int64, len(words))
+        # words of anything but a to z are looked at; words hold no spaces, so one joins them
+        codes = np.frombuffer(" ".join(words).encode("utf-32-le"), np.uint32)
+        gaps = codes == 32
+        odd = np.zeros(len(words), bool)
+        odd[np.cumsum(gaps)[~gaps & ((codes < 97) | (codes > 122))]] = True
+        ids[odd] = self._remembered(list(compress(words, odd.tolist())))
         return ids
 
     def _remembered(self, words: list[str]) -> np.ndarray:
