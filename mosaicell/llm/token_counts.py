@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cleanup, join_small, materialize, slices
+from .common import BROADCAST_ROWS, cleanup, join_small, materialize, slices
 
 #: Pieces that a worker remembers before it starts anew, and their greatest length.
 MEMO_PIECES, MEMO_CHARS = 400_000, 64
@@ -121,17 +121,21 @@ def count(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: int = 10
     content = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(key), content.alias("text"), F.sha2(content, 256).alias("digest"), F.octet_length(content).cast("long").alias("n_bytes"))
     schema = "digest string, n_tokens long, version string"
-    stored, hits, wanted = _read_cache(spark, cache_path, schema), None, rows
+    stored, hits = _read_cache(spark, cache_path, schema), None
     if stored is not None:
         digests = materialize(rows.select("digest").distinct(), "token-digests")
         n = digests.count()
         same = stored.filter(F.col("version") == version).select("digest", "n_tokens")
         hits = materialize(join_small(same, digests, ["digest"], "left_semi", n).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "token-hits")
         n_hits = hits.count()
-        wanted = rows.join(hits.select("digest").hint("merge"), "digest", "left_anti") if n_hits < n else rows.limit(0)
     counts = hits
     if hits is None or n_hits < n:
-        distinct = wanted.groupBy("digest").agg(F.first("text").alias("text"))
+        distinct = rows.groupBy("digest").agg(F.first("text").alias("text"))
+        if hits is not None and n - n_hits <= BROADCAST_ROWS:  # few misses: their texts alone are shuffled
+            missing = digests.join(hits.select("digest").hint("merge"), "digest", "left_anti")
+            distinct = rows.join(F.broadcast(missing), "digest", "left_semi").groupBy("digest").agg(F.first("text").alias("text"))
+        elif hits is not None:  # one row a digest by now, so no hot one is left to a join
+            distinct = distinct.join(hits.select("digest").hint("merge"), "digest", "left_anti")
         fresh = distinct.mapInArrow(_encode(tokenizer_path, version), "digest string, n_tokens long")
         run = f"{cache_path.rstrip('/')}/run=r{uuid.uuid4().hex}"
         with cleanup(spark):
