@@ -676,9 +676,9 @@ ERFC = """CASE WHEN z <= 2.5 THEN 1 - 2 * z * exp(-z * z) / sqrt(pi()) * list_re
 
 @query(f"""WITH {DEG}, pv AS (SELECT *, {ERFC} AS pval FROM (SELECT *, abs(score) / sqrt(2) AS z FROM deg)),
 pq AS (SELECT *, pval * count(*) OVER (PARTITION BY grp) / (rank() OVER (PARTITION BY grp ORDER BY pval) + count(*) OVER (PARTITION BY grp, pval) - 1) AS q FROM pv WHERE pval IS NOT NULL)
-SELECT grp, gene, {r('pval', 9)} AS pval, {r('least(1, min(q) OVER (PARTITION BY grp ORDER BY pval DESC RANGE UNBOUNDED PRECEDING))', 9)} AS pval_adj FROM pq""")
+SELECT grp, gene, {r('pval', 9)} AS pval, {r('least(1, min(q) OVER (PARTITION BY grp ORDER BY pval DESC RANGE UNBOUNDED PRECEDING))', 9)} AS pval_adj FROM pq""", 9)
 def wilcoxon_pvalues(spark, d):
-    return _deg(spark, d, True).select("grp", "gene", F.round("pval", 9).alias("pval"), F.round("pval_adj", 9).alias("pval_adj"))
+    return _deg(spark, d, True).select("grp", "gene", "pval", "pval_adj")
 
 
 @query(f"""WITH p AS (SELECT CAST(label AS VARCHAR) AS grp, vec_id, (vec_id % 97 + 1) / 1000.0 AS pval FROM embeddings),
@@ -732,9 +732,9 @@ u AS (SELECT *, df / (df + t * t) AS u FROM t), v AS (SELECT *, u > (df / 2 + 1)
 w AS (SELECT feature, flip, CASE WHEN flip THEN 0.5 ELSE df / 2 END AS a, CASE WHEN flip THEN df / 2 ELSE 0.5 END AS b,
   CASE WHEN flip THEN t * t / (df + t * t) ELSE u END AS x, CASE WHEN flip THEN u ELSE t * t / (df + t * t) END AS y FROM v),
 i AS (SELECT feature, flip, {BETA} AS i FROM w)
-SELECT feature, {r('CASE WHEN flip THEN 1 - i ELSE i END', 9)} AS pval FROM i""")
+SELECT feature, {r('CASE WHEN flip THEN 1 - i ELSE i END', 9)} AS pval FROM i""", 9)
 def welch_pvalues(spark, d):
-    return _welch(spark, d, True).select("feature", F.round("pval", 9).alias("pval"))
+    return _welch(spark, d, True).select("feature", "pval")
 
 
 SUB = "sub AS (SELECT vec_id AS cell_id, CASE WHEN vec_id % 5 = 0 THEN '-1' WHEN vec_id % 2 = 0 THEN '0' ELSE '1' END AS sub FROM embeddings WHERE label = 3)"
