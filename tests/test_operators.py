@@ -563,3 +563,39 @@ def test_reduce_dimensions_by_corrected_nmf(spark):
     for wrong in (lambda: factorize.reduce_dimensions(expr, "NMF_harmony", 2), lambda: factorize.reduce_dimensions(expr, "UMAP", 2)):
         with pytest.raises(ValueError):
             wrong()
+
+
+def test_benchmark_writes_labels_seconds_and_memory(spark, tmp_path):
+    from mosaicell.plans import benchmark
+
+    rng = np.random.default_rng(15)
+    p = points_of(spark, rng.random((80, 2)))
+    rep = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(80)], "cell_id long, vec array<double>")
+    table = benchmark.run_resolutions(p, rep, [1.0], str(tmp_path), n_metacells=20, n_neighbors=5, scales=[0.5, 1.0, 2.0, 4.0], max_clusters=3, min_clusters=2)
+    row = table.first()
+    assert row.resolution == 1.0 and row.seconds > 0 and row.peak_mb > 10 and row.labels >= 2
+    labels = spark.read.option("header", True).csv(f"{tmp_path}/labels_res1.0")
+    assert labels.count() == 80 and "Raw" in labels.columns and all(r.Raw.startswith("C") for r in labels.collect())
+    assert spark.read.option("header", True).csv(f"{tmp_path}/summary").count() == 1
+
+
+def test_package_is_shipped_from_another_folder(tmp_path):
+    """A driver that finds the package by its own path alone: workers get it by ship()."""
+    import subprocess
+    import sys
+
+    code = f"""
+import sys
+sys.path.insert(0, {str(Path(__file__).parents[1])!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local-cluster[1,1,1024]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", {str(tmp_path)!r}).config("spark.sql.shuffle.partitions", "2").getOrCreate()
+from mosaicell.operators.neighbors import knn
+from mosaicell.plans.ship import ship
+ship(spark)
+points = spark.range(40).selectExpr("id AS cell_id", "id * 1.0D AS x", "0.0D AS y")
+print("neighbours", knn(points, 2, few=0).count())
+spark.stop()
+"""
+    env = {k: v for k, v in __import__("os").environ.items() if k != "PYTHONPATH"} | {"PYSPARK_PYTHON": sys.executable}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=200)
+    assert "neighbours 80" in done.stdout, done.stderr[-2000:]
