@@ -12,7 +12,7 @@ order is the column `valid`; conversations are formatted either way.
 Defined results: null texts and roles count as empty; turns are ordered by (turn, role, text),
 null turns first, so ties and repeated rows have one order; rows with a null conv_id form one
 conversation; an empty table gives an empty result; further columns are ignored. A conversation
-is the unit of output, so one row holds one whole conversation.
+is the unit of output, so one row holds one whole conversation, however long its texts.
 """
 
 from __future__ import annotations

@@ -16,7 +16,9 @@ then lose the lines found, joined by doc_id.
 Defined results: a null or empty text is one empty line, which is shorter than any key; rows
 repeated with one doc_id count as one document and lose the same lines; a null doc_id is one
 document, below all others, to insert and delete too; an empty table gives an empty result; further
-columns are kept, but for n_lines and n_dropped, which are replaced.
+columns are kept, but for n_lines and n_dropped, which are replaced. Of documents that tie for a line the
+largest doc_id keeps it; within one document all its lines of a key share their fate. Long texts are split whole, alone in
+their slice, and a line of any length is one key.
 """
 
 from __future__ import annotations

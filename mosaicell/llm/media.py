@@ -20,7 +20,8 @@ within a class may go unlisted. Images that share a word and no link are compare
 image gets the least id of its component.
 
 Defined results: null or unreadable media have no corners and link with equal bytes only; flat
-images likewise; a null id is kept and gets a null class; repeated rows share the class; empty
+images likewise; pictures of any size are described whole, one at a time; of hubs that an image meets
+equally often the least counts; a null id is kept and gets a null class; repeated rows share the class; empty
 tables give empty results; further columns are ignored.
 """
 

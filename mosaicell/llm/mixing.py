@@ -8,7 +8,7 @@ budget ends, and only that bucket is divided again. Budgets are nested: a larger
 superset of the documents that a smaller one takes, as the hash does not depend on the target.
 
 Defined results: a null source is a source of its own, last in order; null or empty texts have
-size 0; rows repeated with one doc_id share a hash and are taken alike; an empty table gives an
+size 0, long ones count all their words; rows repeated with one doc_id share a hash and are taken alike; an empty table gives an
 empty result; a source without words has target 0. Equal inputs give equal outputs in any order
 of rows or partitions. `mix` adds its columns to the input's and replaces clashing ones; `resample`
 keeps the input's columns alone, whatever their names.

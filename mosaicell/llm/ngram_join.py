@@ -30,7 +30,8 @@ within a component may go unlisted: `links` has enough of them to connect each c
 Defined results: null texts and texts without words have an empty set and link with nothing;
 fewer words than a gram form one gram; repeated rows and copies share a class; rows with a null
 doc_id get the component of their class, or null if it has no doc_id; an empty table gives an
-empty result; further columns are ignored.
+empty result; further columns are ignored. Similarity of exactly the threshold links; texts of any
+length enter with all their grams.
 """
 
 from __future__ import annotations

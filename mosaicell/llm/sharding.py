@@ -14,7 +14,7 @@ A lost executor's tasks recompute the same order: it depends on contents and see
 
 Defined results: null keys and texts are hashed as null; rows that are equal in key and text share
 a bucket, and those equal in all columns are interchangeable; an empty table gives an empty
-result; input columns that clash with the added `shard` and `slot` are replaced.
+result; empty texts are records like others, and a text longer than a bucket makes its bucket that long; input columns that clash with the added `shard` and `slot` are replaced.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ more are a table that the pages are joined with.
 
 Defined results: a null url or one without ``://`` has an empty host and path and is judged by the
 model; rows are independent, so repeated rows agree; an empty table gives an empty result; without
-labels of both kinds every url without a rule is allowed; further columns are ignored.
+labels of both kinds every url without a rule is allowed; of rules that fit a url, the longest wins, and no two
+of one length fit; urls of any length are measured whole; further columns are ignored.
 """
 
 from __future__ import annotations
