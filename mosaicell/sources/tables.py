@@ -20,32 +20,26 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.csv(path, header=True, schema=schema)
 
 
-def read_h5ad(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Expression, cells and 2-D coordinates of an annotated HDF5 matrix, if h5py is installed."""
-    try:
-        import h5py
-    except ImportError as e:
-        raise ImportError("reading .h5ad needs h5py; otherwise give the tables as Parquet") from e
-    import numpy as np
-
-    with h5py.File(path) as f:
-        names = [x.decode() if isinstance(x, bytes) else str(x) for x in f["obs"][f["obs"].attrs.get("_index", "_index")][:]]
-        genes = [x.decode() if isinstance(x, bytes) else str(x) for x in f["var"][f["var"].attrs.get("_index", "_index")][:]]
-        x = f["X"]
-        if isinstance(x, h5py.Group):
-            ends, cols, values = x["indptr"][:], x["indices"][:], x["data"][:]
-            rows = np.repeat(np.arange(len(names)), np.diff(ends))
-        else:
-            dense = x[:]
-            rows, cols = np.nonzero(dense)
-            values = dense[rows, cols]
-        place = f["obsm/spatial"][:]
-    import pandas as pd
-
-    # columns go over as Arrow; no value becomes a Python object
-    expression = spark.createDataFrame(pd.DataFrame({"cell_id": np.array(names, object)[rows], "gene": np.array(genes, object)[cols], "value": np.asarray(values, float)}), "cell_id string, gene string, value double")
-    points = spark.createDataFrame(pd.DataFrame({"cell_id": names, "x": np.asarray(place[:, 0], float), "y": np.asarray(place[:, 1], float)}), "cell_id string, x double, y double")
-    return {"expression": expression, "points": points}
+def read_h5ad(spark: SparkSession, path: str, layer: str | None = None, reps: tuple[str, ...] = (), columns: tuple[str, ...] = (), **options) -> dict[str, DataFrame]:
+    """expression, points, rep_<name> and obs_<column> of an annotated HDF5 matrix, each read by ranges
+    of rows in tasks of their own (sources/h5ad.py). Needs h5py on all machines."""
+    from .h5ad import H5adSource, h5, layout, matrix
+
+    with h5().File(path, "r") as f:
+        by_column = layout(matrix(f, layer)) == "csc"
+    spark.dataSource.register(H5adSource)
+
+    def load(name: str, **more) -> DataFrame:
+        return spark.read.format("h5ad").options(table=name, **options, **more).load(path)
+
+    which = {"layer": layer} if layer else {}
+    if by_column:  # a range of genes meets any cell
+        expression = load("entries", **which).join(load("cells"), "pos").select("cell_id", "gene", "value")
+    else:
+        expression = load("expression", **which)
+    out = {"expression": expression, "points": load("points")}
+    out |= {f"rep_{r}": load("rep", rep=r) for r in reps}
+    return out | {f"obs_{c}": load("obs", column=c) for c in columns}
 
 
 def subsample(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
