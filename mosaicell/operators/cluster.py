@@ -8,33 +8,31 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.communities import fuzzy_graph, leiden, umap_layout
 from ..plans.storage import save
+from .kmeans import BATCH, minibatch_kmeans, nearest_center
 from .preprocess import standardize
 
 NEIGHBORS = 15
 
 
-def metacells(cells: DataFrame, k: int | None = None, scale: bool = True, seed: int = 1) -> tuple[DataFrame, DataFrame]:
-    """cells(cell_id, vec) -> cells(cell_id, metacell), centers(metacell, vec)."""
+def metacells(cells: DataFrame, k: int | None = None, scale: bool = True, seed: int = 1, batch: int = BATCH) -> tuple[DataFrame, DataFrame]:
+    """cells(cell_id, vec) -> cells(cell_id, metacell), centers(metacell, vec), by mini-batch k-means."""
     n = cells.count()
     k = min(n, k if k is not None else max(1, n // 10))
     rows = cells.select("cell_id", "vec")
     if scale:
         rows = standardize(rows)
-    rows = save(rows.select("cell_id", "vec", array_to_vector("vec").alias("features")), "kmeans")
-    if k <= 1:
-        means = rows.select(F.posexplode("vec").alias("d", "v")).groupBy("d").agg(F.avg("v").alias("m")).agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "m"))), lambda x: x["m"]).alias("vec"))
-        return rows.select("cell_id", F.lit(0).alias("metacell")), means.select(F.lit(0).alias("metacell"), "vec")
-    model = KMeans(k=k, seed=seed, maxIter=30, initMode="k-means||", featuresCol="features", predictionCol="metacell").fit(rows)
-    found = save(model.transform(rows).select("cell_id", "metacell"), "metacells")
-    centers = cells.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "metacell int, vec array<double>")
-    return found, centers
+    rows = save(rows, "kmeans")
+    spark, schema = cells.sparkSession, "metacell int, vec array<double>"
+    if not n:
+        return rows.select("cell_id", F.lit(0).alias("metacell")), spark.createDataFrame([], schema)
+    centers = minibatch_kmeans(rows, k, seed, batch)
+    found = save(nearest_center(rows, centers), "metacells")
+    return found, spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centers)], schema)
 
 
 def _communities(resolutions: list[float], layout: bool):
