@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -11,7 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import erfc, t_two_sided
 from ..plans.storage import maybe_broadcast, save
-from .neighbors import knn, radius_join
+from .neighbors import knn, knn_vectors, radius_join
+
+#: Points of a block that meets another in one task.
+BLOCK = 2048
 
 #: Points without a settled result that are compared with all others rather than by wider rings.
 FEW_OPEN = 1000
@@ -43,15 +44,53 @@ def variance_slopes(variance: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ density peaks
 
 
-def _pairs(points: DataFrame) -> DataFrame:
-    """All ordered pairs of a bounded set (one cluster's cells), with Euclidean distance of vec."""
-    a = points.select(F.col("cell_id").alias("i"), F.col("vec").alias("va"))
-    b = points.select(F.col("cell_id").alias("j"), F.col("vec").alias("vb"))
-    size = points.select(F.max(F.size("vec"))).first()[0] or 0
-    # spelled out, the sum is compiled; a higher-order function would be interpreted for each pair
-    terms = [(F.col("va")[k] - F.col("vb")[k]) * (F.col("va")[k] - F.col("vb")[k]) for k in range(size)]
-    d = F.sqrt(reduce(lambda s, v: s + v, terms, F.lit(0.0)))
-    return a.crossJoin(b).select("i", "j", d.alias("d"))
+def _blocks(points: DataFrame, n: int) -> DataFrame:
+    """id, vec and further columns, each once for every pair of blocks that its own is in, as the
+    asking side (asks) or the other. A block holds about BLOCK points, and a group is one pair."""
+    count = max(1, -(-n // BLOCK))
+    held = points.withColumn("own", F.pmod(F.xxhash64("id", F.lit(5)), F.lit(count)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
+    asking = held.select("*", F.lit(True).alias("asks"), F.struct(F.col("own").alias("a"), F.col("other").alias("b")).alias("pair"))
+    asked = held.select("*", F.lit(False).alias("asks"), F.struct(F.col("other").alias("a"), F.col("own").alias("b")).alias("pair"))
+    return asking.unionAll(asked).drop("own", "other").groupBy("pair.a", "pair.b")
+
+
+def _slabs(both: pd.DataFrame):
+    """Of the pairs of two blocks: some asking rows, all asked rows in order of id, their distances."""
+    left, right = both[both["asks"]], both[~both["asks"]].sort_values("id")
+    if not len(left) or not len(right):
+        return
+    m = np.stack(right["vec"].to_numpy()).astype(float)
+    for s in range(0, len(left), 256):
+        part = left.iloc[s : s + 256]
+        v = np.stack(part["vec"].to_numpy()).astype(float)
+        squares = np.zeros((len(v), len(m)))
+        for k in range(m.shape[1]):  # term by term, in the order of the vector
+            away = v[:, k, None] - m[None, :, k]
+            squares += away * away
+        yield part, right, np.sqrt(squares)
+
+
+def _top(both: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"top": [max((float(d.max()) for _, _, d in _slabs(both)), default=0.0)]})
+
+
+def _within(cutoff: float, top: float):
+    def run(both: pd.DataFrame) -> pd.DataFrame:
+        found = [pd.DataFrame({"id": part["id"], "k": (d / top < cutoff).sum(1) if top else np.full(len(part), d.shape[1] if cutoff > 0 else 0)}) for part, _, d in _slabs(both)]
+        return pd.concat(found) if found else pd.DataFrame({"id": both["id"][:0], "k": np.zeros(0, int)})
+
+    return run
+
+
+def _uphill(both: pd.DataFrame) -> pd.DataFrame:
+    """For each asking point the nearest asked one of a higher rho, ties by id, and the farthest."""
+    found = [pd.DataFrame({"id": both["id"][:0], "d": np.zeros(0), "up": both["id"][:0], "far": np.zeros(0)})]
+    for part, right, d in _slabs(both):
+        higher = np.where(right["rho"].to_numpy()[None] > part["rho"].to_numpy()[:, None], d, np.inf)
+        at = higher.argmin(1)
+        least = higher[np.arange(len(at)), at]
+        found.append(pd.DataFrame({"id": part["id"].to_numpy(), "d": least, "up": right["id"].to_numpy()[at], "far": d.max(1)}))
+    return pd.concat(found[1:] or found, ignore_index=True)
 
 
 def _hull(xy: np.ndarray) -> np.ndarray:
@@ -87,8 +126,8 @@ def diameter(points: DataFrame) -> float:
     return found[0] if found else 0.0
 
 
-def _noise(points: DataFrame, c: str) -> F.Column:
-    whole = points.schema["cell_id"].dataType.simpleString() in ("int", "bigint")
+def _noise(points: DataFrame, c: str, key: str = "cell_id") -> F.Column:
+    whole = points.schema[key].dataType.simpleString() in ("int", "bigint")
     return F.pmod(F.col(c).cast("long") * 2654435761 if whole else F.xxhash64(c), F.lit(1 << 32)) / float(1 << 32) * 1e-5
 
 
@@ -131,19 +170,20 @@ def _planar_tree(points: DataFrame, n: int, cutoff: float | None) -> DataFrame:
 
 
 def _paired_tree(points: DataFrame, n: int, cutoff: float | None) -> DataFrame:
-    """The same for vectors of any size, over all pairs of one cluster's cells."""
-    pairs = _pairs(points)
-    top = pairs.agg(F.max("d").alias("top"))
-    pairs = save(pairs.crossJoin(F.broadcast(top)).select("i", "j", F.coalesce(F.try_divide("d", "top"), F.lit(0.0)).alias("d")), "peak-pairs")
+    """The same for vectors of any size: pairs are compared block by block and leave one row a point
+    and pair of blocks. The default cutoff comes from the exact neighbours of vectors."""
+    p = save(points.select(F.col("cell_id").alias("id"), F.col("vec").cast("array<double>").alias("vec")), "peak-points")
+    kind = p.schema["id"].dataType.simpleString()
+    top = (_blocks(p, n).applyInPandas(_top, "top double").agg(F.max("top")).first()[0] or 0.0) if n else 0.0
     if cutoff is None:
-        rank = F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))
-        cutoff = pairs.withColumn("r", rank).filter(F.col("r") == max(n // 100, 1) + 1).agg(F.avg("d")).first()[0] or 0.0
-    rho = save(pairs.groupBy("i").agg(F.count_if(F.col("d") < cutoff).alias("k")).select("i", (F.col("k") - 1 + _noise(points, "i")).alias("rho")), "rho")
-    both = pairs.join(maybe_broadcast(rho.select("i", F.col("rho").alias("ri")), n), "i").join(maybe_broadcast(rho.select(F.col("i").alias("j"), F.col("rho").alias("rj")), n), "j")
-    higher = both.groupBy("i", F.col("ri").alias("rho")).agg(
-        F.min(F.when(F.col("rj") > F.col("ri"), F.struct("d", "j"))).alias("up"), F.max("d").alias("far")
-    )
-    return save(higher.select(F.col("i").alias("cell_id"), "rho", F.coalesce("up.d", "far").alias("delta"), F.coalesce("up.j", "i").alias("parent")), "tree")
+        k = max(n // 100, 1)
+        cutoff = (knn_vectors(p.withColumnRenamed("id", "cell_id"), k).filter(F.col("rank") == k).agg(F.avg(F.col("dist") / (top or 1.0))).first()[0] or 0.0) if n > k else 0.0
+    counts = _blocks(p, n).applyInPandas(_within(cutoff, top), f"id {kind}, k long").groupBy("id").agg(F.sum("k").alias("k"))
+    rho = save(p.join(counts, "id").select("id", "vec", (F.col("k") - 1 + _noise(p, "id", "id")).alias("rho")), "rho")
+    up = F.min(F.when(F.col("d") < float("inf"), F.struct("d", "up"))).alias("up")
+    best = _blocks(rho, n).applyInPandas(_uphill, f"id {kind}, d double, up {kind}, far double").groupBy("id").agg(up, F.max("far").alias("far"))
+    out = rho.select("id", "rho").join(best, "id")
+    return save(out.select(F.col("id").alias("cell_id"), "rho", (F.coalesce("up.d", "far") / (top or 1.0)).alias("delta"), F.coalesce("up.up", "id").alias("parent")), "tree")
 
 
 def density_peaks(points: DataFrame, n_clusters: int | None = 2, cutoff: float | None = None) -> DataFrame:
@@ -278,4 +318,5 @@ def rename_by_size(cells: DataFrame) -> DataFrame:
     """cells(cell_id, label) -> cell_id, label, name: C0 is the largest, ties by least cell."""
     sizes = cells.groupBy("label").agg(F.count("*").alias("n"), F.min("cell_id").alias("first"))
     names = sizes.withColumn("name", F.concat(F.lit("C"), F.row_number().over(Window.orderBy(F.desc("n"), "first")) - 1))
-    return cells.join(F.broadcast(names.select("label", "name")), "label").select("cell_id", "label", "name")
+    names = save(names.select("label", "name"), "names")
+    return cells.join(maybe_broadcast(names, names.count()), "label").select("cell_id", "label", "name")

@@ -422,6 +422,30 @@ def test_density_peaks_in_a_plane_equal_all_pairs(spark, monkeypatch):
     assert subcluster.density_peaks(same.limit(0)).count() == 0
 
 
+def test_density_peaks_of_vectors_by_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    v = np.concatenate([rng.normal(0, 1, (70, 5)), rng.normal(4, 0.5, (60, 5)), [[0.0] * 5, [0.0] * 5, [30.0] * 5]])
+    n = len(v)
+    p = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "cell_id long, vec array<double>")
+    d = np.sqrt(((v[:, None] - v[None]) ** 2).sum(-1))
+    d /= d.max()
+    rho = (d < np.sort(d, 1)[:, max(n // 100, 1)].mean()).sum(1) - 1 + (np.arange(n) * 2654435761 % 2**32) / 2**32 * 1e-5
+    up = np.where(rho[None] > rho[:, None], d, np.inf)
+    peak = rho.argmax()
+    delta, parent = up.min(1), up.argmin(1)
+    delta[peak], parent[peak] = d[peak].max(), peak
+    want = {i: (round(rho[i], 9), round(delta[i], 9), parent[i]) for i in range(n)}
+    for block in (2048, 25):  # one block, and six
+        monkeypatch.setattr(subcluster, "BLOCK", block)
+        got = {r.cell_id: (round(r.rho, 9), round(r.delta, 9), r.parent) for r in subcluster._paired_tree(p, n, None).collect()}
+        assert got == want
+    labels = {r.cell_id: r.label for r in subcluster.density_peaks(p, 2).collect()}
+    assert len({labels[i] for i in range(70)} - {-1}) == len({labels[i] for i in range(70, 130)} - {-1}) == 1
+    assert subcluster.density_peaks(p.limit(0)).count() == 0
+    same = spark.createDataFrame([(i, [1.0, 1.0, 1.0]) for i in range(5)], "cell_id long, vec array<double>")
+    assert {r.label for r in subcluster.density_peaks(same).collect()} == {-1}
+
+
 def test_diameter_of_hulls(spark):
     rng = np.random.default_rng(1)
     for xy in (rng.normal(0, 1, (500, 2)), np.zeros((4, 2)), np.stack([np.arange(9.0), np.arange(9.0)], 1), np.array([[1.0, 2.0]])):
