@@ -177,8 +177,8 @@ def graph_components(spark, d):
     return graph.components(e, points(spark, d)).groupBy("component").agg(F.count("*").alias("n"))
 
 
-def heat_sql(scale: float, order: int) -> str:
-    c = [float(x) for x in spectral.heat_coefficients(scale, order)]
+def chebyshev_sql(order: int) -> list[str]:
+    """t0 to t<order>: the terms of the recurrence for all 64 signals, with the bound of joined degrees."""
     parts = ["""deg AS MATERIALIZED (SELECT src, sum(weight) AS d FROM edges GROUP BY src),
 lm AS MATERIALIZED (SELECT max(a.d + b.d) / 2 AS h FROM edges e JOIN deg a ON e.src = a.src JOIN deg b ON e.dst = b.src),
 t0 AS MATERIALIZED (SELECT cell_id, unnest(range(64)) AS dim, unnest(vec) AS v FROM pts)"""]
@@ -188,9 +188,21 @@ t0 AS MATERIALIZED (SELECT cell_id, unnest(range(64)) AS dim, unnest(vec) AS v F
             step = f"2 * ({step}) - any_value(z.v)"
         before = f"JOIN t{k - 2} z ON z.cell_id = x.cell_id AND z.dim = x.dim" if k > 1 else ""
         parts.append(f"t{k} AS MATERIALIZED (SELECT x.cell_id, x.dim, {step} AS v FROM t{k - 1} x JOIN deg ON deg.src = x.cell_id JOIN edges e ON e.src = x.cell_id JOIN t{k - 1} y ON y.cell_id = e.dst AND y.dim = x.dim {before} GROUP BY x.cell_id, x.dim, x.v, d)")
+    return parts
+
+
+def heat_sql(scale: float, order: int) -> str:
+    c = [float(x) for x in spectral.heat_coefficients(scale, order)]
     total = " + ".join(f"({x!r}) * t{k}.v" for k, x in enumerate(c))
     joins = " ".join(f"JOIN t{k} USING (cell_id, dim)" for k in range(1, order + 1))
-    return f"WITH {EDGES}, {', '.join(parts)} SELECT cell_id, CAST(dim AS BIGINT) AS dim, {r(total)} AS value FROM t0 {joins}"
+    return f"WITH {EDGES}, {', '.join(chebyshev_sql(order))} SELECT cell_id, CAST(dim AS BIGINT) AS dim, {r(total)} AS value FROM t0 {joins}"
+
+
+def heat_scales_sql(at: list[float], order: int) -> str:
+    terms = " UNION ALL ".join(f"SELECT {k} AS k, cell_id, dim, v FROM t{k}" for k in range(order + 1))
+    coefficients = ", ".join(f"({i}, {k}, {float(c)!r}::DOUBLE)" for i, x in enumerate(at) for k, c in enumerate(spectral.heat_coefficients(x, order)))
+    return f"""WITH {EDGES}, {', '.join(chebyshev_sql(order))}, terms AS ({terms}), coef(scale_idx, k, c) AS (VALUES {coefficients})
+SELECT CAST(scale_idx AS BIGINT) AS scale_idx, cell_id, CAST(dim AS BIGINT) AS dim, {r('sum(c * v)')} AS value FROM terms JOIN coef USING (k) GROUP BY 1, 2, 3"""
 
 
 def _heat(spark, d, path):
@@ -225,6 +237,16 @@ def heat_filter_big(spark, d):
     return each.groupBy("scale", "dim").agg(F.avg("v").alias("mean"), F.var_pop("v").alias("variance"), F.count("*").alias("n"))
 
 
+THREE_SCALES = [0.5, 3.0, 12.0]
+
+
+@query(heat_scales_sql(THREE_SCALES, spectral.ORDER))
+def heat_filter_orders(spark, d):
+    """All signals at three scales with the full order, each value held against SQL."""
+    out = spectral.heat_filter(save(edges(spark, d), "edges"), points(spark, d).select("cell_id", "vec"), THREE_SCALES, lmax="bound")
+    return out.select("scale_idx", "cell_id", F.posexplode("vec").alias("dim", "value"))
+
+
 @query()
 def heat_filter_scales(spark, d):
     """Of all signals at all scales, their moments: diffusion keeps the mean and lowers the variance."""
@@ -568,6 +590,14 @@ def heatmap_sink(spark, d):
     return long.select("grp", F.col("scale").cast("double").alias("scale"), "c.bin", ((F.col("c.bin") + 0.5) * WIDTH).alias("center"), "c.value")
 
 
+@query(heatmap_sql(True, False))
+def heatmap_table(spark, d):
+    """The aggregated matrix written as a table by group and read back, with its distances beside it."""
+    where = scratch(spark, "heatmap-table")
+    T.write_heatmap(*_heatmap(spark, d, counts_weight=True), where)
+    return T.read_heatmap(spark, where)[0]
+
+
 @query()
 def sampling_rounds(spark, d):
     return mapping.sample_rounds(points(spark, d), 0.1, 120, first_round_n=50)
@@ -645,6 +675,13 @@ def density_peaks(spark, d):
     return subcluster.density_peaks(p).select("cell_id", "rho", "delta")
 
 
+@query(f"""WITH {PEAKS.replace(DIST, 'list_distance(a.vec, b.vec)')} SELECT a.i AS cell_id, {r('a.rho')} AS rho, {r('coalesce(min(CASE WHEN b.rho > a.rho THEN d END), max(d))')} AS delta
+FROM p JOIN rho a ON p.i = a.i JOIN rho b ON p.j = b.i GROUP BY a.i, a.rho""")
+def density_peaks_vectors(spark, d):
+    """The same over whole vectors, by pairs of blocks."""
+    return subcluster.density_peaks(points(spark, d).select("cell_id", "vec")).select("cell_id", "rho", "delta")
+
+
 @query()
 def density_peak_labels(spark, d):
     p = points(spark, d).select("cell_id", F.array("x", "y").alias("vec"))
@@ -767,6 +804,21 @@ def kmeans_metacells(spark, d):
     return found.groupBy("metacell").agg(F.count("*").alias("n"))
 
 
+@query(f"""WITH {PTS}, l AS (SELECT unnest(vec) AS v, unnest(range(64)) AS dim FROM pts)
+SELECT (SELECT count(*) FROM pts) AS n, (SELECT count(*) FROM pts) AS nearest, TRUE AS lower, (SELECT {r('sum(s)', 4)} FROM (SELECT count(*) * var_pop(v) AS s FROM l GROUP BY dim)) AS total""", 4)
+def kmeans_nearest(spark, d):
+    """How many cells have the nearest of all centres, and whether the cost is below that of one centre."""
+    p = representation(spark, d)
+    found, centers = cluster.metacells(p, 40, scale=False, batch=400)
+    every = centers.agg(F.array_sort(F.collect_list(F.struct("metacell", "vec"))).alias("every"))  # one row of 40
+    away = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda t, v: t + v)
+    each = p.join(found, "cell_id").crossJoin(F.broadcast(every)).select("vec", "metacell", F.transform("every", lambda c: away(F.col("vec"), c["vec"])).alias("costs"))
+    own = F.element_at("costs", F.col("metacell") + 1)
+    sums = each.agg(F.count("*").alias("n"), F.count_if(own <= F.array_min("costs") + 1e-9).alias("nearest"), F.sum(own).alias("cost"))
+    spread = p.select(F.posexplode("vec").alias("k", "v")).groupBy("k").agg((F.count("*") * F.var_pop("v")).alias("s")).agg(F.sum("s").alias("total"))
+    return sums.crossJoin(F.broadcast(spread)).select("n", "nearest", (F.col("cost") < F.col("total")).alias("lower"), "total")
+
+
 @query()
 def two_step_clusters(spark, d):
     return cluster.two_step(representation(spark, d), [0.5, 1.0], 60, layout=False)["labels"]
@@ -789,6 +841,33 @@ def pca_scores(spark, d):
     return scores.select("cell_id", F.posexplode("vec").alias("component", "value"))
 
 
+@query("SELECT i, j, CAST(0 AS DOUBLE) AS correlation FROM (SELECT unnest(range(5)) AS i), (SELECT unnest(range(5)) AS j) WHERE i < j")
+def pca_orthogonal(spark, d):
+    """Scores of different components are uncorrelated."""
+    scores, _, _ = factorize.pca(preprocess.preprocess(T.expression(spark, d)).drop("counts"), 5)
+    pairs = [(i, j) for i in range(5) for j in range(i + 1, 5)]
+    one = save(scores, "scores").agg(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.abs(F.corr(F.col("vec")[i], F.col("vec")[j])).alias("correlation")) for i, j in pairs]).alias("c"))
+    return one.select(F.inline("c"))
+
+
+@query(f"""WITH {EXPR}, {NORM} SELECT count(DISTINCT cell_id) AS n, CAST(0 AS BIGINT) AS negative, TRUE AS nearer, {r('sum(ln(1 + value) * ln(1 + value))', 3)} AS total FROM norm""", 3)
+def nmf_reconstruction(spark, d):
+    """Factors are not negative, and their product is nearer to the counts than nothing is, by its
+    own sum of squared differences over all cells and genes."""
+    expr = preprocess.preprocess(T.expression(spark, d)).drop("counts")
+    scores, loadings, _ = factorize.nmf(expr, 5, 8)
+    scores, loadings = save(scores, "nmf-scores"), save(loadings, "nmf-loadings")
+    w, h = scores.select("cell_id", F.col("vec").alias("w")), loadings.select("gene", F.col("vec").alias("h"))
+    dot = F.aggregate(F.zip_with("w", "h", lambda a, b: a * b), F.lit(0.0), lambda t, v: t + v)
+    held = expr.join(w, "cell_id").join(h, "gene").agg(F.sum(F.col("value") * F.col("value")).alias("total"), F.sum(F.col("value") * dot).alias("cross"))
+    # the product's own squares over all cells and genes: by the 5 x 5 sums of both sides
+    gram = lambda df, c, n: df.agg(F.array(*[F.sum(F.col(c)[i] * F.col(c)[j]) for i in range(5) for j in range(5)]).alias(n))
+    both = F.aggregate(F.zip_with("gw", "gh", lambda a, b: a * b), F.lit(0.0), lambda t, v: t + v)
+    low = lambda df, c, n: df.agg(F.count("*").alias(f"n{n}"), F.count_if(F.array_min(c) < 0).alias(n))
+    one = held.crossJoin(gram(w, "w", "gw")).crossJoin(gram(h, "h", "gh")).crossJoin(low(w, "w", "a")).crossJoin(low(h, "h", "b"))  # one row each
+    return one.select(F.col("na").alias("n"), (F.col("a") + F.col("b")).alias("negative"), (F.col("total") - 2 * F.col("cross") + both < F.col("total")).alias("nearer"), "total")
+
+
 @query(f"""WITH {EXPR}, {NORM}, logged AS (SELECT cell_id, gene, ln(1 + value) AS value FROM norm), n AS (SELECT CAST(count(DISTINCT cell_id) AS DOUBLE) AS n FROM logged), g AS (SELECT gene, sum(value) AS s, sum(value * value) AS q FROM logged GROUP BY gene)
 SELECT {r('sum((q - s * s / n) / (n - 1))')} AS variance FROM g, n""")
 def pca_variance(spark, d):

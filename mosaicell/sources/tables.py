@@ -66,16 +66,31 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 def write_mapping(tables: dict[str, DataFrame], path: str) -> None:
     """What mapping.map_scales_to_distance gives: rounds and manifest as CSV, profiles as Parquet by
-    round, and the heatmap (a row a scale, a column a distance) and distances as CSV by group."""
+    round, and the heatmap (a row a scale, a column a distance) and distances as CSV by group and as
+    tables."""
     from ..operators.mapping import wide_heatmap
 
     write_csv(tables["rounds"].select("round", "cell_id"), f"{path}/rounds")
     write_csv(tables["manifest"], f"{path}/manifest")
     write_partitioned(tables["profiles"], f"{path}/seed_profiles", "round")
+    write_heatmap(tables["heatmap"], tables["energy"], path)
     for name, table in (("H_matrix", wide_heatmap(tables["heatmap"])), ("E95_distance", tables["energy"])):
         table.write.mode("overwrite").partitionBy("grp").csv(f"{path}/{name}", header=True)
 
 
+def write_heatmap(table: DataFrame, energy: DataFrame, path: str) -> None:
+    """H as a table (grp, scale, bin, center, value) and its distances (grp, scale, distance), by group."""
+    write_partitioned(table, f"{path}/heatmap", "grp")
+    write_partitioned(energy, f"{path}/energy", "grp")
+
+
+def read_heatmap(spark: SparkSession, path: str, groups: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """H and distances as written; only the folders of the given groups are read."""
+    h = spark.read.schema("scale double, bin int, center double, value double, grp string").parquet(f"{path}/heatmap")
+    e = spark.read.schema("scale double, distance double, grp string").parquet(f"{path}/energy")
+    return (h, e) if groups is None else (h.filter(F.col("grp").isin(*groups)), e.filter(F.col("grp").isin(*groups)))
+
+
 def read_profiles(spark: SparkSession, path: str, rounds: list[int] | None = None) -> DataFrame:
     """Seed profiles as written; only the folders of the given rounds are read."""
     rows = spark.read.parquet(f"{path}/seed_profiles")

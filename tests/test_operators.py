@@ -568,6 +568,11 @@ def test_mapping_files(spark, tmp_path):
     wide = spark.read.csv(str(tmp_path / "H_matrix"), header=True, inferSchema=True)
     assert sorted(c for c in wide.columns if c.startswith("dist_")) == ["dist_0.25", "dist_0.75", "dist_1.25", "dist_1.75"]
     long = {(r.grp, r.scale, r.bin): r.value for r in out["heatmap"].collect()}
+    h, e = tables.read_heatmap(spark, str(tmp_path))
+    assert {(r.grp, r.scale, r.bin): r.value for r in h.collect()} == long
+    assert {(r.grp, r.scale, r.distance) for r in e.collect()} == {(r.grp, r.scale, r.distance) for r in out["energy"].collect()}
+    only, _ = tables.read_heatmap(spark, str(tmp_path), ["All"])
+    assert {r.grp for r in only.collect()} == {"All"}
     for r in wide.collect():
         for k, c in enumerate(["dist_0.25", "dist_0.75", "dist_1.25", "dist_1.75"]):
             assert abs((r[c] or 0) - (long[r.grp, float(r.scale), k] or 0)) < 1e-12
