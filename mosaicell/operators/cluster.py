@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.communities import fuzzy_graph, leiden, umap_layout
 from ..plans.storage import save
-from .kmeans import BATCH, minibatch_kmeans, nearest_center
+from .kmeans import BATCH, complete, minibatch_kmeans, nearest_center
 from .preprocess import standardize
 
 NEIGHBORS = 15
@@ -23,14 +23,14 @@ def metacells(cells: DataFrame, k: int | None = None, scale: bool = True, seed:
     """cells(cell_id, vec) -> cells(cell_id, metacell), centers(metacell, vec), by mini-batch k-means."""
     n = cells.count()
     k = min(n, k if k is not None else max(1, n // 10))
-    rows = cells.select("cell_id", "vec")
+    rows = complete(cells.select("cell_id", "vec"))
     if scale:
         rows = standardize(rows)
     rows = save(rows, "kmeans")
     spark, schema = cells.sparkSession, "metacell int, vec array<double>"
-    if not n:
-        return rows.select("cell_id", F.lit(0).alias("metacell")), spark.createDataFrame([], schema)
     centers = minibatch_kmeans(rows, k, seed, batch)
+    if not len(centers):
+        return rows.select("cell_id", F.lit(0).alias("metacell")).limit(0), spark.createDataFrame([], schema)
     found = save(nearest_center(rows, centers), "metacells")
     return found, spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centers)], schema)
 

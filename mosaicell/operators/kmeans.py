@@ -7,7 +7,8 @@ cost. A batch holds BATCH vectors, or a FOLDERS-th of a larger table. Where one
 whole table, steps are those of full k-means, on the driver, as BATCH bounds it. What the driver
 holds is the centres and a first sample of three batches.
 
-Ties go to the centre of the least number; repeated vectors count each; no vectors give no centres.
+Ties go to the centre of the least number; repeated vectors count each; no vectors give no centres. Vectors that
+are null or hold a null or NaN are left out.
 """
 
 from __future__ import annotations
@@ -73,6 +74,10 @@ class CenterTree:
         return at, best
 
 
+def complete(rows: DataFrame) -> DataFrame:
+    return rows.filter(F.col("vec").isNotNull() & ~F.exists("vec", lambda x: x.isNull() | F.isnan(x)))
+
+
 def first_centers(sample: np.ndarray, k: int, seed: int) -> np.ndarray:
     """k-means++ over a sample; from the 16th centre on, a sixteenth of those held are drawn at a time."""
     rng = np.random.default_rng(seed)
@@ -144,8 +149,8 @@ def _distributed(rows: DataFrame, tree: CenterTree, many: bool) -> tuple[np.ndar
 def minibatch_kmeans(rows: DataFrame, k: int, seed: int = 1, batch: int = BATCH, passes: int = PASSES, stale: int = STALE, report: dict | None = None) -> np.ndarray:
     """rows(cell_id, vec) -> centres, at most k. report gets the steps, the batches and the last cost."""
     spark = rows.sparkSession
-    keyed = rows.select(F.xxhash64("cell_id", F.lit(seed)).alias("key"), F.col("vec").cast("array<double>").alias("vec")).filter("vec IS NOT NULL")
-    keyed = save(keyed, "kmeans-rows")
+    keyed = rows.select(F.xxhash64("cell_id", F.lit(seed)).alias("key"), F.col("vec").cast("array<double>").alias("vec"))
+    keyed = save(complete(keyed), "kmeans-rows")
     n = keyed.count()
     if not n:
         return np.zeros((0, 0))
@@ -197,8 +202,7 @@ def minibatch_kmeans(rows: DataFrame, k: int, seed: int = 1, batch: int = BATCH,
 
 
 def nearest_center(rows: DataFrame, centers: np.ndarray, name: str = "metacell") -> DataFrame:
-    """cell_id and the number of the nearest centre, in one pass without a shuffle; cells without a
-    vector are left out."""
+    """cell_id and the number of the nearest centre, in one pass without a shuffle."""
     tree = CenterTree(centers)
 
     def run(batches):
@@ -207,4 +211,4 @@ def nearest_center(rows: DataFrame, centers: np.ndarray, name: str = "metacell")
                 yield pd.DataFrame({"cell_id": b["cell_id"], name: tree.nearest(np.stack(b["vec"].to_numpy()).astype(float))[0].astype(np.int32)})
 
     kind = rows.schema["cell_id"].dataType.simpleString()
-    return rows.select("cell_id", "vec").filter("vec IS NOT NULL").mapInPandas(run, f"cell_id {kind}, {name} int")
+    return complete(rows.select("cell_id", "vec")).mapInPandas(run, f"cell_id {kind}, {name} int")

@@ -74,3 +74,5 @@ def test_metacells_hold_every_cell(spark):
     same = frame(spark, np.ones((30, 2)))
     assert cluster.metacells(same, 5)[0].count() == 30
     assert cluster.metacells(cells.limit(0), 5)[0].count() == 0
+    odd = spark.createDataFrame([(1, [0.0, 1.0]), (2, None), (3, [float("nan"), 1.0]), (4, [None, 1.0]), (5, [5.0, 5.0])], "cell_id long, vec array<double>")
+    assert {r.cell_id for r in cluster.metacells(odd, 2)[0].collect()} == {1, 5}
