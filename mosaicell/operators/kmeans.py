@@ -110,6 +110,11 @@ def _moved(tree: CenterTree, blocks) -> tuple[np.ndarray, np.ndarray, float, lis
 STEP = "center int, n double, cost double, vec array<double>"
 
 
+def _vectors(found) -> pd.Series:
+    """Vectors as a column; without a dtype an empty one would be of doubles, which is no array."""
+    return pd.Series(list(found), dtype=object)
+
+
 def _step(tree: CenterTree):
     """In tasks: a row for each centre met, and rows of center -1 for the farthest vectors."""
 
@@ -117,8 +122,8 @@ def _step(tree: CenterTree):
         n, sums, cost, far = _moved(tree, (np.stack(b["vec"].to_numpy()) for b in batches if len(b)))
         met = np.flatnonzero(n)
         share = np.where(np.arange(len(met)) == 0, cost, 0.0)  # the task's cost goes with one row
-        yield pd.DataFrame({"center": met.astype(np.int32), "n": n[met], "cost": share, "vec": list(sums[met])})
-        yield pd.DataFrame({"center": np.full(len(far), -1, np.int32), "n": 0.0, "cost": [d for d, _ in far], "vec": [v for _, v in far]})
+        yield pd.DataFrame({"center": met.astype(np.int32), "n": n[met], "cost": share, "vec": _vectors(sums[met])})
+        yield pd.DataFrame({"center": np.full(len(far), -1, np.int32), "n": 0.0, "cost": [d for d, _ in far], "vec": _vectors(v for _, v in far)})
 
     return run
 

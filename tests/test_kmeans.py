@@ -60,6 +60,15 @@ def test_sums_of_many_tasks_are_added_in_tasks(spark):
         assert np.allclose([d for d, _ in far], [d for d, _ in want[3]])
 
 
+def test_tasks_without_vectors_add_nothing(spark):
+    v = blobs(40, 3, 3)
+    tree = kmeans.CenterTree(v[:5])
+    want = kmeans._moved(tree, [v[:1]])
+    for many in (False, True):  # one vector in four partitions
+        n, sums, cost, far = kmeans._distributed(frame(spark, v).filter("cell_id = 0"), tree, many)
+        assert np.array_equal(n, want[0]) and np.allclose(sums, want[1]) and np.isclose(cost, want[2]) and len(far) == 1
+
+
 def test_metacells_hold_every_cell(spark):
     v = blobs(300, 6, 4)
     cells = frame(spark, v)
