@@ -628,3 +628,50 @@ spark.stop()
     env = {k: v for k, v in __import__("os").environ.items() if k != "PYTHONPATH"} | {"PYSPARK_PYTHON": sys.executable}
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=200)
     assert "neighbours 80" in done.stdout, done.stderr[-2000:]
+
+
+def test_binned_profiles_equal_those_of_pairs(spark, monkeypatch):
+    """Ties, nulls, NaN, several rounds, blocks and parts: the same as cleaning and interpolating the table of pairs."""
+    rng = np.random.default_rng(4)
+    xy = np.round(rng.uniform(0, 4, (150, 2)), 1)
+    odd = [None, float("nan"), 0.02, 0.5]
+    points = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(xy)], "cell_id long, x double, y double")
+    rounds = spark.createDataFrame([(i, 1 + i % 2) for i in range(0, 150, 3)], "cell_id long, round int")
+    value = lambda: odd[rng.integers(4)] if rng.random() < 0.2 else float(rng.normal())
+    signals = spark.createDataFrame([(i, s, float(s), [value(), value()]) for i in range(148) for s in range(3) if (i + s) % 10], "cell_id long, scale_idx int, scale double, vec array<double>")
+    monkeypatch.setattr(neighbors, "ASK_BLOCK", 7)
+    monkeypatch.setattr(neighbors, "FEED", 11)
+    monkeypatch.setattr(mapping, "SLAB", 30)
+    pairs = mapping.seed_profiles(points, rounds, signals, 1.3).persist()
+    monkeypatch.setattr(mapping, "CARRIED", 0)
+    joined = mapping.seed_profiles(points, rounds, signals, 1.3)
+    rows = lambda df: sorted(str(tuple(r)) for r in df.collect())
+    assert rows(pairs) == rows(joined)
+    for cut, by_self in ((0.0, False), (0.3, False), (0.0, True), (0.3, True)):
+        b = mapping.binned_profiles(points, rounds, signals, 1.3, 1.0, 0.25, cut, by_self)
+        clean = mapping.clean_profiles(pairs, 1.0, cut, by_self)
+        assert rows(mapping.binned_counts(b)) == rows(mapping.distance_bins(clean, 1.0, 0.25))
+        got = {tuple(r)[:3]: r.value for r in mapping.binned_values(b).collect()}
+        want = {tuple(r)[:3]: r.value for r in mapping.interpolate(clean, 1.0, 0.25).collect()}
+        assert got.keys() == want.keys() and all(np.isclose(got[k], want[k], rtol=1e-12) for k in want)
+        for weight in (True, False) if cut and by_self else ():
+            one, two = (mapping.heatmap(x, 1.0, 0.25, cut, by_self, counts_weight=weight, sigma=0.7) for x in (b, pairs))
+            for g, w in zip(one, two, strict=True):
+                g, w = ({tuple(r)[:-1]: r[-1] for r in t.collect()} for t in (g, w))
+                assert g.keys() == w.keys() and all(g[k] == w[k] or np.isclose(g[k], w[k]) for k in w)
+    rows_of = lambda p: rows(mapping.manifest(p, points, [], 1.3).select("seed_id", "round", "n_neighbors"))
+    assert rows_of(b) == rows_of(pairs)
+
+
+def test_heatmap_of_all_points_writes_no_pairs(spark, tmp_path):
+    """800 points within reach of each other are 640,000 pairs at three scales; what is written stays by the point."""
+    import __spark_entry__
+
+    rng = np.random.default_rng(1)
+    table = [(i, [float(x) for x in v], i % 3) for i, v in enumerate(rng.uniform(0, 0.1, (800, 8)))]
+    spark.createDataFrame(table, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    shared = Path(spark.conf.get("spark.checkpoint.dir"))
+    size = lambda: sum(f.stat().st_size for f in shared.rglob("*.parquet"))
+    before = size()
+    assert __spark_entry__.queries()["heatmap_counts"](spark, str(tmp_path)).count() == 15
+    assert size() - before < 1000 * 800
