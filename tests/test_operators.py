@@ -675,3 +675,18 @@ def test_heatmap_of_all_points_writes_no_pairs(spark, tmp_path):
     before = size()
     assert __spark_entry__.queries()["heatmap_counts"](spark, str(tmp_path)).count() == 15
     assert size() - before < 1000 * 800
+
+
+def test_kth_distances_equal_all_pairs(spark):
+    """Ties, a crowd, points of one place and a far one; k of nearly all points."""
+    rng = np.random.default_rng(3)
+    xy = np.round(np.concatenate([rng.normal(0, 1, (300, 2)), rng.normal(5, 0.1, (200, 2)), np.ones((60, 2)), [[50.0, 3.0]]]), 2)
+    p = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(xy)], "cell_id long, x double, y double")
+    away = np.sort(np.sqrt(((xy[:, None] - xy[None]) ** 2).sum(-1)), 1)
+    for k in (1, 50, 560):
+        got = {r.cell_id: r.dist for r in neighbors.kth_distances(p, k).collect()}
+        assert len(got) == len(xy) and np.allclose([got[i] for i in range(len(xy))], away[:, k], rtol=1e-12)
+    assert neighbors.kth_distances(p, 561).count() == 0
+    for cutoff, top in ((0.1, 3.0), (1 / 3, 7.7), (0.30000000000000004, 1.1)):
+        r = subcluster._largest_within(cutoff, top)
+        assert r / top < cutoff <= np.nextafter(r, 9.0) / top
