@@ -75,15 +75,16 @@ def laplacian_apply(edges: DataFrame, x: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """cell_id, component (least id). Labels spread to neighbours and jump along labels, so the
-    number of rounds is logarithmic in the diameter for most graphs."""
+    number of rounds is logarithmic in the diameter for most graphs. Labels are as many as nodes, so
+    no join may send them through the driver."""
     both = save(edges.select("src", "dst").unionAll(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "cc-edges")
     ids = both.select(F.col("src").alias("cell_id")).distinct() if nodes is None else nodes.select("cell_id")
     labels = save(ids.withColumn("component", F.col("cell_id")), "cc")
     while True:
-        seen = both.join(labels.withColumnRenamed("cell_id", "dst"), "dst").groupBy(F.col("src").alias("cell_id")).agg(F.min("component").alias("seen"))
-        near = labels.join(seen, "cell_id", "left").select("cell_id", F.col("component").alias("old"), F.least("component", F.coalesce("seen", "component")).alias("component"))
+        seen = both.join(labels.withColumnRenamed("cell_id", "dst").hint("merge"), "dst").groupBy(F.col("src").alias("cell_id")).agg(F.min("component").alias("seen"))
+        near = labels.join(seen.hint("merge"), "cell_id", "left").select("cell_id", F.col("component").alias("old"), F.least("component", F.coalesce("seen", "component")).alias("component"))
         jump = labels.select(F.col("cell_id").alias("component"), F.col("component").alias("further"))
-        new = save(near.join(jump, "component", "left").select("cell_id", "old", F.least("component", F.coalesce("further", "component")).alias("component")), "cc")
+        new = save(near.join(jump.hint("merge"), "component", "left").select("cell_id", "old", F.least("component", F.coalesce("further", "component")).alias("component")), "cc")
         labels = new.drop("old")
         if not new.filter("old <> component").limit(1).count():
             return labels
@@ -92,7 +93,7 @@ def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
 def check(edges: DataFrame, nodes: DataFrame) -> dict[str, bool | float]:
     """Connected, symmetric, least weight."""
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("weight").alias("w2"))
-    lone = edges.join(back, ["src", "dst"], "left").filter("w2 IS NULL OR w2 <> weight").limit(1).count()
+    lone = edges.join(back.hint("merge"), ["src", "dst"], "left").filter("w2 IS NULL OR w2 <> weight").limit(1).count()
     parts = components(edges, nodes).agg(F.countDistinct("component")).first()[0]
     return {"connected": parts <= 1, "symmetric": not lone, "min_weight": edges.agg(F.min("weight")).first()[0]}
 

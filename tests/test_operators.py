@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from mosaicell.functions import communities, numeric
 from mosaicell.operators import composition, factorize, graph, mapping, neighbors, preprocess, scales, spectral, subcluster
+from mosaicell.plans import storage
 
 
 def edges_of(spark, pairs):
@@ -690,3 +691,14 @@ def test_kth_distances_equal_all_pairs(spark):
     for cutoff, top in ((0.1, 3.0), (1 / 3, 7.7), (0.30000000000000004, 1.1)):
         r = subcluster._largest_within(cutoff, top)
         assert r / top < cutoff <= np.nextafter(r, 9.0) / top
+
+
+def test_components_send_no_labels_through_the_driver(spark, monkeypatch):
+    """Small enough to be broadcast, labels and edges are still joined by shuffles."""
+    plans = []
+    monkeypatch.setattr(graph, "save", lambda df, name: plans.append(df._jdf.queryExecution().toString()) or storage.save(df, name))
+    e = spark.createDataFrame([(1, 2, 1.0), (2, 1, 1.0), (2, 3, 1.0), (3, 2, 1.0), (7, 8, 1.0), (8, 7, 1.0)], "src long, dst long, weight double")
+    nodes = spark.createDataFrame([(i,) for i in (1, 2, 3, 7, 8, 9)], "cell_id long")
+    assert {tuple(r) for r in graph.components(e, nodes).collect()} == {(1, 1), (2, 1), (3, 1), (7, 7), (8, 7), (9, 9)}
+    assert len(plans) > 2 and not any("BroadcastHashJoin" in p for p in plans)
+    assert graph.check(e, nodes) == {"connected": False, "symmetric": True, "min_weight": 1.0}
