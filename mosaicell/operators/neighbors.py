@@ -10,7 +10,8 @@ k-NN is exact and takes two passes over parts of similar size, whose outlines ar
 tasks: rectangles found by medians of a sample in the plane, balls around sampled pivots for vectors.
 First each point meets its own part; its k-th distance then bounds the search, and it goes on to those parts only
 whose outline lies within that distance. Parts with many targets or many asking points are dealt to
-blocks.
+blocks. Vectors without clusters reach most balls, so in their second pass a point goes once to each group of balls, with
+the list of those it is to meet.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from functools import cached_property
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +31,8 @@ from ..plans.storage import maybe_broadcast, save
 FEW_POINTS = 4000
 #: Points of a part at which k-NN aims; targets and asking points of one block at most, about.
 PART, TARGETS, ASKING = 1024, 4096, 2048
+#: Groups of balls of the second pass, at least if there are as many balls, and targets or asking points of one at most, about.
+GROUPS, GROUP_POINTS = 12, 16_384
 #: Parts that travel to tasks, at most: rectangles (32 bytes each) and pivots (vectors).
 MOST_TILES, MOST_PIVOTS = 32_768, 2048
 #: Sampled points a rectangle.
@@ -214,6 +218,11 @@ class Balls:
     def kept(self, which: np.ndarray) -> Balls:
         return Balls(self.pivots[which])
 
+    def ordered(self) -> Balls:
+        """The same balls along the direction in which the pivots vary most."""
+        away = self.pivots - self.pivots.mean(0)
+        return self.kept(np.argsort(away @ np.linalg.svd(away, full_matrices=False)[2][0], kind="stable"))
+
     def _distances(self, v: np.ndarray) -> np.ndarray:
         center = self.pivots.mean(0)
         a, b = v - center, self.pivots - center
@@ -324,6 +333,110 @@ def _nearest(k: int):
     return run
 
 
+def _vectors(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """A column of lists of one length as a matrix."""
+    chunks = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
+    return np.concatenate([c.flatten().to_numpy(zero_copy_only=False).astype(float) for c in chunks]).reshape(len(column), -1)
+
+
+def _visited(k: int, kind: pa.DataType):
+    """Of asking rows (id, vec, theta, visits) and a group's targets (id, vec, part): src, dst, dist, the k nearest of
+    each, among the parts that it visits and within theta."""
+    schema = pa.schema([("src", kind), ("dst", kind), ("dist", pa.float64())])
+
+    def best(i: np.ndarray, j: np.ndarray, d: np.ndarray, place: np.ndarray) -> np.ndarray:
+        order = np.lexsort((place[j], d, i))
+        return order[np.arange(len(order)) - np.searchsorted(i[order], i[order], "left") < k]
+
+    def run(both: pa.Table) -> pa.Table:
+        left, right = both.filter(both["asks"]), both.filter(pc.invert(both["asks"])).sort_by([("part", "ascending")])
+        if not len(left) or not len(right):
+            return schema.empty_table()
+        asking, asked = left["id"].combine_chunks(), right["id"].combine_chunks()
+        place = np.empty(len(asked), int)
+        place[np.argsort(asked.to_numpy(zero_copy_only=False), kind="stable")] = np.arange(len(asked))  # ties go by id
+        m, thetas = _vectors(right["vec"]), left["theta"].to_numpy()
+        center = m.mean(0)
+        own_m = m - center
+        squares_m = (own_m * own_m).sum(1)
+        parts, first = np.unique(right["part"].to_numpy(), return_index=True)
+        ends, made = [*first[1:].tolist(), len(m)], [schema.empty_table()]
+        for at in range(0, len(left), 512):
+            rows = left.slice(at, 512)
+            v, lists = _vectors(rows["vec"]), rows["visits"].combine_chunks()
+            own_v = v - center
+            squares = (own_v * own_v).sum(1)
+            who, which = np.repeat(np.arange(len(v)), lists.value_lengths().to_numpy()), lists.flatten().to_numpy()
+            order = np.argsort(which, kind="stable")
+            who, which = who[order], which[order]
+            limit = thetas[at : at + len(v)] ** 2 * (1 + 1e-9)
+            i, j, d = np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+            for part, a, b in zip(parts.tolist(), first.tolist(), ends, strict=True):
+                some = who[np.searchsorted(which, part) : np.searchsorted(which, part, "right")]
+                if not len(some):
+                    continue
+                # one matrix product finds who may be near; their distances are then taken exactly
+                rough = squares[some, None] + squares_m[None, a:b] - 2 * (own_v[some] @ own_m[a:b].T)
+                slack = 1e-9 * (squares[some] + squares_m[a:b].max())
+                r, c = np.nonzero(rough <= (limit[some] + slack)[:, None])
+                if len(r) > 16 * k * len(some) and b - a > k:
+                    limit[some] = np.minimum(limit[some], np.partition(rough, k - 1, 1)[:, k - 1] + slack)
+                    r, c = np.nonzero(rough <= (limit[some] + slack)[:, None])
+                r, c = some[r], c + a
+                found = np.concatenate([np.sqrt(((v[r[x : x + 65536]] - m[c[x : x + 65536]]) ** 2).sum(1)) for x in range(0, len(r), 65536)] or [d[:0]])
+                i, j, d = np.concatenate([i, r]), np.concatenate([j, c]), np.concatenate([d, found])
+                if len(i) > 4 * k * len(v):
+                    keep = best(i, j, d, place)
+                    i, j, d = i[keep], j[keep], d[keep]
+                    full = np.flatnonzero(np.diff(i, append=-1))  # the last, and so the farthest, of each row
+                    full = full[np.bincount(i, minlength=len(v))[i[full]] == k]
+                    limit[i[full]] = np.minimum(limit[i[full]], d[full] ** 2 * (1 + 1e-9))
+            keep = best(i, j, d, place)
+            made.append(pa.Table.from_arrays([asking.take(pa.array(at + i[keep])), asked.take(pa.array(j[keep])), pa.array(d[keep])], schema=schema))
+        return pa.concat_tables(made)
+
+    return run
+
+
+def _grouped_visits(parts: Balls, group: np.ndarray, counted: bool):
+    """bounded rows, each once for every group of balls it visits, with the list of these balls; or how many
+    visit a ball, and a group g (as part -1 - g). Balls are in order of their groups."""
+
+    def run(batches):
+        for batch in batches:
+            for a in range(0, batch.num_rows, 512):
+                rows = batch.slice(a, 512)
+                theta = rows.column("theta").to_numpy(zero_copy_only=False)
+                i, j = parts.visits(_vectors(rows.column("vec")), rows.column("part").to_numpy(), theta)
+                g = group[j]
+                starts = np.flatnonzero((np.diff(i, prepend=-1) != 0) | (np.diff(g, prepend=-1) != 0))
+                if counted:
+                    part, n = np.unique(np.concatenate([j, -1 - g[starts]]), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(n, pa.int64())], ["part", "n"])
+                elif len(starts):
+                    take = pa.array(i[starts])
+                    lists = pa.ListArray.from_arrays(pa.array([*starts, len(j)], pa.int32()), pa.array(j, pa.int32()))
+                    yield pa.RecordBatch.from_arrays([rows.column("id").take(take), rows.column("vec").take(take), pa.array(theta[i[starts]]), pa.array(g[starts], pa.int32()), lists], ["id", "vec", "theta", "grp", "visits"])
+
+    return run
+
+
+def _met_groups(bounded: DataFrame, targets: DataFrame, balls: Balls, group: np.ndarray, asked: dict[int, int], sizes: dict[int, int], k: int) -> DataFrame:
+    """src, dst, dist: k a block, of the balls that bounded rows visit. A row is shuffled once a group and block
+    of targets, a target once a group's block of asking rows: n * n / GROUP_POINTS rows of either if all meet."""
+    spark, kind = bounded.sparkSession, bounded.schema["id"].dataType.simpleString()
+    held = np.bincount(group, [sizes.get(p, 0) for p in range(len(group))])
+    plan = F.broadcast(spark.createDataFrame([(g, -(-n // GROUP_POINTS), max(1, -(-int(held[g]) // GROUP_POINTS))) for g, n in asked.items()], "grp int, salts int, blocks int"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    visiting = bounded.mapInArrow(_grouped_visits(balls, group, False), f"id {kind}, vec array<double>, theta double, grp int, visits array<int>")
+    a = visiting.join(plan, "grp").select("id", "vec", F.lit(True).alias("asks"), F.lit(0).alias("part"), "theta", "visits", "grp", own("salts").alias("salt"), every("blocks").alias("block"))
+    of = F.get(F.array(*map(F.lit, group.tolist())), F.col("part"))
+    t = targets.withColumn("grp", of).join(plan, "grp").select("id", "vec", F.lit(False).alias("asks"), "part", F.lit(None).cast("double").alias("theta"), F.lit(None).cast("array<int>").alias("visits"), "grp", every("salts").alias("salt"), own("blocks").alias("block"))
+    arrow = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
+    return a.unionAll(t).groupBy("grp", "salt", "block").applyInArrow(_visited(k, arrow), f"src {kind}, dst {kind}, dist double")
+
+
 def _met(asking: DataFrame, targets: DataFrame, asked: dict[int, int], sizes: dict[int, int], k: int) -> DataFrame:
     """asking(id, vec, part), targets alike -> src, dst, dist: k a block, of the parts asked for."""
     spark = asking.sparkSession
@@ -387,13 +500,25 @@ def _in_parts(rows: DataFrame, k: int, parts, report: dict | None) -> DataFrame:
     near = save(_ranked(_met(held, targets, asked, sizes, k), k), "knn-own")
     theta = near.groupBy(F.col("src").alias("id")).agg(F.when(F.count("*") == k, F.max("dist")).alias("theta"))
     bounded = save(held.select("id", "vec", "part").join(theta, "id", "left").withColumn("theta", F.coalesce("theta", F.lit(float("inf")))), "knn-bounds")
-    more = {r[0]: r[1] for r in bounded.mapInPandas(_visits(parts, True), "part int, n long").groupBy("part").agg(F.sum("n")).collect()}
+    counts = "part int, n long"
+    if isinstance(parts, Balls):
+        weight = np.array([sizes.get(p, 0) for p in range(len(parts.pivots))])
+        count = max(1, min(len(weight), max(GROUPS, -(-int(weight.sum()) // GROUP_POINTS))))
+        group = (np.cumsum(weight) - weight) * count // max(1, weight.sum())
+        visited = bounded.mapInArrow(_grouped_visits(parts, group, True), counts)
+    else:
+        visited = bounded.mapInPandas(_visits(parts, True), counts)
+    found = {r[0]: r[1] for r in visited.groupBy("part").agg(F.sum("n")).collect()}
+    more = {p: n for p, n in found.items() if p >= 0}
     if report is not None:
         report.update(parts=len(known), own=sum(n * sizes[p] for p, n in asked.items()), visits=sum(more.values()), others=sum(n * sizes.get(p, 0) for p, n in more.items()))
     if not more:
         return near
-    visiting = bounded.mapInPandas(_visits(parts, False), f"id {kind}, vec array<double>, part int")
-    return _ranked(near.select("src", "dst", "dist").unionByName(_met(visiting, targets, more, sizes, k)), k)
+    if isinstance(parts, Balls):
+        others = _met_groups(bounded, targets, parts, group, {-1 - p: n for p, n in found.items() if p < 0}, sizes, k)
+    else:
+        others = _met(bounded.mapInPandas(_visits(parts, False), f"id {kind}, vec array<double>, part int"), targets, more, sizes, k)
+    return _ranked(near.select("src", "dst", "dist").unionByName(others), k)
 
 
 def _sampled(rows: DataFrame, n: int, most: int) -> np.ndarray:
@@ -433,5 +558,5 @@ def knn_vectors(points: DataFrame, k: int, few: int = FEW_POINTS, report: dict |
         run, schema = _assigned(balls, kind)
         sizes = {r[0]: r[1] for r in rows.mapInPandas(run, schema).groupBy("part").count().collect()}
         large = np.array([p for p in range(len(balls.pivots)) if sizes.get(p, 0) >= 2 * (k + 1)], np.int64)
-        balls = balls.kept(large) if len(large) else balls
+        balls = (balls.kept(large) if len(large) else balls).ordered()
     return _in_parts(rows, k, balls, report)

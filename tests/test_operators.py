@@ -702,3 +702,15 @@ def test_components_send_no_labels_through_the_driver(spark, monkeypatch):
     assert {tuple(r) for r in graph.components(e, nodes).collect()} == {(1, 1), (2, 1), (3, 1), (7, 7), (8, 7), (9, 9)}
     assert len(plans) > 2 and not any("BroadcastHashJoin" in p for p in plans)
     assert graph.check(e, nodes) == {"connected": False, "symmetric": True, "min_weight": 1.0}
+
+
+def test_vectors_without_clusters_go_once_to_a_group_of_balls(spark, monkeypatch):
+    monkeypatch.setattr(neighbors, "GROUP_POINTS", 150)
+    asked, met = [], neighbors._met_groups
+    monkeypatch.setattr(neighbors, "_met_groups", lambda *a: (asked.append(sum(a[4].values())), met(*a))[1])
+    v = np.random.default_rng(8).normal(size=(900, 24))
+    v[500:560] = v[499]
+    p = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "cell_id long, vec array<double>")
+    report = {}
+    assert {(r.src, r.dst, r["rank"]) for r in neighbors.knn_vectors(p, 5, 0, report).collect()} == nearest_of(v, 5)
+    assert report["visits"] > 900 * 16 and asked[0] <= 900 * max(neighbors.GROUPS, 6)
