@@ -140,6 +140,7 @@ def _signed(v: np.ndarray) -> np.ndarray:
 
 def pca(expr: DataFrame, n_components: int = 50) -> tuple[DataFrame, DataFrame, np.ndarray]:
     """scores(cell_id, vec), loadings(gene, vec), explained variances; zero-centred."""
+    expr = save(expr.select("cell_id", "gene", "value"), "counts")  # read for its genes and its rows
     genes = gene_list(expr)
     g = len(genes)
     rows = save(rows_of(expr, genes), "rows")
@@ -195,6 +196,7 @@ def nmf(expr: DataFrame, n_components: int = 50, max_iter: int = 30, tol: float
 
     W follows from H row by row, so only H is kept; an iteration is one pass that returns W'X,
     W'W and the loss."""
+    expr = save(expr.select("cell_id", "gene", "value"), "counts")  # read for its genes and its rows
     genes = gene_list(expr)
     g = len(genes)
     rows = save(rows_of(expr, genes), "rows")
@@ -232,6 +234,9 @@ def nmf(expr: DataFrame, n_components: int = 50, max_iter: int = 30, tol: float
 
 # ------------------------------------------------------------------ Harmony
 
+#: Shares of cells in clusters that a task holds at a time.
+HELD = 1 << 17
+
 
 def harmony(scores: DataFrame, batches: DataFrame, theta: float = 1.0, max_iter: int = 20, sigma: float = 0.1, n_clusters: int | None = None, ridge: float = 1.0, seed: int = 0, tol: float = 1e-3) -> DataFrame:
     """scores(cell_id, vec), batches(cell_id, batch) -> cell_id, vec with batch effects removed:
@@ -266,14 +271,24 @@ def harmony(scores: DataFrame, batches: DataFrame, theta: float = 1.0, max_iter:
         x = z
         for c, p, beta in steps:
             _, r = soft(x, b, c, p)
-            x = z - np.einsum("nk,nkd->nd", r, beta[:, b].transpose(1, 0, 2))
+            x = z.copy()
+            for j in np.unique(b):
+                x[b == j] -= r[b == j] @ beta[:, j]
         return x
 
+    step = max(1, HELD // k)
+
+    def blocks(it):
+        """Of each batch, a bounded number of shares by cluster at a time."""
+        for part in it:
+            for at in range(0, len(part), step):
+                own = part.iloc[at : at + step]
+                yield own, np.stack(own["vec"].to_numpy()), own["b"].to_numpy(int)
+
     def sums(steps, centers, penalty):
         def run(it):
             o, yc, rz = np.zeros((k, nb)), np.zeros((k, d)), np.zeros((k, nb, d))
-            for part in it:
-                z, b = np.stack(part["vec"].to_numpy()), part["b"].to_numpy(int)
+            for _, z, b in blocks(it):
                 unit, r = soft(corrected(z, b, steps), b, centers, penalty)
                 yc += r.T @ unit
                 for j in range(nb):
@@ -307,8 +322,7 @@ def harmony(scores: DataFrame, batches: DataFrame, theta: float = 1.0, max_iter:
             break
 
     def final(it):
-        for part in it:
-            z, b = np.stack(part["vec"].to_numpy()), part["b"].to_numpy(int)
+        for part, z, b in blocks(it):
             yield pd.DataFrame({"cell_id": part["cell_id"], "vec": list(corrected(z, b, shifts))})
 
     return data.mapInPandas(final, f"cell_id {kind}, vec {VEC}")

@@ -714,3 +714,26 @@ def test_vectors_without_clusters_go_once_to_a_group_of_balls(spark, monkeypatch
     report = {}
     assert {(r.src, r.dst, r["rank"]) for r in neighbors.knn_vectors(p, 5, 0, report).collect()} == nearest_of(v, 5)
     assert report["visits"] > 900 * 16 and asked[0] <= 900 * max(neighbors.GROUPS, 6)
+
+
+def test_harmony_by_small_blocks_gives_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    scores = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rng.normal(size=(120, 4)))], "cell_id long, vec array<double>")
+    batches = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(120)], "cell_id long, batch string")
+    got = lambda: np.array([r.vec for r in factorize.harmony(scores, batches, max_iter=2).orderBy("cell_id").collect()])
+    whole = got()
+    monkeypatch.setattr(factorize, "HELD", 20)
+    assert np.allclose(got(), whole, atol=1e-9)
+
+
+def test_pca_reads_its_counts_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+
+    expr = spark.range(60).selectExpr("id % 20 AS cell_id", "concat('g', cast(id % 7 AS string)) AS gene", "CAST(id % 5 + 1 AS double) AS value")
+    factorize.pca(expr.mapInPandas(run, expr.schema), 2)
+    assert read.value == 60
