@@ -126,7 +126,6 @@ def test_heat_filter_equals_dense_solution(spark, path):
         lap[b, a] -= w
         lap[a, a] += w
         lap[b, b] += w
-    values, vectors = np.linalg.eigh(lap)
     top = float(values[-1] * 1.01)
     signals = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(n)] + [(99, [5.0, 6.0])], "cell_id long, vec array<double>")
     out = spectral.heat_filter(edges_of(spark, pairs), signals, [0.0, 2.0, 20.0], order=30 if path == "local" else 14, lmax=top, path=path)
@@ -737,3 +736,13 @@ def test_pca_reads_its_counts_once(spark):
     expr = spark.range(60).selectExpr("id % 20 AS cell_id", "concat('g', cast(id % 7 AS string)) AS gene", "CAST(id % 5 + 1 AS double) AS value")
     factorize.pca(expr.mapInPandas(run, expr.schema), 2)
     assert read.value == 60
+
+
+def test_kth_distances_of_vectors_leave_no_neighbours(spark, monkeypatch):
+    monkeypatch.setattr(subcluster, "BLOCK", 90)
+    v = np.concatenate([np.random.default_rng(2).normal(size=(400, 9)), np.zeros((60, 9)), np.ones((40, 9))])
+    p = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, vec array<double>")
+    d = np.sqrt(((v[:, None] - v[None]) ** 2).sum(-1))
+    for k in (5, 50):
+        got = {r.id: r.d for r in subcluster._kth_of_vectors(p, 500, k, float(d.max() * (1 + 1e-12))).collect()}
+        assert np.allclose([got[i] for i in range(500)], np.sort(d, 1)[:, k], rtol=1e-12, atol=0)
