@@ -746,3 +746,20 @@ def test_kth_distances_of_vectors_leave_no_neighbours(spark, monkeypatch):
     for k in (5, 50):
         got = {r.id: r.d for r in subcluster._kth_of_vectors(p, 500, k, float(d.max() * (1 + 1e-12))).collect()}
         assert np.allclose([got[i] for i in range(500)], np.sort(d, 1)[:, k], rtol=1e-12, atol=0)
+
+
+def test_local_heat_filter_returns_a_row_a_cell_and_signal(spark):
+    e = spark.createDataFrame([(i, (i + j) % 30, 1.0) for i in range(30) for j in (1, 29)], "src long, dst long, weight double")
+    x = spark.createDataFrame([(i, [float(i % 4), float(i == 7)]) for i in range(31)], "cell_id long, vec array<double>")
+    out = spectral.heat_filter(e, x, [0.0, 0.5, 4.0], lmax=4.0, path="local")
+    plan = out._jdf.queryExecution().toString()
+    assert "FlatMapGroupsInArrow" in plan and "FlatMapGroupsInPandas" not in plan
+    got = {(r.cell_id, r.scale_idx): r.vec for r in out.collect()}
+    lap = 2 * np.eye(30) - np.eye(30)[:, np.arange(1, 31) % 30] - np.eye(30)[:, np.arange(-1, 29) % 30]
+    signal = np.array([[i % 4, i == 7] for i in range(30)], float)
+    assert len(got) == 93 and all(got[i, 0] == signal[i].tolist() for i in range(30)) and got[30, 2] == [2.0, 0.0]
+    kernel = spectral.heat_coefficients(4.0, 30)
+    t, s = [np.eye(30), lap / 2 - np.eye(30)], lap / 2 - np.eye(30)
+    for _ in range(2, 31):
+        t.append(2 * s @ t[-1] - t[-2])
+    assert np.allclose([got[i, 2] for i in range(30)], sum(c * x for c, x in zip(kernel, t, strict=True)) @ signal)
