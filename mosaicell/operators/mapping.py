@@ -246,8 +246,8 @@ def interpolate(rows: DataFrame, x_max: float, width: float) -> DataFrame:
     return bins.filter(inside).select("seed_id", "scale", "bin", value.alias("value"))
 
 
-#: Distances that a task holds at a time.
-SLAB = 1 << 20
+#: Distances that a task holds at a time; seeds of a tile, which share the cells they look at.
+SLAB, TILE_SEEDS = 1 << 22, 64
 
 
 def _lists(flat: np.ndarray, kind: pa.DataType) -> pa.Array:
@@ -274,9 +274,34 @@ def _nearest_to_centers(d: np.ndarray, y: np.ndarray, centers: np.ndarray, lo: t
         hi[0][:, b], hi[1][:, b] = np.where(inside[rows, beyond], np.inf, d[rows, beyond]), beyond
 
 
+def _tiles(x: np.ndarray, y: np.ndarray, most: int) -> list[np.ndarray]:
+    """Places of points that lie near each other, at most `most` in each."""
+    todo, done = [np.arange(len(x))], []
+    while todo:
+        own = todo.pop()
+        if len(own) <= most:
+            done.append(own)
+            continue
+        along = x[own] if np.ptp(x[own]) >= np.ptp(y[own]) else y[own]
+        order = own[np.argsort(along, kind="stable")]
+        todo += [order[: len(order) // 2], order[len(order) // 2 :]]
+    return done
+
+
+def _reach(x: np.ndarray, y: np.ndarray, bx: np.ndarray, by: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds of each target's distance to any of the points (x, y), a little wide."""
+    x0, x1, y0, y1 = x.min(), x.max(), y.min(), y.max()
+    gx, gy = np.maximum(np.maximum(x0 - bx, bx - x1), 0), np.maximum(np.maximum(y0 - by, by - y1), 0)
+    fx, fy = np.maximum(bx - x0, x1 - bx), np.maximum(by - y0, y1 - by)
+    return np.sqrt(gx * gx + gy * gy) * (1 - 1e-9), np.sqrt(fx * fx + fy * fy) * (1 + 1e-9)
+
+
 def _binned(radius: float, x_max: float, width: float, n_scales: int, n_rounds: int, cut: float, kind: pa.DataType):
     """In tasks, of a block of seeds and a part of the cells around: neighbours, counts by bin, and for each
-    scale and bin the two points that the bin's centre lies between."""
+    scale and bin the two points that the bin's centre lies between.
+
+    Seeds that lie near each other share bounds of their distance to a cell, so that a pair is only looked at
+    where a bin's end or centre lies between them."""
     n = bin_count(x_max, width)
     centers = (np.arange(n) + 0.5) * width
     names = ["seed_id", "round", "n_neighbors", "counts", "k", "lo_d", "lo_id", "lo_y", "hi_d", "hi_id", "hi_y"]
@@ -293,7 +318,8 @@ def _binned(radius: float, x_max: float, width: float, n_scales: int, n_rounds:
         own = _matrix(asking.column("own"), n_scales)
         values = _matrix(targets.column("flat"), n_scales * n_rounds).reshape(-1, n_scales, n_rounds)
         made = []
-        step = max(1, SLAB // len(ids))
+        cap = min(x_max, radius)
+        tile = max(1, min(TILE_SEEDS, SLAB // len(ids)))
         for r in np.unique(rounds):
             v = values[:, :, r - 1] if 1 <= r <= n_rounds else np.full(values.shape[:2], np.nan)
             usable = ~np.isnan(v) & ((v >= cut) | (cut <= 0))
@@ -301,14 +327,21 @@ def _binned(radius: float, x_max: float, width: float, n_scales: int, n_rounds:
             for i in range(n_scales):
                 alike.setdefault(usable[:, i].tobytes(), []).append(i)
             mine = np.flatnonzero(rounds == r)
-            for at in range(0, len(mine), step):
-                rows = mine[at : at + step]
-                dx, dy = ax[rows, None] - bx[None], ay[rows, None] - by[None]
-                d = np.sqrt(dx * dx + dy * dy)
-                m, seen = len(rows), np.count_nonzero(d <= radius, 1)
-                d[(d > x_max) | (d > radius)] = np.inf
-                q = d / width
-                upto = [np.count_nonzero(q < b + 1, 1) for b in range(n - 1)] + [np.count_nonzero(d < np.inf, 1)]
+            for own_rows in _tiles(ax[mine], ay[mine], tile):
+                rows = mine[own_rows]
+                m, (near, far) = len(rows), _reach(ax[rows], ay[rows], bx, by)
+
+                def away(cols: np.ndarray, rows=rows) -> np.ndarray:
+                    dx, dy = ax[rows, None] - bx[None, cols], ay[rows, None] - by[None, cols]
+                    return np.sqrt(dx * dx + dy * dy)
+
+                def within(cut_off: float, holds, near=near, far=far, of=None) -> np.ndarray:
+                    """Targets up to the distance, of which only those that a seed may have beyond it are looked at."""
+                    some = np.flatnonzero((near <= cut_off * (1 + 1e-9)) & (far >= cut_off * (1 - 1e-9)))
+                    return np.count_nonzero(far < cut_off * (1 - 1e-9)) + np.count_nonzero(holds(away(some if of is None else of[some])), 1)
+
+                seen = within(radius, lambda d: d <= radius)
+                upto = [within(min(width * (b + 1), cap), lambda d, b=b: (d / width < b + 1) & (d <= cap)) for b in range(n - 1)] + [within(cap, lambda d: d <= cap)]
                 counts = np.diff(np.stack(upto, 1), axis=1, prepend=0)
                 k = np.zeros((m, n_scales), int)
                 ends = [np.full((m, n_scales, n), x) for x in (-np.inf, 0, np.nan, np.inf, 0, np.nan)]
@@ -317,11 +350,20 @@ def _binned(radius: float, x_max: float, width: float, n_scales: int, n_rounds:
                     cols = np.flatnonzero(usable[:, which[0]])
                     if not len(cols):
                         continue
-                    part = d if len(cols) == len(ids) else d[:, cols]
-                    lo, hi = ((np.zeros((m, n)), np.zeros((m, n), int)) for _ in range(2))
-                    _nearest_to_centers(part, v, centers, lo, hi)
-                    hi[0][...] = np.where(hi[0] <= x_max, hi[0], np.inf)
-                    enough = np.count_nonzero(part < np.inf, 1)
+                    part = (near, far) if len(cols) == len(ids) else (near[cols], far[cols])
+                    lo, hi = ((np.full((m, n), x), np.zeros((m, n), int)) for x in (-np.inf, np.inf))
+                    for b, c in enumerate(centers):
+                        # every seed has a target between these bounds on either side of the centre
+                        least = part[0][part[1] <= min(c, cap)].max(initial=-np.inf)
+                        most = part[1][(part[0] > c) & (part[1] <= cap)].min(initial=cap)
+                        some = np.flatnonzero((part[0] <= most) & (part[1] >= least))
+                        if len(some):
+                            d = away(cols[some])
+                            d[d > cap] = np.inf
+                            at_lo, at_hi = ((e[0][:, b : b + 1], e[1][:, b : b + 1]) for e in (lo, hi))
+                            _nearest_to_centers(d, v, centers[b : b + 1], at_lo, at_hi)
+                            at_lo[1][...], at_hi[1][...] = some[at_lo[1]], some[at_hi[1]]
+                    enough = upto[-1] if len(cols) == len(ids) else within(cap, lambda d: d <= cap, *part, of=cols)
                     for i in which:
                         fit = ~np.isnan(own[rows, i])
                         k[:, i] = np.where(fit, enough, 0)

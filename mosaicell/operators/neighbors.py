@@ -79,28 +79,37 @@ def radius_join(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
 
 
 #: Asking points and targets of one group of `radius_groups`, about.
-ASK_BLOCK, FEED = 4096, 65_536
+ASK_BLOCK, FEED = 16_384, 65_536
+#: Partitions of the groups, at most.
+GROUP_TASKS = 1024
 
 
 def radius_groups(left: DataFrame, right: DataFrame, radius: float, work, schema: str) -> DataFrame:
     """left(cell_id, x, y, ...), right alike: what work(asking, targets) returns for a block of the
-    asking points of a grid cell and a part of the targets of the nine cells around, as Arrow tables.
+    asking points of a grid cell, which lie near each other, and a part of the targets of the nine cells
+    around, as Arrow tables.
 
     No pair leaves its task. An asking point meets each target that may be within the radius in one
     group, and those of all its groups together."""
-    cells = ["hx", "hy"]
+    cells, spots = ["hx", "hy"], ["sx", "sy"]
     # written, as cogrouped tables of one origin are ambiguous
     a, b = (save(t.withColumns(_home(radius, "x", "y")), "radius-points") for t in (left, right))
     around = _around(b.groupBy(cells).agg(F.count("*").alias("t")), None, 0).groupBy(cells).agg(F.sum("t").alias("t"))
-    parts = a.groupBy(cells).agg(F.count("*").alias("c")).join(around, cells)
-    parts = save(parts.select(*cells, F.ceil(F.col("c") / ASK_BLOCK).cast("int").alias("blocks"), F.ceil(F.col("t") / FEED).cast("int").alias("parts")), "radius-cells")
-    n = parts.count()
+    side = F.ceil(F.sqrt(F.col("c") / ASK_BLOCK)).cast("int")
+    grid = save(a.groupBy(cells).agg(F.count("*").alias("c")).join(around, cells).select(*cells, side.alias("side"), F.ceil(F.col("t") / FEED).cast("int").alias("parts")), "radius-cells")
+    n = grid.count()
     deal = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     own = lambda c, salt: F.pmod(F.xxhash64("cell_id", F.lit(salt)), F.col(c)).cast("int")
-    asking = a.join(maybe_broadcast(parts, n), cells).withColumn("block", own("blocks", 1)).withColumn("part", deal("parts")).drop("blocks", "parts")
-    targets = _around(b, None, 0).drop("block").join(maybe_broadcast(parts, n), cells).withColumn("block", deal("blocks")).withColumn("part", own("parts", 2)).drop("blocks", "parts")
-    keys = [*cells, "block", "part"]
-    return asking.groupBy(*keys).cogroup(targets.groupBy(*keys)).applyInArrow(work, schema)
+    # a crowded cell's asking points are dealt by place, those of a crowded place by their id
+    spot = lambda c, h: F.least(F.floor((F.col(c) / radius - F.col(h)) * F.col("side")), F.col("side") - 1).cast("int")
+    placed = a.join(maybe_broadcast(grid, n), cells).withColumns({"sx": spot("x", "hx"), "sy": spot("y", "hy")}).drop("side")
+    crowds = save(placed.groupBy(*cells, *spots, "parts").agg(F.ceil(F.count("*") / ASK_BLOCK).cast("int").alias("blocks")), "radius-spots")
+    m, groups = crowds.agg(F.count("*"), F.sum(F.col("blocks") * F.col("parts"))).first()
+    tasks = max(1, min(GROUP_TASKS, groups or 1))
+    asking = placed.drop("parts").join(maybe_broadcast(crowds, m), [*cells, *spots]).withColumn("block", own("blocks", 1)).withColumn("part", deal("parts")).drop("blocks", "parts")
+    targets = _around(b, None, 0).drop("block").join(maybe_broadcast(crowds, m), cells).withColumn("block", deal("blocks")).withColumn("part", own("parts", 2)).drop("blocks", "parts")
+    keys = [*cells, *spots, "block", "part"]
+    return asking.repartition(tasks, *keys).groupBy(*keys).cogroup(targets.repartition(tasks, *keys).groupBy(*keys)).applyInArrow(work, schema)
 
 
 def density(points: DataFrame, radius: float, crowd: int = CROWD) -> DataFrame:

@@ -763,3 +763,24 @@ def test_local_heat_filter_returns_a_row_a_cell_and_signal(spark):
     for _ in range(2, 31):
         t.append(2 * s @ t[-1] - t[-2])
     assert np.allclose([got[i, 2] for i in range(30)], sum(c * x for c, x in zip(kernel, t, strict=True)) @ signal)
+
+
+def test_seeds_look_at_few_pairs(monkeypatch):
+    """Of 2,000 seeds and 2,000 cells, only pairs near a bin's centre are compared; results are those of all pairs."""
+    import pyarrow as pa
+
+    rng, n = np.random.default_rng(2), 2000
+    xy, looked, nearest = rng.random((n, 2)), [], mapping._nearest_to_centers
+    monkeypatch.setattr(mapping, "_nearest_to_centers", lambda d, y, centers, *a: (looked.append(d.size * len(centers)), nearest(d, y, centers, *a))[1])
+    lists = lambda v: pa.ListArray.from_arrays(pa.array(np.arange(n + 1), pa.int32()), pa.array(v))
+    table = pa.table({"cell_id": np.arange(n), "x": xy[:, 0], "y": xy[:, 1]})
+    seeds = table.append_column("round", pa.array(np.ones(n, int))).append_column("own", lists(np.ones(n)))
+    out = mapping._binned(0.3, 0.25, 0.05, 1, 1, 0.0, pa.int64())(seeds, table.append_column("flat", lists(rng.random(n)))).sort_by("seed_id")
+    assert 2 * sum(looked) < 5 * n * n
+    d = np.sqrt(((xy[:, None] - xy[None]) ** 2).sum(-1))
+    assert out["n_neighbors"].to_pylist() == (d <= 0.3).sum(1).tolist()
+    centers = (np.arange(5) + 0.5) * 0.05
+    below = np.stack([np.where(d <= c, d, -np.inf).max(1) for c in centers], 1)
+    above = np.stack([np.where((d > c) & (d <= 0.25), d, np.inf).min(1) for c in centers], 1)
+    assert np.array_equal(np.stack(out["lo_d"].to_pylist()), below) and np.array_equal(np.stack(out["hi_d"].to_pylist()), above)
+    assert np.array_equal(np.stack(out["counts"].to_pylist()), np.stack([((d / 0.05 >= b) & (d / 0.05 < b + 1) & (d <= 0.25)).sum(1) for b in range(5)], 1))
