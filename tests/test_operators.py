@@ -784,3 +784,26 @@ def test_seeds_look_at_few_pairs(monkeypatch):
     above = np.stack([np.where((d > c) & (d <= 0.25), d, np.inf).min(1) for c in centers], 1)
     assert np.array_equal(np.stack(out["lo_d"].to_pylist()), below) and np.array_equal(np.stack(out["hi_d"].to_pylist()), above)
     assert np.array_equal(np.stack(out["counts"].to_pylist()), np.stack([((d / 0.05 >= b) & (d / 0.05 < b + 1) & (d <= 0.25)).sum(1) for b in range(5)], 1))
+
+
+@pytest.mark.parametrize("path", ["tiles", "joins"])
+def test_exchanged_terms_leave_the_disk(spark, monkeypatch, path):
+    """Of an order of 20, what stays on disk is the last exchange's block, not 20 terms."""
+    rng = np.random.default_rng(21)
+    p = points_of(spark, rng.random((600, 2)))
+    edges = spark.createDataFrame(graph.symmetrize(graph.weigh(neighbors.knn(p, 4), k=4)).collect())
+    signals = spark.createDataFrame([(i, rng.normal(size=8).tolist()) for i in range(602)], "cell_id long, vec array<double>")
+    monkeypatch.setattr(spectral, "TILE_CELLS", 100)
+    want = {(r.cell_id, r.scale_idx): r.vec for r in spectral.heat_filter(edges, signals, [0.0, 2.0], 20, "bound", "local").collect()}
+    shared = Path(spark.conf.get("spark.checkpoint.dir"))
+    size = lambda: sum(f.stat().st_size for f in shared.rglob("*.parquet"))
+    before = size()
+    got = spectral.heat_filter(edges, signals, [0.0, 2.0], 20, "bound", path, p)
+    assert size() - before < 602 * 8 * 8 * 6
+    rows = got.collect()
+    assert len(rows) == 1204 and all(np.allclose(r.vec, want[r.cell_id, r.scale_idx], atol=1e-12) for r in rows)
+    for scales in ([1.0], [0.0, *(float(s) for s in range(1, 8))]):  # without places, by hashed parts; many scales keep their terms
+        monkeypatch.setattr(spectral, "PART_CELLS", 100)
+        want = {(r.cell_id, r.scale_idx): r.vec for r in spectral.heat_filter(edges, signals, scales, 7, "bound", "local").collect()}
+        rows = spectral.heat_filter(edges, signals, scales, 7, "bound", path, p if path == "tiles" else None).collect()
+        assert len(rows) == 602 * len(scales) and all(np.allclose(r.vec, want[r.cell_id, r.scale_idx], atol=1e-12) for r in rows)
