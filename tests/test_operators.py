@@ -630,6 +630,37 @@ spark.stop()
     assert "neighbours 80" in done.stdout, done.stderr[-2000:]
 
 
+def test_profiles_are_stored_by_blocks(spark, tmp_path, monkeypatch):
+    """Nulls, NaN, several rounds, blocks and parts: few rows are stored, and those of pairs are read."""
+    from mosaicell import queries
+    from mosaicell.sources import tables
+
+    rng = np.random.default_rng(6)
+    xy = np.round(rng.uniform(0, 4, (150, 2)), 1).tolist()
+    xy[149] = [float("nan"), 1.0]
+    points = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(xy)], "cell_id long, x double, y double")
+    rounds = spark.createDataFrame([(i, 1 + i % 2) for i in range(0, 150, 3)], "cell_id long, round int")
+    value = lambda: [None, float("nan"), 0.5][rng.integers(3)] if rng.random() < 0.2 else float(rng.normal())
+    signals = spark.createDataFrame([(i, s, float(s), [value(), value()]) for i in range(148) for s in range(3) if (i + s) % 10], "cell_id long, scale_idx int, scale double, vec array<double>")
+    pairs = sorted(str(tuple(r)) for r in mapping.seed_profiles(points, rounds, signals, 1.3).collect())
+    for at, (ask, feed, seeds) in enumerate(((1 << 14, 1 << 16, 4096), (30, 60, 10))):
+        monkeypatch.setattr(neighbors, "ASK_BLOCK", ask)
+        monkeypatch.setattr(neighbors, "FEED", feed)
+        monkeypatch.setattr(mapping, "BLOCK_SEEDS", seeds)
+        where = str(tmp_path / str(at))
+        tables.write_profile_blocks(mapping.profile_blocks(points, rounds, signals, 1.3), where)
+        stored = spark.read.parquet(f"{where}/seed_profiles")
+        assert at or stored.count() < len(pairs) / 10
+        assert sorted(str(tuple(r)) for r in tables.read_profiles(spark, where, radius=1.3).collect()) == pairs
+        assert "PartitionFilters: [isnotnull(round" in tables.read_profiles(spark, where, [1], 1.3)._jdf.queryExecution().toString()
+    monkeypatch.undo()
+    before = set(Path(spark.conf.get("spark.checkpoint.dir")).glob("profiles-query-*"))
+    d = "/root/testdata/sf0.001"
+    assert queries.QUERIES["seed_profiles_scan"](spark, d).count() == queries.profiles(spark, d).filter("scale = 1").count()
+    (made,) = set(Path(spark.conf.get("spark.checkpoint.dir")).glob("profiles-query-*")) - before
+    assert spark.read.parquet(f"{made}/seed_profiles").count() < 500  # of 500 points: not a row a pair
+
+
 def test_binned_profiles_equal_those_of_pairs(spark, monkeypatch):
     """Ties, nulls, NaN, several rounds, blocks and parts: the same as cleaning and interpolating the table of pairs."""
     rng = np.random.default_rng(4)
