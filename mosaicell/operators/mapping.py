@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..plans.storage import save
 from ..sources.tables import write_mapping
-from .neighbors import density, radius_groups, radius_join
+from .neighbors import _reach, _tiles, density, radius_groups, radius_join
 from .spectral import MAPPING_SCALES, heat_filter
 
 # ------------------------------------------------------------------ density groups
@@ -274,28 +274,6 @@ def _nearest_to_centers(d: np.ndarray, y: np.ndarray, centers: np.ndarray, lo: t
         hi[0][:, b], hi[1][:, b] = np.where(inside[rows, beyond], np.inf, d[rows, beyond]), beyond
 
 
-def _tiles(x: np.ndarray, y: np.ndarray, most: int) -> list[np.ndarray]:
-    """Places of points that lie near each other, at most `most` in each."""
-    todo, done = [np.arange(len(x))], []
-    while todo:
-        own = todo.pop()
-        if len(own) <= most:
-            done.append(own)
-            continue
-        along = x[own] if np.ptp(x[own]) >= np.ptp(y[own]) else y[own]
-        order = own[np.argsort(along, kind="stable")]
-        todo += [order[: len(order) // 2], order[len(order) // 2 :]]
-    return done
-
-
-def _reach(x: np.ndarray, y: np.ndarray, bx: np.ndarray, by: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bounds of each target's distance to any of the points (x, y), a little wide."""
-    x0, x1, y0, y1 = x.min(), x.max(), y.min(), y.max()
-    gx, gy = np.maximum(np.maximum(x0 - bx, bx - x1), 0), np.maximum(np.maximum(y0 - by, by - y1), 0)
-    fx, fy = np.maximum(bx - x0, x1 - bx), np.maximum(by - y0, y1 - by)
-    return np.sqrt(gx * gx + gy * gy) * (1 - 1e-9), np.sqrt(fx * fx + fy * fy) * (1 + 1e-9)
-
-
 def _binned(radius: float, x_max: float, width: float, n_scales: int, n_rounds: int, cut: float, kind: pa.DataType):
     """In tasks, of a block of seeds and a part of the cells around: neighbours, counts by bin, and for each
     scale and bin the two points that the bin's centre lies between.

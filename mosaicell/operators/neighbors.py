@@ -2,9 +2,8 @@
 
 A radius join keys asking points by grid cell and sends every target to the cells around its own,
 with the exact predicate on what meets. The asking points of a crowded cell are dealt to several
-blocks. For densities the targets of a crowded cell are counted in boxes, a second grid whose size
-follows the count: a box wholly within the radius adds its count without pairs, and only boxes that
-the circle cuts are opened.
+blocks. For densities the points in and beside crowded cells are counted in groups: asking points that lie near
+each other share bounds of their distance to a target, and only pairs that the radius may part are looked at.
 
 k-NN is exact and takes two passes over parts of similar size, whose outlines are known to the
 tasks: rectangles found by medians of a sample in the plane, balls around sampled pivots for vectors.
@@ -37,8 +36,10 @@ GROUPS, GROUP_POINTS = 12, 16_384
 MOST_TILES, MOST_PIVOTS = 32_768, 2048
 #: Sampled points a rectangle.
 SAMPLED = 32
-#: Asking points of a grid cell that share a block of a radius join, and places of a cell that are counted in boxes if there are more.
+#: Asking points of a grid cell that share a block of a radius join, and places of a cell that are counted in groups if there are more.
 BLOCK, CROWD = 2048, 1024
+#: Asking points that share bounds of their distances, and those outside crowds that a task counts, about.
+NEAR_POINTS, CALM_POINTS = 64, 256
 
 
 # ---------------------------------------------------------------- radius
@@ -112,48 +113,80 @@ def radius_groups(left: DataFrame, right: DataFrame, radius: float, work, schema
     return asking.repartition(tasks, *keys).groupBy(*keys).cogroup(targets.repartition(tasks, *keys).groupBy(*keys)).applyInArrow(work, schema)
 
 
+def _tiles(x: np.ndarray, y: np.ndarray, most: int) -> list[np.ndarray]:
+    """Places of points that lie near each other, at most `most` in each."""
+    todo, done = [np.arange(len(x))], []
+    while todo:
+        own = todo.pop()
+        if len(own) <= most:
+            done.append(own)
+            continue
+        along = x[own] if np.ptp(x[own]) >= np.ptp(y[own]) else y[own]
+        order = own[np.argsort(along, kind="stable")]
+        todo += [order[: len(order) // 2], order[len(order) // 2 :]]
+    return done
+
+
+def _reach(x: np.ndarray, y: np.ndarray, bx: np.ndarray, by: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds of each target's distance to any of the points (x, y), a little wide."""
+    x0, x1, y0, y1 = x.min(), x.max(), y.min(), y.max()
+    gx, gy = np.maximum(np.maximum(x0 - bx, bx - x1), 0), np.maximum(np.maximum(y0 - by, by - y1), 0)
+    fx, fy = np.maximum(bx - x0, x1 - bx), np.maximum(by - y0, y1 - by)
+    return np.sqrt(gx * gx + gy * gy) * (1 - 1e-9), np.sqrt(fx * fx + fy * fy) * (1 + 1e-9)
+
+
+def _counted(radius: float, kind: pa.DataType):
+    """In tasks, of a block of asking points and a part of the targets around: src, n of the targets within the radius.
+
+    Asking points that lie near each other share bounds of their distance to a target, so that a pair is only
+    looked at where the radius lies between them."""
+
+    def run(asking: pa.Table, targets: pa.Table) -> pa.Table:
+        ax, ay, bx, by = (t.column(c).to_numpy().astype(float) for t in (asking, targets) for c in ("x", "y"))
+        weight, found = targets.column("n").to_numpy().astype(np.int64), np.zeros(len(ax), np.int64)
+        for own in _tiles(ax, ay, NEAR_POINTS) if len(bx) else []:
+            near, far = _reach(ax[own], ay[own], bx, by)
+            whole = far <= radius * (1 - 1e-9)
+            some = np.flatnonzero((near <= radius * (1 + 1e-9)) & ~whole)
+            dx, dy = ax[own, None] - bx[None, some], ay[own, None] - by[None, some]
+            found[own] = weight[whole].sum() + (np.sqrt(dx * dx + dy * dy) <= radius) @ weight[some]
+        return pa.table({"src": asking.column("cell_id").cast(kind), "n": pa.array(found)})
+
+    return run
+
+
 def density(points: DataFrame, radius: float, crowd: int = CROWD) -> DataFrame:
     """cell_id, density: points within the radius, itself included. Points of one coordinate are
-    merged with their count first; cells of more than `crowd` places are counted in boxes."""
+    merged with their count first; around cells of more than `crowd` places they are counted in groups."""
     places = points.groupBy("x", "y").agg(F.count("*").alias("n"), F.min("cell_id").alias("cell_id"))
-    places = save(places.filter("x IS NOT NULL AND y IS NOT NULL").withColumns(_home(radius, "x", "y")), "places")
-    crowded = save(places.groupBy("hx", "hy").agg(F.count("*").alias("c")).filter(F.col("c") > crowd), "crowded")
-    n_crowded = crowded.count()
-    near = _boxed_density(places, crowded, n_crowded, radius) if n_crowded else _plain_density(places, radius)
+    known = "x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)"
+    places = save(places.filter(known).withColumns(_home(radius, "x", "y")), "places")
+    crowded = save(places.groupBy("hx", "hy").agg(F.count("*").alias("c")).filter(F.col("c") > crowd).select("hx", "hy"), "crowded")
+    near = _crowded_density(places, crowded, radius) if crowded.count() else _plain_density(places, places, radius)
     return points.select("cell_id", "x", "y").join(places.select("x", "y", F.col("cell_id").alias("src")), ["x", "y"]).join(near, "src").select("cell_id", "density")
 
 
-def _plain_density(places: DataFrame, radius: float) -> DataFrame:
-    a, crowds, n = _asking(places, radius)
-    targets = places.select(F.col("x").alias("bx"), F.col("y").alias("by"), "n", "hx", "hy")
+def _plain_density(asking: DataFrame, places: DataFrame, radius: float, tasks: int | None = None) -> DataFrame:
+    a, crowds, n = _asking(asking, radius)
+    b = _around(places.select(F.col("x").alias("bx"), F.col("y").alias("by"), "n", "hx", "hy"), crowds, n)
+    if tasks:  # few bytes may hold many pairs, so bytes are not to set the number of tasks
+        a, b = (t.repartition(tasks, "hx", "hy", "block") for t in (a, b))
     dx, dy = F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")
-    met = a.join(_around(targets, crowds, n), ["hx", "hy", "block"]).filter(F.sqrt(dx * dx + dy * dy) <= radius)
+    met = a.join(b, ["hx", "hy", "block"]).filter(F.sqrt(dx * dx + dy * dy) <= radius)
     return met.groupBy("src").agg(F.sum("n").alias("density"))
 
 
-def _boxed_density(places: DataFrame, crowded: DataFrame, n_crowded: int, radius: float) -> DataFrame:
-    # boxes a side, about the cube root of four times the count: evens out boxes met and pairs in those that are cut
-    side = F.pow(F.lit(2), F.floor(F.log2(4 * F.col("c")) / 3)).cast("int")
-    marked = places.join(maybe_broadcast(crowded.withColumn("side", side).drop("c"), n_crowded), ["hx", "hy"], "left")
-    fine = lambda c, h: F.floor((F.col(c) / radius - F.col(h)) * F.col("side"))
-    marked = save(marked.withColumns({"fx": fine("x", "hx"), "fy": fine("y", "hy")}).drop("side"), "marked")
-    inner = marked.filter("fx IS NOT NULL")
-    box = [F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.sum("n").alias("n")]
-    boxes = inner.groupBy("hx", "hy", "fx", "fy").agg(*box)
-    single = marked.filter("fx IS NULL").select("hx", "hy", "fx", "fy", F.col("x").alias("x0"), F.col("x").alias("x1"), F.col("y").alias("y0"), F.col("y").alias("y1"), "n")
-    asking, crowds, n = _asking(places, radius)
-    targets = boxes.unionByName(single).withColumns({"cx": F.col("hx"), "cy": F.col("hy")})
-    met = asking.join(_around(targets, crowds, n), ["hx", "hy", "block"])
-    far = lambda a, lo, hi: F.greatest(F.abs(F.col(a) - F.col(lo)), F.abs(F.col(a) - F.col(hi)))
-    gap = lambda a, lo, hi: F.greatest(F.col(lo) - F.col(a), F.col(a) - F.col(hi), F.lit(0.0))
-    reach = lambda f: F.sqrt(f("ax", "x0", "x1") * f("ax", "x0", "x1") + f("ay", "y0", "y1") * f("ay", "y0", "y1"))
-    inside = reach(far) <= radius
-    # a single place within reach is inside
-    whole = met.filter(inside).groupBy("src").agg(F.sum("n").alias("n"))
-    cut = met.filter((reach(gap) <= radius) & ~inside & F.col("fx").isNotNull()).select("src", "ax", "ay", F.col("cx").alias("hx"), F.col("cy").alias("hy"), "fx", "fy")
-    dx, dy = F.col("ax") - F.col("x"), F.col("ay") - F.col("y")
-    pairs = cut.join(inner, ["hx", "hy", "fx", "fy"]).filter(F.sqrt(dx * dx + dy * dy) <= radius).groupBy("src").agg(F.sum("n").alias("n"))
-    return whole.unionByName(pairs).groupBy("src").agg(F.sum("n").alias("density"))
+def _crowded_density(places: DataFrame, crowded: DataFrame, radius: float) -> DataFrame:
+    """Places in and beside crowded cells are counted by tasks without pairs, the others by a join."""
+    busy = save(_around(crowded, None, 0).select("hx", "hy").distinct(), "busy")
+    busy = maybe_broadcast(busy, busy.count())
+    field = places.schema["cell_id"].dataType.simpleString()
+    kind = pa.int64() if field == "bigint" else pa.int32() if field == "int" else pa.string()
+    asking = places.join(busy, ["hx", "hy"], "left_semi").select("cell_id", "x", "y")
+    counted = radius_groups(asking, places.select("cell_id", "x", "y", "n"), radius, _counted(radius, kind), f"src {field}, n long")
+    rest = places.join(busy, ["hx", "hy"], "left_anti")
+    calm = _plain_density(rest, places, radius, 1 + min(GROUP_TASKS - 1, rest.count() // CALM_POINTS))
+    return counted.groupBy("src").agg(F.sum("n").alias("density")).unionByName(calm)
 
 
 # ---------------------------------------------------------------- k nearest

@@ -102,6 +102,18 @@ def test_density_and_radius_join_of_crowds(spark, monkeypatch, crowd, block):
     assert {(r.src, r.dst) for r in neighbors.radius_join(p, p, 0.02).collect()} == set(zip(*map(np.ndarray.tolist, np.nonzero(near <= 0.02)), strict=True))
 
 
+def test_density_beside_crowds_is_dealt_to_tasks(spark):
+    """String ids, NaN and null places; what bytes alone would put in one task has several."""
+    rng = np.random.default_rng(12)
+    xy = np.concatenate([rng.random((700, 2)), 0.5 + 0.02 * rng.random((150, 2))])
+    rows = [(f"c{i}", float(x), float(y)) for i, (x, y) in enumerate(xy)] + [("nan", float("nan"), 0.5), ("none", None, 0.5)]
+    df = neighbors.density(spark.createDataFrame(rows, "cell_id string, x double, y double"), 0.1, 60)
+    near = np.sqrt(((xy[:, None] - xy[None]) ** 2).sum(-1)) <= 0.1
+    assert {r.cell_id: r.density for r in df.collect()} == {f"c{i}": n for i, n in enumerate(near.sum(1).tolist())}
+    plan = df._jdf.queryExecution().toString()
+    assert "REPARTITION_BY_NUM" in plan and "FlatMapCoGroupsInArrow" in plan
+
+
 def test_knn_of_one_or_no_point(spark):
     assert neighbors.knn(points_of(spark, [(1, 1)]), 3).count() == 0
     assert neighbors.knn(points_of(spark, []), 3).count() == 0
