@@ -850,3 +850,15 @@ def test_exchanged_terms_leave_the_disk(spark, monkeypatch, path):
         want = {(r.cell_id, r.scale_idx): r.vec for r in spectral.heat_filter(edges, signals, scales, 7, "bound", "local").collect()}
         rows = spectral.heat_filter(edges, signals, scales, 7, "bound", path, p if path == "tiles" else None).collect()
         assert len(rows) == 602 * len(scales) and all(np.allclose(r.vec, want[r.cell_id, r.scale_idx], atol=1e-12) for r in rows)
+
+
+def test_rounding_in_tasks_equals_that_of_spark(spark):
+    from mosaicell.functions.numeric import rounded
+
+    rng = np.random.default_rng(3)
+    half = (rng.integers(-(10**6), 10**6, 500) + 0.5) / 1e6
+    x = np.concatenate([half, np.nextafter(half, 9), np.nextafter(half, -9), rng.normal(size=500), rng.normal(size=50) * 1e12, [0.0, -1e-9, float("nan"), float("inf"), -float("inf"), 1e300]])
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "i long, v double")
+    for digits in (6, 3):
+        want = [r.r for r in df.select("i", F.round("v", digits).alias("r")).orderBy("i").collect()]
+        assert all(a == b or (np.isnan(a) and np.isnan(b)) for a, b in zip(rounded(x, digits).tolist(), want, strict=True))
