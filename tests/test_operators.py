@@ -852,6 +852,38 @@ def test_exchanged_terms_leave_the_disk(spark, monkeypatch, path):
         assert len(rows) == 602 * len(scales) and all(np.allclose(r.vec, want[r.cell_id, r.scale_idx], atol=1e-12) for r in rows)
 
 
+def test_near_profiles_equal_cleaned_ones_without_a_join_of_pairs(spark, monkeypatch):
+    """Nulls, NaN, two rounds, blocks and parts; the seed's own value comes along with it."""
+    from mosaicell import queries
+
+    rng = np.random.default_rng(8)
+    xy = np.round(rng.uniform(0, 4, (150, 2)), 1).tolist()
+    xy[149] = [float("nan"), 1.0]
+    points = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(xy)], "cell_id long, x double, y double")
+    rounds = spark.createDataFrame([(i, 1 + i % 2) for i in range(0, 150, 3)], "cell_id long, round int")
+    value = lambda: [None, float("nan"), 0.5][rng.integers(3)] if rng.random() < 0.2 else float(rng.normal())
+    signals = spark.createDataFrame([(i, s, float(s), [value(), value()]) for i in range(148) for s in range(3) if (i + s) % 10], "cell_id long, scale_idx int, scale double, vec array<double>")
+    monkeypatch.setattr(mapping, "CARRIED", 0)
+    pairs = mapping.seed_profiles(points, rounds, signals, 1.3).persist()
+    rows = lambda df: sorted(str(tuple(r)) for r in df.select("seed_id", "round", "nbr_id", "distance", "scale", "intensity").collect())
+    for ask, feed, some in ((16_384, 8192, 1 << 18), (30, 20, 640)):
+        monkeypatch.setattr(neighbors, "ASK_BLOCK", ask)
+        monkeypatch.setattr(neighbors, "ROWS_FEED", feed)
+        monkeypatch.setattr(neighbors, "PAIRS", some)
+        for cut, by_self in ((0.0, False), (0.3, False), (0.0, True), (0.3, True)):
+            got = mapping.near_profiles(points, rounds, signals, 1.0, cut, by_self)
+            assert rows(got) == rows(mapping.clean_profiles(pairs, 1.0, cut, by_self))
+    good = pairs.filter("nbr_id = seed_id AND intensity > 0.1").select("seed_id", "scale")
+    want = mapping.clean_profiles(pairs, 1.0, by_self=True).join(good, ["seed_id", "scale"], "left_semi")
+    assert rows(mapping.near_profiles(points, rounds, signals, 1.0, by_self=True, least=0.1)) == rows(want)
+    monkeypatch.undo()
+    for name in ("intensity_cut", "profiles_by_self", "radius_join", "seed_profiles_scan"):
+        plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        above = plan.split("InArrow")[0]
+        assert "InArrow" in plan and "Join" not in above and "round(" not in above
+        assert name != "seed_profiles_scan" or "Generate" not in plan
+
+
 def test_rounding_in_tasks_equals_that_of_spark(spark):
     from mosaicell.functions.numeric import rounded
 
