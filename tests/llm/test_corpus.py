@@ -625,3 +625,26 @@ def test_chat_queries_are_native(spark):
     turns = spark.createDataFrame([(1, 0, "user", "a")], "conv_id long, turn long, role string, text string")
     plan = chat_format.digest(chat_format.read_back(chat_format.format_chats(turns)))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_toxicity_learns_from_all_labelled_rows(spark, monkeypatch):
+    """The word that tells texts of one kind apart is in long texts and in rows beyond any sample; parts give the same model
+    each time, and their presences are those of all rows."""
+    monkeypatch.setattr(toxicity, "PART_ROWS", 150)
+    docs, labels = toxic_data(spark, 1500)
+    docs = docs.withColumn("text", F.when(F.col("doc_id") % 4 == 2, F.concat(F.lit("halunke "), F.repeat(F.lit("the of and "), 3000))).otherwise(F.col("text")))
+    labels = labels.withColumn("toxic", F.when(F.col("doc_id") % 4 == 2, 1).otherwise(F.col("toxic")))
+    rows = toxicity.labelled(docs, labels)
+    want = {i for i in range(1500) if zlib.crc32(str(i).encode()) % 3 != 1}
+    assert rows.count() == len(want) and 0 < rows.filter("fold = 0").count() < len(want) / 3
+    seen = []
+    monkeypatch.setattr(toxicity, "evidence", lambda s, n, f=toxicity.evidence: seen.append((s, n)) or f(s, n))
+    model, again = toxicity.learn(docs, labels), toxicity.learn(docs.repartition(7), labels)
+    assert np.array_equal(model.emb, again.emb) and np.array_equal(model.shift, again.shift)
+    found = rows.filter("fold <> 0").collect()
+    words, feats, _ = toxicity.tokenised([r.text for r in found])
+    counts, n = toxicity.presences(words, feats, np.array([r.toxic for r in found]))
+    assert np.array_equal(seen[0][0], counts) and seen[0][1].tolist() == n.tolist()
+    got = toxicity.score(docs, model).collect()
+    right = [(r.score >= 0.7) == (r.doc_id % 2 == 0) for r in got if r.doc_id not in want]
+    assert np.mean(right) > 0.95
