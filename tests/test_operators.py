@@ -894,3 +894,20 @@ def test_rounding_in_tasks_equals_that_of_spark(spark):
     for digits in (6, 3):
         want = [r.r for r in df.select("i", F.round("v", digits).alias("r")).orderBy("i").collect()]
         assert all(a == b or (np.isnan(a) and np.isnan(b)) for a, b in zip(rounded(x, digits).tolist(), want, strict=True))
+
+
+def test_nearest_higher_points_leave_no_pairs(spark, monkeypatch):
+    """Rectangles, blocks of either side and points of one place: the same as all pairs, and no plan joins pairs or explodes rings."""
+    rng = np.random.default_rng(12)
+    xy = np.concatenate([rng.normal(0, 1, (300, 2)), np.tile([[0.5, 0.5]], (40, 1)), [[50.0, 0.0]]])
+    rank = rng.permutation(len(xy)).astype(float)
+    rho = spark.createDataFrame([(i, float(x), float(y), float(r)) for i, ((x, y), r) in enumerate(zip(xy, rank, strict=True))], "cell_id long, x double, y double, rho double")
+    d = np.sqrt(((xy[:, None] - xy[None]) ** 2).sum(-1))
+    up = np.where(rank[None] > rank[:, None], d, np.inf)
+    want = {i: (up[i].min(), up[i].argmin()) for i in range(len(xy)) if up[i].min() < np.inf}
+    for part, asking, targets, slab in ((1024, 2048, 4096, 1 << 17), (20, 7, 9, 30)):
+        for name, value in (("PART", part), ("ASKING", asking), ("TARGETS", targets), ("SLAB", slab)):
+            monkeypatch.setattr(subcluster, name, value)
+        found = subcluster._uphill_in_plane(rho, len(xy))
+        assert {r.cell_id: (r.d, r.parent) for r in found.collect()} == want
+        assert "gx" not in found._jdf.queryExecution().toString()
