@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,21 +76,56 @@ def laplacian_apply(edges: DataFrame, x: DataFrame) -> DataFrame:
     return out.select("cell_id", (F.coalesce("degree", F.lit(0.0)) * F.col("value") - F.coalesce("flow", F.lit(0.0))).alias("value"))
 
 
+#: Counted edges between joined nodes that one task unites.
+LOCAL_EDGES = 1_000_000
+
+
+def _united(kind: pa.DataType):
+    """In a task, of at most LOCAL_EDGES edges: node, root (least id). Roots hook on to lesser ones, and nodes jump to their roots."""
+
+    def run(table: pa.Table) -> pa.Table:
+        ids = pc.unique(pa.chunked_array([*table["src"].chunks, *table["dst"].chunks], kind))
+        ids = ids.take(pc.sort_indices(ids))
+        a, b = (pc.index_in(table[c], ids).to_numpy().astype(np.int64) for c in ("src", "dst"))
+        root = np.arange(len(ids))
+        while len(a):
+            np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+            while not np.array_equal(root, root[root]):
+                root = root[root]
+            a, b = root[a], root[b]
+            a, b = a[a != b], b[a != b]
+        return pa.Table.from_arrays([ids, ids.take(pa.array(root))], names=["node", "root"])
+
+    return run
+
+
 def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
-    """cell_id, component (least id). Labels spread to neighbours and jump along labels, so the
-    number of rounds is logarithmic in the diameter for most graphs. Labels are as many as nodes, so
+    """cell_id, component (least id). Nodes join their least neighbour and jump on to its root, and edges are kept between
+    roots only, until so few are left (at most LOCAL_EDGES, counted) that one task unites them. Labels are as many as nodes, so
     no join may send them through the driver."""
-    both = save(edges.select("src", "dst").unionAll(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "cc-edges")
-    ids = both.select(F.col("src").alias("cell_id")).distinct() if nodes is None else nodes.select("cell_id")
-    labels = save(ids.withColumn("component", F.col("cell_id")), "cc")
-    while True:
-        seen = both.join(labels.withColumnRenamed("cell_id", "dst").hint("merge"), "dst").groupBy(F.col("src").alias("cell_id")).agg(F.min("component").alias("seen"))
-        near = labels.join(seen.hint("merge"), "cell_id", "left").select("cell_id", F.col("component").alias("old"), F.least("component", F.coalesce("seen", "component")).alias("component"))
-        jump = labels.select(F.col("cell_id").alias("component"), F.col("component").alias("further"))
-        new = save(near.join(jump.hint("merge"), "component", "left").select("cell_id", "old", F.least("component", F.coalesce("further", "component")).alias("component")), "cc")
-        labels = new.drop("old")
-        if not new.filter("old <> component").limit(1).count():
-            return labels
+    ends = (F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
+    ids = edges.select(F.col("src").alias("cell_id")).unionAll(edges.select("dst")).distinct() if nodes is None else nodes.select("cell_id")
+    left, joined = save(edges.select(*ends).filter("src < dst").distinct(), "cc-edges"), []
+    while left.count() > LOCAL_EDGES:
+        both = left.unionAll(left.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        up = save(both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("root")).withColumn("root", F.least("node", "root")), "cc-up")
+        while True:
+            further = up.select(F.col("node").alias("root"), F.col("root").alias("further")).hint("merge")
+            new = save(up.join(further, "root").select("node", F.col("root").alias("old"), F.col("further").alias("root")), "cc-up")
+            up = new.drop("old")
+            if not new.filter("old <> root").limit(1).count():
+                break
+        joined.append(up)
+        for c in ("src", "dst"):
+            left = left.join(up.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")).hint("merge"), c)
+        left = save(left.select(F.col("src_root").alias("src"), F.col("dst_root").alias("dst")).select(*ends).filter("src < dst").distinct(), "cc-edges")
+    kind = left.schema["src"].dataType
+    arrow = pa.int64() if kind.simpleString() == "bigint" else pa.int32() if kind.simpleString() == "int" else pa.string()
+    joined.append(save(left.groupBy(F.lit(0).alias("all")).applyInArrow(_united(arrow), f"node {kind.simpleString()}, root {kind.simpleString()}"), "cc-last"))
+    labels = ids.withColumn("component", F.col("cell_id"))
+    for up in joined:
+        labels = labels.join(up.withColumnRenamed("node", "component").hint("merge"), "component", "left").select("cell_id", F.coalesce("root", "component").alias("component"))
+    return save(labels, "cc")
 
 
 def check(edges: DataFrame, nodes: DataFrame) -> dict[str, bool | float]:

@@ -911,3 +911,25 @@ def test_nearest_higher_points_leave_no_pairs(spark, monkeypatch):
         found = subcluster._uphill_in_plane(rho, len(xy))
         assert {r.cell_id: (r.d, r.parent) for r in found.collect()} == want
         assert "gx" not in found._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("local", [10**6, 5, 0])
+def test_components_contract_until_a_task_unites_the_rest(spark, monkeypatch, local):
+    """Chains against the order of ids, stars, loops and lone nodes, each round with fewer edges."""
+    monkeypatch.setattr(graph, "LOCAL_EDGES", local)
+    rng = np.random.default_rng(2)
+    order = rng.permutation(60).tolist()
+    pairs = list(zip(order[:39], order[1:40], strict=True)) + [(200 - i, 201 - i) for i in range(50)] + [(300, i) for i in range(301, 310)] + [(5000, 5000)]
+    e = spark.createDataFrame([(int(a), int(b)) for a, b in pairs], "src long, dst long")
+    root = {i: i for p in pairs for i in p}
+    for _ in pairs:
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    saved = []
+    monkeypatch.setattr(graph, "save", lambda df, name: saved.append(name) or storage.save(df, name))
+    assert {r.cell_id: r.component for r in graph.components(e).collect()} == root
+    assert len(saved) == 3 if local == 10**6 else len(saved) > 3
+    nodes = spark.createDataFrame([(i,) for i in (*root, 9999)], "cell_id long")
+    assert {r.cell_id: r.component for r in graph.components(e, nodes).collect()} == root | {9999: 9999}
+    named = e.select(F.format_string("n%05d", "src").alias("src"), F.format_string("n%05d", "dst").alias("dst"))
+    assert {r.cell_id: r.component for r in graph.components(named).collect()} == {f"n{a:05d}": f"n{b:05d}" for a, b in root.items()}
