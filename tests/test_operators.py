@@ -933,3 +933,32 @@ def test_components_contract_until_a_task_unites_the_rest(spark, monkeypatch, lo
     assert {r.cell_id: r.component for r in graph.components(e, nodes).collect()} == root | {9999: 9999}
     named = e.select(F.format_string("n%05d", "src").alias("src"), F.format_string("n%05d", "dst").alias("dst"))
     assert {r.cell_id: r.component for r in graph.components(named).collect()} == {f"n{a:05d}": f"n{b:05d}" for a, b in root.items()}
+
+
+def test_vectors_are_compared_exactly_only_where_a_product_leaves_doubt(monkeypatch):
+    """Far from the origin, with equal vectors: the counts, bins and nearest of all pairs, of which few are taken term by term."""
+    import pandas as pd
+
+    rng = np.random.default_rng(14)
+    v = np.round(np.concatenate([rng.normal(0, 1, (380, 20)), np.zeros((20, 20))]) + 1000, 3)
+    n = len(v)
+    d = np.zeros((n, n))
+    for k in range(20):
+        d += (v[:, k, None] - v[None, :, k]) ** 2
+    d = np.sqrt(d)
+    top, rho = d.max(), rng.permutation(n).astype(float)
+    side = pd.DataFrame({"id": range(n), "vec": list(v), "rho": rho, "lo": 0.0, "hi": np.nextafter(top, 9e9)})
+    both = pd.concat([side.assign(asks=True), side.assign(asks=False).sample(frac=1, random_state=1)])
+    taken = []
+    exact = subcluster._Pairs.exact
+    monkeypatch.setattr(subcluster._Pairs, "exact", lambda self, i, j: taken.append(len(i)) or exact(self, i, j))
+    assert subcluster._top(both)["top"][0] == top
+    cutoff = np.sort(d[3])[40] / top  # one of the distances
+    assert subcluster._within(cutoff, top)(both)["k"].tolist() == (d / top < cutoff).sum(1).tolist()
+    edges = subcluster._edges(side["lo"].to_numpy(), side["hi"].to_numpy())[0]
+    assert np.array_equal(np.stack(subcluster._binned(both)["bins"]), np.stack([np.histogram(x, edges)[0] for x in d]))
+    up = np.where(rho[None] > rho[:, None], d, np.inf)
+    got = subcluster._uphill(both)
+    assert np.array_equal(got["d"], up.min(1)) and np.array_equal(got["far"], d.max(1))
+    assert all(up[i].min() == np.inf or got["up"][i] == up[i].argmin() for i in range(n))
+    assert sum(taken) < n * n / 10
